@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from scorebook.llm import gif, langid, secrets, warc
+from scorebook.llm import decontaminate, gif, langid, lattice_lm, minhash, mixing, pii, secrets, sharding, warc
 
 QUERIES = {
     "op1_gif": gif.op1_gif,
+    "op2_minhash": minhash.op2_minhash,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_pii": pii.op4_pii,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_sharding": sharding.op6_sharding,
+    "op7_lattice_lm": lattice_lm.op7_lattice_lm,
     "op8_secrets": secrets.op8_secrets,
     "op9_warc": warc.op9_warc,
     "op10_langid": langid.op10_langid,
 }
 
+#: The others have no SQL form; tests compare them with brute-force versions.
 ORACLE_SQL = {
     "op9_warc": warc.OP9_SQL,
 }
