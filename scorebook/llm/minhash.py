@@ -6,8 +6,8 @@ that it reaches the similarity bound falls below MISS. What survives is verified
 
 Buckets are never expanded to all pairs. Every member is first compared with its bucket's leader (in a large bucket with
 a local leader, which is compared with the bucket's). Those links give components. Only where a bucket still spans
-several components are the members outside its main component compared with all members of other components, so that no
-link between components is lost to the short cut.
+several components are the members outside its main component compared with all members of other components, in blocks
+of sets, so that no link between components is lost to the short cut.
 
 Words are split at ASCII white space after lower-casing A-Z. Null, empty and wordless texts: an empty set, linked with
 nothing. Fewer words than a shingle: the whole sequence is the one shingle. Equal ids: rows are handled by id, so such
@@ -32,8 +32,8 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: Signature values compared at once; posterior probability under which a candidate is dropped.
 BATCH, MISS = 16, 1e-6
-#: Members that one leader is compared with; cached word hashes.
-FAN, CACHE = 64, 400_000
+#: Members that one leader is compared with; cached word hashes; sets of the two sides of a block pair.
+FAN, CACHE, OUTSIDERS, INSIDERS = 64, 400_000, 512, 1024
 #: Similarity bound in percent: links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 
@@ -160,6 +160,50 @@ def exact(pairs: DataFrame, texts: DataFrame, k: int, percent: int = PERCENT) ->
     return map_rows(both.select("a", "b", "text_a", "text_b"), run, f"a {kind}, b {kind}")
 
 
+def set_sketch(texts: DataFrame, k: int) -> DataFrame:
+    """(id, shingles, sig): the whole set as sorted 64-bit hashes, and a byte for each signature value."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        hashes = WordHashes()
+        for key, text in rows:
+            shingles = shingle_hashes(words_of(text), k, hashes)
+            yield key, shingles.tobytes(), (signature(shingles) & np.uint32(255)).astype(np.uint8).tobytes()
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return map_rows(texts.select("id", "text"), run, f"id {kind}, shingles binary, sig binary")
+
+
+def linked_in_block(alive: np.ndarray, xs: list[bytes], ys: list[bytes], percent: int) -> np.ndarray:
+    """Which of the pairs [x, y] that are still alive reach the bound, on the full sets (64-bit shingle hashes).
+
+    Intersection sizes of all pairs are one product of incidence matrices over the shingles that both sides have, taken
+    in slices, so memory stays bounded for long texts too.
+    """
+    at_x, at_y = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+    out = np.zeros(alive.shape, dtype=bool)
+    if not len(at_x):
+        return out
+    x, y = ([np.frombuffer(side[n], dtype=np.uint64) for n in at] for side, at in ((xs, at_x), (ys, at_y)))
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    common = np.zeros((len(x), len(y)), dtype=np.float32)
+    for cut in range(0, len(shared), 4096):
+        part = shared[cut : cut + 4096]
+
+        def incidence(sets: list[np.ndarray], part=part) -> np.ndarray:
+            m = np.zeros((len(sets), len(part)), dtype=np.float32)
+            for n, own in enumerate(sets):
+                own = own[np.searchsorted(own, part[0]) : np.searchsorted(own, part[-1], side="right")]
+                hit = np.minimum(np.searchsorted(part, own), len(part) - 1)
+                m[n, hit[part[hit] == own]] = 1
+            return m
+
+        common += incidence(x) @ incidence(y).T
+    size = lambda sets: np.array([len(s) for s in sets])
+    union = size(x)[:, None] + size(y)[None, :] - common
+    out[np.ix_(at_x, at_y)] = (100 * common >= percent * union) & alive[np.ix_(at_x, at_y)]
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each component of stored edges (a, b), a < b; nodes without edges don't appear.
 
@@ -208,6 +252,53 @@ def candidates(members: DataFrame) -> DataFrame:
     return out.where("a < b").distinct()
 
 
+def across_components(members: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links between components, found where buckets still span several.
+
+    A cluster is what shares buckets with one main component: outsiders (other components) and insiders (all). Outsiders
+    meet insiders in blocks of sets; a block pair is compared in place, and only one link for each outsider and other
+    component leaves it. So no pair of a group becomes a row, and the work spreads over as many tasks as block pairs.
+    """
+    placed = written(members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    per_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    spans = per_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    cluster = placed.join(written(spans.where("roots > 1").select("key", "main")), "key").select("main", "id", "root").distinct()
+    cluster = written(cluster)
+    sizes = cluster.groupBy("main").agg(F.sum((F.col("root") != F.col("main")).cast("long")).alias("outside"), F.count(F.lit(1)).alias("inside"))
+    blocks = lambda n, most: F.ceil(F.col(n) / most)
+    sizes = sizes.select("main", blocks("outside", OUTSIDERS).alias("n_out"), blocks("inside", INSIDERS).alias("n_in"))
+    involved = written(cluster.select("id").distinct())
+    sets = written(set_sketch(texts.join(involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), k))
+    rows = cluster.join(written(sizes), "main").join(sets, "id")
+    block, other = lambda n: F.pmod(F.xxhash64("id"), F.col(n)), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    keep = ["main", "id", "root", "shingles", "sig"]
+    outside = rows.where("root != main").select(*keep, F.lit(True).alias("out"), block("n_out").alias("i"), F.explode(other("n_in")).alias("j"))
+    inside = rows.select(*keep, F.lit(False).alias("out"), block("n_in").alias("j"), F.explode(other("n_out")).alias("i"))
+    least = least_matches(percent)
+
+    def links(table: pa.Table) -> pa.Table:
+        t = table.to_pydict()
+        xs, ys = ([n for n, o in enumerate(t["out"]) if o is side] for side in (True, False))
+        sig = np.frombuffer(b"".join(t["sig"]), dtype=np.uint8).reshape(-1, HASHES)
+        root = np.array(t["root"])
+        alive = root[xs][:, None] != root[ys][None, :]
+        matches = np.zeros(alive.shape, dtype=np.int16)
+        for step in range(1, len(least)):
+            for n in range((step - 1) * BATCH, step * BATCH):
+                matches += sig[xs, n][:, None] == sig[ys, n][None, :]
+            alive &= matches >= least[step]
+        found = linked_in_block(alive, [t["shingles"][n] for n in xs], [t["shingles"][n] for n in ys], percent)
+        once = {(t["id"][xs[x]], root[ys[y]]): t["id"][ys[y]] for x, y in zip(*np.nonzero(found), strict=True)}
+        a, b = [min(x, y) for (x, _), y in once.items()], [max(x, y) for (x, _), y in once.items()]
+        return pa.table({"a": pa.array(a, schema.field("id").type), "b": pa.array(b, schema.field("id").type)})
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(cluster.schema)
+    kind = cluster.schema["id"].dataType.simpleString()
+    return written(outside.unionByName(inside).groupBy("main", "i", "j").applyInArrow(links, f"a {kind}, b {kind}").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of `docs`."""
     sketches = written(sketch(docs, id_col, text_col, k))
@@ -228,18 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     edges = linked(candidates(members).where(alike))
     first = components(edges)
-    # buckets that still span several components
-    placed = members.join(first, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    placed = written(placed)
-    per_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    spans = per_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    spans = written(spans.where("roots > 1").select("key", "main"))
-    open_ = written(placed.join(spans, "key"))
-    outside = open_.where("root != main").select("key", F.col("id").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("root_x"))
-    inside = open_.select("key", F.col("id").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("root_y"))
-    across = outside.join(inside, (outside["key"] == inside["key"]) & (F.col("root_x") != F.col("root_y")) & alike)
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = linked(across)
+    more = across_components(members, first, texts, k, percent)
     if not more.isEmpty():
         first = components(first.select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(more))
     of_set = reps.join(first, "id", "left").select("digest", F.coalesce("root", "id").alias("root"))
