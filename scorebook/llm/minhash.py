@@ -11,7 +11,7 @@ of sets, so that no link between components is lost to the short cut.
 
 Words are split at ASCII white space after lower-casing A-Z. Null, empty and wordless texts: an empty set, linked with
 nothing. Fewer words than a shingle: the whole sequence is the one shingle. Equal ids: rows are handled by id, so such
-rows share component and flag. An empty table gives no rows. Very long texts are read whole; hashing goes in slices.
+rows share component and flag. A null id: the component of an equal set, and no links of its own. An empty table gives no rows. Very long texts are read whole; hashing goes in slices.
 """
 
 from __future__ import annotations
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept) for every row of `docs`."""
     sketches = written(sketch(docs, id_col, text_col, k))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    reps = sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "bands", "sig")).alias("r"))
+    reps = sketches.where("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n", "bands", "sig")).alias("r"))
     reps = written(reps.select("digest", "r.*"))
     banded = reps.select("id", "n", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count(F.lit(1)).alias("size"))
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_set = reps.join(first, "id", "left").select("digest", F.coalesce("root", "id").alias("root"))
     out = join_unique(sketches.select("id", "n", "digest"), written(of_set), "digest")
     component = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
