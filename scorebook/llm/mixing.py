@@ -96,22 +96,23 @@ def mix(
     within = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_key", id_col)
     numbered = keyed.withColumn("_mix_n", F.row_number().over(within) - 1).join(offsets, ["_mix_source", "_mix_bucket"])
     ordinal = F.col("_mix_before") + F.col("_mix_n")
-    numbered = numbered.withColumns({"mix_block": F.floor(ordinal / block_rows).cast("long"), "_mix_in": ordinal % block_rows})
+    numbered = numbered.withColumns({"_mix_block": F.floor(ordinal / block_rows).cast("long"), "_mix_in": ordinal % block_rows})
     # at most MOST_SOURCES phases of MOST_SOURCES sources
     plan = phases({s: -(-n // block_rows) for s, n in sizes.items()}, parts)
-    fields = "array<struct<s:string,b0:bigint,b1:bigint,base:bigint,period:bigint,w:bigint,slots:array<int>>>"
-    names = ("s", "b0", "b1", "base", "period", "w", "slots")
+    names = [f"_mix_{x}" for x in ("s", "b0", "b1", "base", "period", "w", "slots")]
+    fields = "array<struct<{}:string,{}:bigint,{}:bigint,{}:bigint,{}:bigint,{}:bigint,{}:array<int>>>".format(*names)
     phase = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([dict(zip(names, x, strict=True)) for x in plan])), fields)).alias("p")).select("p.*")
-    here = (F.col("_mix_source") == F.col("s")) & (F.col("mix_block") >= F.col("b0")) & (F.col("mix_block") < F.col("b1"))
-    j = F.col("mix_block") - F.col("b0")
+    block, (first, end, base, period, w) = F.col("_mix_block"), (F.col(n) for n in names[1:6])
+    here = (F.col("_mix_source") == F.col("_mix_s")) & (block >= first) & (block < end)
+    j = block - first
     whole = lambda x: F.floor(x).cast("long")
-    slot = F.col("base") + whole(j / F.col("w")) * F.col("period") + F.element_at("slots", (j % F.col("w")).cast("int") + 1)
+    slot = base + whole(j / w) * period + F.element_at("_mix_slots", (j % w).cast("int") + 1)
     return numbered.join(F.broadcast(phase), here).select(
         *[numbered[c] for c in docs.columns],
-        "mix_block",
+        block.alias("mix_block"),
         slot.alias("mix_slot"),
-        (F.col("base") + whole(j * F.col("period") / F.col("w"))).alias("mix_release"),
-        (F.col("base") + F.ceil((j + 1) * F.col("period") / F.col("w")).cast("long")).alias("mix_deadline"),
+        (base + whole(j * period / w)).alias("mix_release"),
+        (base + F.ceil((j + 1) * period / w).cast("long")).alias("mix_deadline"),
         (slot * block_rows + F.col("_mix_in")).alias("mix_position"),
     )
 
