@@ -61,7 +61,7 @@ def as_of(facts: DataFrame, versions: DataFrame, fact_id: str, dim_id: str, even
     t = F.col(event_time)
     covers = t.isNotNull() & (F.col("_from").isNull() | (F.col("_from") <= t)) & (F.col("_to").isNull() | (t <= F.col("_to")))
     level = F.when(covers, 5).when(F.col("_from") <= t, 4).when(F.col("_from") > t, 3).when(F.col("_now") == 1, 2).otherwise(1)
-    start, no_start = F.unix_micros("_from"), F.col("_from").isNull().cast("int")
+    start, no_start = F.unix_micros(F.col("_from").cast("timestamp")), F.col("_from").isNull().cast("int")
     earliest = level == 3
     order = F.struct(
         level,

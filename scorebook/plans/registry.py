@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from scorebook.plans import games, library, operators
+
+QUERIES = library.QUERIES | operators.QUERIES | games.QUERIES
+ORACLE_SQL = library.ORACLE_SQL | operators.ORACLE_SQL | games.ORACLE_SQL
