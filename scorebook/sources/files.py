@@ -113,7 +113,7 @@ def archive_members(spark: SparkSession, path: str, suffix: str = ".csv") -> Dat
 
 def csv_lines(members: DataFrame, schema: str) -> DataFrame:
     """Rows of CSV texts (with a header line) as a schema."""
-    lines = members.select("archive", "member", F.posexplode(F.split(F.rtrim("text"), "\r?\n")).alias("n", "line")).where("n > 0")
+    lines = members.select("archive", "member", F.posexplode(F.split(F.regexp_replace("text", r"\s+$", ""), "\r?\n")).alias("n", "line")).where("n > 0")
     return lines.select("archive", "member", F.from_csv("line", schema).alias("r")).select("archive", "member", "r.*")
 
 
