@@ -65,6 +65,20 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], sc
     return df.mapInArrow(run, out)
 
 
+def keep_rows(df: DataFrame, column: str, test: Callable[[], Callable[[object], bool]]) -> DataFrame:
+    """The rows of `df` whose `column` passes; `test` makes the test once for each task. Batches stay small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = test()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                values = part.column(part.schema.get_field_index(column))
+                yield part.filter(pa.array((passes(x.as_py()) for x in values), pa.bool_()))
+
+    return df.mapInArrow(run, T.StructType(df.schema.fields))
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key's text form, modulo n; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)

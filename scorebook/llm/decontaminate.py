@@ -16,12 +16,10 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from scorebook.llm.common import map_rows, table
+from scorebook.llm.common import keep_rows, map_rows, table
 
 #: Edits allowed per character; shortest normalised item that is searched; characters of items broadcast at once.
 ERROR_RATE, LEAST_CHARS, BLOCK_CHARS = 0.08, 24, 8 << 20
@@ -151,13 +149,11 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", rate:
     """The rows of `docs` in which no item occurs, with all their columns; a narrow filter for each block of items."""
     for block in blocks(items):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+        def clean(block=block):
             matcher = Matcher(block, rate)
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                yield batch.filter(pa.array((not matcher.matches(x.as_py()) for x in texts), pa.bool_()))
+            return lambda text: not matcher.matches(text)
 
-        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
+        docs = keep_rows(docs, text_col, clean)
     return docs
 
 

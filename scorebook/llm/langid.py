@@ -15,11 +15,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import crc_mod, map_rows, table
+from scorebook.llm.common import crc_mod, keep_rows, map_rows, table
 
 #: Hash bins of the trigrams and the most languages of a model: together they bound what is broadcast.
 BINS, MOST_LANGUAGES = 1 << 16, 200
@@ -156,9 +155,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         likelihood = n @ np.log(np.exp(log_p[bins][:, chosen].astype(np.float64)) @ pi)
         return bool(likelihood > -n.sum() * np.log(BINS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array((identified(x.as_py()) for x in texts), pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, "text", lambda: identified)
