@@ -222,6 +222,22 @@ def fit_pieces(words: DataFrame, ends: int, pieces: Pieces, rounds: int = EM_ROU
     return pieces
 
 
+def commonest(words: DataFrame, most: int) -> DataFrame:
+    """All words with at least so many occurrences that no more than `most` words have them.
+
+    The bound comes from a histogram of the counts' logarithms (a thousand bins at most), so no task sends its words.
+    """
+    level = F.floor(F.log2("n") * 16).cast("int")
+    bins = sorted(words.groupBy(level.alias("l")).count().toPandas().itertuples(index=False), reverse=True)
+    total, least = 0, None
+    for x, n in bins:
+        total += n
+        if total > most:
+            break
+        least = x
+    return words.where(level >= least) if least is not None else words.limit(0)
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", path: str = VOCABULARY, top_words: int = TOP_WORDS) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`; scores are log10."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
@@ -248,7 +264,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield from ((r[0], r[1] > 0, r[2], b, s) for r, b, s in zip(own, base.tolist(), score.tolist(), strict=True))
 
     weighed = written(map_rows(words.select("word", "c", "n"), weigh, "word binary, known boolean, n long, base double, score double"))
-    top = weighed.orderBy(F.desc("n"), "word").limit(top_words).toPandas()  # bounded by top_words
+    top = commonest(weighed, top_words).toPandas()  # bounded by top_words
     lookup = sc.broadcast(({w: i for i, w in enumerate(top["word"].map(bytes))}, *(top[c].to_numpy() for c in ("known", "base", "score"))))
     end_base, end_score = (float(x[0]) for x in logs(np.array([float(ends)]), np.log([pieces.end_probability()])))
 
