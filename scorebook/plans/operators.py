@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorebook.functions import dates, sport, text
-from scorebook.operators import dimensions, incremental, linkage, quality
+from scorebook.operators import dimensions, incremental, linkage, quality, semantic
 from scorebook.operators import relational as r
 from scorebook.plans.demo import tables
+from scorebook.sources.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -312,7 +313,7 @@ def text_functions(t, spark, d):
 
 @query("""
 SELECT o_orderkey, CAST(CASE WHEN month(d) >= 7 THEN year(d) ELSE year(d) - 1 END AS INTEGER) AS season, strftime(d, '%Y-%m') AS ym, CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key, CAST(weekofyear(d) AS INTEGER) AS iso_week, CAST(isodow(d) AS INTEGER) AS iso_weekday, isodow(d) >= 6 AS is_weekend, last_day(d) = d AS is_month_end, strftime(date_trunc('week', d), '%Y-%m-%d') AS week,
-  CAST(date_diff('year', d, DATE '2010-01-31') - CASE WHEN strftime(d, '%m%d') > '0131' THEN 1 ELSE 0 END AS INTEGER) AS age, 3600.0 * (o_orderkey % 3) + 60.0 * (o_orderkey % 60) + (o_orderkey % 59) + 0.5 AS seconds
+  CAST(date_diff('year', d, DATE '2010-01-31') - CASE WHEN strftime(d, '%m%d') > '0131' THEN 1 ELSE 0 END AS INTEGER) AS age, CAST(3600.0 * (o_orderkey % 3) + 60.0 * (o_orderkey % 60) + (o_orderkey % 59) + 0.5 AS DOUBLE) AS seconds
 FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
 """)
 def date_functions(t, spark, d):
@@ -554,3 +555,49 @@ def checkpoint_upsert(t, spark, d):
 @query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-02-01' AND DATE '1996-03-15'")
 def filtered_work(t, spark, d):
     return incremental.filtered_work(t["orders"], date_from="1996-02-01", date_to="1996-12-31", today="1996-03-15", day="o_date").select("o_orderkey")
+
+
+# ---------------------------------------------------------------- clean tables
+
+
+def team_facts(t) -> DataFrame:
+    """Team games as the clean tables take them: an order's suppliers, with sums of their lines."""
+    per = t["lineitem"].groupBy(F.col("l_orderkey").cast("string").alias("game_id"), F.col("l_suppkey").alias("team_id")).agg(F.sum("l_quantity").cast("long").alias("points"), F.count(F.lit(1)).alias("field_goals_made"), F.sum("l_linenumber").cast("long").alias("field_goals_attempted"), F.year(F.min("l_date")).cast("string").alias("season_year"))
+    home = F.when(F.col("team_id") % 2 == 0, "home").otherwise("away")
+    out = per.withColumns({"three_pointers_made": F.lit(0), "three_pointers_attempted": F.lit(0), "season_type": F.lit("Regular Season"), "team_home_or_away": home, "minutes_played": F.lit(240.0)})
+    sides = r.opponents(out, "game_id", "team_id", "team_home_or_away", ["points"])
+    result = F.when(F.col("points") > F.col("opponent_points"), "win").when(F.col("points") < F.col("opponent_points"), "loss")
+    return sides.withColumn("win_loss_result", result).drop("opponent_points", "opponent_team_id", "opponent_team_home_or_away")
+
+
+CLEAN = """
+(WITH p AS (SELECT CAST(l_orderkey AS VARCHAR) AS game_id, l_suppkey AS team_id, CAST(sum(l_quantity) AS BIGINT) AS points, count(*) AS made, CAST(sum(l_linenumber) AS BIGINT) AS tried, CAST(year(min(l_shipdate)) AS VARCHAR) AS season_year, CASE WHEN l_suppkey % 2 = 0 THEN 'home' ELSE 'away' END AS side FROM lineitem GROUP BY ALL),
+j AS (SELECT a.*, b.team_id AS opponent_team_id, b.points AS opponent_points, row_number() OVER (PARTITION BY a.game_id, a.team_id ORDER BY CASE WHEN a.side <> b.side THEN 0 ELSE 1 END, b.team_id) AS k FROM p a JOIN p b ON a.game_id = b.game_id AND a.team_id <> b.team_id)
+SELECT *, CASE WHEN points > opponent_points THEN 'win' WHEN points < opponent_points THEN 'loss' END AS result FROM j WHERE k = 1)
+"""
+
+
+@query(f"SELECT game_id, team_id, opponent_team_id, season_year, side AS team_home_or_away, result AS win_loss_result, points, opponent_points, made AS two_pointers_made, tried AS field_goals_attempted FROM {CLEAN}")
+def clean_team_game(t, spark, d):
+    """The team-game table, with opponents side by side."""
+    f = team_facts(t)
+    poss = f.select("game_id", "team_id", F.lit(100.0).alias("offensive_possessions"), F.lit(100.0).alias("defensive_possessions"))
+    return semantic.team_game(f, poss).select("game_id", "team_id", "opponent_team_id", "season_year", "team_home_or_away", "win_loss_result", "points", "opponent_points", "two_pointers_made", "field_goals_attempted")
+
+
+@query(f"SELECT team_id, season_year, count(*) FILTER (result = 'win') AS wins, count(*) FILTER (result = 'loss') AS losses, CAST(sum(points) AS BIGINT) AS points_total, CAST(sum(opponent_points) AS BIGINT) AS opponent_points_total, round(100 * (CAST(sum(made) AS DOUBLE) / sum(tried)), 1) AS effective_field_goal_percentage, CAST(count(*) * 240.0 AS DOUBLE) AS minutes_total FROM {CLEAN} GROUP BY ALL")
+def clean_team_season(t, spark, d):
+    """The team-season table with its advanced view."""
+    f = team_facts(t)
+    poss = f.select("game_id", "team_id", F.lit(100.0).alias("offensive_possessions"), F.lit(100.0).alias("defensive_possessions"))
+    season = semantic.advanced_team_season(semantic.team_season(stored(semantic.team_game(f, poss))))
+    return season.select("team_id", "season_year", F.coalesce("wins", F.lit(0)).alias("wins"), F.coalesce("losses", F.lit(0)).alias("losses"), "points_total", "opponent_points_total", "effective_field_goal_percentage", "minutes_total")
+
+
+@query("SELECT o_custkey AS person_id, CAST(year(o_orderdate) AS VARCHAR) AS season_year, o_orderpriority AS season_type, count(*) AS games_played, count(*) FILTER (o_orderstatus = 'F') AS games_started, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS points_total, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS team_count, count(DISTINCT o_orderstatus) > 1 AS is_multi_team_season FROM orders GROUP BY ALL")
+def clean_player_season(t, spark, d):
+    """The player-season table over orders as player games."""
+    o = t["orders"].select(F.col("o_orderkey").cast("string").alias("game_id"), F.col("o_custkey").alias("person_id"), F.ascii("o_orderstatus").alias("team_id"), F.year("o_date").cast("string").alias("season_year"), F.col("o_orderpriority").alias("season_type"), (F.col("o_orderstatus") == "F").alias("is_starter"), F.lit(30.0).alias("minutes_played"), F.floor("o_totalprice").cast("long").alias("points"))
+    rows = semantic.conformed(o, "player_game")
+    people = t["customer"].select(F.col("c_custkey").alias("person_id"), F.lit("1990-01-01").cast("date").alias("birth_date"))
+    return semantic.player_season(rows, people).select("person_id", "season_year", "season_type", "games_played", "games_started", "points_total", "team_count", "is_multi_team_season")
