@@ -11,7 +11,6 @@ long texts are scanned whole; the windows keep constant state.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
