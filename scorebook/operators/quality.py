@@ -127,14 +127,15 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def metric_exposure(profile: DataFrame, exposed: Sequence[str], deferred: Sequence[str] = ()) -> DataFrame:
     """populated, missing_data, deferred or unexposed per column."""
     c = F.col("column_name")
-    status = F.when(c.isin(*deferred), "deferred").when(~c.isin(*exposed), "unexposed").when(F.col("is_populated"), "populated").otherwise("missing_data") if deferred else F.when(~c.isin(*exposed), "unexposed").when(F.col("is_populated"), "populated").otherwise("missing_data")
+    later = c.isin(*deferred) if deferred else F.lit(False)
+    status = F.when(later, "deferred").when(~c.isin(*exposed), "unexposed").when(F.col("is_populated"), "populated").otherwise("missing_data")
     return profile.withColumn("exposure", status)
 
 
 def table_profile(df: DataFrame, name: str) -> DataFrame:
     """One row: rows, files and bytes of a table read from files."""
-    files = df.select("_metadata.file_path", "_metadata.file_size")
-    return files.agg(F.lit(name).alias("artifact_id"), F.count(F.lit(1)).alias("row_count"), F.count_distinct("file_path").alias("object_count")).select("artifact_id", "row_count", "object_count")
+    files = df.groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count(F.lit(1)).alias("n"))
+    return files.agg(F.lit(name).alias("artifact_id"), F.sum("n").alias("row_count"), F.count(F.lit(1)).alias("object_count"), F.sum("file_size").alias("total_bytes"))
 
 
 def schema_rows(spark, name: str, schema: T.StructType, run: str) -> DataFrame:

@@ -523,6 +523,12 @@ def schema_drift(t, spark, d):
     return out.crossJoin(t["orders"].agg(F.count(F.lit(1)).alias("table_rows")))
 
 
+@query()
+def table_profile(t, spark, d):
+    """Rows, files and bytes of the line items."""
+    return quality.table_profile(spark.read.parquet(f"{d}/lineitem.parquet"), "lineitem")
+
+
 # ---------------------------------------------------------------- increments
 
 
