@@ -98,15 +98,15 @@ class Matcher:
             return []
         t = normalise(text)
         found: dict[int, list[int]] = {}
-        seen: dict[int, int] = {}  # pattern -> how far its windows have been verified
+        seen: dict[int, tuple[int, int]] = {}  # pattern -> its last verified window
         for end, (size, places) in self.automaton.iter(t):
             for n, offset in places:
                 p = self.patterns[n]
                 start = max(0, end + 1 - size - offset - p.budget)
                 stop = min(len(t), end + 1 - size - offset + len(p.text) + p.budget)
-                if stop <= seen.get(n, -1):
-                    continue  # that window has been read
-                seen[n] = stop
+                if n in seen and seen[n][0] <= start and stop <= seen[n][1]:
+                    continue  # hits of one place share their window
+                seen[n] = start, stop
                 distance, _ = p.best(t[start:stop])
                 if distance <= p.budget:
                     got = found.setdefault(n, [distance, start, 0])

@@ -66,6 +66,26 @@ def test_all_within_budget_are_found(spark):
     assert kept == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_items_that_repeat_themselves():
+    """A first piece that comes again within the item must not hide the item's own place."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    for _ in range(60):
+        n = 100
+        k = int(dc.ERROR_RATE * n)
+        piece = letters(n // (k + 1) + 1)
+        at = rng.randrange(15, 70)
+        item = (piece + letters(n))[:at] + piece + letters(n)
+        item = item[:n]
+        t = list(item)
+        for i in range(k):  # one edit in each piece but the last
+            t[n * i // (k + 1) + rng.randrange(n // (k + 1))] = "z"
+        text = letters(40) + " " + "".join(t) + " " + letters(40)
+        hits = [(i, d) for i, d, _, _ in dc.Matcher([(1, item)]).matches(text)]
+        best, _ = distance(item, text)
+        assert (best <= k) == bool(hits), (item, text)
+
+
 def test_blocks_and_empty_tables(spark, monkeypatch):
     bench = spark.createDataFrame([(i, "item number %d with enough characters to count" % i) for i in range(5)], "item_id long, text string")
     assert [len(b) for b in dc.blocks(bench, most=100)] == [2, 2, 1]
