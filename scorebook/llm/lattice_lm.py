@@ -14,7 +14,8 @@ Word counts cover all documents. The commonest words (at most TOP_WORDS) are loo
 are joined to the full word table, so no word is left out and no join key is hot.
 
 Null text is empty: its only token is the end. Empty training data: N = 0 and the subword paths alone. Repeated rows
-are scored each on their own. Very long words are scored with the same recursion, one at a time.
+are scored each on their own. Words over LONG_WORD characters are scored exactly, block by block; the re-estimation
+cuts them, so neither holds more than a block.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from scorebook.llm.minhash import words_of
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: EM rounds; discount; words in the broadcast table; distinct words counted before a task passes them on.
 EM_ROUNDS, DISCOUNT, TOP_WORDS, HELD_WORDS = 2, 0.75, 250_000, 400_000
-#: Characters of a batch of equally long words, and the word length from which words go one at a time.
+#: Characters of a batch of equally long words, and the word length from which words go one at a time, in blocks.
 BATCH_CHARS, LONG_WORD = 60_000, 2000
 #: Added to each piece's expected count.
 PIECE_PRIOR = 0.1
@@ -147,13 +148,35 @@ def by_length(rows: Iterator[tuple]) -> Iterator[tuple[np.ndarray, list[tuple]]]
         yield batch(length)
 
 
+def long_forward(pieces: Pieces, chars: np.ndarray) -> float:
+    """The last alpha of one long word [1, place], block by block: only the alphas that an arc can reach are held."""
+    most, length = max(pieces.tables), chars.shape[1]
+    held = [0.0]  # alphas up to position `at`
+    for at in range(0, length, LONG_WORD):
+        low, end = at + 1 - len(held), min(length, at + LONG_WORD)
+        part = chars[:, low:end]
+        arcs, by_bytes = pieces.arcs(part), pieces.byte_log_p(part)
+        alpha = [*held, *[0.0] * (end - at)]
+        for r in range(len(held), len(alpha)):
+            terms = [alpha[r - 1] + by_bytes[0, r - 1]]
+            terms += [alpha[r - s] + lp[0, r - s] for s, (lp, _) in arcs.items() if s <= r]
+            top = max(terms)
+            alpha[r] = top + math.log(sum(math.exp(x - top) for x in terms))
+        held = alpha[-most:]
+    return held[-1]
+
+
 def marginals(pieces: Pieces, chars: np.ndarray) -> np.ndarray:
     """Natural log of M for equally long words."""
+    if chars.shape[1] > LONG_WORD:
+        return np.array([long_forward(pieces, row[None, :]) for row in chars])
     return forward(pieces.arcs(chars), pieces.byte_log_p(chars))[:, -1]
 
 
 def expected(pieces: Pieces, chars: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Expected number of uses of every piece in `counts` copies of the words."""
+    """Expected number of uses of every piece in `counts` copies of the words; long words are cut for that."""
+    if chars.shape[1] > LONG_WORD:
+        return sum(expected(pieces, chars[:, at : at + LONG_WORD], counts) for at in range(0, chars.shape[1], LONG_WORD))
     arcs, by_bytes = pieces.arcs(chars), pieces.byte_log_p(chars)
     alpha, beta = forward(arcs, by_bytes), backward(arcs, by_bytes)
     base = np.log(counts)[:, None] - alpha[:, -1:]

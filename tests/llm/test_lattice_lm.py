@@ -44,6 +44,17 @@ def test_forward_is_the_sum_over_segmentations():
         assert np.allclose(got, [enumerated(pieces, w) for w in words])
 
 
+def test_long_words_go_block_by_block(monkeypatch):
+    pieces = lm.Pieces(SMALL)
+    word = "abcabbccaéb" * 7
+    whole = lm.marginals(pieces, chars_of([word]))
+    for size in (2, 5, 9, 76, 77, 78):
+        monkeypatch.setattr(lm, "LONG_WORD", size)
+        assert np.allclose(lm.marginals(pieces, chars_of([word])), whole)
+    monkeypatch.setattr(lm, "LONG_WORD", 10)
+    assert lm.expected(pieces, chars_of([word]), np.array([2.0])).sum() > 0
+
+
 def test_expected_counts_and_em():
     pieces = lm.Pieces(SMALL)
     words, counts = ["abcabc", "abcbcb", "cbabab"], np.array([5.0, 2.0, 1.0])
