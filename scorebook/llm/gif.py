@@ -46,27 +46,26 @@ def _widths(min_size: int) -> tuple[np.ndarray, np.ndarray]:
 def lzw_codes(samples: bytes, min_size: int = 8) -> list[list[int]]:
     """Code segments of `samples`; each segment starts from a cleared table and ends before the table overflows."""
     clear = 1 << min_size
-    most = MAX_CODES - (clear + 2)  # codes of a segment, so that the decoder's table just fills
     segments, codes, table, free = [], [], {}, clear + 2
-    held = -1
-    for b in samples:
-        if held < 0:
-            held = b
-            continue
+    get, add = table.get, codes.append
+    rest = iter(samples)
+    held = next(rest, -1)
+    for b in rest:
         key = held << 8 | b
-        code = table.get(key)
+        code = get(key)
         if code is not None:
             held = code
             continue
-        codes.append(held)
+        add(held)
         table[key] = free
         free += 1
         held = b
-        if len(codes) == most:
+        if free == MAX_CODES:  # the decoder's table is full as well
             segments.append(codes)
             codes, table, free = [], {}, clear + 2
+            get, add = table.get, codes.append
     if held >= 0:
-        codes.append(held)
+        add(held)
     if codes:
         segments.append(codes)
     return segments
@@ -101,39 +100,42 @@ def lzw_decode(data: bytes, min_size: int) -> bytes:
     while at < total:
         # one window of codes whose widths are known from their place after the clear code
         n = min(MAX_CODES + 2 - index, 4096) if index < MAX_CODES else 4096
-        size = widths[index : index + n] if index < MAX_CODES else np.full(n, MAX_BITS)
+        bits = widths[index : index + n] if index < MAX_CODES else np.full(n, MAX_BITS)
         offset = at + (before[index : index + n] - before[index] if index < MAX_CODES else np.arange(n) * MAX_BITS)
-        fits = int(np.searchsorted(offset + size, total, side="right"))
+        fits = int(np.searchsorted(offset + bits, total, side="right"))
         if not fits:
             break
-        offset, size = offset[:fits], size[:fits]
+        offset, bits = offset[:fits], bits[:fits]
         i = offset >> 3
         word = raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16
-        codes = word >> (offset & 7).astype(np.uint32) & ((1 << size) - 1).astype(np.uint32)
+        codes = word >> (offset & 7).astype(np.uint32) & ((1 << bits) - 1).astype(np.uint32)
         special = np.flatnonzero((codes == clear) | (codes == stop))
         end = int(special[0]) if len(special) else fits
-        for code in codes[:end].tolist():
-            if previous is None:
-                if code >= clear:
-                    raise ValueError("an LZW stream starts with a code that isn't in the table")
-                previous = base[code]
-            else:
-                if code < len(table):
-                    entry = table[code]
-                elif code == len(table) and code < MAX_CODES:
-                    entry = previous + previous[:1]
-                else:
-                    raise ValueError("an LZW code isn't in the table")
-                if len(table) < MAX_CODES:
-                    table.append(previous + entry[:1])
-                previous = entry
+        fresh = codes[:end].tolist()
+        if previous is None and fresh:
+            if fresh[0] >= clear:
+                raise ValueError("an LZW stream starts with a code that isn't in the table")
+            previous = base[fresh.pop(0)]
             out.append(previous)
+        size, grow, add = len(table), table.append, out.append
+        for code in fresh:
+            if code < size:
+                entry = table[code]
+            elif code == size < MAX_CODES:
+                entry = previous + previous[:1]
+            else:
+                raise ValueError("an LZW code isn't in the table")
+            if size < MAX_CODES:
+                grow(previous + entry[:1])
+                size += 1
+            add(entry)
+            previous = entry
         if end == fits:
-            at, index = int(offset[-1] + size[-1]), index + fits
+            at, index = int(offset[-1] + bits[-1]), index + fits
         elif codes[end] == stop:
             break
         else:
-            at, index, table, previous = int(offset[end] + size[end]), 0, base.copy(), None
+            at, index, table, previous = int(offset[end] + bits[end]), 0, base.copy(), None
     return b"".join(out)
 
 
