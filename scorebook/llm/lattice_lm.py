@@ -4,11 +4,13 @@ A token (a word, or the end of a text) has all segmentations into pieces of an e
 lattice. Every piece has a unigram score; the forward recursion adds up the paths in log space, so a token's probability
 is the marginal over its segmentations. The public vocabularies at hand were made by merging and carry ranks instead of
 probabilities: the scores start from the ranks (Zipf) and are re-estimated by EM_ROUNDS rounds of forward-backward over
-the word counts of the training documents. The pieces themselves stay as they are.
+the distinct words of the training documents. The pieces themselves stay as they are.
 
 Words seen in training join the lattice as one-piece paths of their own, by absolute discounting:
 P(token) = max(c - D, 0) / N + (D V / N) M(token), with M the marginal over the subword paths. Both parts are
-distributions over tokens, so P is one. A text's score is the sum of log10 P over its tokens.
+distributions over tokens, so P is one. M has to foretell new words, so each distinct word counts once for its scores,
+as in Kneser-Ney smoothing; D = n1 / (n1 + 2 n2), from the numbers of words seen once and twice (DISCOUNT if none is
+seen once). A text's score is the sum of log10 P over its tokens.
 
 Word counts cover all documents. The commonest words (at most TOP_WORDS) are looked up in a broadcast table; all others
 are joined to the full word table, so no word is left out and no join key is hot.
@@ -33,7 +35,7 @@ from scorebook.llm.minhash import words_of
 
 #: Subword vocabulary: a public file, read on the driver (bounded by its number of pieces).
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: EM rounds; discount; words in the broadcast table; distinct words counted before a task passes them on.
+#: EM rounds; discount where no word is seen once; words in the broadcast table; distinct words counted before a task passes them on.
 EM_ROUNDS, DISCOUNT, TOP_WORDS, HELD_WORDS = 2, 0.75, 250_000, 400_000
 #: Characters of a batch of equally long words, and the word length from which words go one at a time, in blocks.
 BATCH_CHARS, LONG_WORD = 60_000, 2000
@@ -222,8 +224,8 @@ def count_words(docs: DataFrame, text_col: str = "text", train_col: str = "train
     return partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def fit_pieces(words: DataFrame, ends: int, pieces: Pieces, rounds: int = EM_ROUNDS) -> Pieces:
-    """Re-estimate the piece scores on the word counts; each round returns one number per piece to the driver."""
+def fit_pieces(words: DataFrame, pieces: Pieces, rounds: int = EM_ROUNDS) -> Pieces:
+    """Re-estimate the piece scores on the distinct words; each round returns one number per piece to the driver."""
     spark = words.sparkSession
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(pieces)
@@ -231,15 +233,15 @@ def fit_pieces(words: DataFrame, ends: int, pieces: Pieces, rounds: int = EM_ROU
         def run(rows: Iterator[tuple], shared=shared) -> Iterator[tuple]:
             uses = np.zeros(shared.value.n + 257)
             for chars, own in by_length(rows):
-                uses += expected(shared.value, chars, np.array([r[1] for r in own], dtype=np.float64))
+                uses += expected(shared.value, chars, np.ones(len(own)))
             at = np.flatnonzero(uses)
             yield from zip(at.tolist(), uses[at].tolist(), strict=True)
 
-        uses = map_rows(words.where("c > 0").select("word", "c"), run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+        uses = map_rows(words.where("c > 0").select("word"), run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
         weights = np.full(pieces.n + 257, PIECE_PRIOR)
         got = uses.toPandas()  # at most one row per piece
         weights[got["piece"].to_numpy()] += got["uses"].to_numpy()
-        weights[-1] += ends
+        weights[-1] += 1  # the end is one of the distinct tokens
         pieces.set(weights)
         shared.unpersist()
     return pieces
@@ -267,16 +269,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("_id"), F.col(train_col).alias("_train"), F.col(text_col).alias("_text"))
     words = written(count_words(docs, "_text", "_train"))
     ends = docs.where("_train").count()
-    total, distinct = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    seen_in = lambda n: F.count_if(F.col("c") == n)
+    total, distinct, once, twice = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), seen_in(1), seen_in(2)).first()
     total, distinct = total + ends, distinct + (ends > 0)
-    pieces = fit_pieces(words, ends, load_pieces(path))
+    discount = once / (once + 2 * twice) if once else DISCOUNT
+    pieces = fit_pieces(words, load_pieces(path))
     shared = sc.broadcast(pieces)
-    back = DISCOUNT * distinct / total if total else 1.0
+    back = discount * distinct / total if total else 1.0
 
     def logs(c: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(base, score) in log10 for tokens with training counts c and log marginals m."""
         base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        seen = np.maximum(c - DISCOUNT, 0) / max(total, 1)
+        seen = np.maximum(c - discount, 0) / max(total, 1)
         sub = np.log(back) + m
         return base, np.where(seen > 0, np.logaddexp(np.log(np.maximum(seen, 1e-300)), sub), sub) / math.log(10)
 

@@ -78,6 +78,21 @@ def test_tokens_are_a_distribution():
     assert total < 1.0
 
 
+def plain_scores(c):
+    """token -> log10 probability by the formula, with pieces re-estimated word by word."""
+    words, n = [w for w in c if w != "\0"], Counter(c[w] for w in c if w != "\0")
+    d, back = n[1] / (n[1] + 2 * n[2]), len(c) / sum(c.values())
+    pieces = lm.load_pieces()
+    for _ in range(lm.EM_ROUNDS):
+        weights = np.full(pieces.n + 257, lm.PIECE_PRIOR)
+        for w in words:
+            weights += lm.expected(pieces, chars_of([w]), np.ones(1))
+        weights[-1] += 1
+        pieces.set(weights)
+    m = lambda w: pieces.end_probability() if w == "\0" else math.exp(lm.marginals(pieces, chars_of([w]))[0])
+    return lambda w: math.log10(max(c[w] - d, 0) / sum(c.values()) + d * back * m(w)) if c[w] > 1 or m(w) > 1e-290 else None
+
+
 def test_scores_against_plain_counts(spark):
     texts = [f"The cat {i % 7} sat on mat{i % 5}, THE end é{i}" for i in range(60)] + ["", None, " \t\n\x0b ", "x" * 2500, "a b a"]
     train = [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))]
@@ -87,10 +102,13 @@ def test_scores_against_plain_counts(spark):
         words = [[w.lower() for w in (t or "").split()] + ["\0"] for t in texts]
         c = Counter(w for ws, x in zip(words, train, strict=True) if x for w in ws)
         total, distinct = sum(c.values()), len(c)
+        plain = plain_scores(c)
         for i, ws in enumerate(words):
             base = sum(math.log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws)
             r = got[i]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), total)
+            own = [plain(w) for w in ws]
+            assert None in own or math.isclose(r.score, sum(own), rel_tol=1e-6)
             assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
         assert len(got) == len(texts)
 
