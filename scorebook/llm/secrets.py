@@ -107,10 +107,14 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
 def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(pattern spans, all spans in order); entropy spans that a longer or earlier span covers are left out."""
     base = base_spans(text or "")
-    kept = list(base)
+    kept, at, reach = list(base), 0, -1  # reach: the furthest end of a span that starts no later
     for s, e, kind in sorted(entropy_spans(text or ""), key=lambda x: (x[0], -x[1])):
-        if not any(a <= s and e <= b for a, b, _ in kept):
+        while at < len(base) and base[at][0] <= s:
+            reach = max(reach, base[at][1])
+            at += 1
+        if e > reach:
             kept.append((s, e, kind))
+            reach = e
     order = {k: i for i, k in enumerate((*KINDS, *(c[0] for c in CLASSES)))}
     return base, sorted(kept, key=lambda x: (x[0], order[x[2]], x[1]))
 
