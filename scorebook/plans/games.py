@@ -93,7 +93,12 @@ def enriched_events(t, spark, d):
     return sequence.enriched(raw_events(t)).select("gameId", "period", "orderNumber", "resolvedOffenseTeamId", "offenseHomeAway", "isPossessionEndingEvent", "countAsPossession", "possessionBoundaryReason", "isRealRebound", "isSecondChanceEvent", "foulsToGiveDefense", "isPenaltyEvent", "scoreMarginBefore", "scoreMarginAfter")
 
 
-@query()
+@query("""
+WITH e AS (SELECT *, (value * 10 - 100) / 10 AS x, (event_id % 280) / 10 AS y FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS "gameId", event_id AS "orderNumber", CASE WHEN x IS NULL THEN NULL WHEN sqrt(x * x + y * y) <= 4.3 THEN 'Restricted Area' WHEN abs(x) <= 8 AND y <= 13.75 THEN 'In The Paint (Non-RA)' WHEN event_type <> 'purchase' THEN 'Mid-Range'
+  WHEN abs(x) >= 22 AND y <= 9 THEN CASE WHEN x < 0 THEN 'Left Corner 3' ELSE 'Right Corner 3' END ELSE 'Above the Break 3' END AS "shotZone", CAST(NULL AS VARCHAR) AS "shotRange", CASE WHEN x IS NULL THEN 'missing_legacy_coordinates' ELSE 'derived' END AS "locationReason"
+FROM e
+""")
 def shot_locations(t, spark, d):
     return sequence.shot_locations(sequence.event_flags(raw_events(t))).select("gameId", "orderNumber", "shotZone", "shotRange", "locationReason")
 
