@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorebook.llm.common import table, written
@@ -70,12 +70,12 @@ def to_parts(shares: dict[str, float], parts: int = PARTS) -> dict[str, int]:
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, temperature: float = 0.5
+    docs: DataFrame, weights: dict[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, temperature: float = 0.5, tie: Column | None = None
 ) -> DataFrame:
     """`docs` with mix_block, mix_slot, mix_release, mix_deadline and mix_position; order by the last for the mix.
 
     `weights`: parts per source; by default in proportion to the source's rows to the power `temperature`. Slots,
-    releases and deadlines count from the start of the whole mix.
+    releases and deadlines count from the start of the whole mix. `tie` orders rows with equal ids.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     key = F.xxhash64(F.col(id_col), F.lit(5))
@@ -93,7 +93,7 @@ def mix(
     buckets = keyed.groupBy("_mix_source", "_mix_bucket").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("_mix_source", "_mix_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_mix_before"))
-    within = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_key", id_col)
+    within = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_key", id_col, *([] if tie is None else [tie]))
     numbered = keyed.withColumn("_mix_n", F.row_number().over(within) - 1).join(offsets, ["_mix_source", "_mix_bucket"])
     ordinal = F.col("_mix_before") + F.col("_mix_n")
     numbered = numbered.withColumns({"_mix_block": F.floor(ordinal / block_rows).cast("long"), "_mix_in": ordinal % block_rows})

@@ -6,7 +6,8 @@ subdivided by a second key. Runs of whole ranges then become shards of nearly eq
 and so a shard, unless their range is overfull (a hot group) and a shard boundary falls within it.
 
 Null text: size 1, hashed like the empty text. Repeated rows and equal ids: each row has its own slot; their order is by
-key, second key and id. An empty table gives no rows. Text length matters only as a number.
+key, second key and id, or by a given order (the pipeline's mix). An empty table gives no rows. Text length matters only
+as a number.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ SHARDS, LEAST_RANGES, MOST_RANGES, ROWS_PER_RANGE = 8, 512, 1 << 17, 100_000
 SAMPLES_PER_RANGE, OVERFULL = 16, 2.0
 #: The splitters are found through this many high bits of the key.
 PREFIX_BITS = 12
+#: Rows in given order that are numbered at once within a shard: least places, and most groups of places.
+LEAST_SPAN, MOST_SPANS = 8192, 1 << 14
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, text_crc32, key, second): what sharding needs of each record; the texts aren't moved."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(id, size, text_crc32, key, second, more): what sharding needs of each record; the texts aren't moved."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("_id"),
@@ -33,6 +36,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("_crc"),
         F.xxhash64(text).alias("_key"),
         F.xxhash64(F.col(id_col), F.lit(7)).alias("_second"),
+        *more,
     )
 
 
@@ -72,7 +76,11 @@ def ranged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """(id, size, text_crc32, shard, slot): shards of nearly equal bytes; slots are gapless from 0 in each shard."""
-    rows = written(sized(docs, id_col, text_col))
+    return placed_rows(written(sized(docs, id_col, text_col)), id_col, shards)
+
+
+def placed_rows(rows: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, order_col: str | None = None) -> DataFrame:
+    """`shard_by_bytes` of stored `sized` rows; with `order_col` (unique places from 0) slots follow it in each shard."""
     total, n = rows.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
     ranges = min(MOST_RANGES, max(LEAST_RANGES, n // ROWS_PER_RANGE))
     rows = ranged(rows, splitters(rows, F.lit(float(max(total, 1))), ranges))
@@ -90,8 +98,11 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = placed.withColumn("shard", F.least(F.floor(middle), F.lit(shards - 1)).cast("int"))
     ahead = Window.partitionBy("shard").orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select("_range", "_part", "shard", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("_range", "_part").orderBy("_key", "_second", "_id", "_size")
-    numbered = rows.withColumn("_n", F.row_number().over(within) - 1).join(F.broadcast(placed), ["_range", "_part"])
+    if order_col is None:
+        within = Window.partitionBy("_range", "_part").orderBy("_key", "_second", "_id", "_size")
+        numbered = rows.withColumn("_n", F.row_number().over(within) - 1).join(F.broadcast(placed), ["_range", "_part"])
+    else:
+        numbered = in_order(rows.join(F.broadcast(placed.drop("_first")), ["_range", "_part"]), order_col, n)
     return numbered.select(
         F.col("_id").alias(id_col),
         F.col("_size").alias("size"),
@@ -101,6 +112,17 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def in_order(rows: DataFrame, order_col: str, n: int) -> DataFrame:
+    """Add _first and _n, whose sum is the row's place by `order_col` in its shard: exact offsets of spans of places."""
+    rows = rows.withColumn("_span", F.floor(F.col(order_col) / F.lit(max(LEAST_SPAN, n // MOST_SPANS))))
+    ahead = Window.partitionBy("shard").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per shard and span, about MOST_SPANS x shards at most
+    spans = rows.groupBy("shard", "_span").agg(F.count(F.lit(1)).alias("_rows"))
+    first = spans.select("shard", "_span", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_first"))
+    within = Window.partitionBy("shard", "_span").orderBy(order_col)
+    return rows.withColumn("_n", F.row_number().over(within) - 1).join(F.broadcast(first), ["shard", "_span"])
+
+
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in eight shards of nearly equal bytes."""
     out = shard_by_bytes(table(spark, sf_dir, "documents"))

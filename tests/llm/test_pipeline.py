@@ -55,3 +55,37 @@ def test_mixing_stage_orders_rows(spark):
     order = [r.source for r in got.collect()]
     runs = [order[i] for i in range(900) if i == 0 or order[i] != order[i - 1]]
     assert got.columns == docs.columns and len(order) == 900 and len(runs) > 5
+
+
+def test_the_mix_decides_the_slots(spark, monkeypatch):
+    """On a hot source, slots within each shard are in mixing order, and other weights give other slots."""
+    rows = [(i, f"text {i}", "en", "hot" if i % 3 == 0 else f"s{i % 7}", 2) for i in range(3000)] + [(7, "same id, other text", "en", "hot", 2), (7, None, "en", "hot", 2), (7, None, "en", "hot", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(corpus_pipeline.sharding, "LEAST_SPAN", 200)
+    got = {}
+    for name, weights in (("rows", None), ("hot last", {"hot": 1, **{f"s{k}": 50 for k in range(7)}})):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights)
+        order = [(r.doc_id, zlib.crc32((r.text or "").encode())) for r in corpus_pipeline.mix_sources(spark, docs, FOLDER).collect()]
+        out = corpus_pipeline.shard(spark, docs, FOLDER).collect()
+        assert len(out) == len(rows)
+        by_shard = defaultdict(list)
+        for r in sorted(out, key=lambda r: (r.shard, r.slot)):
+            assert r.slot == len(by_shard[r.shard])
+            by_shard[r.shard].append((r.doc_id, r.text_crc32))
+        at = defaultdict(list)
+        for place, key in enumerate(order):
+            at[key].append(place)
+        for keys in by_shard.values():
+            places = [at[k][-1] for k in keys]
+            assert places == sorted(places)
+        got[name] = {(r.doc_id, r.text_crc32, r.shard, r.slot) for r in out}
+    assert got["rows"] != got["hot last"] and {x[:3] for x in got["rows"]} == {x[:3] for x in got["hot last"]}
+
+
+def test_run_changes_with_the_weights(spark, monkeypatch):
+    rows = lambda: sorted(tuple(r) for r in corpus_pipeline.run(spark, FOLDER).collect())
+    plain = rows()
+    source = spark.read.parquet(f"{FOLDER}/documents.parquet").first().source
+    monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {source: 40})
+    other = rows()
+    assert plain != other and [r[:4] for r in plain] == [r[:4] for r in other]
