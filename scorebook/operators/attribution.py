@@ -140,17 +140,108 @@ def team_possessions(rows: DataFrame) -> DataFrame:
     ).select("gameId", "teamId", F.lit("exact").alias("method"), "offensive_possessions", "defensive_possessions", "points_for", "points_against")
 
 
-def per_player(events: DataFrame, lineups: DataFrame, played: DataFrame, counted: dict[str, tuple[Column, str]], method: str, c: Cols = Cols()) -> DataFrame:
-    """Counts of events while a player is on court, for games in which each such event has a lineup.
+def team_points(rows: DataFrame, whole: DataFrame, played: DataFrame, counts: Column, method: str) -> DataFrame:
+    """Team values of events in `whole` games: counted possessions by resolved sides, points by score changes."""
+    n = lambda side: F.sum(F.when(counts & (F.col(side) == F.col("_team")), 1.0).otherwise(0.0))
+    home = F.col("_team") == F.col("homeTeamId")
+    points = lambda mine, theirs: F.sum(F.coalesce(F.when(home, F.col(mine)).otherwise(F.col(theirs)), F.lit(0))).cast("double")
+    x = rows.join(whole, "gameId", "left_semi").withColumn("_team", F.explode(F.array("homeTeamId", "awayTeamId")))
+    sums = x.groupBy("gameId", F.col("_team").alias("teamId")).agg(
+        n("resolvedOffenseTeamId").alias("offensive_possessions"), n("resolvedDefenseTeamId").alias("defensive_possessions"),
+        points("pointsHome", "pointsAway").alias("points_for"), points("pointsAway", "pointsHome").alias("points_against"),
+    )
+    names = ("offensive_possessions", "defensive_possessions", "points_for", "points_against")
+    out = played.select("gameId", "teamId").distinct().join(whole, "gameId").join(sums, ["gameId", "teamId"], "left")
+    return out.select("gameId", "teamId", F.lit(method).alias("method"), *[F.coalesce(v, F.lit(0.0)).alias(v) for v in names])
+
+
+def team_possessions_from_events(events: DataFrame, played: DataFrame) -> DataFrame:
+    """Teams' estimate from events that count as possessions; each must have both sides, of the teams that played."""
+    counts = F.coalesce(F.col("countAsPossession"), F.lit(False))
+    teams = played.groupBy("gameId").agg(F.collect_set("teamId").alias("_teams"))
+    known = F.coalesce(F.array_contains("_teams", F.col("resolvedOffenseTeamId")) & F.array_contains("_teams", F.col("resolvedDefenseTeamId")), F.lit(False))
+    whole = events.where(counts).join(teams, "gameId").groupBy("gameId").agg(F.bool_and(known).alias("ok")).where("ok").select("gameId")
+    return team_points(events, whole, played, counts, "event_estimated")
+
+
+def whole_games(rows: DataFrame, known: Column) -> DataFrame:
+    """`rows` of the games in which `known` holds for every row."""
+    return rows.join(rows.groupBy("gameId").agg(F.bool_and(F.coalesce(known, F.lit(False))).alias("ok")).where("ok").select("gameId"), "gameId", "left_semi")
+
+
+def team_possessions_from_boxscore(teams: DataFrame) -> DataFrame:
+    """Teams' estimate from the box score of games in which every team has an opponent (columns as in from_boxscore)."""
+    t = opponents(teams, "gameId", "teamId", None, ["fga", "fta", "oreb", "tov", "points"])
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    estimate = possessions_estimate(*[z(x) for x in ("fga", "fta", "oreb", "tov")], *[z(f"opponent_{x}") for x in ("fga", "fta", "oreb", "tov")])
+    return t.select("gameId", "teamId", F.lit("boxscore_estimated").alias("method"), estimate.alias("offensive_possessions"), estimate.alias("defensive_possessions"), z("points").alias("points_for"), z("opponent_points").alias("points_against"))
+
+
+def team_defensive_shots(events: DataFrame, played: DataFrame, teams: DataFrame) -> list[DataFrame]:
+    """Parts (exact, event- and boxscore-estimated) of opponents' two-point attempts: (gameId, teamId, method, value).
+
+    Exact: each attempt's resolved defence. Event-estimated: without it, the other team than the resolved offence.
+    """
+    shots = events.where((F.col("isMadeShot") | F.col("isMissedShot")) & (F.col("shotValue") == 2))
+    o, h, a = F.col("resolvedOffenseTeamId"), F.col("homeTeamId"), F.col("awayTeamId")
+    other = F.when(o == h, a).when(o == a, h)
+    pairs = played.select("gameId", "teamId").distinct()
+    parts = []
+    for method, defence in (("exact", F.col("resolvedDefenseTeamId")), ("event_estimated", F.coalesce("resolvedDefenseTeamId", other))):
+        x = shots.select("gameId", defence.alias("teamId")).join(pairs.withColumn("_in", F.lit(True)), ["gameId", "teamId"], "left")
+        x = whole_games(x, F.col("_in"))
+        n = x.groupBy("gameId", "teamId").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+        out = pairs.join(x.select("gameId").distinct(), "gameId").join(n, ["gameId", "teamId"], "left")
+        parts.append(out.select("gameId", "teamId", F.lit(method).alias("method"), F.coalesce("_n", F.lit(0.0)).alias("opponent_two_point_attempts")))
+    t = opponents(teams, "gameId", "teamId", None, ["fga", "fg3a"])
+    parts.append(t.select("gameId", "teamId", F.lit("boxscore_estimated").alias("method"), two_point_attempts().alias("opponent_two_point_attempts")))
+    return parts
+
+
+def two_point_attempts() -> Column:
+    """The opponent's two-point attempts in the box score."""
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    return F.greatest(z("opponent_fga") - z("opponent_fg3a"), F.lit(0.0))
+
+
+def contexts_from_boxscore(played: DataFrame, teams: DataFrame) -> dict[str, DataFrame]:
+    """The player contexts estimated by minutes, for games in which every player has a team with minutes and an opponent.
+
+    teams: gameId, teamId, seconds, fga, fg3a, fgm, reb; played also has teamId, seconds, fgm.
+    """
+    t = opponents(teams, "gameId", "teamId", None, ["fga", "fg3a", "fgm", "fg3m", "reb"]).where("seconds > 0")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    made = F.greatest(z("opponent_fgm") - z("opponent_fg3m"), F.lit(0.0))
+    t = t.select("gameId", "teamId", F.col("seconds").alias("_team"), z("fgm").alias("_fgm"), z("reb").alias("_reb"), z("opponent_reb").alias("_other"), two_point_attempts().alias("_twos"), made.alias("_twos_made"))
+    rows = whole_games(played.select("gameId", "personId", "teamId", z("seconds").alias("_s"), z("fgm").alias("_own")).join(t, ["gameId", "teamId"], "left"), F.col("_team").isNotNull())
+    share = F.col("_s") / (F.col("_team") / 5.0)
+    values = {
+        "defensive_shot": {"opponent_two_point_attempts": share * F.col("_twos"), "opponent_two_point_makes": share * F.col("_twos_made")},
+        "assist": {"teammate_field_goals_made": F.greatest(share * F.col("_fgm") - F.col("_own"), F.lit(0.0))},
+        "rebound": {"own_rebounds_on_court": share * F.col("_reb"), "other_rebounds_on_court": share * F.col("_other"), "rebound_opportunities": share * (F.col("_reb") + F.col("_other"))},
+    }
+    return {k: rows.select("gameId", "personId", F.lit("boxscore_estimated").alias("method"), *[v.alias(n) for n, v in x.items()]) for k, x in values.items()}
+
+
+def per_player(events: DataFrame, lineups: DataFrame, played: DataFrame, counted: dict[str, tuple[Column, str]], method: str, c: Cols = Cols(), context: DataFrame | None = None) -> DataFrame:
+    """Counts of events while a player is on court, for games in which each such event has a lineup and one of its teams.
 
     `counted`: output -> (which events, whose players: offense, defense, teammates (offence without the event's own
-    player) or both). This is the core of the defensive-shot, assist and rebound contexts.
+    player) or both). This is the core of the defensive-shot, assist and rebound contexts. `context`: one row per event
+    with its own fives (gameId, actionNumber, home_teamId, away_teamId, home_personIds, away_personIds) instead of stints,
+    for the event-estimated method.
     """
     any_event = None
     for test, _ in counted.values():
         any_event = test if any_event is None else any_event | test
-    placed = on_court(events.where(F.coalesce(any_event, F.lit(False))), lineups, c)
-    ok = F.col("home_personIds").isNotNull() & F.col("away_personIds").isNotNull()
+    need = events.where(F.coalesce(any_event, F.lit(False)))
+    if context is None:
+        placed = on_court(need, lineups, c)
+    else:
+        at = context.select(F.col("gameId").alias(c.game), F.col("actionNumber").alias(c.action), "home_personIds", "away_personIds", F.col("home_teamId").alias("stint_home"), F.col("away_teamId").alias("stint_away"))
+        placed = need.join(at, [c.game, c.action], "left")
+    ours = F.coalesce((F.col(c.team) == F.col("stint_home")) | (F.col(c.team) == F.col("stint_away")), F.lit(False))
+    ok = F.col("home_personIds").isNotNull() & F.col("away_personIds").isNotNull() & ours
     broken = placed.groupBy(c.game).agg(F.bool_and(ok).alias("ok")).where("not ok").select(c.game)
     home_attacks = F.col(c.team) == F.col("stint_home")
     role = lambda people, off: F.transform(people, lambda p: F.struct(p.alias("personId"), F.lit(off).alias("off")))

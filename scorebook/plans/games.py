@@ -77,6 +77,17 @@ def game_tables(t) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     return events, b, s, stored(lineups.stamped(lineups.possessions(events), s))
 
 
+def team_box(events: DataFrame) -> DataFrame:
+    """Teams' box score as sums of their events."""
+    n = lambda x: F.sum(F.coalesce(x, F.lit(False)).cast("int"))
+    three = F.col("shotValue") == 3
+    return events.where("teamId is not null").groupBy("gameId", "teamId").agg(
+        F.sum("isFieldGoal").alias("fga"), F.lit(0).alias("fta"), n(F.col("isOreb")).alias("oreb"), n(F.col("isTurnover")).alias("tov"),
+        F.max(F.when(F.col("teamId") == F.col("homeTeamId"), F.col("scoreHome")).otherwise(F.col("scoreAway"))).alias("points"),
+        n((F.col("isFieldGoal") == 1) & three).alias("fg3a"), n(F.col("isMadeShot")).alias("fgm"), n(F.col("isMadeShot") & three).alias("fg3m"), n(F.col("isRebound") & F.col("isRealRebound")).alias("reb"),
+    ).withColumn("seconds", F.lit(14400))
+
+
 @query("""
 SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS "gameId", event_id AS "orderNumber", event_type IN ('click', 'purchase') AND value > 9 AS "isMadeShot", event_type IN ('click', 'purchase') AND value <= 9 AS "isMissedShot", event_type = 'view' AS "isRebound", event_type = 'error' AS "isTurnover",
   lag(event_id) OVER w AS "prevOrderNumber", lead(event_id) OVER w AS "nextOrderNumber"
@@ -136,17 +147,33 @@ def player_possessions(t, spark, d):
 
 @query()
 def team_possessions(t, spark, d):
-    _, b, _, p = game_tables(t)
-    return attribution.waterfall([attribution.team_possessions(p)], b.select("gameId", "teamId"), ["gameId", "teamId"])
+    """Teams' possessions and points by the best method of each game."""
+    events, b, _, p = game_tables(t)
+    parts = [attribution.team_possessions(p), attribution.team_possessions_from_events(events, b), attribution.team_possessions_from_boxscore(team_box(events))]
+    return attribution.waterfall(parts, b, ["gameId", "teamId"])
+
+
+@query()
+def team_defensive_shots(t, spark, d):
+    """Opponents' two-point attempts by the best method of each game."""
+    events, b, _, _ = game_tables(t)
+    return attribution.waterfall(attribution.team_defensive_shots(events, b, team_box(events)), b, ["gameId", "teamId"])
 
 
 @query()
 def on_court_contexts(t, spark, d):
-    """Defensive-shot, assist and rebound contexts of players."""
+    """Defensive-shot, assist and rebound contexts of players, each by the best method of each game.
+
+    The tables have no fives of their own for each event, so the event-estimated method has no input here.
+    """
     events, b, s, _ = game_tables(t)
     c = attribution.contexts()
-    parts = [stored(attribution.per_player(events, s, b, c[k], "exact").withColumnRenamed("method", f"{k}_method")) for k in ("defensive_shot", "assist", "rebound")]
-    return parts[0].join(parts[1], ["gameId", "personId"], "full_outer").join(parts[2], ["gameId", "personId"], "full_outer")
+    made = events.groupBy("gameId", "personId").agg(F.sum(F.col("isMadeShot").cast("int")).alias("fgm"))
+    estimates = attribution.contexts_from_boxscore(b.join(made, ["gameId", "personId"], "left"), team_box(events))
+    keys = ["gameId", "personId"]
+    best = lambda k: attribution.waterfall([attribution.per_player(events, s, b, c[k], "exact"), estimates[k]], b, keys)
+    parts = [stored(best(k).withColumnRenamed("method", f"{k}_method")) for k in ("defensive_shot", "assist", "rebound")]
+    return parts[0].join(parts[1], keys, "full_outer").join(parts[2], keys, "full_outer")
 
 
 @query()

@@ -178,3 +178,33 @@ def test_boxscore_estimate(spark):
     x = attribution.from_boxscore(played, teams).collect()[0]
     poss = 0.5 * ((80 + 0.44 * 20 - 10 + 12) + (85 + 0.44 * 15 - 9 + 11))
     assert abs(x.offensive_possessions - 0.5 * poss) < 1e-9 and abs(x.used_offensive_possessions - 14.2) < 1e-9 and x.points_for == 50.0
+
+
+def test_context_waterfalls(spark, enriched):
+    b = box(spark).withColumns({"seconds": F.lit(1440), "fgm": F.when(F.col("personId") == 11, 1).otherwise(0)})
+    enriched = spark.createDataFrame(enriched.collect(), enriched.schema)
+    made = lineups.stints(enriched, box(spark))
+    s = spark.createDataFrame(made.collect(), made.schema)
+    teams = spark.createDataFrame([("g", H, 80, 20, 10, 12, 100, 30, 40, 10, 44, 14400), ("g", A, 85, 15, 9, 11, 95, 25, 36, 9, 40, 14400)], "gameId string, teamId long, fga int, fta int, oreb int, tov int, points int, fg3a int, fgm int, fg3m int, reb int, seconds int")
+    c, estimates, keys = attribution.contexts(), attribution.contexts_from_boxscore(b, teams), ["gameId", "personId"]
+    cut = s.withColumn("home_personIds", F.lit(None).cast("array<long>"))
+    best = lambda k, x: {r.personId: r for r in attribution.waterfall([attribution.per_player(enriched, x, b, c[k], "exact"), estimates[k]], b, keys).collect()}
+    assert len(best("assist", s)) == 14 and {r.method for r in best("assist", s).values()} == {"exact"}
+    got = best("defensive_shot", cut)  # games without a whole lineup stay, estimated by minutes
+    assert len(got) == 14 and {r.method for r in got.values()} == {"boxscore_estimated"} and (got[11].opponent_two_point_attempts, got[11].opponent_two_point_makes) == (30.0, 13.5)
+    assert best("assist", cut)[11].teammate_field_goals_made == 19.0 and best("rebound", cut)[21].rebound_opportunities == 42.0
+    context = enriched.select("gameId", "actionNumber", F.col("homeTeamId").alias("home_teamId"), F.col("awayTeamId").alias("away_teamId"), F.array(*[F.lit(x).cast("long") for x in range(12, 17)]).alias("home_personIds"), F.array(*[F.lit(x).cast("long") for x in range(21, 26)]).alias("away_personIds"))
+    own = {r.personId: r for r in attribution.per_player(enriched, cut, b, c["assist"], "event_estimated", context=context).collect()}
+    assert own[16].teammate_field_goals_made == 1.0 and own[21].method == "event_estimated"
+    p = lineups.possessions(enriched)
+    p = spark.createDataFrame(p.collect(), p.schema)
+    unknown = p.withColumn("defenseTeamId", F.when(F.col("possessionNumber") != 2, F.col("defenseTeamId")))
+    lost = enriched.withColumn("resolvedDefenseTeamId", F.lit(None).cast("long"))
+    tries = lambda e: {r.teamId: r for r in attribution.waterfall([attribution.team_possessions(unknown), attribution.team_possessions_from_events(e, b), attribution.team_possessions_from_boxscore(teams)], b, ["gameId", "teamId"]).collect()}
+    x, y = tries(enriched), tries(lost)
+    assert (x[H].method, x[H].offensive_possessions, x[A].defensive_possessions, x[A].points_for) == ("event_estimated", 3.0, 3.0, 2.0)
+    assert (y[H].method, y[H].points_for) == ("boxscore_estimated", 100.0) and y[H].offensive_possessions > 80
+    shots = lambda e: {r.teamId: r for r in attribution.waterfall(attribution.team_defensive_shots(e, b, teams), b, ["gameId", "teamId"]).collect()}
+    assert [(r.method, r.opponent_two_point_attempts) for r in (shots(enriched)[A], shots(lost)[A])] == [("exact", 2.0), ("event_estimated", 2.0)]
+    nobody = lost.withColumn("resolvedOffenseTeamId", F.lit(None).cast("long"))
+    assert [(r.method, r.opponent_two_point_attempts) for r in (shots(nobody)[H], shots(nobody)[A])] == [("boxscore_estimated", 60.0), ("boxscore_estimated", 50.0)]
