@@ -33,15 +33,17 @@ CLASSES = (
     ("entropy_alnum", re.compile(r"[A-Za-z0-9]{20,}"), 20, 3.7),
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.1),
 )
-#: Candidate strings: key-like runs that hold a digit.
-CANDIDATE = re.compile(r"(?=[A-Za-z+/_=.-]{0,63}[0-9])[A-Za-z0-9+/_=.-]{20,}")
+#: Candidate strings: key-like runs, with or without digits.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+#: A word: letters of one case, or capitalised, of natural length. Other mixed case is left to its entropy.
+WORD = r"(?:[A-Z]?[a-z]{1,27}|[A-Z]{1,28})"
 #: What looks random but is no secret.
 ALLOWED = (
     re.compile(r"[0-9.]+"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r"(?:sha1|sha256|sha384|sha512|md5)-[A-Za-z0-9+/=]+"),
     re.compile(r"(?:/[A-Za-z_.-]{2,})+(?:/[A-Za-z0-9_.-]+)*"),
-    re.compile(r"[A-Za-z]+(?:[-_./][A-Za-z]+)*[-_./]?[0-9]{0,4}"),
+    re.compile(rf"{WORD}(?:[-_./+=]+{WORD})*[-_./]?[0-9]{{0,4}}"),
     re.compile(r"0123456789(?:abcdef|ABCDEF|[A-Za-z]*)"),
 )
 
@@ -60,7 +62,7 @@ def windows(run: str, width: int, threshold: float) -> Iterator[tuple[int, int]]
 
     H = log2(w) - sum(c * log2 c) / w, so one step changes two terms of the sum.
     """
-    term = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    term = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]
     counts: dict[str, int] = {}
     total, most = 0.0, (math.log2(width) - threshold) * width + 1e-9
     start = end = -1
@@ -96,7 +98,7 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
             continue
         for name, pattern, width, threshold in CLASSES:
             for run in pattern.finditer(word):
-                if allowed(run[0]) or not re.search(r"[0-9]", run[0]):
+                if allowed(run[0]):
                     continue
                 for s, e in windows(run[0], width, threshold):
                     at = candidate.start() + run.start()

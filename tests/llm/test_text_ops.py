@@ -54,6 +54,13 @@ def test_entropy_finds_keys_and_leaves_plain_text():
         assert secrets.scan(plain) == ([], []), plain
 
 
+def test_entropy_finds_keys_without_digits():
+    for key in ("xKpQmRvTzWwLnBgDsYhJ", "QwErTyUiOpAsDfGhJkLzXc", "aBcDeFgHiJkLmNoPqRsTuVwX2024", "AbCdEfGhIjKlMnOpQrStUvWx" * 4 + "7"):
+        assert any(k == "entropy_alnum" for _, _, k in secrets.scan(f"key {key} end")[1]), key
+    for plain in ("internationalization", "some-long-hyphenated-chain/of_plain.Words", "COUNTERREVOLUTIONARIES", "uncopyrightable-documents2024"):
+        assert secrets.scan(plain) == ([], []), plain
+
+
 def test_secret_rows(spark):
     df = spark.createDataFrame([(1, 'token = "' + "ab12" * 10 + '"', "s"), (2, None, "s"), (2, "", "s")], "doc_id long, text string, spans string")
     got = secrets.find_secrets(df).orderBy("doc_id").collect()
