@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,13 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder path that driver and executors share; the cluster names the root in spark.checkpoint.dir."""
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder in the one that driver and executors share, which the cluster names in spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:  # only a single machine, as in tests, leaves it unset
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.gettempdir() + "/checkpoints")
         root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/scorebook-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/scorebook-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder path within `shared_root`."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all that this application has put in the shared folder; results that aren't saved yet are lost with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(taken: Iterable[str], name: str) -> str:
+    """`name`, with as many underscores after it as keep it apart from the names `taken` (Spark ignores case)."""
+    taken = {x.lower() for x in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -84,17 +106,21 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)
 
 
-def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Join `left` (stored, any skew) to `right` (one row per key) without sending a hot key to one task.
 
     Keys that hold at least HOT_SHARE of the left rows number at most 1 / HOT_SHARE; only their right rows are
-    broadcast. All other keys take an ordinary shuffle join. `how` is left or inner.
+    broadcast. All other keys take an ordinary shuffle join. `how` is left or inner. `hot`: those keys, stored, if known.
     """
-    counts = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.count()
-    least = max(100, int(total * HOT_SHARE))
-    hot = written(counts.where(F.col("_n") >= least).select(on))  # at most 1 / HOT_SHARE rows
-    keys = F.broadcast(hot)
+    if hot is None:
+        counts = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+        hot = written(counts.where(F.col("_n") >= least_hot(left.count())).select(on))
+    keys = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
     head = left.join(keys, on, "left_semi").join(F.broadcast(right.join(keys, on, "left_semi")), on, how)
     rest = left.join(keys, on, "left_anti").join(right, on, how)
     return head.unionByName(rest)
+
+
+def least_hot(rows: int) -> int:
+    """The rows from which a key of a table with so many rows is hot."""
+    return max(100, int(rows * HOT_SHARE))

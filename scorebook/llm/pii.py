@@ -5,10 +5,14 @@ is a number of a finite domain of u x v values; a keyed Feistel network over (a,
 that domain, and the result is written in the value's own format. So equal values get equal pseudonyms in all
 documents, different values of a kind different ones, and whoever holds the key can invert them.
 
-Kinds: date (1900 to 2099), ip, ssn, card (13 to 19 digits whose Luhn sum holds, before and after), phone (the country code stays), email (the local part becomes a keyed token, the domain stays).
-
-Null text stays null, empty text empty. What fails validation stays as it is. Repeated rows are treated alike. Very
-long texts are read whole; a value's work doesn't depend on the text's length.
+Kinds: date (1900 to 2099), ip, ssn, card (13 to 19 digits whose Luhn sum holds, before and after), phone (the country
+code stays). An email is neither a number nor a date: its local part becomes a keyed token of 96 bits, which links equal
+addresses but can't be inverted; the domain stays.
+
+Null text stays null, empty text empty. What fails validation stays as it is. Repeated rows are treated alike, ties don't
+arise, an empty table gives no rows. Very long texts are read whole, in time linear in their length: no pattern starts
+anew within a run that it has already read. Columns of the input keep their names and values (but for the text); where
+one has the name of the added column, that gets an underscore.
 """
 
 from __future__ import annotations
@@ -16,14 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import table
+from scorebook.llm.common import free_name, table
 
 #: Stands in for the secret key, which a caller passes; rounds of the Feistel network.
 KEY, ROUNDS = "scorebook-demo-key", 10
 
 # The formats, the most specific first.
 KINDS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}+",
     "date": r"(?<![\d.])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?!\d|\.\d)",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)",
@@ -147,7 +151,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     # phone: the ten last digits are permuted, what stands before them is the country code
     lead = F.length(digits) - 10
     new_phone = F.concat(F.substring(digits, F.lit(1), lead), permuted_digits(F.substring(digits, lead + 1, F.lit(10)), F.lit("phone"), key))
-    token = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(value)), 256), 1, 12)
+    token = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(value)), 256), 1, 24)
     return (
         F.when(kind == "email", F.concat(F.lit("u"), token, F.lit("@"), F.substring_index(value, "@", -1)))
         .when(kind == "date", new_date)
@@ -160,16 +164,16 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, out_col: str | None = None, found_col: str = "pii") -> DataFrame:
     """`docs` with the pseudonymised text (in `text_col` or `out_col`) and `found_col`: array of (kind, pseudonym)."""
-    text = F.col(text_col)
+    text, work, found_col = F.col(text_col), free_name(docs.columns, "_pii"), free_name(docs.columns, found_col)
     values = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     kinds = F.transform(values, lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind")))
     done = F.transform(kinds, lambda x: F.struct(x["v"].alias("v"), x["kind"].alias("kind"), pseudonym(x["v"], x["kind"], key).alias("new")))
-    docs = docs.withColumn("_pii", done)
-    new = F.transform("_pii", lambda x: F.coalesce(x["new"], x["v"]))
+    docs = docs.withColumn(work, done)
+    new = F.transform(work, lambda x: F.coalesce(x["new"], x["v"]))
     rebuilt = F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    found = F.transform(F.filter("_pii", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("pseudonym")))
-    changed = F.exists("_pii", lambda x: x["kind"].isNotNull())
-    return docs.withColumns({out_col or text_col: F.when(changed, rebuilt).otherwise(text), found_col: found}).drop("_pii")
+    found = F.transform(F.filter(work, lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("pseudonym")))
+    changed = F.exists(work, lambda x: x["kind"].isNotNull())
+    return docs.withColumns({out_col or text_col: F.when(changed, rebuilt).otherwise(text), found_col: found}).drop(work)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
