@@ -4,25 +4,32 @@ Texts and items are normalised to lower-case words with single spaces. An item o
 k = floor(ERROR_RATE * m) edits; cut into k + 1 pieces, an occurrence within k edits holds one piece unchanged. One
 automaton finds all pieces in a text, and each hit's neighbourhood is verified with Myers' bit-parallel distance.
 
-The items are a query set: they go to the tasks in blocks of at most BLOCK_CHARS characters, and each block is compared
-with all documents. Null and empty texts match nothing. Items shorter than LEAST_CHARS characters once normalised can't
-be told from chance and match nothing. Repeated items and documents are matched each on their own. Very long texts are
-searched whole, with memory for one text and its hits.
+Items of under SHORT_CHARS characters once normalised have no error budget and match as whole words only: an edit or a
+part of a word would make another word of them.
+
+The items are a query set: they go to the tasks in blocks of at most BLOCK_CHARS characters (one, for usual benchmarks),
+and each block is compared with all documents. Each Python worker makes a block's automaton once and holds one at a time.
+
+Null and empty texts match nothing; nor do null items and those without a letter or digit. Repeated items and documents
+are matched each on their own; ties in distance give the first place. An empty table on either side gives no matches.
+Very long texts are searched whole, with memory for one text and its hits. Other columns of the inputs aren't read, and
+`drop_leaks` keeps all of them.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import keep_rows, map_rows, table
+from scorebook.llm.common import keep_rows, map_rows, table, written
 
-#: Edits allowed per character; shortest normalised item that is searched; characters of items broadcast at once.
-ERROR_RATE, LEAST_CHARS, BLOCK_CHARS = 0.08, 24, 8 << 20
+#: Edits allowed per character; normalised length below which items match as whole words; characters of items broadcast at once.
+ERROR_RATE, SHORT_CHARS, BLOCK_CHARS = 0.08, 24, 8 << 20
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -39,21 +46,35 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def bit_masks(text: str) -> dict[str, int]:
+    """Character -> the places that have it, as bits."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(text):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    return masks
+
+
 class Pattern:
     """An item with the bit masks of Myers' algorithm."""
 
     def __init__(self, item_id: int, text: str, rate: float):
-        self.item_id, self.text, self.budget = item_id, text, int(rate * len(text))
-        self.masks: dict[str, int] = {}
-        for i, ch in enumerate(text):
-            self.masks[ch] = self.masks.get(ch, 0) | 1 << i
+        self.short = len(text) < SHORT_CHARS
+        self.item_id, self.text, self.budget = item_id, text, 0 if self.short else int(rate * len(text))
+        self.masks = bit_masks(text)
+
+    def start(self, window: str, end: int, distance: int) -> int:
+        """Where the nearest substring that ends at `end` with that distance starts: the same search from right to left."""
+        back = Pattern.__new__(Pattern)
+        back.text, back.masks = self.text[::-1], bit_masks(self.text[::-1])
+        return end - back.best(window[max(0, end - len(self.text) - distance) : end][::-1], anchored=True)[1]
 
-    def best(self, window: str) -> tuple[int, int]:
+    def best(self, window: str, anchored: bool = False) -> tuple[int, int]:
         """(least edit distance of the whole item to a substring of `window`, where that ends; the first if tied).
 
-        Column by column: vp and vn hold where the distance rises and falls down the column.
+        Column by column: vp and vn hold where the distance rises and falls down the column. `anchored`: the substring
+        starts where the window does.
         """
-        m = len(self.text)
+        m, top = len(self.text), int(anchored)
         every, last = (1 << m) - 1, 1 << m - 1
         vp, vn, score = every, 0, m
         best, end = m, 0
@@ -68,7 +89,7 @@ class Pattern:
                 score += 1
             elif hn & last:
                 score -= 1
-            hp = hp << 1 & every  # a match may start anywhere: the top row stays zero
+            hp = (hp << 1 | top) & every  # if a match may start anywhere, the top row stays zero
             hn = hn << 1 & every
             vp = hn | ~(xv | hp) & every
             vn = hp & xv
@@ -78,13 +99,13 @@ class Pattern:
 
 
 class Matcher:
-    """All patterns of one block and the automaton of their pieces."""
+    """All patterns of one block and the automaton of their pieces; short items are one piece with the spaces around it."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, least: int = LEAST_CHARS):
-        self.patterns = [Pattern(i, t, rate) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= least]
+    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
+        self.patterns = [Pattern(i, t, rate) for i, t in ((i, normalise(t)) for i, t in items) if t]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, p in enumerate(self.patterns):
-            for offset, piece in pieces(p.text, p.budget):
+            for offset, piece in [(-1, f" {p.text} ")] if p.short else pieces(p.text, p.budget):
                 places.setdefault(piece, []).append((n, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, at in places.items():
@@ -93,10 +114,13 @@ class Matcher:
             self.automaton.make_automaton()
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, least distance, start of its window, hits within budget) for each item that occurs in `text`."""
+        """(item id, least distance, where its first match with that starts, hits within budget) of the items in `text`.
+
+        Places count in the normalised text.
+        """
         if not self.patterns:
             return []
-        t = normalise(text)
+        t = f" {normalise(text)} "
         found: dict[int, list[int]] = {}
         seen: dict[int, tuple[int, int]] = {}  # pattern -> its last verified window
         for end, (size, places) in self.automaton.iter(t):
@@ -104,15 +128,32 @@ class Matcher:
                 p = self.patterns[n]
                 start = max(0, end + 1 - size - offset - p.budget)
                 stop = min(len(t), end + 1 - size - offset + len(p.text) + p.budget)
-                if n in seen and seen[n][0] <= start and stop <= seen[n][1]:
-                    continue  # hits of one place share their window
-                seen[n] = start, stop
-                distance, _ = p.best(t[start:stop])
-                if distance <= p.budget:
-                    got = found.setdefault(n, [distance, start, 0])
-                    got[:2] = min(got[:2], [distance, start])
-                    got[2] += 1
-        return [(self.patterns[n].item_id, d, s, hits) for n, (d, s, hits) in sorted(found.items())]
+                if p.short:
+                    distance, at = 0, start
+                else:
+                    if n in seen and seen[n][0] <= start and stop <= seen[n][1]:
+                        continue  # hits of one place share their window
+                    seen[n] = start, stop
+                    window = t[start:stop]
+                    distance, last = p.best(window)
+                    if distance > p.budget:
+                        continue
+                    at = start + p.start(window, last, distance)
+                got = found.setdefault(n, [distance, at, 0])
+                got[:2] = min(got[:2], [distance, at])
+                got[2] += 1
+        return [(self.patterns[n].item_id, d, max(s - 1, 0), hits) for n, (d, s, hits) in sorted(found.items())]
+
+
+_held: dict[str, Matcher] = {}
+
+
+def matcher_of(name: str, items, rate: float) -> Matcher:
+    """The matcher of a broadcast block; each Python worker makes it once and holds the last one."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Matcher(items.value, rate)
+    return _held[name]
 
 
 def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -128,14 +169,18 @@ def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", mo
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """(doc id, item_id, distance, start, n_hits): every item that occurs in a document within its error budget."""
+    """(doc id, item_id, distance, start, n_hits): every item that occurs in a document within its error budget.
+
+    `start` is where the nearest match (the first, if tied) starts in the normalised text.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = items.schema["item_id"].dataType.simpleString()
     out = None
     for block in blocks(items):
+        name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(rows: Iterator[tuple], block=block) -> Iterator[tuple]:
-            matcher = Matcher(block, rate)
+        def run(rows: Iterator[tuple], name=name, shared=shared) -> Iterator[tuple]:
+            matcher = matcher_of(name, shared, rate)
             for key, text in rows:
                 for item, distance, start, hits in matcher.matches(text):
                     yield key, item, distance, start, hits
@@ -146,14 +191,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of `docs` in which no item occurs, with all their columns; a narrow filter for each block of items."""
+    """The rows of `docs` in which no item occurs, with all their columns; a narrow filter for each block of items.
+
+    Between blocks the rows are stored, so that no task holds two automata.
+    """
+    first = True
     for block in blocks(items):
+        name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(block)
 
-        def clean(block=block):
-            matcher = Matcher(block, rate)
+        def clean(name=name, shared=shared):
+            matcher = matcher_of(name, shared, rate)
             return lambda text: not matcher.matches(text)
 
-        docs = keep_rows(docs, text_col, clean)
+        docs, first = keep_rows(docs if first else written(docs), text_col, clean), False
     return docs
 
 

@@ -43,8 +43,8 @@ def test_all_within_budget_are_found(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
     phrase = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, phrase(20)) for i in range(8)] + [(8, None), (9, "short"), (10, "")]
-    texts = [None, "", "?!", phrase(300)]
+    items = [(i, phrase(20)) for i in range(8)] + [(8, None), (9, "short"), (10, ""), (11, "What is 6 by 7, again?"), (12, "天地玄黄"), (13, "?")]
+    texts = [None, "", "?!", phrase(300), "shorter shortshort", "A SHORT", "so, what is 6 by 7 again", "what is 6 by 77 again", "what is 6 by 7 againt", "天地玄黄。宇宙", "大天地玄黄"]
     for _, item in items[:8]:
         n = dc.normalise(item)
         for e in (0, 1, int(dc.ERROR_RATE * len(n)) // 2, int(dc.ERROR_RATE * len(n)), int(dc.ERROR_RATE * len(n)) + 20):
@@ -56,7 +56,10 @@ def test_all_within_budget_are_found(spark):
     for d, t in enumerate(texts):
         for i, item in items:
             n = dc.normalise(item)
-            if len(n) >= dc.LEAST_CHARS:
+            if 0 < len(n) < dc.SHORT_CHARS:
+                if f" {n} " in f" {dc.normalise(t)} ":
+                    want.add((d, i))
+            elif n:
                 k, _ = distance(n, dc.normalise(t))
                 if k <= int(dc.ERROR_RATE * len(n)):
                     want.add((d, i))
@@ -86,6 +89,30 @@ def test_items_that_repeat_themselves():
         assert (best <= k) == bool(hits), (item, text)
 
 
+def test_starts_are_those_of_the_nearest_match():
+    rng = random.Random(3)
+    for _ in range(15):
+        item = "".join(rng.choice("abcdefg") for _ in range(60))
+        lead = "".join(rng.choice("tuvw") for _ in range(rng.randrange(1, 30)))
+        text = lead + edited(rng, item, rng.randrange(3)) + "tuvw" * 3
+        ((_, d, start, _),) = dc.Matcher([(1, item)]).matches(text)
+        cuts = {(table_distance(item, text[s:e]), s) for s in range(len(text)) for e in range(max(s, s + 50), min(len(text), s + 70) + 1)}
+        assert d == min(cuts)[0] and (d, start) in cuts
+        if text[len(lead) :].startswith(item):
+            assert (d, start) == (0, len(lead))
+    assert dc.Matcher([(1, "two words")]).matches("Say: two words.") == [(1, 0, 4, 1)]
+
+
+def table_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
 def test_blocks_and_empty_tables(spark, monkeypatch):
     bench = spark.createDataFrame([(i, "item number %d with enough characters to count" % i) for i in range(5)], "item_id long, text string")
     assert [len(b) for b in dc.blocks(bench, most=100)] == [2, 2, 1]
