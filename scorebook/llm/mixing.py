@@ -3,121 +3,146 @@
 Each source's rows are cut into blocks. A source with weight w of the active total W owns block j in slots
 [floor(j W / w), ceil((j + 1) W / w)): its release time and its deadline. Earliest deadline first among the released
 blocks fills one slot after the other, so at every slot each source has had its share to within less than one block.
-The schedule repeats after W slots, so only that one period is worked out, over the (few) sources and not over the rows;
-each block's slot then follows by arithmetic. When a source runs out, the others go on in a new phase with the weights
-that are left. No row is dropped or repeated.
+When a source runs out, the others go on in a new phase with the weights that are left. No row is dropped or repeated.
 
-Null source: a source of its own. Sources without a weight get one part. Rows with equal ids: each row has its own
-place. An empty table gives no rows.
+Weights are exact: integers as they are, others to 2 ** -40 of their sum. Any number of sources will do: those that fill
+no more than one block are scheduled together, with the sum of their weights (none of them can be off by a block). The
+schedule has one entry per block and is worked out block by block; blocks grow with the input, so there are at most
+about MOST_BLOCKS. All work on rows is SQL.
+
+Null source: a source of its own, whose weight has the key None. Sources without a weight get 1; a weight that isn't
+positive raises ValueError. Rows with equal ids: each row has its own place, ordered by `tie`; ties beyond that are in
+any order. An empty table gives no rows. Texts aren't looked at. Columns of the input keep their names and values; an
+added column whose name is taken gets an underscore.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import table, written
-
-#: Rows of a block; parts that the target weights are expressed in; most sources; least rows, and most groups, that are
-#: numbered on their own.
-BLOCK_ROWS, PARTS, MOST_SOURCES, LEAST_BUCKET, MOST_BUCKETS = 64, 1000, 200, 1000, 200_000
-NO_SOURCE = "(none)"
-
-
-def edf_period(weights: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks within one period of sum(weights) slots, earliest deadline first."""
-    total = sum(weights.values())
-    window = lambda s, j: (j * total // weights[s], -(-(j + 1) * total // weights[s]))
-    slots: dict[str, list[int]] = {s: [] for s in weights}
-    waiting = [(window(s, 0)[0], s) for s in weights]  # by release
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str]] = []  # by deadline
-    for slot in range(total):
-        while waiting and waiting[0][0] <= slot:
-            s = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (window(s, len(slots[s]))[1], s))
-        s = heapq.heappop(ready)[1]  # shares add up to one, so a released block is always there
-        slots[s].append(slot)
-        if len(slots[s]) < weights[s]:
-            heapq.heappush(waiting, (window(s, len(slots[s]))[0], s))
-    return slots
-
-
-def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[str, int, int, int, int, int, list[int]]]:
-    """(source, first block, end block, first slot, period, weight, slots in the period) for each phase and source."""
-    left, done, base, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while active := {s: weights[s] for s, n in left.items() if n}:
-        period, slots = sum(active.values()), edf_period(active)
-        place = lambda s, j: j // active[s] * period + slots[s][j % active[s]]  # noqa: B023, E731
-        length = 1 + min(place(s, left[s] - 1) for s in active)  # ends with the first source that runs out
-        for s in active:
-            n = length // period * active[s] + sum(x < length % period for x in slots[s])
-            if n:
-                out.append((s, done[s], done[s] + n, base, period, active[s], slots[s]))
-            left[s] -= n
-            done[s] += n
-        base += length
-    return out
-
-
-def to_parts(shares: dict[str, float], parts: int = PARTS) -> dict[str, int]:
-    """Whole parts (one at least) in proportion to `shares`."""
-    total = sum(shares.values()) or 1.0
-    return {s: max(1, round(parts * x / total)) for s, x in shares.items()}
+from scorebook.llm.common import free_name, table, written
+
+#: Least rows of a block; most blocks of the whole mix (beside one partly filled for each source).
+BLOCK_ROWS, MOST_BLOCKS = 64, 1 << 17
+#: Parts that weights are expressed in unless they are integers.
+PARTS = 1 << 40
+#: Least rows, and most groups, that are numbered on their own.
+LEAST_BUCKET, MOST_BUCKETS = 1000, 200_000
+ADDED = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")
+
+
+def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of all blocks in slot order, earliest deadline first.
+
+    Shares add up to one, so a released block is always there. Within a phase, sources that haven't had a block yet wait
+    in the order of their first deadlines, so a phase costs no more than the blocks that it serves.
+    """
+    left, done = list(blocks), [0] * len(blocks)
+    order = sorted((s for s in range(len(blocks)) if left[s]), key=lambda s: (-weights[s], s))
+    total, active, start = sum(weights[s] for s in order), len(order), 0
+    while active:
+        window = lambda s, j: (start + j * total // weights[s], start - (-(j + 1) * total // weights[s]))  # noqa: B023, E731
+        had: dict[int, int] = {}
+        waiting: list[tuple[int, int]] = []  # by release
+        ready: list[tuple[int, int]] = []  # by deadline
+        slot, new = start, 0
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                s = heapq.heappop(waiting)[1]
+                heapq.heappush(ready, (window(s, had[s])[1], s))
+            while new < len(order) and not left[order[new]]:
+                new += 1
+            if new < len(order) and (not ready or (window(order[new], 0)[1], order[new]) < ready[0]):
+                s = order[new]
+                new += 1
+            else:
+                s = heapq.heappop(ready)[1]
+            j = had.get(s, 0)
+            release, deadline = window(s, j)
+            yield s, done[s], slot, release, deadline
+            had[s] = j + 1
+            done[s] += 1
+            left[s] -= 1
+            slot += 1
+            if not left[s]:
+                break
+            heapq.heappush(waiting, (window(s, j + 1)[0], s))
+        start, total, active = slot, total - weights[s], active - 1
+        if 2 * active < len(order):
+            order = [s for s in order if left[s]]
+
+
+def whole_weights(weights: list[float], parts: int = PARTS) -> list[int]:
+    """Integer weights in the same proportions."""
+    if all(w == int(w) for w in weights):
+        return [int(w) for w in weights]
+    total = sum(weights)
+    return [max(1, round(parts * (w / total))) for w in weights]
+
+
+def target(weights: dict[str | None, float] | None, temperature: float, source: Column, rows: Column) -> Column:
+    """The weight of a source: the given one (1 if there is none), or its rows to the power `temperature`."""
+    if weights is None:
+        return F.pow(rows, F.lit(temperature))
+    if not all(w > 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    given = F.from_json(F.lit(json.dumps({k: float(w) for k, w in weights.items() if k is not None})), "map<string,double>")
+    return F.when(source.isNull(), float(weights.get(None, 1))).otherwise(F.coalesce(given[source], F.lit(1.0)))
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, temperature: float = 0.5, tie: Column | None = None
+    docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, temperature: float = 0.5, tie: Column | None = None
 ) -> DataFrame:
     """`docs` with mix_block, mix_slot, mix_release, mix_deadline and mix_position; order by the last for the mix.
 
-    `weights`: parts per source; by default in proportion to the source's rows to the power `temperature`. Slots,
-    releases and deadlines count from the start of the whole mix. `tie` orders rows with equal ids.
+    `weights`: weight per source; by default the source's rows to the power `temperature`. Slots, releases and deadlines
+    count from the start of the whole mix. `tie` orders rows with equal ids.
     """
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
-    key = F.xxhash64(F.col(id_col), F.lit(5))
-    # numbering within a source: exact offsets of hash buckets, whose number grows with the source, plus places in them
-    sizes = {r[0]: r[1] for r in docs.groupBy(source.alias("s")).count().limit(MOST_SOURCES + 1).toLocalIterator()}
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    shares = to_parts({s: n**temperature for s, n in sizes.items()})
-    parts = {s: (weights or shares).get(s, 1) for s in sizes}
     spark = docs.sparkSession
-    per_bucket = max(LEAST_BUCKET, sum(sizes.values()) // MOST_BUCKETS)
-    per_source = F.from_json(F.lit(json.dumps({s: -(-n // per_bucket) for s, n in sizes.items()})), "map<string,bigint>")
-    keyed = docs.withColumns({"_mix_source": source, "_mix_key": key})
-    keyed = keyed.withColumn("_mix_bucket", F.pmod(F.shiftright("_mix_key", 7), F.coalesce(per_source[F.col("_mix_source")], F.lit(1))))
-    buckets = keyed.groupBy("_mix_source", "_mix_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select("_mix_source", "_mix_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_mix_before"))
-    within = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_key", id_col, *([] if tie is None else [tie]))
-    numbered = keyed.withColumn("_mix_n", F.row_number().over(within) - 1).join(offsets, ["_mix_source", "_mix_bucket"])
-    ordinal = F.col("_mix_before") + F.col("_mix_n")
-    numbered = numbered.withColumns({"_mix_block": F.floor(ordinal / block_rows).cast("long"), "_mix_in": ordinal % block_rows})
-    # at most MOST_SOURCES phases of MOST_SOURCES sources
-    plan = phases({s: -(-n // block_rows) for s, n in sizes.items()}, parts)
-    names = [f"_mix_{x}" for x in ("s", "b0", "b1", "base", "period", "w", "slots")]
-    fields = "array<struct<{}:string,{}:bigint,{}:bigint,{}:bigint,{}:bigint,{}:bigint,{}:array<int>>>".format(*names)
-    phase = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([dict(zip(names, x, strict=True)) for x in plan])), fields)).alias("p")).select("p.*")
-    block, (first, end, base, period, w) = F.col("_mix_block"), (F.col(n) for n in names[1:6])
-    here = (F.col("_mix_source") == F.col("_mix_s")) & (block >= first) & (block < end)
-    j = block - first
-    whole = lambda x: F.floor(x).cast("long")
-    slot = base + whole(j / w) * period + F.element_at("_mix_slots", (j % w).cast("int") + 1)
-    return numbered.join(F.broadcast(phase), here).select(
-        *[numbered[c] for c in docs.columns],
-        block.alias("mix_block"),
-        slot.alias("mix_slot"),
-        (base + whole(j * period / w)).alias("mix_release"),
-        (base + F.ceil((j + 1) * period / w).cast("long")).alias("mix_deadline"),
-        (slot * block_rows + F.col("_mix_in")).alias("mix_position"),
+    col = lambda name: F.col(f"`{name}`")
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(
+        *[col(c).alias(o) for c, o in zip(docs.columns, own, strict=True)], col(source_col).cast("string").alias("source"), col(id_col).alias("id"),
+        F.xxhash64(col(id_col), F.lit(5)).alias("key"), (F.lit(0) if tie is None else tie).alias("tie"),
+    )
+    # one row per source, weighed; the large ones, of which there are fewer than blocks, get numbers of their own
+    sizes = written(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    n_rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    block_rows = max(block_rows, -(-n_rows // MOST_BLOCKS))
+    sizes = sizes.withColumn("w", target(weights, temperature, F.col("source"), F.col("n")))
+    large = written(sizes.where(F.col("n") > block_rows).withColumn("sid", F.row_number().over(Window.orderBy("source"))))
+    streams = {r.sid: (r.n, r.w) for r in large.select("sid", "n", "w").toLocalIterator()}
+    small = sizes.where(F.col("n") <= block_rows).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    if small.n:
+        streams[0] = small.n, small.w
+    sids = sorted(streams)
+    plan = schedule([-(-streams[s][0] // block_rows) for s in sids], whole_weights([streams[s][1] for s in sids]))
+    entries = F.from_json(F.lit(json.dumps([[sids[s], *entry] for s, *entry in plan])), "array<array<bigint>>")
+    slots = spark.range(1).select(F.explode(entries).alias("e")).select(*[F.col("e")[i].alias(c) for i, c in enumerate(("sid", "block", "slot", "release", "deadline"))])
+    # numbering within a source: exact offsets of hash buckets, whose number grows with the source, plus places in them
+    per_bucket = max(LEAST_BUCKET, n_rows // MOST_BUCKETS)
+    named = F.broadcast(large.select(F.col("source").alias("name"), "sid", F.col("n").alias("of")))
+    rows = rows.join(named, F.col("source").eqNullSafe(F.col("name")), "left")
+    buckets_of = F.ceil(F.coalesce("of", F.lit(small.n or 1)) / F.lit(per_bucket)).cast("long")
+    rows = rows.select(*own, "id", "key", "tie", F.coalesce("sid", F.lit(0)).cast("long").alias("sid"), F.pmod(F.shiftright("key", 7), buckets_of).alias("bucket"))
+    ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("sid", "bucket").agg(F.count(F.lit(1)).alias("n")).select("sid", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    within = Window.partitionBy("sid", "bucket").orderBy("key", "id", "tie")
+    ordinal = F.col("before") + F.col("at")
+    placed = rows.withColumn("at", F.row_number().over(within) - 1).join(offsets, ["sid", "bucket"])
+    placed = placed.withColumns({"block": F.floor(ordinal / block_rows).cast("long"), "in_block": ordinal % block_rows})
+    values = (F.col("block"), F.col("slot"), F.col("release"), F.col("deadline"), F.col("slot") * block_rows + F.col("in_block"))
+    return placed.join(F.broadcast(slots), ["sid", "block"]).select(
+        *[F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)], *[v.cast("long").alias(free_name(docs.columns, name)) for name, v in zip(ADDED, values, strict=True)]
     )
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """Place of every document in the mix of all sources."""
     docs = written(table(spark, sf_dir, "documents").select("doc_id", "source"))
-    return mix(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")
+    return mix(docs).select("doc_id", "source", *ADDED)

@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from scorebook.llm import mixing, pii, sharding
@@ -160,17 +161,56 @@ def test_mixing_lag_is_under_one_block(spark):
     sizes = {"a": 700, "b": 90, "c": 33, None: 10}
     df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string, s string")
     weights = {"a": 5, "b": 3, "c": 1}
-    got = mixing.mix(df, weights, block_rows=4).select("doc_id", F.coalesce("source", F.lit(mixing.NO_SOURCE)).alias("source"), "mix_slot", "mix_release", "mix_deadline", "mix_position").collect()
+    got = mixing.mix(df, weights, block_rows=4).select("doc_id", F.coalesce("source", F.lit("(null)")).alias("source"), "mix_slot", "mix_release", "mix_deadline", "mix_position").collect()
     assert len(got) == 833 and len({r.mix_position for r in got}) == 833 and {r.doc_id for r in got} == set(range(833))
-    check_mix(got, 4, weights | {mixing.NO_SOURCE: 1})
-
-
-def test_period_meets_windows():
-    for weights in ({"a": 1}, {"a": 1, "b": 1, "c": 1}, {"a": 7, "b": 3, "c": 2, "d": 1}, {"x": 500, "y": 499, "z": 1}):
-        slots, total = mixing.edf_period(weights), sum(weights.values())
-        assert sorted(x for own in slots.values() for x in own) == list(range(total))
-        for s, own in slots.items():
-            assert all(j * total // weights[s] <= x < -(-(j + 1) * total // weights[s]) for j, x in enumerate(own))
+    check_mix(got, 4, weights | {"(null)": 1})
+
+
+def check_schedule(blocks, weights):
+    """Each block in its window, all slots filled, and each source's lag under one block in each phase."""
+    got = list(mixing.schedule(blocks, weights))
+    assert [x[2] for x in got] == list(range(sum(blocks))) and all(r <= slot < d for _, _, slot, r, d in got)
+    left, active = list(blocks), [s for s, n in enumerate(blocks) if n]
+    done, start = [0] * len(blocks), 0
+    for s, j, slot, _, _ in got:
+        assert j == blocks[s] - left[s]
+        done[s] += 1
+        left[s] -= 1
+        total = sum(weights[x] for x in active)
+        assert all(abs(done[x] * total - weights[x] * (slot + 1 - start)) < total for x in active)
+        if not left[s]:
+            active.remove(s)
+            done, start = [0] * len(blocks), slot + 1
+
+
+def test_schedules_meet_windows():
+    rng = random.Random(2)
+    check_schedule([5], [1])
+    check_schedule([], [])
+    check_schedule([3, 0, 4], [1, 1, 1])
+    for _ in range(40):
+        n = rng.randrange(1, 30)
+        sizes = [rng.choice([1, rng.randrange(1, 5), rng.randrange(1, 60)]) for _ in range(n)]
+        check_schedule(sizes, [rng.choice([1, rng.randrange(1, 10), rng.randrange(1, 10**12)]) for _ in range(n)])
+    check_schedule([30] * 9 + [300], mixing.whole_weights([x**0.5 for x in [30] * 9 + [300]]))
+
+
+def test_mixing_of_many_sources(spark):
+    """Over 300 sources, most of them smaller than a block, a hot one with a third of all rows, and fractional weights."""
+    names = ["hot"] * 2000 + [f"mid{i % 330}" for i in range(3300)] + [f"tiny{i}" for i in range(700)]
+    df = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+    got = mixing.mix(df, block_rows=8).collect()
+    assert len(got) == 6000 and len({r.mix_position for r in got}) == 6000 and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
+    slots = defaultdict(set)
+    for r in got:
+        slots[r.mix_slot].add("tiny" if r.source.startswith("tiny") else r.source)
+    assert sorted(slots) == list(range(len(slots))) and all(len(s) == 1 for s in slots.values())
+    # as long as all last, the hot source has its share to within one block
+    shares = {"hot": 2000**0.5, "mid": 330 * 10**0.5, "tiny": 700.0}
+    ends = min(max(k for k, s in slots.items() if x in s) for x in {r.source for r in got if not r.source.startswith("tiny")} | {"tiny"})
+    for k in range(ends):
+        hot = sum("hot" in slots[x] for x in range(k + 1))
+        assert abs(hot - (k + 1) * shares["hot"] / sum(shares.values())) < 1
 
 
 def test_mixing_edges(spark):
@@ -178,6 +218,13 @@ def test_mixing_edges(spark):
     assert mixing.mix(empty).count() == 0
     same = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a")], "doc_id long, source string")
     assert sorted(r.mix_position for r in mixing.mix(same).collect()) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        mixing.mix(same, {"a": 0})
+    own = spark.createDataFrame([(i, None if i % 2 else "(none)", "mine", 7, 8) for i in range(40)], "doc_id long, source string, mix_slot string, block long, sid long")
+    got = mixing.mix(own, {None: 3, "(none)": 1}, block_rows=4)
+    assert got.columns == [*own.columns, "mix_block", "mix_slot_", "mix_release", "mix_deadline", "mix_position"]
+    got = sorted(got.collect(), key=lambda r: r.mix_position)
+    assert all((r.mix_slot, r.block, r.sid) == ("mine", 7, 8) for r in got) and sum(r.source is None for r in got[:16]) == 12
 
 
 def test_shards_are_even_and_slots_gapless(spark):
