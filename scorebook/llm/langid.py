@@ -5,23 +5,29 @@ estimates the proportions from the trigrams' likelihoods, and the set of languag
 for as long as the log likelihood gains more than a penalty per language. The language with the largest proportion in
 the chosen set is the prediction, its proportion the score.
 
+Any number of languages will do: counts pass on from a task before they fill its memory, the driver reads them language
+by language, and the model holds only the trigrams that a language has.
+
 Null text and text without letters: `und`, score 0. Empty training data: every row is `und`. Ties: the language that
-sorts first. Very long texts: counted whole; state is bounded by the number of hash bins.
+sorts first. Repeated rows count and are identified each on their own. An empty table gives no rows. Very long texts are
+counted whole; state is bounded by the number of hash bins. Other columns are carried only if asked for; an added column
+whose name is taken gets an underscore.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import crc_mod, keep_rows, map_rows, table
+from scorebook.llm.common import crc_mod, free_name, keep_rows, map_rows, table
 
-#: Hash bins of the trigrams and the most languages of a model: together they bound what is broadcast.
-BINS, MOST_LANGUAGES = 1 << 16, 200
+#: Hash bins of the trigrams; languages that a task counts at once.
+BINS, HELD_LANGUAGES = 1 << 16, 64
 #: Added to every count; EM rounds; penalty for one more language, in units of log(trigrams) / 2.
 SMOOTHING, ROUNDS, PENALTY = 0.5, 15, 6.0
 UNDETERMINED = "und"
@@ -52,33 +58,64 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Data
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         counts: dict[str, np.ndarray] = {}
+
+        def drained() -> Iterator[tuple]:
+            for lang, c in counts.items():
+                at = np.flatnonzero(c)
+                yield from zip([lang] * len(at), at.tolist(), c[at].tolist(), strict=True)
+            counts.clear()
+
         for text, lang in rows:
             bins = trigram_bins(text)
             if len(bins):
                 if lang not in counts:
-                    if len(counts) == MOST_LANGUAGES:
-                        raise ValueError(f"more than {MOST_LANGUAGES} languages in the training labels")
+                    if len(counts) == HELD_LANGUAGES:
+                        yield from drained()
                     counts[lang] = np.zeros(BINS, dtype=np.int64)
                 counts[lang] += np.bincount(bins, minlength=BINS)
-        for lang, c in counts.items():
-            at = np.flatnonzero(c)
-            yield from zip([lang] * len(at), at.tolist(), c[at].tolist(), strict=True)
+        yield from drained()
 
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, lang_col)
     return map_rows(rows, run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
 
 
-def model(counts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities [bin, language]); at most BINS x MOST_LANGUAGES numbers reach the driver."""
-    rows = counts.toPandas()
-    langs = sorted(rows["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in the training labels")
-    c = np.full((BINS, max(1, len(langs))), SMOOTHING)
-    for j, lang in enumerate(langs):
-        own = rows[rows["lang"] == lang]
-        c[own["bin"].to_numpy(), j] += own["n"].to_numpy()
-    return langs, np.log(c / c.sum(axis=0)).astype(np.float32)
+@dataclass
+class Model:
+    """Log probabilities of trigram bins by language; a bin's entries are those of `start`, all others have `default`."""
+
+    langs: list[str]
+    default: np.ndarray  # [language]
+    start: np.ndarray  # [bin + 1]
+    lang: np.ndarray  # [entry]
+    log_p: np.ndarray  # [entry]
+
+    def of(self, bins: np.ndarray) -> np.ndarray:
+        """Log probabilities [bin, language]."""
+        out = np.repeat(self.default[None, :], len(bins), axis=0)
+        first, n = self.start[bins], self.start[bins + 1] - self.start[bins]
+        row = np.repeat(np.arange(len(bins)), n)
+        entry = np.arange(len(row)) + np.repeat(first - (np.cumsum(n) - n), n)
+        out[row, self.lang[entry]] = self.log_p[entry]
+        return out
+
+
+def model(counts: DataFrame) -> Model:
+    """The model of counts (lang, bin, n); the driver reads one language at a time, at most BINS numbers."""
+    by_lang = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("c"))
+    langs, default, bins, values = [], [], [], []
+    for lang, c in by_lang.select("lang", F.struct("c.bin", "c.n")).orderBy("lang").toLocalIterator():
+        own = np.array(c[1], dtype=np.float64) + SMOOTHING
+        total = own.sum() + SMOOTHING * (BINS - len(own))
+        langs.append(lang)
+        default.append(np.log(SMOOTHING / total))
+        bins.append(np.array(c[0], dtype=np.int32))
+        values.append(np.log(own / total).astype(np.float32))
+    if not langs:
+        return Model([], np.zeros(0, np.float32), np.zeros(BINS + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    every, lang = np.concatenate(bins), np.repeat(np.arange(len(langs), dtype=np.int32), [len(b) for b in bins])
+    order = np.argsort(every, kind="stable")
+    start = np.concatenate(([0], np.cumsum(np.bincount(every, minlength=BINS))))
+    return Model(langs, np.array(default, dtype=np.float32), start, lang[order], np.concatenate(values)[order])
 
 
 def em(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -108,23 +145,26 @@ def proportions(log_p: np.ndarray, n: np.ndarray) -> tuple[list[int], np.ndarray
     return chosen, pi
 
 
-def identify(df: DataFrame, langs: list[str], log_p: np.ndarray, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(df: DataFrame, learnt: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, *carry, lang_pred, score, languages): the prediction, its share, and all shares as `lang:share` text."""
+    shared = df.sparkSession.sparkContext.broadcast(learnt)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        learnt = shared.value
+        langs = learnt.langs
         for key, text, *rest in rows:
             bins, n = np.unique(trigram_bins(text), return_counts=True)
             if not langs or not len(bins):
                 yield (key, *rest, UNDETERMINED, 0.0, "")
                 continue
-            chosen, pi = proportions(log_p[bins], n.astype(np.float64))
+            chosen, pi = proportions(learnt.of(bins), n.astype(np.float64))
             order = sorted(range(len(chosen)), key=lambda i: (-pi[i], chosen[i]))
             said = ",".join(f"{langs[chosen[i]]}:{pi[i]:.4f}" for i in order)
             yield (key, *rest, langs[chosen[order[0]]], min(1.0, float(pi[order[0]])), said)
 
     kinds = [f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate((id_col, *carry))]
     out = map_rows(df.select(id_col, text_col, *carry), run, ", ".join([*kinds, "lang_pred string, score double, languages string"]))
-    return out.toDF(id_col, *carry, "lang_pred", "score", "languages")
+    return out.toDF(id_col, *carry, *(free_name((id_col, *carry), c) for c in ("lang_pred", "score", "languages")))
 
 
 def with_fold(docs: DataFrame) -> DataFrame:
@@ -135,24 +175,27 @@ def with_fold(docs: DataFrame) -> DataFrame:
 def op10_langid(spark, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learnt from the documents outside the held-out fold."""
     docs = with_fold(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    langs, log_p = model(train(docs.where(~F.col("held_out"))))
-    return identify(docs.select("doc_id", "text", "held_out"), langs, log_p, carry=("held_out",))
+    learnt = model(train(docs.where(~F.col("held_out"))))
+    return identify(docs.select("doc_id", "text", "held_out"), learnt, carry=("held_out",))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose language is identified, with all their columns; learns from the labelled rows.
 
     Rejected are texts without letters, and texts that no mixture of the learnt languages explains better than noise
-    does, that is trigrams drawn evenly from all bins.
+    does, that is trigrams drawn evenly from all bins. Without any labelled text there is no language to compare with:
+    then all texts with letters stay.
     """
-    langs, log_p = model(train(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(model(train(docs)))
 
     def identified(text: str | None) -> bool:
+        learnt = shared.value
         bins, n = np.unique(trigram_bins(text), return_counts=True)
-        if not langs or not len(bins):
-            return False
-        chosen, pi = proportions(log_p[bins], n.astype(np.float64))
-        likelihood = n @ np.log(np.exp(log_p[bins][:, chosen].astype(np.float64)) @ pi)
+        if not learnt.langs or not len(bins):
+            return bool(len(bins))
+        log_p = learnt.of(bins)
+        chosen, pi = proportions(log_p, n.astype(np.float64))
+        likelihood = n @ np.log(np.exp(log_p[:, chosen].astype(np.float64)) @ pi)
         return bool(likelihood > -n.sum() * np.log(BINS))
 
     return keep_rows(docs, "text", lambda: identified)

@@ -61,6 +61,39 @@ def test_entropy_finds_keys_without_digits():
         assert secrets.scan(plain) == ([], []), plain
 
 
+def plain_entropy_spans(text):
+    """Candidate by candidate and window by window, with the entropy worked out anew each time."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", text):
+        if len(m[0]) < 20 or secrets.allowed(m[0].strip(".-_/=+")):
+            continue
+        for name, chars, width, least in (("entropy_hex", "[0-9a-fA-F]+", 24, 3.0), ("entropy_alnum", "[A-Za-z0-9]+", 20, 3.7), ("entropy_base64", "[A-Za-z0-9+/_=-]+", 24, 4.1)):
+            for run in re.finditer(chars, m[0]):
+                if len(run[0]) < width or secrets.allowed(run[0]):
+                    continue
+                covered = set()
+                for i in range(len(run[0]) - width + 1):
+                    if entropy(run[0][i : i + width]) >= least - 1e-10:
+                        covered |= set(range(i, i + width))
+                at = m.start() + run.start()
+                for j in sorted(covered):
+                    if j - 1 not in covered:
+                        end = next(k for k in range(j, len(run[0]) + 1) if k not in covered)
+                        out.append((at + j, at + end, name))
+    return sorted(out)
+
+
+def test_entropy_spans_are_those_of_plain_windows():
+    rng, alphabet = random.Random(15), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    cases = [pick(alphabet, 120) + "7", "7" + pick(alphabet[:52], 120), pick(alphabet[:52], 100) + "7" + pick(alphabet[:52], 20), pick(alphabet[:52], 121)]
+    for _ in range(150):
+        cases.append(" ".join(rng.choice([pick(alphabet, rng.randrange(60)), pick("0123456789abcdef", rng.randrange(80)), pick(alphabet + "+/_=-.", rng.randrange(90)), "plain", "some/path/of-words", "é", "aB1" * rng.randrange(20)]) for _ in range(rng.randrange(1, 6))))
+    assert all(plain_entropy_spans(c) for c in cases[:4])
+    for text in cases:
+        assert sorted(secrets.entropy_spans(text)) == plain_entropy_spans(text), text
+
+
 def test_secret_rows(spark):
     df = spark.createDataFrame([(1, 'token = "' + "ab12" * 10 + '"', "s"), (2, None, "s"), (2, "", "s")], "doc_id long, text string, spans string")
     got = secrets.find_secrets(df).orderBy("doc_id").collect()
@@ -110,10 +143,10 @@ def test_language_mixtures(spark):
     rng = random.Random(6)
     data = [(i, sample(rng, lang), lang) for i, lang in enumerate(sorted(LANGS) * 30)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
-    langs, log_p = langid.model(langid.train(df))
-    assert langs == sorted(LANGS)
+    learnt = langid.model(langid.train(df))
+    assert learnt.langs == sorted(LANGS)
     tests = [sample(rng, "xx"), sample(rng, "yy", 3), sample(rng, "xx", 40) + " " + sample(rng, "zz", 80), None, "", "123 !?", sample(rng, "zz", 9000)]
-    got = langid.identify(spark.createDataFrame([(i, t, "c") for i, t in enumerate(tests)], "doc_id long, text string, lang_pred string"), langs, log_p).orderBy("doc_id").collect()
+    got = langid.identify(spark.createDataFrame([(i, t, "c") for i, t in enumerate(tests)], "doc_id long, text string, lang_pred string"), learnt).orderBy("doc_id").collect()
     assert [r.lang_pred for r in got] == ["xx", "yy", "zz", "und", "und", "und", "zz"]
     assert got[2].languages.count(":") == 2 and 0.5 < got[2].score < 0.9 and got[3].score == 0 and all(0 <= r.score <= 1 for r in got)
 
@@ -128,9 +161,67 @@ def test_em_raises_the_likelihood():
 
 def test_no_training_labels(spark):
     df = spark.createDataFrame([(1, "words here", None), (2, None, "en")], "doc_id long, text string, lang string")
-    langs, log_p = langid.model(langid.train(df))
-    assert [r.lang_pred for r in langid.identify(df, langs, log_p).collect()] == ["und", "und"]
-    assert langid.identify(df.limit(0), langs, log_p).count() == 0
+    learnt = langid.model(langid.train(df))
+    assert [r.lang_pred for r in langid.identify(df, learnt).collect()] == ["und", "und"]
+    assert langid.identify(df.limit(0), learnt).count() == 0
+    assert [r.doc_id for r in langid.keep_identified(df).collect()] == [1] and langid.keep_identified(df.limit(0)).count() == 0
+
+
+def plain_mixture(rows, text):
+    """(language, share) by the plain procedure: dictionaries of trigram bins, the same set rule, plain sums."""
+    langs = sorted({lang for _, lang in rows})
+    counts = {x: Counter() for x in langs}
+    for t, lang in rows:
+        counts[lang].update(langid.trigram_bins(t).tolist())
+    p = {x: lambda b, c=c, n=sum(c.values()): (c[b] + langid.SMOOTHING) / (n + langid.SMOOTHING * langid.BINS) for x, c in counts.items()}
+    seen = Counter(langid.trigram_bins(text).tolist())
+    total = sum(seen.values())
+
+    def em(some):
+        pi = [1 / len(some)] * len(some)
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * len(some)
+            for b, n in seen.items():
+                own = [x * p[s](b) for x, s in zip(pi, some, strict=True)]
+                new = [v + n * o / sum(own) for v, o in zip(new, own, strict=True)]
+            pi = [x / total for x in new]
+        return pi, sum(n * math.log(sum(x * p[s](b) for x, s in zip(pi, some, strict=True))) for b, n in seen.items())
+
+    alone = {s: em([s])[1] for s in langs}
+    chosen = [max(langs, key=lambda s: alone[s])]
+    shares, best = [1.0], alone[chosen[0]]
+    full = dict(zip(langs, em(langs)[0], strict=True))
+    for s in sorted(langs, key=lambda s: -full[s]):
+        if s not in chosen:
+            pi, likelihood = em([*chosen, s])
+            if likelihood - best <= langid.PENALTY * 0.5 * math.log(total + 1):
+                break
+            chosen, shares, best = [*chosen, s], pi, likelihood
+    return max(zip(chosen, shares, strict=True), key=lambda x: x[1])
+
+
+def test_mixtures_are_those_of_plain_sums(spark):
+    rng = random.Random(16)
+    rows = [(sample(rng, lang, 30), lang) for lang in sorted(LANGS) * 5]
+    learnt = langid.model(langid.train(spark.createDataFrame(rows, "text string, lang string")))
+    tests = [" ".join(sample(rng, rng.choice(sorted(LANGS)), rng.randrange(1, 40)) for _ in range(rng.randrange(1, 4))) for _ in range(25)] + ["qqq www", "kala"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), learnt).orderBy("doc_id").collect()
+    for text, r in zip(tests, got, strict=True):
+        lang, share = plain_mixture(rows, text)
+        assert r.lang_pred == lang and abs(r.score - share) < 1e-4, text
+
+
+def test_many_languages(spark):
+    """More languages than a task holds at once."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(17)
+    words = {f"l{i:03d}": ["".join(rng.choice(letters) for _ in range(7)) for _ in range(6)] for i in range(300)}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(40))
+    learnt = langid.model(langid.train(spark.createDataFrame([(text(x), x) for x in words for _ in range(3)], "text string, lang string").repartition(2)))
+    assert learnt.langs == sorted(words)
+    tests = [(i, text(x), x) for i, x in enumerate(rng.sample(sorted(words), 25))]
+    got = langid.identify(spark.createDataFrame(tests, "doc_id long, text string, score string"), learnt, carry=("score",))
+    assert got.columns == ["doc_id", "score", "lang_pred", "score_", "languages"] and all(r.lang_pred == r.score for r in got.collect())
 
 
 def test_kept_rows_and_columns(spark):
