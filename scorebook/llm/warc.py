@@ -4,9 +4,13 @@
 WARC/1.1 files in which repeated payloads are revisit records with fresh headers; `read_archives` parses such files
 by Content-Length; `resolve_read` joins revisits back to the responses that they name.
 
-Null html: an empty payload. Null page id: an empty id in the record's urn, read back as null. Null or odd URLs: line
-breaks become spaces. Repeated rows (same page id, same payload): all are responses if that id is the largest.
-An empty table gives one empty archive folder and no rows.
+Digests are resolved on headers (id, URL, digest, length) alone. Records then take their response from that result:
+payloads too small to be revisits don't move, common digests meet theirs by broadcast, and only the others are shuffled.
+
+Null html: an empty payload. Null page id: an empty id in the record's urn, read back as null. Ids of any type are
+written as text and cast back. Null or odd URLs: line breaks become spaces. Repeated rows (same page id, same payload):
+all are responses if that id is the largest; ties in it take the last URL. Very long payloads get files of their own
+(FILE_BYTES). Other columns aren't read. An empty table gives one empty archive folder and no rows.
 """
 
 from __future__ import annotations
@@ -18,12 +22,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import join_unique, map_rows, shared_dir, table, written
+from scorebook.llm.common import join_unique, least_hot, map_rows, shared_dir, table, written
 
 #: Payloads below this many bytes are always written in full.
 LEAST_BYTES = 1000
-#: Records in one archive file; with large payloads fewer, see write_archives.
-RECORDS_PER_FILE, LARGE_BYTES, LARGE_PER_FILE = 2000, 256 << 10, 16
+#: About the most bytes of payload in one archive file, which a reader holds at once; classes of payload sizes, each of
+#: which gets files with as many records as fit at its largest. A file of the last class holds one record.
+FILE_BYTES, SIZE_CLASSES = 64 << 20, (16 << 10, 256 << 10, 4 << 20, 1 << 31)
 # Fixed values of the WARC/1.1 format.
 VERSION, CRLF = "WARC/1.1", "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,13 +48,13 @@ def with_digests(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def resolve_revisits(records: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(payload_digest, original): for digests that occur more than once, the page id that keeps the payload.
+    """(payload_digest, original, original_url, n): for digests of n > 1 records, the page that keeps the payload.
 
-    Only headers (digest, id) are shuffled, and they are aggregated before the shuffle, so a hot digest is no hot task.
+    Only headers are shuffled, and they are aggregated before the shuffle, so a hot digest is no hot task.
     """
     headers = records.where(F.col("payload_bytes") >= least_bytes)
-    groups = headers.groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
-    return groups.where("n > 1").select("payload_digest", "original")
+    groups = headers.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("o"), F.count(F.lit(1)).alias("n"))
+    return groups.where("n > 1").select("payload_digest", F.col("o.page_id").alias("original"), F.col("o.url").alias("original_url"), "n")
 
 
 def record_text(records: DataFrame, date: str) -> DataFrame:
@@ -69,6 +74,8 @@ def record_text(records: DataFrame, date: str) -> DataFrame:
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
         F.when(revisit, F.lit(f"WARC-Profile: {REVISIT_PROFILE}")),
         F.when(revisit, F.concat(F.lit(f"WARC-Refers-To: <{ID_PREFIX}"), F.col("refers_to").cast("string"), F.lit(">"))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To-Target-URI: "), F.col("original_url"))),
+        F.when(revisit, F.lit(f"WARC-Refers-To-Date: {date}")),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
@@ -79,20 +86,24 @@ def record_text(records: DataFrame, date: str) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", **columns: str) -> DataFrame:
     """Write one record per page under `path`; returns the digest groups that were resolved.
 
-    Records go to files of bounded length, so that a reader can hold one file: ordinary records RECORDS_PER_FILE to a
-    file, those beyond LARGE_BYTES in files of their own with LARGE_PER_FILE each.
+    `date`: when the pages were fetched. Each size class that occurs is written with its own number of records per file.
     """
     records = with_digests(pages, **columns)
-    groups = written(resolve_revisits(records))
-    original = F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original"))
-    typed = records.join(groups, "payload_digest", "left").withColumn("refers_to", original)
+    headers = written(records.drop("payload"))
+    groups = written(resolve_revisits(headers))
+    largest, n = headers.agg(F.coalesce(F.max("payload_bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    hot = written(groups.where(F.col("n") >= least_hot(n)).select("payload_digest"))
+    small = records.where(F.col("payload_bytes") < LEAST_BYTES).withColumns({"original": F.lit(None).cast(records.schema["page_id"].dataType), "original_url": F.lit(None).cast("string")})
+    typed = small.unionByName(join_unique(records.where(F.col("payload_bytes") >= LEAST_BYTES), groups.drop("n"), "payload_digest", hot=hot))
+    typed = typed.withColumn("refers_to", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original")))
     typed = typed.withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
-    large = F.col("payload_bytes") > LARGE_BYTES
-    out = lambda df, per_file, to: record_text(df, date).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).mode("append").text(to)
-    out(typed.where(~large), RECORDS_PER_FILE, path)
-    if not pages.where(F.octet_length(columns.get("payload_col", "html")) > LARGE_BYTES).isEmpty():
-        out(typed.where(large), LARGE_PER_FILE, path)
-    return groups
+    above = -1
+    for most in SIZE_CLASSES:
+        if above < largest:
+            own = record_text(typed.where(F.col("payload_bytes").between(above + 1, most)), date)
+            own.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", max(1, FILE_BYTES // most)).mode("append").text(path)
+        above = most
+    return groups.drop("n")
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -111,9 +122,10 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + size + 4
 
 
-def _page(text: str | None) -> int | None:
-    m = re.fullmatch(rf"<{ID_PREFIX}(-?\d+)>", text or "")
-    return int(m[1]) if m else None
+def _page(text: str | None) -> str | None:
+    """The page id, as text, of a record's name."""
+    m = re.fullmatch(rf"<{ID_PREFIX}(.+)>", text or "")
+    return m[1] if m else None
 
 
 def _read(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -130,13 +142,14 @@ def _read(rows: Iterator[tuple]) -> Iterator[tuple]:
                 yield _page(headers["warc-record-id"]), headers.get("warc-target-uri"), kind, claimed, None, _page(headers.get("warc-refers-to"))
 
 
-def read_archives(spark, path: str) -> DataFrame:
+def read_archives(spark, path: str, id_type: str = "long") -> DataFrame:
     """(page_id, url, record_type, payload_digest, payload_bytes, refers_to) as read from the archives' bytes.
 
     Digests and lengths of responses are computed from the payloads; revisits carry none, so their length is null.
     """
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    return map_rows(files, _read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long")
+    rows = map_rows(files, _read, "page_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string")
+    return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def resolve_read(records: DataFrame) -> DataFrame:

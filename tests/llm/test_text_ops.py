@@ -121,6 +121,22 @@ def test_archives_round_trip(spark, tmp_path):
         assert (r.record_type, r.refers_to) == want
     text = spark.read.format("binaryFile").load(path).collect()
     assert sum(x.content.count(b"WARC-Type: revisit") for x in text) == 3 and not any(b"\r\nX: y" in x.content for x in text)
+    assert sum(x.content.count(b"WARC-Refers-To-Target-URI: u\r\n") for x in text) == 1
+
+
+def test_archive_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Each size class has its own records per file; ids may be text; a digest of half the rows is no obstacle."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "SIZE_CLASSES", (2000, 10_000, 1 << 31))
+    pages = [(f"p{i:03d}", "u", "hot" * 400) for i in range(150)] + [(f"q{i:03d}", "u", f"{i}" * n) for i, n in enumerate([100, 1500, 9000, 50_000] * 20)]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string").coalesce(1)
+    path = str(tmp_path / "b")
+    warc.write_archives(df, path)
+    sizes = [len(x.content) for x in spark.read.format("binaryFile").load(path).collect()]
+    assert all(n < 30_000 or n < 160_000 for n in sizes) and len(sizes) > 60
+    got = {r.page_id: r for r in warc.resolve_read(warc.written(warc.read_archives(spark, path, "string"))).collect()}
+    assert {k: r.payload_digest for k, r in got.items()} == {i: hashlib.sha1(h.encode()).hexdigest() for i, _, h in pages}
+    assert {r.refers_to for k, r in got.items() if k < "p149"} == {"p149"} and all(r.record_type == "response" for k, r in got.items() if k >= "p149")
 
 
 def test_empty_pages_and_cut_archives(spark, tmp_path):
