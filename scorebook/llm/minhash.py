@@ -4,8 +4,9 @@ Documents are sets of word shingles. Equal sets are collapsed first. Bands of th
 their signatures are compared a batch of hashes at a time, and a pair is dropped as soon as the posterior probability
 that it reaches the similarity bound falls below MISS. What survives is verified on the real words of both texts.
 
-Buckets are never expanded to all pairs. Every member is first compared with its bucket's leader (in a large bucket with
-a local leader, which is compared with the bucket's). Those links give components. Only where a bucket still spans
+Buckets are never expanded to all pairs. Every member is first compared with its bucket's leader; in a large bucket with
+a local leader of about FAN members, the local leaders with leaders of their own, and so on, so nobody leads many.
+Those links give components. Only where a bucket still spans
 several components are the members outside its main component compared with all members of other components, in blocks
 of sets, so that no link between components is lost to the short cut.
 
@@ -22,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import join_unique, map_rows, table, written
+from scorebook.llm.common import join_unique, least_hot, map_rows, table, written
 
 #: A pair at the similarity bound 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 24, 4
@@ -237,19 +238,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b): each bucket member with its leader; large buckets through local leaders, so hubs stay small.
+    """(a, b, n_a, n_b): each bucket member with its leader, the smallest id; in a large bucket a tree of leaders.
 
-    members: (key, id, n, lead, size), `lead` = struct(id, n) of the bucket's smallest id.
+    members, stored: (key, id, n, size). A level groups what is left of a bucket by hash, about FAN at a time, and its
+    leaders form the next level, so a bucket of any size takes few levels and no group is large.
     """
-    pair = lambda df, x, y: df.select(x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("n_a"), y["n"].alias("n_b"))
-    me = F.struct("id", "n")
-    small = members.where(F.col("size") <= FAN)
-    groups = F.pow(F.lit(2), F.ceil(F.log2(F.col("size") / FAN))).cast("long")
-    large = members.where(F.col("size") > FAN).withColumn("salt", F.pmod(F.xxhash64("id"), groups))
-    local = large.groupBy("key", "salt").agg(F.min(me).alias("local"), F.first("lead").alias("lead"))
-    inner = large.drop("lead").join(local, ["key", "salt"])
-    out = pair(small, F.col("lead"), me).unionByName(pair(inner, F.col("local"), me)).unionByName(pair(local, F.col("lead"), F.col("local")))
-    return out.where("a < b").distinct()
+    me, out, level = F.struct("id", "n"), None, members
+    most, depth = members.agg(F.max("size")).first()[0] or 0, 0
+    while True:
+        groups = F.greatest(F.pow(F.lit(2), F.ceil(F.log2(F.col("size") / FAN))), F.lit(1)).cast("long")
+        level = level.withColumn("groups", groups).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(depth)), "groups"))
+        led = level.withColumn("lead", F.min(me).over(Window.partitionBy("key", "salt"))).where("lead.id < id")
+        pairs = led.select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"))
+        out = pairs if out is None else out.unionByName(pairs)
+        if most <= FAN:
+            return out.distinct()
+        level = level.where("groups > 1").groupBy("key", "salt").agg(F.min(me).alias("m"), F.first("groups").alias("size"))
+        level = written(level.select("key", "m.id", "m.n", "size"))
+        most, depth = 2 ** math.ceil(math.log2(most / FAN)), depth + 1
 
 
 def across_components(members: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -262,14 +268,14 @@ def across_components(members: DataFrame, labels: DataFrame, texts: DataFrame, k
     placed = written(members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
     per_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     spans = per_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    cluster = placed.join(written(spans.where("roots > 1").select("key", "main")), "key").select("main", "id", "root").distinct()
-    cluster = written(cluster)
+    spans = written(spans.where("roots > 1").select("key", "main"))
+    cluster = written(join_unique(placed, spans, "key", "inner").select("main", "id", "root").distinct())
     sizes = cluster.groupBy("main").agg(F.sum((F.col("root") != F.col("main")).cast("long")).alias("outside"), F.count(F.lit(1)).alias("inside"))
     blocks = lambda n, most: F.ceil(F.col(n) / most)
     sizes = sizes.select("main", blocks("outside", OUTSIDERS).alias("n_out"), blocks("inside", INSIDERS).alias("n_in"))
     involved = written(cluster.select("id").distinct())
     sets = written(set_sketch(texts.join(involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), k))
-    rows = cluster.join(written(sizes), "main").join(sets, "id")
+    rows = join_unique(cluster, written(sizes), "main", "inner").join(sets, "id")
     block, other = lambda n: F.pmod(F.xxhash64("id"), F.col(n)), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     keep = ["main", "id", "root", "shingles", "sig"]
     outside = rows.where("root != main").select(*keep, F.lit(True).alias("out"), block("n_out").alias("i"), F.explode(other("n_in")).alias("j"))
@@ -306,8 +312,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sketches.where("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n", "bands", "sig")).alias("r"))
     reps = written(reps.select("digest", "r.*"))
     banded = reps.select("id", "n", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count(F.lit(1)).alias("size"))
-    members = written(banded.join(written(buckets.where("size > 1")), "key"))
+    buckets = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    hot = buckets.where(F.col("size") >= least_hot(reps.count() * BANDS)).select("key")
+    members = written(join_unique(banded, buckets, "key", "inner", hot))
     alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent  # else the sizes alone forbid a link
     sigs = reps.select("id", "sig")
 
