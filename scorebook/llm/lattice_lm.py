@@ -15,9 +15,11 @@ seen once). A text's score is the sum of log10 P over its tokens.
 Word counts cover all documents. The commonest words (at most TOP_WORDS) are looked up in a broadcast table; all others
 are joined to the full word table, so no word is left out and no join key is hot.
 
+Beside that score, `lattice_score` is the text's marginal by the subword lattice alone.
+
 Null text is empty: its only token is the end. Empty training data: N = 0 and the subword paths alone. Repeated rows
-are scored each on their own. Words over LONG_WORD characters are scored exactly, block by block; the re-estimation
-cuts them, so neither holds more than a block.
+are scored each on their own; ties don't arise. An empty table gives no rows. Words over LONG_WORD characters are scored
+and counted exactly, block by block, with one number per character in memory. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ from scorebook.llm.minhash import words_of
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: EM rounds; discount where no word is seen once; words in the broadcast table; distinct words counted before a task passes them on.
 EM_ROUNDS, DISCOUNT, TOP_WORDS, HELD_WORDS = 2, 0.75, 250_000, 400_000
-#: Characters of a batch of equally long words, and the word length from which words go one at a time, in blocks.
-BATCH_CHARS, LONG_WORD = 60_000, 2000
+#: Characters of a batch of equally long words, and of all such batches at once; the word length from which words go one
+#: at a time, in blocks; bytes of the longest word of the broadcast table.
+BATCH_CHARS, HELD_CHARS, LONG_WORD, TOP_BYTES = 60_000, 2_000_000, 2000, 64
 #: Added to each piece's expected count.
 PIECE_PRIOR = 0.1
 START = "▁"  # fixed value: the vocabulary's mark of a word's start
@@ -134,6 +137,7 @@ def backward(arcs: dict, by_bytes: np.ndarray) -> np.ndarray:
 def by_length(rows: Iterator[tuple]) -> Iterator[tuple[np.ndarray, list[tuple]]]:
     """(characters [word, place], rows) for batches of equally long words; each row's first field is the word's bytes."""
     held: dict[int, list[tuple[str, tuple]]] = {}
+    size = 0
 
     def batch(length: int) -> tuple[np.ndarray, list[tuple]]:
         own = held.pop(length)
@@ -144,41 +148,74 @@ def by_length(rows: Iterator[tuple]) -> Iterator[tuple[np.ndarray, list[tuple]]]
         word = START + row[0].decode("utf-8", "surrogatepass")
         own = held.setdefault(len(word), [])
         own.append((word, row))
+        size += len(word)
         if len(own) * len(word) >= BATCH_CHARS or len(word) >= LONG_WORD:
+            size -= len(own) * len(word)
             yield batch(len(word))
+        elif size >= HELD_CHARS:
+            yield from map(batch, list(held))
+            size = 0
     for length in list(held):
         yield batch(length)
 
 
-def long_forward(pieces: Pieces, chars: np.ndarray) -> float:
-    """The last alpha of one long word [1, place], block by block: only the alphas that an arc can reach are held."""
+def long_forward(pieces: Pieces, chars: np.ndarray) -> np.ndarray:
+    """All alphas of one long word [1, place]; arcs are looked up block by block."""
     most, length = max(pieces.tables), chars.shape[1]
-    held = [0.0]  # alphas up to position `at`
+    alpha = np.zeros(length + 1)
     for at in range(0, length, LONG_WORD):
-        low, end = at + 1 - len(held), min(length, at + LONG_WORD)
-        part = chars[:, low:end]
+        low, end = max(0, at - most), min(length, at + LONG_WORD)
+        arcs, by_bytes = pieces.arcs(chars[:, low:end]), pieces.byte_log_p(chars[:, low:end])
+        for j in range(at + 1, end + 1):
+            terms = [alpha[j - 1] + by_bytes[0, j - 1 - low]]
+            terms += [alpha[j - s] + lp[0, j - s - low] for s, (lp, _) in arcs.items() if j - s >= low]
+            top = max(terms)
+            alpha[j] = top + math.log(sum(math.exp(x - top) for x in terms))
+    return alpha
+
+
+def long_expected(pieces: Pieces, chars: np.ndarray) -> np.ndarray:
+    """Expected uses of every piece in one long word [1, place]: alphas forward, then betas and uses block by block back."""
+    most, length = max(pieces.tables), chars.shape[1]
+    alpha, beta = long_forward(pieces, chars), np.zeros(length + 1)
+    uses = np.zeros(pieces.n + 257)
+    for low in range((length - 1) // LONG_WORD * LONG_WORD, -1, -LONG_WORD):
+        end = min(length, low + LONG_WORD)
+        part = chars[:, low : min(length, end + most)]
         arcs, by_bytes = pieces.arcs(part), pieces.byte_log_p(part)
-        alpha = [*held, *[0.0] * (end - at)]
-        for r in range(len(held), len(alpha)):
-            terms = [alpha[r - 1] + by_bytes[0, r - 1]]
-            terms += [alpha[r - s] + lp[0, r - s] for s, (lp, _) in arcs.items() if s <= r]
+        for i in range(end - 1, low - 1, -1):
+            terms = [beta[i + 1] + by_bytes[0, i - low]]
+            terms += [beta[i + s] + lp[0, i - low] for s, (lp, _) in arcs.items() if i - low < lp.shape[1]]
             top = max(terms)
-            alpha[r] = top + math.log(sum(math.exp(x - top) for x in terms))
-        held = alpha[-most:]
-    return held[-1]
+            beta[i] = top + math.log(sum(math.exp(x - top) for x in terms))
+        for s, (lp, piece) in arcs.items():
+            n = min(end - low, lp.shape[1])
+            share = np.exp(alpha[low : low + n] + lp[0, :n] + beta[low + s : low + s + n] - alpha[-1])
+            uses += np.bincount(piece[0, :n], weights=share, minlength=len(uses))
+        share = np.exp(alpha[low:end] + by_bytes[0, : end - low] + beta[low + 1 : end + 1] - alpha[-1])
+        add_bytes(pieces, uses, chars[:, low:end], share)
+    return uses
 
 
 def marginals(pieces: Pieces, chars: np.ndarray) -> np.ndarray:
     """Natural log of M for equally long words."""
     if chars.shape[1] > LONG_WORD:
-        return np.array([long_forward(pieces, row[None, :]) for row in chars])
+        return np.array([long_forward(pieces, row[None, :])[-1] for row in chars])
     return forward(pieces.arcs(chars), pieces.byte_log_p(chars))[:, -1]
 
 
+def add_bytes(pieces: Pieces, uses: np.ndarray, chars: np.ndarray, share: np.ndarray) -> None:
+    """Add the uses of characters' byte pieces."""
+    unique, inverse = np.unique(chars, return_inverse=True)
+    for c, x in zip(unique.tolist(), np.bincount(inverse.ravel(), weights=share.ravel()).tolist(), strict=True):
+        for b in chr(c).encode("utf-8", "surrogatepass"):
+            uses[pieces.n + b] += x
+
+
 def expected(pieces: Pieces, chars: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Expected number of uses of every piece in `counts` copies of the words; long words are cut for that."""
+    """Expected number of uses of every piece in `counts` copies of the words."""
     if chars.shape[1] > LONG_WORD:
-        return sum(expected(pieces, chars[:, at : at + LONG_WORD], counts) for at in range(0, chars.shape[1], LONG_WORD))
+        return sum(n * long_expected(pieces, row[None, :]) for row, n in zip(chars, counts, strict=True))
     arcs, by_bytes = pieces.arcs(chars), pieces.byte_log_p(chars)
     alpha, beta = forward(arcs, by_bytes), backward(arcs, by_bytes)
     base = np.log(counts)[:, None] - alpha[:, -1:]
@@ -187,11 +224,7 @@ def expected(pieces: Pieces, chars: np.ndarray, counts: np.ndarray) -> np.ndarra
         hit = lp > -np.inf
         share = np.exp(alpha[:, : lp.shape[1]] + lp + beta[:, s:] + base)
         uses += np.bincount(piece[hit], weights=share[hit], minlength=len(uses))
-    share = np.exp(alpha[:, :-1] + by_bytes + beta[:, 1:] + base)
-    unique, inverse = np.unique(chars, return_inverse=True)
-    for c, x in zip(unique.tolist(), np.bincount(inverse.ravel(), weights=share.ravel()).tolist(), strict=True):
-        for b in chr(c).encode("utf-8", "surrogatepass"):
-            uses[pieces.n + b] += x
+    add_bytes(pieces, uses, chars, np.exp(alpha[:, :-1] + by_bytes + beta[:, 1:] + base))
     return uses
 
 
@@ -264,7 +297,7 @@ def commonest(words: DataFrame, most: int) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", path: str = VOCABULARY, top_words: int = TOP_WORDS) -> DataFrame:
-    """(id, train, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`; scores are log10."""
+    """(id, train, n_tokens, n_known, train_tokens, base_score, score, lattice_score) of all `docs`; scores are log10."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     docs = docs.select(F.col(id_col).alias("_id"), F.col(train_col).alias("_train"), F.col(text_col).alias("_text"))
     words = written(count_words(docs, "_text", "_train"))
@@ -277,26 +310,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = sc.broadcast(pieces)
     back = discount * distinct / total if total else 1.0
 
-    def logs(c: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(base, score) in log10 for tokens with training counts c and log marginals m."""
+    def logs(c: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(base, score, lattice) in log10 for tokens with training counts c and log marginals m."""
         base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
         seen = np.maximum(c - discount, 0) / max(total, 1)
         sub = np.log(back) + m
-        return base, np.where(seen > 0, np.logaddexp(np.log(np.maximum(seen, 1e-300)), sub), sub) / math.log(10)
+        return base, np.where(seen > 0, np.logaddexp(np.log(np.maximum(seen, 1e-300)), sub), sub) / math.log(10), m / math.log(10)
 
     def weigh(rows: Iterator[tuple]) -> Iterator[tuple]:
         for chars, own in by_length(rows):
             c = np.array([r[1] for r in own], dtype=np.float64)
-            base, score = logs(c, marginals(shared.value, chars))
-            yield from ((r[0], r[1] > 0, r[2], b, s) for r, b, s in zip(own, base.tolist(), score.tolist(), strict=True))
+            parts = logs(c, marginals(shared.value, chars))
+            yield from ((r[0], r[1] > 0, r[2], *x) for r, *x in zip(own, *(p.tolist() for p in parts), strict=True))
 
-    weighed = written(map_rows(words.select("word", "c", "n"), weigh, "word binary, known boolean, n long, base double, score double"))
-    top = commonest(weighed, top_words).toPandas()  # bounded by top_words
-    lookup = sc.broadcast(({w: i for i, w in enumerate(top["word"].map(bytes))}, *(top[c].to_numpy() for c in ("known", "base", "score"))))
-    end_base, end_score = (float(x[0]) for x in logs(np.array([float(ends)]), np.log([pieces.end_probability()])))
+    weighed = written(map_rows(words.select("word", "c", "n"), weigh, "word binary, known boolean, n long, base double, score double, lattice double"))
+    top = commonest(weighed, top_words).where(F.octet_length("word") <= TOP_BYTES).toPandas()  # bounded by top_words x TOP_BYTES
+    lookup = sc.broadcast(({w: i for i, w in enumerate(top["word"].map(bytes))}, *(top[c].to_numpy() for c in ("known", "base", "score", "lattice"))))
+    ends_at = [float(x[0]) for x in logs(np.array([float(ends)]), np.log([pieces.end_probability()]))]
 
     def first(rows: Iterator[tuple]) -> Iterator[tuple]:
-        place, known, base, score = lookup.value
+        place, known, *scores = lookup.value
         get = place.get
         for key, row, train, text in rows:
             words = words_of(text)
@@ -304,14 +337,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             at = np.fromiter((i for i in ids if i is not None), dtype=np.int64)
             rest = Counter(w for w, i in zip(words, ids, strict=True) if i is None) if len(at) < len(ids) else {}
             tail = [{"word": w, "k": k} for w, k in rest.items()]
-            yield key, row, bool(train), len(words) + 1, int(known[at].sum()) + (ends > 0), float(base[at].sum()) + end_base, float(score[at].sum()) + end_score, tail
+            yield key, row, bool(train), len(words) + 1, int(known[at].sum()) + (ends > 0), *(float(x[at].sum()) + e for x, e in zip(scores, ends_at, strict=True)), tail
 
     kind = docs.schema["_id"].dataType.simpleString()
-    fields = f"_id {kind}, row long, train boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word:binary,k:long>>"
+    fields = f"_id {kind}, row long, train boolean, n_tokens long, n_known long, base double, score double, lattice double, tail array<struct<word:binary,k:long>>"
     heads = written(map_rows(docs.select("_id", F.monotonically_increasing_id().alias("row"), "_train", "_text"), first, fields))
     tail = heads.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.k").join(weighed.drop("n"), "word")
     k = F.col("k")
-    tail = tail.groupBy("row").agg(F.sum(F.when(F.col("known"), k).otherwise(0)).alias("k2"), F.sum(k * F.col("base")).alias("b2"), F.sum(k * F.col("score")).alias("s2"))
+    tail = tail.groupBy("row").agg(F.sum(F.when(F.col("known"), k).otherwise(0)).alias("k2"), F.sum(k * F.col("base")).alias("b2"), F.sum(k * F.col("score")).alias("s2"), F.sum(k * F.col("lattice")).alias("l2"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return heads.drop("tail").join(tail, "row", "left").select(
         F.col("_id").alias(id_col),
@@ -321,6 +354,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.lit(total).cast("long").alias("train_tokens"),
         plus("base", "b2").alias("base_score"),
         plus("score", "s2").alias("score"),
+        plus("lattice", "l2").alias("lattice_score"),
     )
 
 
@@ -328,4 +362,4 @@ def op7_lattice_lm(spark, sf_dir: str) -> DataFrame:
     """Score of every document, learnt from those outside the held-out fold (crc32 of the id as text, modulo 5, is 1)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc_mod(F.col("doc_id"), 5) != 1, F.lit(False)).alias("train"))
     out = score_documents(docs)
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")

@@ -51,8 +51,22 @@ def test_long_words_go_block_by_block(monkeypatch):
     for size in (2, 5, 9, 76, 77, 78):
         monkeypatch.setattr(lm, "LONG_WORD", size)
         assert np.allclose(lm.marginals(pieces, chars_of([word])), whole)
-    monkeypatch.setattr(lm, "LONG_WORD", 10)
-    assert lm.expected(pieces, chars_of([word]), np.array([2.0])).sum() > 0
+
+def test_long_words_are_counted_exactly(monkeypatch):
+    pieces = lm.Pieces(SMALL)
+    word = "abcabbccaéb" * 7
+    whole = lm.expected(pieces, chars_of([word, word[::-1]]), np.array([2.0, 1.0]))
+    for size in (2, 5, 9, 76, 77, 78):
+        monkeypatch.setattr(lm, "LONG_WORD", size)
+        assert np.allclose(lm.expected(pieces, chars_of([word, word[::-1]]), np.array([2.0, 1.0])), whole)
+
+
+def test_batches_hold_all_words(monkeypatch):
+    monkeypatch.setattr(lm, "HELD_CHARS", 40)
+    monkeypatch.setattr(lm, "BATCH_CHARS", 25)
+    words = [b"a" * (1 + i * 7 % 9) for i in range(200)] + [b"x" * 3000]
+    got = [r for chars, rows in lm.by_length(iter([(w, i) for i, w in enumerate(words)])) for r in rows if chars.shape == (len(rows), len(rows[0][0]) + 1)]
+    assert sorted(got, key=lambda r: r[1]) == [(w, i) for i, w in enumerate(words)]
 
 
 def test_expected_counts_and_em():
@@ -109,7 +123,7 @@ def test_scores_against_plain_counts(spark):
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), total)
             own = [plain(w) for w in ws]
             assert None in own or math.isclose(r.score, sum(own), rel_tol=1e-6)
-            assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
+            assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0 and r.lattice_score < 0
         assert len(got) == len(texts)
 
 
