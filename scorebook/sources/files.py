@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import tarfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -111,16 +113,29 @@ def archive_members(spark: SparkSession, path: str, suffix: str = ".csv") -> Dat
     return files.mapInPandas(run, "archive string, member string, text string")
 
 
-def csv_lines(members: DataFrame, schema: str) -> DataFrame:
-    """Rows of CSV texts (with a header line) as a schema."""
-    lines = members.select("archive", "member", F.posexplode(F.split(F.regexp_replace("text", r"\s+$", ""), "\r?\n")).alias("n", "line")).where("n > 0")
-    return lines.select("archive", "member", F.from_csv("line", schema).alias("r")).select("archive", "member", "r.*")
+def csv_rows(members: DataFrame, schema: str) -> DataFrame:
+    """Rows of CSV texts by their header line, as a schema; quoted fields may hold commas and line breaks.
+
+    Blanks and what doesn't parse are null, as are columns that a text lacks. A text is held while it is read.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive, member, text in batch.itertuples(index=False):
+                lines = csv.reader(io.StringIO(text, newline=""))
+                header = next(lines, [])
+                held = [dict(zip(header, line, strict=False)) for line in lines if any(line)]
+                yield pd.DataFrame({"archive": archive, "member": member, "r": held}, columns=["archive", "member", "r"])
+
+    rows = members.select("archive", "member", "text").mapInPandas(run, "archive string, member string, r map<string,string>")
+    value = lambda f: null_if_empty(F.col("r")[f.name]).try_cast(f.dataType).alias(f.name)
+    return rows.select("archive", "member", *[value(f) for f in T.StructType.fromDDL(schema).fields])
 
 
 def read_matchups(spark: SparkSession, json_path: str, archive_path: str, schema: str) -> DataFrame:
     """Union of JSON rows and of the rows of CSVs in tar archives."""
     loose = spark.read.schema(schema).json(json_path).withColumns({"archive": F.lit(None).cast("string"), "member": F.col("_metadata.file_path")})
-    return loose.unionByName(csv_lines(archive_members(spark, archive_path), schema))
+    return loose.unionByName(csv_rows(archive_members(spark, archive_path), schema))
 
 
 def latest_snapshots(df: DataFrame, keys: Sequence[str], times: Sequence[str] = ("meta_time", "_modified")) -> DataFrame:
@@ -130,7 +145,7 @@ def latest_snapshots(df: DataFrame, keys: Sequence[str], times: Sequence[str] =
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
     """(path, html, modified) of HTML files, gzipped or not; one row per file."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
@@ -163,8 +178,10 @@ def write_partitions(df: DataFrame, path: str, column: str) -> None:
 
 
 def write_audit(spark: SparkSession, path: str, row: dict[str, str]) -> None:
-    """Append one audit row."""
-    spark.range(1).select(*[F.lit(v).cast("string").alias(k) for k, v in row.items()]).coalesce(1).write.mode("append").json(path)
+    """Append one audit row, as JSON and as Parquet."""
+    one = spark.range(1).select(*[F.lit(v).cast("string").alias(k) for k, v in row.items()]).coalesce(1)
+    one.write.mode("append").json(f"{path}/json")
+    one.write.mode("append").parquet(f"{path}/parquet")
 
 
 def create_table_ddl(name: str, schema: T.StructType, location: str, partitions: Sequence[str] = ()) -> str:
@@ -180,22 +197,46 @@ def register_table(spark: SparkSession, name: str, schema: T.StructType, locatio
         spark.sql(f"MSCK REPAIR TABLE {name}")
 
 
-def publish_snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str, built_at: str, scope: str) -> DataFrame:
-    """Write all tables and a meta table under a folder of its own; returns the meta rows (table, row count, build)."""
-    meta = None
+def publish_snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str, built_at: str, scope: str, seasons: tuple[str, str, str] | None = None) -> DataFrame:
+    """Write all tables to a new folder, validate them, and only then make that build the current one.
+
+    Returns the meta rows (table, row count, build). `seasons`: table with season_year and season_type, those two
+    columns being named; its latest regular season must exist. ValueError names what fails, and readers keep the build
+    that they had: the pointer under `_current` gets its row last, by a commit of its own.
+    """
+    build, meta = f"{path}/builds/{uuid.uuid4().hex}", None
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        one = spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
+        df.write.parquet(f"{build}/{name}")
+        one = spark.read.parquet(f"{build}/{name}").agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
         meta = one if meta is None else meta.unionByName(one)
-    meta = meta.withColumns({"built_at": F.lit(built_at), "scope_version": F.lit(scope)})
-    meta.write.mode("overwrite").parquet(f"{path}/_snapshot_meta")
-    return spark.read.parquet(f"{path}/_snapshot_meta")
+    meta.withColumns({"built_at": F.lit(built_at), "scope_version": F.lit(scope)}).write.parquet(f"{build}/_snapshot_meta")
+    meta = spark.read.parquet(f"{build}/_snapshot_meta")
+    latest = latest_regular_season(spark.read.parquet(f"{build}/{seasons[0]}"), *seasons[1:]) if seasons else None
+    bad = [f"{r.table_name} {r.status}" for r in validate_snapshot(meta, list(tables), latest).where("status != 'ok'").collect()]  # a row per table
+    if bad:
+        raise ValueError(f"not published: {', '.join(bad)}")
+    spark.range(1).select(F.lit(build).alias("build"), F.lit(built_at).alias("built_at"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{path}/_current")
+    return meta
+
+
+def read_snapshot(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of the current build."""
+    build = spark.read.parquet(f"{path}/_current").agg(F.max_by("build", F.struct("at", "built_at"))).first()[0]
+    return spark.read.parquet(f"{build}/{table}")
+
+
+def latest_regular_season(rows: DataFrame, year: str = "season_year", kind: str = "season_type", regular: str = "Regular Season") -> DataFrame:
+    """One row: the latest season of that kind, or null."""
+    return rows.agg(F.max(F.when(F.col(kind) == regular, F.col(year))).cast("string").alias("season"))
 
 
-def validate_snapshot(meta: DataFrame, required: Sequence[str]) -> DataFrame:
-    """(table, status): ok, empty or missing, for each required table."""
+def validate_snapshot(meta: DataFrame, required: Sequence[str], latest: DataFrame | None = None) -> DataFrame:
+    """(table, status): ok, empty or missing, for each required table and, with `latest`, the latest regular season."""
     want = meta.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in required])).alias("table_name"))
-    return want.join(meta, "table_name", "left").select("table_name", F.when(F.col("row_count").isNull(), "missing").when(F.col("row_count") == 0, "empty").otherwise("ok").alias("status"))
+    out = want.join(meta, "table_name", "left").select("table_name", F.when(F.col("row_count").isNull(), "missing").when(F.col("row_count") == 0, "empty").otherwise("ok").alias("status"))
+    if latest is None:
+        return out
+    return out.unionByName(latest.select(F.lit("latest_regular_season").alias("table_name"), F.when(F.col("season").isNull(), "missing").otherwise("ok").alias("status")))
 
 
 def is_current(spark: SparkSession, tables: dict[str, Sequence[str]]) -> bool:

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def new_folder(spark: SparkSession, prefix: str = "layer") -> str:
+    """A new folder path that driver and executors share; the cluster names the root in spark.checkpoint.dir."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.gettempdir() + "/checkpoints")
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{prefix}-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -13,11 +25,6 @@ def stored(df: DataFrame) -> DataFrame:
     Layers that many results build on (enriched events, stints, possessions) are worked out once that way; the files
     outlive lost executors.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:  # only a single machine, as in tests, leaves it unset
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-        root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/layer-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -164,7 +164,7 @@ def test_files(spark, tmp_path, rows):
         info = tarfile.TarInfo("in/a.csv")
         info.size = len(raw)
         tar.addfile(info, io.BytesIO(raw))
-    assert rows(files.csv_lines(files.archive_members(spark, str(tmp_path / "m.tar.xz")), "k int, v string"), "k", "v") == [(1, "x"), (2, "y")]
+    assert rows(files.csv_rows(files.archive_members(spark, str(tmp_path / "m.tar.xz")), "k int, v string"), "k", "v") == [(1, "x"), (2, "y")]
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     files.write_table(df, str(tmp_path / "t"), df.schema)
     files.write_partitions(df, str(tmp_path / "pt"), "v")
@@ -172,8 +172,18 @@ def test_files(spark, tmp_path, rows):
     assert rows(files.read_partitions(spark, str(tmp_path / "pt"), "v", ["a", "b"]), "k") == [(2,), (9,)]
     with pytest.raises(ValueError):
         files.read_table(spark, str(tmp_path / "t"), ["k", "missing"])
-    meta = files.publish_snapshot(spark, {"t": df, "e": df.limit(0)}, str(tmp_path / "snap"), "now", "v1")
-    assert dict(rows(files.validate_snapshot(meta, ["t", "e", "q"]))) == {"t": "ok", "e": "empty", "q": "missing"}
+    (tmp_path / "h.html").write_text("<p>\ntwo lines\n</p>")
+    assert rows(files.read_html(spark, str(tmp_path / "h.html")), "html") == [("<p>\ntwo lines\n</p>",)]
+    snap, seasons = str(tmp_path / "snap"), spark.createDataFrame([("2023-24", "Regular Season"), ("2024-25", "Playoffs")], "season_year string, season_type string")
+    meta = files.publish_snapshot(spark, {"t": df, "s": seasons}, snap, "now", "v1", ("s", "season_year", "season_type"))
+    assert rows(files.latest_regular_season(seasons)) == [("2023-24",)]
+    assert dict(rows(files.validate_snapshot(meta, ["t", "q"], files.latest_regular_season(seasons.limit(0))))) == {"t": "ok", "q": "missing", "latest_regular_season": "missing"}
+    for bad in ({"t": df.limit(0)}, {"t": df, "s": seasons.where("season_type = 'Playoffs'")}):
+        with pytest.raises(ValueError):
+            files.publish_snapshot(spark, bad, snap, "later", "v2", ("s", "season_year", "season_type") if "s" in bad else None)
+    assert rows(files.read_snapshot(spark, snap, "t")) == [(1, "a"), (2, "b")]
+    quoted = spark.createDataFrame([("a", "m", 'k,v\n1,"x, y\nz"\n\n2,\n')], "archive string, member string, text string")
+    assert rows(files.csv_rows(quoted, "k int, v string, w date"), "k", "v", "w") == [(1, "x, y\nz", None), (2, None, None)]
     assert "PARTITIONED BY (`v`)" in files.create_table_ddl("x", df.schema, "/p", ["v"])
     assert set(files.LINEAGE) <= set(files.with_lineage(df, "r", "s", "1", "2024-01-01").columns)
     assert rows(files.typed(spark.createDataFrame([("7", "x"), ("q", "y")], "k string, v string"), df.schema), "k") == [(7,), (None,)]
