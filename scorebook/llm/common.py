@@ -110,15 +110,17 @@ def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "left", h
     """Join `left` (stored, any skew) to `right` (one row per key) without sending a hot key to one task.
 
     Keys that hold at least HOT_SHARE of the left rows number at most 1 / HOT_SHARE; only their right rows are
-    broadcast. All other keys take an ordinary shuffle join. `how` is left or inner. `hot`: those keys, stored, if known.
+    broadcast. All other keys take an ordinary shuffle join. `how` is left or inner. `hot`: those keys, if known.
     """
     if hot is None:
         counts = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
-        hot = written(counts.where(F.col("_n") >= least_hot(left.count())).select(on))
-    keys = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
-    head = left.join(keys, on, "left_semi").join(F.broadcast(right.join(keys, on, "left_semi")), on, how)
-    rest = left.join(keys, on, "left_anti").join(right, on, how)
-    return head.unionByName(rest)
+        hot = counts.where(F.col("_n") >= least_hot(left.count())).select(on)
+    keys = [r[0] for r in hot.collect()]  # at most 1 / HOT_SHARE rows
+    if not keys:
+        return left.join(right, on, how)
+    is_hot = F.coalesce(F.col(on).isin(*keys), F.lit(False))
+    head = left.where(is_hot).join(F.broadcast(right.where(is_hot)), on, how)
+    return head.unionByName(left.where(~is_hot).join(right, on, how))
 
 
 def least_hot(rows: int) -> int:

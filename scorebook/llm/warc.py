@@ -92,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     headers = written(records.drop("payload"))
     groups = written(resolve_revisits(headers))
     largest, n = headers.agg(F.coalesce(F.max("payload_bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = written(groups.where(F.col("n") >= least_hot(n)).select("payload_digest"))
+    hot = groups.where(F.col("n") >= least_hot(n)).select("payload_digest")
     small = records.where(F.col("payload_bytes") < LEAST_BYTES).withColumns({"original": F.lit(None).cast(records.schema["page_id"].dataType), "original_url": F.lit(None).cast("string")})
     typed = small.unionByName(join_unique(records.where(F.col("payload_bytes") >= LEAST_BYTES), groups.drop("n"), "payload_digest", hot=hot))
     typed = typed.withColumn("refers_to", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original")))
