@@ -19,22 +19,97 @@ from scorebook.operators.relational import best_row, opponents
 SHOTS = ("field_goals_made", "field_goals_attempted", "two_pointers_made", "two_pointers_attempted", "three_pointers_made", "three_pointers_attempted", "free_throws_made", "free_throws_attempted")
 FOULS = ("offensive_fouls_committed", "personal_fouls_committed", "technical_fouls_committed", "fouls_drawn", "fast_break_points", "points_in_paint", "second_chance_points")
 COUNTS = ("points", "assists", "turnovers", "total_rebounds", "offensive_rebounds", "defensive_rebounds", "steals", "blocks", *FOULS, *SHOTS)
-RATES = ("offensive_rating", "defensive_rating", "assist_percentage", "usage_percentage", "offensive_rebound_percentage", "defensive_rebound_percentage", "rebound_percentage", "block_percentage")
-GAME_KEYS = "season_year string, season_type string, game_date date, game_start_time_utc timestamp"
-
-_longs = lambda names: ", ".join(f"{n} long" for n in names)
-_doubles = lambda names: ", ".join(f"{n} double" for n in names)
-_season = f"games_played long, games_started long, minutes_total double, plus_minus_total long, {_longs(f'{c}_total' for c in COUNTS)}, opponent_blocks_total long, {_doubles(('offensive_possessions_total', 'defensive_possessions_total', 'pace', 'net_rating', *RATES))}"
+# Columns and types of the nine tables, in order.
 SCHEMAS = {
-    "player": "person_id long, full_name string, first_name string, last_name string, primary_position string, position_group string, latest_team_id long, latest_jersey_number string, birth_date date, school string, country string, height_inches long, weight_lbs long, draft_year long, draft_round long, draft_pick_number long",
-    "team": "team_id long, team_name string, team_city string, team_state string, team_country string, team_abbreviation string, conference string, division string",
-    "arena": "arena_id long, arena_name string, arena_city string, arena_state string, arena_country string, arena_timezone string",
-    "game": f"game_id string, {GAME_KEYS}, arena_id long, home_team_id long, away_team_id long",
-    "player_game": f"game_id string, person_id long, team_id long, opponent_team_id long, {GAME_KEYS}, team_home_or_away string, is_starter boolean, win_loss_result string, minutes_played double, plus_minus long, {_longs(COUNTS)}, opponent_blocks long, {_doubles(('offensive_possessions', 'defensive_possessions', *RATES))}",
-    "team_game": f"game_id string, team_id long, opponent_team_id long, {GAME_KEYS}, team_home_or_away string, win_loss_result string, minutes_played double, {_longs(x for c in COUNTS for x in (c, f'opponent_{c}'))}, offensive_possessions double, defensive_possessions double, block_percentage double",
-    "player_season": f"person_id long, season_year string, season_type string, age_on_jan_31 long, team_count long, is_multi_team_season boolean, {_season}",
-    "player_season_team": f"person_id long, team_id long, season_year string, season_type string, {_season}",
-    "team_season": f"team_id long, season_year string, season_type string, wins long, losses long, minutes_total double, {_longs(x for c in COUNTS for x in (f'{c}_total', f'opponent_{c}_total'))}, {_doubles(('offensive_possessions_total', 'defensive_possessions_total', 'pace', 'offensive_rating', 'defensive_rating', 'net_rating'))}",
+    "player": """
+        person_id long, full_name string, first_name string, last_name string, primary_position string, position_group string,
+        latest_team_id long, latest_jersey_number string, birth_date date, school string, country string,
+        height_inches long, weight_lbs long, draft_year long, draft_round long, draft_pick_number long
+    """,
+    "team": """
+        team_id long, team_name string, team_city string, team_state string, team_country string, team_abbreviation string,
+        conference string, division string
+    """,
+    "arena": """
+        arena_id long, arena_name string, arena_city string, arena_state string, arena_country string, arena_timezone string
+    """,
+    "game": """
+        game_id string, season_year string, season_type string, game_date date, game_start_time_utc timestamp,
+        arena_id long, home_team_id long, away_team_id long
+    """,
+    "player_game": """
+        game_id string, person_id long, team_id long, opponent_team_id long, season_year string, season_type string,
+        game_date date, game_start_time_utc timestamp, team_home_or_away string, is_starter boolean, win_loss_result string,
+        minutes_played double, plus_minus long, points long, assists long, turnovers long,
+        total_rebounds long, offensive_rebounds long, defensive_rebounds long, steals long, blocks long, opponent_blocks long,
+        offensive_fouls_committed long, personal_fouls_committed long, technical_fouls_committed long, fouls_drawn long,
+        fast_break_points long, points_in_paint long, second_chance_points long,
+        field_goals_made long, field_goals_attempted long, two_pointers_made long, two_pointers_attempted long,
+        three_pointers_made long, three_pointers_attempted long, free_throws_made long, free_throws_attempted long,
+        offensive_possessions double, defensive_possessions double, offensive_rating double, defensive_rating double,
+        assist_percentage double, usage_percentage double, offensive_rebound_percentage double,
+        defensive_rebound_percentage double, rebound_percentage double, block_percentage double
+    """,
+    "team_game": """
+        game_id string, team_id long, opponent_team_id long, season_year string, season_type string, game_date date,
+        game_start_time_utc timestamp, team_home_or_away string, win_loss_result string, minutes_played double,
+        score long, opponent_score long, assists long, opponent_assists long, turnovers long, opponent_turnovers long,
+        total_rebounds long, offensive_rebounds long, defensive_rebounds long,
+        opponent_total_rebounds long, opponent_offensive_rebounds long, opponent_defensive_rebounds long,
+        steals long, opponent_steals long, blocks long, opponent_blocks long,
+        offensive_fouls_committed long, opponent_offensive_fouls_committed long,
+        personal_fouls_committed long, opponent_personal_fouls_committed long,
+        technical_fouls_committed long, opponent_technical_fouls_committed long, fouls_drawn long, opponent_fouls_drawn long,
+        fast_break_points long, opponent_fast_break_points long, points_in_paint long, opponent_points_in_paint long,
+        second_chance_points long, opponent_second_chance_points long,
+        points_off_turnovers long, opponent_points_off_turnovers long,
+        field_goals_made long, field_goals_attempted long, opponent_field_goals_made long, opponent_field_goals_attempted long,
+        two_pointers_made long, two_pointers_attempted long, opponent_two_pointers_made long, opponent_two_pointers_attempted long,
+        three_pointers_made long, three_pointers_attempted long,
+        opponent_three_pointers_made long, opponent_three_pointers_attempted long,
+        free_throws_made long, free_throws_attempted long, opponent_free_throws_made long, opponent_free_throws_attempted long,
+        offensive_possessions double, defensive_possessions double, block_percentage double
+    """,
+    "player_season": """
+        person_id long, season_year string, season_type string, age_on_jan_31 long, team_count long, is_multi_team_season boolean,
+        games_played long, games_started long, minutes_total double, plus_minus_total long,
+        points_total long, assists_total long, turnovers_total long,
+        rebounds_total long, offensive_rebounds_total long, defensive_rebounds_total long,
+        steals_total long, blocks_total long, opponent_blocks_total long,
+        offensive_fouls_committed_total long, personal_fouls_committed_total long, technical_fouls_committed_total long,
+        fouls_drawn_total long, fast_break_points_total long, points_in_paint_total long, second_chance_points_total long,
+        field_goals_made_total long, field_goals_attempted_total long, two_pointers_made_total long,
+        two_pointers_attempted_total long, three_pointers_made_total long, three_pointers_attempted_total long,
+        free_throws_made_total long, free_throws_attempted_total long,
+        offensive_possessions_total double, defensive_possessions_total double, pace double,
+        offensive_rating double, defensive_rating double, net_rating double, assist_percentage double, usage_percentage double,
+        offensive_rebound_percentage double, defensive_rebound_percentage double, rebound_percentage double, block_percentage double
+    """,
+    "player_season_team": """
+        person_id long, team_id long, season_year string, season_type string, games_played long, games_started long,
+        minutes_total double, points_total long, assists_total long,
+        rebounds_total long, offensive_rebounds_total long, defensive_rebounds_total long,
+        steals_total long, blocks_total long, opponent_blocks_total long, turnovers_total long, plus_minus_total long,
+        offensive_fouls_committed_total long, personal_fouls_committed_total long, technical_fouls_committed_total long,
+        fouls_drawn_total long, fast_break_points_total long, points_in_paint_total long, second_chance_points_total long,
+        field_goals_made_total long, field_goals_attempted_total long, two_pointers_made_total long,
+        two_pointers_attempted_total long, three_pointers_made_total long, three_pointers_attempted_total long,
+        free_throws_made_total long, free_throws_attempted_total long,
+        offensive_possessions_total double, defensive_possessions_total double, pace double,
+        offensive_rating double, defensive_rating double, net_rating double, assist_percentage double, usage_percentage double,
+        offensive_rebound_percentage double, defensive_rebound_percentage double, rebound_percentage double, block_percentage double
+    """,
+    "team_season": """
+        team_id long, season_year string, season_type string, games_played long, wins long, losses long,
+        minutes long, minutes_per_game double, points_total long, assists_total long, turnovers_total long,
+        rebounds_total long, offensive_rebounds_total long, defensive_rebounds_total long, steals_total long, blocks_total long,
+        offensive_fouls_committed_total long, personal_fouls_committed_total long, technical_fouls_committed_total long,
+        fouls_drawn_total long, field_goals_made_total long, field_goals_attempted_total long,
+        two_pointers_made_total long, two_pointers_attempted_total long, three_pointers_made_total long,
+        three_pointers_attempted_total long, free_throws_made_total long, free_throws_attempted_total long,
+        offensive_possessions double, defensive_possessions double, pace double, defensive_rating double, net_rating double,
+        offensive_rebound_percentage double, defensive_rebound_percentage double, rebound_percentage double, block_percentage double
+    """,
 }
 KEYS = {
     "player": ("person_id",), "team": ("team_id",), "arena": ("arena_id",), "game": ("game_id",), "player_game": ("game_id", "person_id"), "team_game": ("game_id", "team_id"),
@@ -42,9 +117,14 @@ KEYS = {
 }
 
 
+def fields_of(table: str) -> list[list[str]]:
+    """[name, type] of the table's columns."""
+    return [x.split() for x in SCHEMAS[table].split(",")]
+
+
 def conformed(df: DataFrame, table: str) -> DataFrame:
     """The table's columns and types, one best row per key, no null keys; missing columns are null."""
-    fields = [x.split(" ") for x in SCHEMAS[table].split(", ")]
+    fields = fields_of(table)
     out = df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
     return best_row(out.dropna(subset=list(KEYS[table])), KEYS[table])
 
@@ -55,7 +135,7 @@ def player(events: DataFrame, profiles: DataFrame, time: str = "event_time") ->
     latest = current_profile(events, "person_id", time, columns, "season_year").drop("first_season", "last_season")
     p = profiles.select("person_id", *[F.col(c).alias(f"_{c}") for c in profiles.columns if c != "person_id"])
     j = latest.join(p, "person_id", "full_outer")
-    names = [x.split(" ")[0] for x in SCHEMAS["player"].split(", ")][1:]
+    names = [n for n, _ in fields_of("player")][1:]
     pick = lambda c: F.coalesce(*[F.col(x) for x in (c, f"_{c}") if x in j.columns], F.lit(None))
     out = j.select("person_id", *[pick(c).alias(c) for c in names])
     return conformed(out.withColumn("position_group", F.coalesce(null_if_empty(F.col("position_group")), position_group(F.col("primary_position")))), "player")
@@ -67,7 +147,7 @@ def team(events: DataFrame, histories: DataFrame, cities: dict[str, str] | None
     latest = current_profile(events, "team_id", time, columns, "season_year").drop("first_season", "last_season")
     h = best_row(histories, ["team_id"]).select("team_id", *[F.col(c).alias(f"_{c}") for c in histories.columns if c != "team_id"])
     j = latest.join(h, "team_id", "full_outer")
-    names = [x.split(" ")[0] for x in SCHEMAS["team"].split(", ")][1:]
+    names = [n for n, _ in fields_of("team")][1:]
     out = j.select("team_id", *[F.coalesce(*[F.col(x) for x in (c, f"_{c}") if x in j.columns], F.lit(None)).cast("string").alias(c) for c in names])
     if cities:
         usual = F.create_map(*[F.lit(x) for pair in cities.items() for x in pair])
@@ -110,18 +190,20 @@ def player_game(facts: DataFrame, possessions: DataFrame, opportunities: DataFra
 def team_game(facts: DataFrame, possessions: DataFrame) -> DataFrame:
     """Team rows with their opponent's statistics side by side; statistics that the facts lack are null.
 
-    possessions: game_id, team_id and the two counts.
+    possessions: game_id, team_id and the two counts. A score that the facts lack is the points.
     """
     own = facts.withColumns({"two_pointers_made": F.col("field_goals_made") - F.col("three_pointers_made"), "two_pointers_attempted": F.col("field_goals_attempted") - F.col("three_pointers_attempted")})
-    side = "team_home_or_away"
-    j = opponents(own, "game_id", "team_id", side, [c for c in COUNTS if c in own.columns]).join(possessions, ["game_id", "team_id"], "left")
+    if "score" not in own.columns:
+        own = own.withColumn("score", F.col("points"))
+    shared = [c for c in ("score", "points_off_turnovers", *COUNTS[1:]) if c in own.columns]
+    j = opponents(own, "game_id", "team_id", "team_home_or_away", shared).join(possessions, ["game_id", "team_id"], "left")
     blocks = percent(F.col("blocks"), F.col("opponent_two_pointers_attempted")) if "blocks" in own.columns else F.lit(None).cast("double")
     return conformed(j.withColumn("block_percentage", blocks), "team_game")
 
 
 def _season_sums(games: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
     total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
-    sums = {f"{c}_total": total(c) for c in counts if c in games.columns}
+    sums = {f"{c.removeprefix('total_') if c == 'total_rebounds' else c}_total": total(c) for c in counts if c in games.columns}
     sums |= {"minutes_total": total("minutes_played"), "offensive_possessions_total": total("offensive_possessions"), "defensive_possessions_total": total("defensive_possessions")}
     return games.dropna(subset=list(keys)), sums
 
@@ -157,15 +239,42 @@ def player_season(games: DataFrame, players: DataFrame) -> DataFrame:
     return conformed(out.withColumn("is_multi_team_season", F.col("team_count") > 1), "player_season")
 
 
-def team_season(games: DataFrame) -> DataFrame:
-    """Season sums of team_game rows for the team and its opponents, wins, losses, pace and ratings."""
+def team_season_sums(games: DataFrame) -> DataFrame:
+    """Season sums of team_game rows for the team and (opponent_) its opponents, wins, losses, pace and ratings.
+
+    Ratings are per hundred possessions, of which a team has half of those at both ends.
+    """
     keys = KEYS["team_season"]
-    rows, sums = _season_sums(games, keys, [x for c in COUNTS for x in (c, f"opponent_{c}")])
-    n = lambda r: F.sum((F.col("win_loss_result") == r).cast("long"))
-    out = rows.groupBy(*keys).agg(n("win").alias("wins"), n("loss").alias("losses"), *[c.alias(x) for x, c in sums.items()])
-    poss = (F.col("offensive_possessions_total") + F.col("defensive_possessions_total")) / 2
-    off, de = rating(F.col("points_total"), F.col("offensive_possessions_total")), rating(F.col("opponent_points_total"), F.col("defensive_possessions_total"))
-    return conformed(out.withColumns({"pace": F.round(ratio(240 * poss, F.col("minutes_total")), 1), "offensive_rating": F.round(off, 1), "defensive_rating": F.round(de, 1), "net_rating": F.round(off - de, 1)}), "team_season")
+    names = ("score", *COUNTS[1:])
+    rows, sums = _season_sums(games, keys, [x for c in names for x in (c, f"opponent_{c}")])
+    n = lambda r: F.sum(F.when(F.col("win_loss_result") == r, 1).otherwise(0)).cast("long")
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("games_played"), n("win").alias("wins"), n("loss").alias("losses"), *[c.alias(x) for x, c in sums.items()])
+    out = out.withColumnsRenamed({"score_total": "points_total", "opponent_score_total": "opponent_points_total", "opponent_total_rebounds_total": "opponent_rebounds_total"})
+    both = F.col("offensive_possessions_total") + F.col("defensive_possessions_total")
+    poss = F.when(both > 0, both / 2)
+    off, de = rating(F.col("points_total"), poss), rating(F.col("opponent_points_total"), poss)
+    return out.withColumns({"pace": F.round(ratio(240 * poss, F.col("minutes_total")), 1), "offensive_rating": F.round(off, 1), "defensive_rating": F.round(de, 1), "net_rating": F.round(off - de, 1)})
+
+
+def team_season(games: DataFrame, shots: DataFrame | None = None) -> DataFrame:
+    """The team-season table of team_game rows.
+
+    shots: game_id, team_id, opponent_two_point_attempts, for the share of blocked shots (else null).
+    """
+    keys = list(KEYS["team_season"])
+    out = team_season_sums(games)
+    if shots is not None:
+        tried = games.select("game_id", *keys).join(shots, ["game_id", "team_id"]).groupBy(*keys).agg(F.sum("opponent_two_point_attempts").alias("_tried"))
+        out = out.join(tried, keys, "left")
+    t = lambda c: F.col(f"{c}_total")
+    share = lambda own, other: percent(t(own), t(own) + t(f"opponent_{other}"))
+    some = lambda c: F.when(t(c) > 0, F.round(t(c), 1))
+    return conformed(out.withColumns({
+        "minutes": F.when(t("minutes") > 0, F.round(t("minutes") / 5).cast("long")), "minutes_per_game": F.round(ratio(t("minutes") / 5, F.col("games_played")), 1),
+        "offensive_possessions": some("offensive_possessions"), "defensive_possessions": some("defensive_possessions"),
+        "offensive_rebound_percentage": share("offensive_rebounds", "defensive_rebounds"), "defensive_rebound_percentage": share("defensive_rebounds", "offensive_rebounds"), "rebound_percentage": share("rebounds", "rebounds"),
+        "block_percentage": percent(t("blocks"), F.col("_tried")) if shots is not None else F.lit(None).cast("double"),
+    }), "team_season")
 
 
 def advanced_player_season(season: DataFrame, team_context: DataFrame, percentiles: DataFrame | None = None, keys: Sequence[str] = KEYS["player_season"]) -> DataFrame:
@@ -192,7 +301,7 @@ def advanced_player_season(season: DataFrame, team_context: DataFrame, percentil
 
 
 def advanced_team_season(season: DataFrame, percentiles: DataFrame | None = None, keys: Sequence[str] = KEYS["team_season"]) -> DataFrame:
-    """A team season with shooting, ball and rebound measures for the team and its opponents."""
+    """Team season sums with shooting, ball and rebound measures for the team and its opponents."""
     t = lambda c: F.col(f"{c}_total")
     add = {"win_percentage": percent(F.col("wins"), F.col("wins") + F.col("losses"))}
     for p, o in (("", "opponent_"), ("opponent_", "")):

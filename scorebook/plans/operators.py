@@ -599,44 +599,111 @@ def filtered_work(t, spark, d):
 # ---------------------------------------------------------------- clean tables
 
 
+# statistics of a team's game, in the SQL that both engines have
+TEAM_STATS = {
+    "points": "sum(l_quantity)", "assists": "sum(l_partkey % 4)", "turnovers": "sum(l_partkey % 3)", "total_rebounds": "sum(l_partkey % 9)", "offensive_rebounds": "sum(l_partkey % 5)", "defensive_rebounds": "sum(l_linenumber % 4)",
+    "steals": "sum(l_linenumber % 3)", "blocks": "sum(l_linenumber % 2)", "fouls_drawn": "sum(l_suppkey % 6)", "points_off_turnovers": "sum(l_partkey % 7)", "field_goals_made": "count(*)", "field_goals_attempted": "sum(l_linenumber + 3)",
+    "three_pointers_made": "sum(l_partkey % 2)", "three_pointers_attempted": "sum(l_partkey % 4)", "free_throws_made": "sum(l_suppkey % 2)", "free_throws_attempted": "sum(l_suppkey % 3)",
+}
+
+
 def team_facts(t) -> DataFrame:
     """Team games as the clean tables take them: an order's suppliers, with sums of their lines."""
-    per = t["lineitem"].groupBy(F.col("l_orderkey").cast("string").alias("game_id"), F.col("l_suppkey").alias("team_id")).agg(F.sum("l_quantity").cast("long").alias("points"), F.count(F.lit(1)).alias("field_goals_made"), F.sum("l_linenumber").cast("long").alias("field_goals_attempted"), F.year(F.min("l_date")).cast("string").alias("season_year"))
+    stats = [F.expr(x).cast("long").alias(c) for c, x in TEAM_STATS.items()]
+    per = t["lineitem"].groupBy(F.col("l_orderkey").cast("string").alias("game_id"), F.col("l_suppkey").alias("team_id")).agg(*stats, F.year(F.min("l_date")).cast("string").alias("season_year"))
     home = F.when(F.col("team_id") % 2 == 0, "home").otherwise("away")
-    out = per.withColumns({"three_pointers_made": F.lit(0), "three_pointers_attempted": F.lit(0), "season_type": F.lit("Regular Season"), "team_home_or_away": home, "minutes_played": F.lit(240.0)})
+    out = per.withColumns({"season_type": F.lit("Regular Season"), "team_home_or_away": home, "minutes_played": F.lit(240.0)})
     sides = r.opponents(out, "game_id", "team_id", "team_home_or_away", ["points"])
     result = F.when(F.col("points") > F.col("opponent_points"), "win").when(F.col("points") < F.col("opponent_points"), "loss")
     return sides.withColumn("win_loss_result", result).drop("opponent_points", "opponent_team_id", "opponent_team_home_or_away")
 
 
-CLEAN = """
-(WITH p AS (SELECT CAST(l_orderkey AS VARCHAR) AS game_id, l_suppkey AS team_id, CAST(sum(l_quantity) AS BIGINT) AS points, count(*) AS made, CAST(sum(l_linenumber) AS BIGINT) AS tried, CAST(year(min(l_shipdate)) AS VARCHAR) AS season_year, CASE WHEN l_suppkey % 2 = 0 THEN 'home' ELSE 'away' END AS side FROM lineitem GROUP BY ALL),
-j AS (SELECT a.*, b.team_id AS opponent_team_id, b.points AS opponent_points, row_number() OVER (PARTITION BY a.game_id, a.team_id ORDER BY CASE WHEN a.side <> b.side THEN 0 ELSE 1 END, b.team_id) AS k FROM p a JOIN p b ON a.game_id = b.game_id AND a.team_id <> b.team_id)
-SELECT *, CASE WHEN points > opponent_points THEN 'win' WHEN points < opponent_points THEN 'loss' END AS result FROM j WHERE k = 1)
+def team_games(t) -> DataFrame:
+    f = team_facts(t)
+    return semantic.team_game(f, f.select("game_id", "team_id", F.lit(100.0).alias("offensive_possessions"), (F.col("assists") + 90.0).alias("defensive_possessions")))
+
+
+def all_columns(table: str, known: dict[str, str]) -> str:
+    """A select list of the table's columns: the known ones by their SQL, the others null."""
+    kinds = {"long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
+    return ", ".join(f"CAST({known.get(n, 'NULL')} AS {kinds[k]}) AS {n}" for n, k in semantic.fields_of(table))
+
+
+GAME_STATS = {**{c: c for c in TEAM_STATS}, "score": "points", "two_pointers_made": "field_goals_made - three_pointers_made", "two_pointers_attempted": "field_goals_attempted - three_pointers_attempted"}
+CLEAN = f"""
+(WITH p AS (SELECT CAST(l_orderkey AS VARCHAR) AS game_id, l_suppkey AS team_id, {", ".join(f"CAST({x} AS BIGINT) AS {c}" for c, x in TEAM_STATS.items())}, CAST(year(min(l_shipdate)) AS VARCHAR) AS season_year, CASE WHEN l_suppkey % 2 = 0 THEN 'home' ELSE 'away' END AS side FROM lineitem GROUP BY ALL),
+j AS (SELECT a.*, b.team_id AS opponent_team_id, b AS o, row_number() OVER (PARTITION BY a.game_id, a.team_id ORDER BY CASE WHEN a.side <> b.side THEN 0 ELSE 1 END, b.team_id) AS k FROM p a JOIN p b ON a.game_id = b.game_id AND a.team_id <> b.team_id)
+SELECT {all_columns("team_game", {"game_id": "game_id", "team_id": "team_id", "opponent_team_id": "opponent_team_id", "season_year": "season_year", "season_type": "'Regular Season'", "team_home_or_away": "side", "win_loss_result": "CASE WHEN points > o.points THEN 'win' WHEN points < o.points THEN 'loss' END", "minutes_played": "240", "offensive_possessions": "100", "defensive_possessions": "assists + 90", "block_percentage": "round(100 * (CAST(blocks AS DOUBLE) / nullif(o.field_goals_attempted - o.three_pointers_attempted, 0)), 1)"} | {n: x for c, x in GAME_STATS.items() for n, x in ((c, x), (f"opponent_{c}", " - ".join(f"o.{y}" for y in x.split(" - "))))})} FROM j WHERE k = 1)
 """
 
 
-@query(f"SELECT game_id, team_id, opponent_team_id, season_year, side AS team_home_or_away, result AS win_loss_result, points, opponent_points, made AS two_pointers_made, tried AS field_goals_attempted FROM {CLEAN}")
+@query(CLEAN.strip()[1:-1])
 def clean_team_game(t, spark, d):
     """The team-game table, with opponents side by side."""
-    f = team_facts(t)
-    poss = f.select("game_id", "team_id", F.lit(100.0).alias("offensive_possessions"), F.lit(100.0).alias("defensive_possessions"))
-    return semantic.team_game(f, poss).select("game_id", "team_id", "opponent_team_id", "season_year", "team_home_or_away", "win_loss_result", "points", "opponent_points", "two_pointers_made", "field_goals_attempted")
+    return team_games(t)
+
+
+SEASON_SUMS = [c for c in ("score", *semantic.COUNTS[1:])]
+TEAM_SEASON = f"""
+(WITH s AS (SELECT team_id, season_year, season_type, count(*) AS games, count(*) FILTER (win_loss_result = 'win') AS w, count(*) FILTER (win_loss_result = 'loss') AS l, sum(minutes_played) AS minutes, sum(offensive_possessions) AS off, sum(defensive_possessions) AS def, {", ".join(f"sum(coalesce({p}{c}, 0)) AS {p}{c}" for c in SEASON_SUMS for p in ("", "opponent_"))}, sum(score + 7) AS tried FROM {CLEAN} GROUP BY ALL)
+SELECT *, (off + def) / 2 AS poss FROM s)
+"""
+_share = lambda own, other: f"round(100 * (CAST({own} AS DOUBLE) / nullif({own} + opponent_{other}, 0)), 1)"
 
 
-@query(f"SELECT team_id, season_year, count(*) FILTER (result = 'win') AS wins, count(*) FILTER (result = 'loss') AS losses, CAST(sum(points) AS BIGINT) AS points_total, CAST(sum(opponent_points) AS BIGINT) AS opponent_points_total, round(100 * (CAST(sum(made) AS DOUBLE) / sum(tried)), 1) AS effective_field_goal_percentage, CAST(count(*) * 240.0 AS DOUBLE) AS minutes_total FROM {CLEAN} GROUP BY ALL")
+@query(f"""
+SELECT {all_columns("team_season", {"team_id": "team_id", "season_year": "season_year", "season_type": "season_type", "games_played": "games", "wins": "w", "losses": "l", "minutes": "round(minutes / 5)", "minutes_per_game": "round(minutes / 5 / games, 1)", "points_total": "score", "rebounds_total": "total_rebounds",
+  "offensive_possessions": "round(off, 1)", "defensive_possessions": "round(def, 1)", "pace": "round(240 * poss / minutes, 1)", "defensive_rating": "round(100 * opponent_score / poss, 1)", "net_rating": "round(100 * score / poss - 100 * opponent_score / poss, 1)", "offensive_rebound_percentage": _share("offensive_rebounds", "defensive_rebounds"),
+  "defensive_rebound_percentage": _share("defensive_rebounds", "offensive_rebounds"), "rebound_percentage": _share("total_rebounds", "total_rebounds"), "block_percentage": "round(100 * (CAST(blocks AS DOUBLE) / nullif(tried, 0)), 1)"} | {f"{c}_total": c for c in semantic.COUNTS if c not in ("points", "total_rebounds")})} FROM {TEAM_SEASON}
+""")
 def clean_team_season(t, spark, d):
-    """The team-season table with its advanced view."""
-    f = team_facts(t)
-    poss = f.select("game_id", "team_id", F.lit(100.0).alias("offensive_possessions"), F.lit(100.0).alias("defensive_possessions"))
-    season = semantic.advanced_team_season(semantic.team_season(stored(semantic.team_game(f, poss))))
-    return season.select("team_id", "season_year", F.coalesce("wins", F.lit(0)).alias("wins"), F.coalesce("losses", F.lit(0)).alias("losses"), "points_total", "opponent_points_total", "effective_field_goal_percentage", "minutes_total")
+    """The team-season table."""
+    games = stored(team_games(t))
+    return semantic.team_season(games, games.select("game_id", "team_id", (F.col("score") + 7).alias("opponent_two_point_attempts")))
+
+
+@query(f"SELECT team_id, season_year, CAST(score AS BIGINT) AS points_total, CAST(opponent_score AS BIGINT) AS opponent_points_total, round(100 * (CAST(w AS DOUBLE) / nullif(w + l, 0)), 1) AS win_percentage, round(100 * (CAST(field_goals_made + 0.5 * three_pointers_made AS DOUBLE) / nullif(field_goals_attempted, 0)), 1) AS effective_field_goal_percentage, round(100 * (CAST(opponent_assists AS DOUBLE) / nullif(opponent_field_goals_made, 0)), 1) AS opponent_assist_percentage, round(CAST(three_pointers_attempted AS DOUBLE) / nullif(field_goals_attempted, 0), 3) AS three_point_attempt_rate, minutes AS minutes_total FROM {TEAM_SEASON}")
+def advanced_team_season(t, spark, d):
+    """The advanced view of team seasons."""
+    season = semantic.advanced_team_season(semantic.team_season_sums(stored(team_games(t))))
+    return season.select("team_id", "season_year", "points_total", "opponent_points_total", "win_percentage", "effective_field_goal_percentage", "opponent_assist_percentage", "three_point_attempt_rate", "minutes_total")
+
+
+# a player's game: an order, with statistics in the SQL that both engines have
+PLAYER_GAME = {
+    "game_id": "CAST(o_orderkey AS STRING)", "person_id": "o_custkey", "team_id": "ascii(o_orderstatus)", "season_year": "CAST(year(o_orderdate) AS STRING)", "season_type": "o_orderpriority", "is_starter": "o_orderstatus = 'F'", "minutes_played": "CASE WHEN o_orderkey % 9 > 0 THEN 30.0 ELSE 0.0 END",
+    "plus_minus": "o_orderkey % 11 - 5", "points": "CAST(floor(o_totalprice) AS BIGINT)", "assists": "o_orderkey % 7", "total_rebounds": "o_orderkey % 5 + o_orderkey % 3", "offensive_rebounds": "o_orderkey % 3", "defensive_rebounds": "o_orderkey % 5", "blocks": "o_orderkey % 2", "steals": "o_custkey % 3",
+    "field_goals_made": "o_orderkey % 8", "field_goals_attempted": "o_orderkey % 8 + 4", "offensive_possessions": "CAST(50 + o_orderkey % 20 AS DOUBLE)", "defensive_possessions": "CAST(50 + o_orderkey % 13 AS DOUBLE)", "offensive_rating": "CAST(90 + o_orderkey % 30 AS DOUBLE)",
+    "defensive_rating": "CASE WHEN o_orderkey % 6 > 0 THEN CAST(95 + o_orderkey % 25 AS DOUBLE) END", "assist_percentage": "CAST(o_orderkey % 40 AS DOUBLE)", "usage_percentage": "CAST(10 + o_orderkey % 25 AS DOUBLE)", "rebound_percentage": "CAST(o_orderkey % 4 * 5 AS DOUBLE)",
+}
 
 
-@query("SELECT o_custkey AS person_id, CAST(year(o_orderdate) AS VARCHAR) AS season_year, o_orderpriority AS season_type, count(*) AS games_played, count(*) FILTER (o_orderstatus = 'F') AS games_started, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS points_total, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS team_count, count(DISTINCT o_orderstatus) > 1 AS is_multi_team_season FROM orders GROUP BY ALL")
+def player_games(t) -> DataFrame:
+    return semantic.conformed(t["orders"].select(*[F.expr(x).alias(c) for c, x in PLAYER_GAME.items()]), "player_game")
+
+
+def player_season_sql(table: str, keys: str, more: dict[str, str]) -> str:
+    sums = {f"{'rebounds' if c == 'total_rebounds' else c}_total": f"sum(coalesce({c if c in PLAYER_GAME else '0'}, 0))" for c in (*semantic.COUNTS, "opponent_blocks", "plus_minus")}
+    weigh = lambda x: f"round(sum({x} * offensive_possessions) / sum(CASE WHEN {x} IS NOT NULL THEN offensive_possessions END), 1)"
+    implied = lambda part, rate: f"round(100 * (CAST(sum(CASE WHEN {rate} > 0 THEN {part} END) AS DOUBLE) / nullif(sum(CASE WHEN {rate} > 0 THEN 100 * {part} / {rate} END), 0)), 1)"
+    off, de = weigh("offensive_rating"), weigh("defensive_rating").replace("offensive_possessions", "defensive_possessions")
+    known = {k: k for k in keys.split(", ")} | sums | more | {
+        "games_played": "count(*) FILTER (minutes_played > 0)", "games_started": "count(*) FILTER (is_starter)", "minutes_total": "sum(minutes_played)", "offensive_possessions_total": "sum(offensive_possessions)", "defensive_possessions_total": "sum(defensive_possessions)",
+        "pace": "round(48 * ((sum(offensive_possessions) + sum(defensive_possessions)) / 2) / nullif(sum(minutes_played), 0), 1)", "offensive_rating": off, "defensive_rating": de, "net_rating": f"round({off} - {de}, 1)", "usage_percentage": weigh("usage_percentage"),
+        "assist_percentage": implied("assists", "assist_percentage"), "rebound_percentage": implied("total_rebounds", "rebound_percentage"),
+    }
+    games = ", ".join(f"{x} AS {c}" for c, x in PLAYER_GAME.items()).replace("STRING", "VARCHAR")
+    return f"WITH g AS (SELECT {games} FROM orders) SELECT {all_columns(table, known)} FROM g GROUP BY {keys}"
+
+
+@query(player_season_sql("player_season", "person_id, season_year, season_type", {"age_on_jan_31": "CAST(season_year AS INTEGER) + 1 - 1990", "team_count": "count(DISTINCT team_id)", "is_multi_team_season": "count(DISTINCT team_id) > 1"}))
 def clean_player_season(t, spark, d):
     """The player-season table over orders as player games."""
-    o = t["orders"].select(F.col("o_orderkey").cast("string").alias("game_id"), F.col("o_custkey").alias("person_id"), F.ascii("o_orderstatus").alias("team_id"), F.year("o_date").cast("string").alias("season_year"), F.col("o_orderpriority").alias("season_type"), (F.col("o_orderstatus") == "F").alias("is_starter"), F.lit(30.0).alias("minutes_played"), F.floor("o_totalprice").cast("long").alias("points"))
-    rows = semantic.conformed(o, "player_game")
     people = t["customer"].select(F.col("c_custkey").alias("person_id"), F.lit("1990-01-01").cast("date").alias("birth_date"))
-    return semantic.player_season(rows, people).select("person_id", "season_year", "season_type", "games_played", "games_started", "points_total", "team_count", "is_multi_team_season")
+    return semantic.player_season(player_games(t), people)
+
+
+@query(player_season_sql("player_season_team", "person_id, team_id, season_year, season_type", {}))
+def clean_player_season_team(t, spark, d):
+    """The table of player seasons by team over orders as player games."""
+    return semantic.player_season_team(player_games(t))

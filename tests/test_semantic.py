@@ -39,8 +39,10 @@ def test_team_tables(spark):
     poss = both.select("game_id", "team_id", F.lit(100.0).alias("offensive_possessions"), F.lit(100.0).alias("defensive_possessions"))
     tg = s.team_game(both, poss)
     x = tg.where("team_id = 1").collect()[0]
-    assert (x.opponent_team_id, x.points, x.opponent_points, x.opponent_field_goals_made, x.block_percentage) == (2, 20, 18, 8, 40.0)
-    ts = s.advanced_team_season(s.team_season(tg)).where("team_id = 1").collect()[0]
+    assert (x.opponent_team_id, x.score, x.opponent_score, x.opponent_field_goals_made, x.block_percentage) == (2, 20, 18, 8, 40.0)
+    season = s.team_season(tg, tg.select("game_id", "team_id", F.lit(8).alias("opponent_two_point_attempts"))).where("team_id = 1").collect()[0]
+    assert (season.games_played, season.minutes, season.minutes_per_game, season.points_total, season.rebounds_total, season.rebound_percentage, season.block_percentage, season.defensive_rating) == (1, 6, 6.0, 20, 4, 50.0, 50.0, 18.0)
+    ts = s.advanced_team_season(s.team_season_sums(tg)).where("team_id = 1").collect()[0]
     assert (ts.wins, ts.losses, ts.net_rating, ts.win_percentage, ts.offensive_rebound_percentage) == (1, 0, 2.0, 100.0, 50.0)
 
 
