@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accented letters and what they fold to, suffixes of names, truth words.
@@ -105,6 +107,17 @@ def replaced_name(c: Column) -> Column:
     return null_if_empty(F.regexp_extract(c, r"(?i)replaced by\s+([^,(]+)", 1))
 
 
+def replaced_people(events: DataFrame, roster: DataFrame, by: Sequence[str], description: str = "description") -> DataFrame:
+    """Add replaced_name and replaced_id: the roster's person of that name, if only one of its team (`by`) has it.
+
+    roster: the columns `by`, name and person_id. Case and spaces around a name don't matter.
+    """
+    key = lambda c: F.lower(F.trim(c))
+    one = roster.groupBy(*by, key(F.col("name")).alias("_name")).agg(F.min("person_id").alias("replaced_id"), F.count_distinct("person_id").alias("_n")).where("_n = 1").drop("_n")
+    named = events.withColumn("replaced_name", replaced_name(F.col(description)))
+    return named.withColumn("_name", key(F.col("replaced_name"))).join(one, [*by, "_name"], "left").drop("_name")
+
+
 def shot_type_label(sub_type: Column, descriptor: Column) -> Column:
     return null_if_empty(F.initcap(F.concat_ws(" ", null_if_empty(descriptor), null_if_empty(sub_type))))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scorebook.functions.dates import calendar, completed_years
 from scorebook.functions.sport import half_even_ratio, percent, ratio
+from scorebook.functions.text import null_if_empty
 from scorebook.operators.relational import as_of, best_row, opponents, primary_team
 
 
@@ -131,3 +132,14 @@ def bridge(df: DataFrame, links: DataFrame, external: str, person: str, confiden
     order = Window.partitionBy(external).orderBy(F.col(confidence).desc(), F.col(person))
     best = links.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(external, person)
     return df.join(best, external)
+
+
+def award_history(awards: DataFrame, links: DataFrame, league: str = "NBA") -> DataFrame:
+    """Distinct (person_id, award_type, season_year, team_tier) of a league's awards whose external id has a person.
+
+    awards: external_id, league_code, award_family, season_label, team_tier; links: external_id, person_id, confidence.
+    A tier that isn't positive is null.
+    """
+    rows = bridge(awards.where(F.col("league_code") == league), links.where("external_id is not null and person_id is not null"), "external_id", "person_id", "confidence")
+    tier = F.col("team_tier").try_cast("long")
+    return rows.select("person_id", null_if_empty(F.col("award_family")).alias("award_type"), null_if_empty(F.col("season_label")).alias("season_year"), F.when(tier > 0, tier).alias("team_tier")).distinct()

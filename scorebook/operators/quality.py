@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException, SparkRuntimeException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,7 +192,7 @@ def key_check(name: str, source: DataFrame, target: DataFrame, pairs: Sequence[t
 
 
 def all_checks(parts: Sequence[DataFrame]) -> DataFrame:
-    """Union of checks, with the overall status: failed if any mismatch."""
+    """Union of checks, with the overall status: failed if any isn't ok."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -199,6 +200,31 @@ def all_checks(parts: Sequence[DataFrame]) -> DataFrame:
     return out.withColumn("overall", F.when(worst == 1, "failed").otherwise("success"))
 
 
+def run_checks(spark: SparkSession, checks: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """`all_checks` of those that run; one that raises gives a row with status query_error and the first line of why."""
+    kinds = "check_name string, source_value long, target_value long, difference long, status string, error string"
+    rows = []
+    for name, check in checks.items():
+        try:
+            rows += [(*r, None) for r in check().select("check_name", "source_value", "target_value", "difference", "status").collect()]  # one row each
+        except (AnalysisException, SparkRuntimeException) as e:
+            rows.append((name, None, None, None, "query_error", str(e).splitlines()[0]))
+    return all_checks([spark.createDataFrame(rows, kinds)])
+
+
+def parity_lock(tables: Sequence[tuple[str, DataFrame, Sequence[str]]]) -> DataFrame:
+    """`grain_check` of several (name, table, grain columns); a table that lacks one of them has status missing_schema."""
+    out = None
+    for name, df, grain in tables:
+        if set(grain) <= set(df.columns):
+            one = grain_check(df, grain, name)
+        else:
+            nothing = {c: F.lit(None).cast("long") for c in ("total_rows", "distinct_grains", "null_key_rows", "duplicate_rows")}
+            one = df.sparkSession.range(1).select(F.lit(name).alias("artifact_id"), *[v.alias(c) for c, v in nothing.items()], F.lit("missing_schema").alias("status"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def parity(name: str, local: DataFrame, served: DataFrame) -> DataFrame:
     """One row: row-count difference and columns that only one side has."""
     only = lambda a, b: ",".join(sorted(set(a.columns) - set(b.columns)))

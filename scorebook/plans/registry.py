@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scorebook.plans import games, library, operators, sources
+from scorebook.plans import facts, games, library, operators, sources
 
-QUERIES = library.QUERIES | operators.QUERIES | games.QUERIES | sources.QUERIES
-ORACLE_SQL = library.ORACLE_SQL | operators.ORACLE_SQL | games.ORACLE_SQL | sources.ORACLE_SQL
+QUERIES = library.QUERIES | operators.QUERIES | games.QUERIES | sources.QUERIES | facts.QUERIES
+ORACLE_SQL = library.ORACLE_SQL | operators.ORACLE_SQL | games.ORACLE_SQL | sources.ORACLE_SQL | facts.ORACLE_SQL

@@ -196,3 +196,52 @@ def test_season_tables(spark, rows):
     assert out.count() == 1 and (x.games_played, x.pts_total, x.games_on_roster, x.primary_team, x.teams, x.pts_per_game) == (2, 31, 3, 5, 2, 15.5)
     with pytest.raises(ValueError):
         dimensions.must_be_empty(g, "audit")
+
+
+def test_shot_facts(spark, rows):
+    from scorebook.operators import shots
+
+    players = spark.createDataFrame([("g", 1, 10, 1), ("g", 2, 20, 1), ("g", 3, 20, 0), ("g", None, 20, 1)], "game_id string, person_id long, team_id long, did_play int")
+    teams = spark.createDataFrame([("g", 10, 20), ("g", 20, 10)], "game_id string, team_id long, opponent_team_id long")
+    s = [("g", 1, True, True, 3, "Arc3", "Mid-Range", "0-8 Center"), ("g", 1, True, None, 2, "Heave", "Moon", None), ("g", 1, False, True, 2, "AtRim", "Mid-Range", None), ("g", 0, True, True, 2, "AtRim", "Mid-Range", None)]
+    tried = spark.createDataFrame([(*x, "2pt", " Jump  shot", "step back") for x in s], "game_id string, person_id long, is_field_goal boolean, is_made boolean, shot_value int, shot_type string, area string, area_detail string, action_type string, sub_type string, descriptor string")
+    got = {r.person_id: r for r in shots.shot_profiles(players, teams, tried, shots.STANDARD).collect()}
+    assert set(got) == {1, 2} and (got[1].field_goals_attempted, got[1].field_goals_made, got[1].points_from_field_goals, got[1].arc_3_field_goals_made, got[1].at_rim_field_goals_attempted, got[1].opponent_team_id) == (2, 1, 3, 1, 0, 20)
+    assert got[2].field_goals_attempted == 0
+    x = shots.shot_profiles(players, teams, tried, shots.SOURCE).where("person_id = 1").collect()[0]
+    assert (x.unmapped_source_area_field_goals_attempted, x.unmapped_source_area_field_goals_made, x.unmapped_source_area_detail_field_goals_attempted) == (1, 0, 1)
+    assert rows(shots.unknown_labels(tried, shots.SOURCE)) == [("area", "Moon", 1)]
+    types = shots.shot_types(players, teams, tried).orderBy("shot_value").collect()
+    assert [(r.source_shot_type_label, r.source_shot_type_key, r.source_shot_type_family) for r in types] == [("2PT Step Back Jump Shot", "2pt|Jump shot|step back|2", "Jump Shot"), ("3PT Step Back Jump Shot", "2pt|Jump shot|step back|3", "Jump Shot")]
+    assert shots.shot_types(players, teams, tried.limit(0)).count() == 0
+
+
+def test_season_percentile_tables(spark):
+    from scorebook.operators import ranking
+
+    base = {m: 1.0 for ms in ranking.PLAYER_METRICS.values() for m in ms} | {"seconds_played_total": 7000.0, "field_goals_attempted_total": 30.0, "three_pointers_attempted_total": 4.0, "free_throws_attempted_total": 12.0}
+    people = [(i, "2023-24", "2", float(i), float(g)) for i, g in ((1, 9), (2, 9), (3, 4), (4, 9))]
+    df = spark.createDataFrame(people, "person_id long, season_year string, raw_season_type_code string, points_per_game double, games_played double").withColumns({k: F.lit(v) for k, v in base.items() if k != "points_per_game"})
+    df = df.withColumn("defensive_rating", -F.col("points_per_game"))
+    got = {r.person_id: r for r in ranking.player_season_percentiles(df).collect()}
+    assert len([c for c in ranking.player_season_percentiles(df).columns if c.endswith("_percentile")]) == 27 and len(ranking.TEAM_METRICS) == 26
+    assert [got[i].points_per_game_percentile for i in (1, 2, 3, 4)] == [0, 50, None, 100]
+    assert [got[i].defensive_rating_percentile for i in (1, 2, 4)] == [0, 50, 100] and got[1].three_pointers_percentage_percentile is None and got[1].pace_percentile == 100
+
+
+def test_checks_that_fail_to_run(spark, rows):
+    df = spark.range(3)
+    got = quality.run_checks(spark, {"good": lambda: quality.row_count_check("good", df, df), "bad": lambda: quality.row_count_check("bad", df, spark.table("nowhere"))})
+    assert rows(got, "check_name", "status", "overall") == [("bad", "query_error", "failed"), ("good", "ok", "failed")]
+    assert rows(quality.parity_lock([("a", df, ["id"]), ("b", df, ["key"])]), "artifact_id", "status") == [("a", "ok"), ("b", "missing_schema")]
+
+
+def test_awards_and_replaced_people(spark, rows):
+    from scorebook.functions.text import replaced_people
+
+    awards = spark.createDataFrame([("x", "NBA", "MVP", "2020-21", "0"), ("x", "NBA", "MVP", "2020-21", "0"), ("x", "ABA", "MVP", "1970-71", "1"), ("y", "NBA", "All", "2020-21", "2"), (None, "NBA", "All", "s", "1")], "external_id string, league_code string, award_family string, season_label string, team_tier string")
+    links = spark.createDataFrame([("x", 1, 0.5), ("x", 2, 0.9)], "external_id string, person_id long, confidence double")
+    assert rows(dimensions.award_history(awards, links)) == [(2, "MVP", "2020-21", None)]
+    roster = spark.createDataFrame([(1, "Jo Smith", 5), (1, "Al Po", 6), (1, "al po", 7), (2, "Jo Smith", 8)], "team_id int, name string, person_id int")
+    events = spark.createDataFrame([(1, "SUB: A replaced by jo smith"), (1, "SUB: B replaced by Al Po"), (1, "no"), (2, None)], "team_id int, description string")
+    assert rows(replaced_people(events, roster, ["team_id"]), "replaced_name", "replaced_id") == [("Al Po", None), ("jo smith", 5), (None, None), (None, None)]
