@@ -19,7 +19,7 @@ from scorebook.operators.sequence import Cols
 
 FIVE = 5
 # The clocks that open a period, and the names of lineup issues.
-OPENING_CLOCKS = ("PT12M00.00S", "PT05M00.00S", "12:00", "5:00")
+OPENING_CLOCKS, OVERTIME_CLOCK = ("PT12M00.00S", "PT05M00.00S", "12:00", "5:00"), "PT05M00.00S"
 NO_STARTERS, NO_CARRY, BAD_OPENING = "missing_boxscore_starters_period_1", "carry_forward_unavailable_period_start", "invalid_opening_substitution_cluster"
 NOT_FIVE, NOT_ON_COURT = "substitution_produces_duplicate_or_non_five_lineup", "substitution_removes_player_not_on_court"
 
@@ -267,54 +267,110 @@ def stamped(rows: DataFrame, lineups: DataFrame, c: Cols = Cols()) -> DataFrame:
     return out.select(*rows.columns, side("home").alias("homeLineupId"), side("away").alias("awayLineupId"), (F.size(issues) == 0).cast("int").alias("lineupValidFlag"), F.when(F.size(issues) > 0, F.array_join(issues, " | ")).alias("lineupIssue"))
 
 
-def repaired_stale_outs(lineups: DataFrame) -> DataFrame:
-    """Clear a period's flags when its only issue is a substitute leaving who isn't on court, and all its fives are whole."""
-    w = Window.partitionBy("gameId", "period")
-    whole = F.coalesce((F.size("home_personIds") == FIVE) & (F.size("away_personIds") == FIVE), F.lit(False))
-    only = F.bool_and(F.col("lineup_issue").isNull() | (F.col("lineup_issue") == NOT_ON_COURT)).over(w) & F.bool_and(whole).over(w)
-    return lineups.withColumns({"lineup_valid_flag": F.when(only, F.lit(1).cast("long")).otherwise(F.col("lineup_valid_flag")), "lineup_issue": F.when(~only, F.col("lineup_issue")), "repair": F.when(only & F.col("lineup_issue").isNotNull(), "stale_sub_out")})
+def _whole(stint: dict) -> bool:
+    return all(len(stint[k] or []) == FIVE for k in ("home_personIds", "away_personIds"))
 
 
-def repaired_fourth_quarter(lineups: DataFrame) -> DataFrame:
-    """A broken tail of period 4 takes the last valid five of that period, marked as reconciled."""
-    w = Window.partitionBy("gameId", "period").orderBy("stint_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("lineup_valid_flag") == 1, F.struct("home_personIds", "away_personIds")), ignorenulls=True).over(w)
-    df = lineups.withColumn("_last", last)
-    use = (F.col("period") == 4) & (F.col("lineup_valid_flag") == 0) & F.col("_last").isNotNull()
-    return df.withColumns({
-        "home_personIds": F.when(use, F.col("_last.home_personIds")).otherwise(F.col("home_personIds")), "away_personIds": F.when(use, F.col("_last.away_personIds")).otherwise(F.col("away_personIds")),
-        "lineup_valid_flag": F.when(use, F.lit(1).cast("long")).otherwise(F.col("lineup_valid_flag")), "lineup_issue": F.when(~use, F.col("lineup_issue")), "repair": F.when(use, "end_q4_reconciled"),
-    }).drop("_last")
+def _closing(stints: list[dict]) -> dict | None:
+    """The last of the stints by order."""
+    return max(stints, key=lambda s: (s["end_orderNumber"] or -1, s["stint_id"] or -1), default=None)
 
 
-def repaired_overtime(lineups: DataFrame) -> DataFrame:
-    """An overtime period without a lineup takes the last valid five before it (carry-forward)."""
-    w = Window.partitionBy("gameId").orderBy("period", "stint_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("lineup_valid_flag") == 1, F.struct("home_personIds", "away_personIds")), ignorenulls=True).over(w)
-    df = lineups.withColumn("_last", last)
-    use = (F.col("period") > 4) & (F.col("lineup_issue") == NO_CARRY) & F.col("_last").isNotNull()
-    return df.withColumns({
-        "home_personIds": F.when(use, F.col("_last.home_personIds")).otherwise(F.col("home_personIds")), "away_personIds": F.when(use, F.col("_last.away_personIds")).otherwise(F.col("away_personIds")),
-        "lineup_valid_flag": F.when(use, F.lit(1).cast("long")).otherwise(F.col("lineup_valid_flag")), "lineup_issue": F.when(~use, F.col("lineup_issue")), "repair": F.when(use, "ot_carry_forward"),
-    }).drop("_last")
-
-
-def effective(lineups: DataFrame) -> DataFrame:
-    """The first of (as built, stale out, fourth quarter, overtime) in which every stint of the game is valid.
-
-    Games that no repair makes whole stay as built. `method` names the choice, `failed_period` the first broken period.
+def _reconciled(seed: list[int], drift: list[int], events: list[dict]) -> list[int] | None:
+    """A side's five: what drifted through the last period, after the opening substitutions; one may come from the seed."""
+    now = list(drift)
+    for e in events:
+        person, way = e["personId"], (e["subType"] or "").strip()
+        if person is None or way not in ("in", "out") or (person in now) != (way == "out"):
+            return None
+        now = [x for x in now if x != person] if way == "out" else [*now, person]
+    if not FIVE - 1 <= len(now) <= FIVE:
+        return None
+    now += [x for x in seed if x not in now][: FIVE - len(now)]
+    return sorted(now) if len(set(now)) == FIVE else None
+
+
+def _end_drift(prior: list[dict], first: dict, events: list[dict]) -> tuple[list[int], list[int]] | None:
+    """Both fives of an overtime whose first stint lacks the same sides as the last stint of the period before."""
+    seed, last = _closing([s for s in prior if s["lineup_valid_flag"] == 1 and _whole(s)]), _closing(prior)
+    opening = [e for e in events if e["isSubstitution"] and e["clock"] == OVERTIME_CLOCK]
+    short = lambda s: tuple(len(s[k] or []) < FIVE for k in ("home_personIds", "away_personIds"))
+    if seed is None or _whole(first) or not any(short(last)) or short(last) != short(first) or not opening:
+        return None
+    fives = [
+        _reconciled(seed[f"{side}_personIds"], last[f"{side}_personIds"] or [], [e for e in opening if e["teamId"] == seed[f"{side}_teamId"]]) for side in ("home", "away")
+    ]
+    return None if None in fives else (fives[0], fives[1])
+
+
+def _carried(prior: list[dict], events: list[dict]) -> tuple[list[int], list[int], bool] | None:
+    """The last valid fives of the period before, after the substitutions that open the overtime, and if there were any."""
+    seed = _closing([s for s in prior if s["lineup_valid_flag"] == 1 and _whole(s)])
+    if seed is None:
+        return None
+    home, away, cluster = seed["home_personIds"], seed["away_personIds"], []
+    for e in events:
+        if e["isSubstitution"] and (not cluster or e["clock"] == cluster[0]["clock"]):
+            cluster.append(e)
+        elif cluster:
+            break
+    if not cluster or cluster[0]["clock"] != OVERTIME_CLOCK:
+        return home, away, False
+    new_home, new_away, issue = substituted(set(home), set(away), cluster, (seed["home_teamId"], seed["away_teamId"]))
+    return None if issue else (sorted(new_home), sorted(new_away), True)
+
+
+def _repair(stints: list[dict], events: list[dict], period: int) -> tuple[list[dict], str, bool] | None:
+    """(stints, method, whether opening substitutions were applied) of a game whose overtime `period` has no valid start."""
+    own = sorted((s for s in stints if s["period"] == period), key=lambda s: (s["start_orderNumber"] or 10**12, s["stint_id"] or 10**12))
+    if all(_whole(s) and s["lineup_issue"] in (None, "", NOT_ON_COURT) for s in own):
+        return [s | {"lineup_valid_flag": 1, "lineup_issue": None} if s["period"] == period else s for s in stints], "stale_sub_out", False
+    prior = [s for s in stints if s["period"] == period - 1]
+    if not events or not prior:
+        return None
+    if fives := _end_drift(prior, own[0], events):
+        home, away, method, opened = *fives, "end_q4_reconciled", True
+    elif carried := _carried(prior, events):
+        home, away, opened = carried
+        method = "ot_carry_forward"
+    else:
+        return None
+    a, b = events[0], events[-1]
+    whole = own[0] | {
+        "stint_id": own[0]["stint_id"], "start_orderNumber": a["orderNumber"], "end_orderNumber": (b["orderNumber"] or 0) + 1, "start_actionNumber": a["actionNumber"], "end_actionNumber": b["actionNumber"], "start_clock": a["clock"], "end_clock": b["clock"],
+        "home_personIds": home, "away_personIds": away, "lineup_valid_flag": 1, "lineup_issue": None,
+    }
+    return [s for s in stints if s["period"] != period] + [whole], method, opened
+
+
+def effective(lineups: DataFrame, events: DataFrame) -> DataFrame:
+    """Stints after the repair of the first overtime without a valid start, with method, failed_period, opening_applied.
+
+    The first that works counts: clear the flags of stints that are whole but for a substitute leaving who isn't on
+    court; reconcile the fives with what drifted through the end of the period before and the opening substitutions; carry
+    the last valid fives of that period forward through the opening substitutions. Games with nothing to repair are
+    exact if all their stints are valid, else unrepaired. Only games to repair are gathered, one game to a row.
     """
-    plain = lineups.withColumn("repair", F.lit(None).cast("string"))
-    order = [("exact", plain), ("stale_sub_out", repaired_stale_outs(lineups)), ("end_q4_reconciled", repaired_fourth_quarter(lineups)), ("ot_carry_forward", repaired_overtime(lineups))]
-    whole = None
-    for i, (name, df) in enumerate(order):
-        part = df.withColumns({"method": F.lit(name), "_priority": F.lit(i)})
-        whole = part if whole is None else whole.unionByName(part)
-    ok = F.bool_and(F.col("lineup_valid_flag") == 1).over(Window.partitionBy("gameId", "method"))
-    rank = F.when(ok, F.col("_priority")).otherwise(F.when(F.col("_priority") == 0, 99))
-    whole = whole.withColumn("_rank", rank)
-    best = F.min("_rank").over(Window.partitionBy("gameId"))
-    out = whole.withColumn("_best", best).where("_rank = _best")
-    failed = F.min(F.when(F.col("lineup_valid_flag") == 0, F.col("period"))).over(Window.partitionBy("gameId"))
-    return out.withColumns({"failed_period": failed, "method": F.when(F.col("_best") == 99, "unrepaired").otherwise(F.col("method"))}).drop("_priority", "_rank", "_best")
+    first = lineups.groupBy("gameId", "period").agg(F.min_by("lineup_valid_flag", F.struct("start_orderNumber", "stint_id")).alias("flag"))
+    failed = first.groupBy("gameId").agg(F.min(F.when((F.col("period") > 4) & (F.col("flag") == 0), F.col("period"))).alias("failed_period"))
+    ok = F.bool_and(F.col("lineup_valid_flag") == 1).over(Window.partitionBy("gameId"))
+    rows = lineups.join(failed, "gameId")
+    plain = rows.where("failed_period is null").withColumns({"method": F.when(ok, "exact").otherwise("unrepaired"), "opening_applied": F.lit(False)})
+    names = [f.split()[0] for f in STINTS.split(", ")]
+    one = rows.where("failed_period is not null").groupBy("gameId", "failed_period").agg(F.collect_list(F.struct(*names)).alias("stints"))
+    columns = ["orderNumber", "actionNumber", "clock", "teamId", "personId", "subType", "isSubstitution"]
+    own = events.join(failed.where("failed_period is not null"), "gameId").where("period = failed_period").groupBy("gameId").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("events"))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lists = lambda s: s | {k: None if s[k] is None else [int(x) for x in s[k]] for k in ("home_personIds", "away_personIds")}
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                stints = [lists(dict(s)) for s in r["stints"]]
+                period = int(r["failed_period"])
+                done = _repair(stints, [dict(e) for e in r["events"]] if r["events"] is not None else [], period) or (stints, "unrepaired", False)
+                out += [s | {"failed_period": period, "method": done[1], "opening_applied": done[2]} for s in done[0]]
+            yield pd.DataFrame(out, columns=[*names, "failed_period", "method", "opening_applied"])
+
+    fixed = one.join(own, "gameId", "left").select("gameId", "failed_period", "stints", "events").mapInPandas(run, f"{STINTS}, failed_period long, method string, opening_applied boolean")
+    return plain.select(fixed.columns).unionByName(fixed)

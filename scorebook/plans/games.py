@@ -73,7 +73,7 @@ def game_tables(t) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(enriched events, box score, stints, possessions), each layer stored once."""
     events = stored(sequence.enriched(raw_events(t)))
     b = box(t)
-    s = stored(lineups.effective(stored(lineups.stints(events, b))))
+    s = stored(lineups.effective(stored(lineups.stints(events, b)), events))
     return events, b, s, stored(lineups.stamped(lineups.possessions(events), s))
 
 

@@ -122,10 +122,44 @@ def test_broken_lineups_and_repairs(spark):
     got = lineups.stints(e, box(spark)).orderBy("stint_id").collect()
     assert [s.lineup_issue for s in got] == [None, lineups.NOT_ON_COURT, lineups.NO_CARRY]
     assert [s.lineup_issue for s in lineups.stints(subs(spark, periods=(1,)), box(spark, [x for x in BOX if x[3] != 15])).collect()] == [lineups.NO_STARTERS]
-    late = lineups.stints(subs(spark, sub(410, "PT08M00.00S", H, 11, "in", 4), periods=(1, 2, 3, 4)), box(spark))
-    fixed = lineups.effective(late).orderBy("stint_id").collect()
-    assert {s.method for s in fixed} == {"end_q4_reconciled"} and all(s.lineup_valid_flag == 1 for s in fixed)
-    assert {s.method for s in lineups.effective(lineups.stints(e, box(spark))).collect()} == {"unrepaired"}
+    built = lineups.stints(e, box(spark))
+    assert {(s.method, s.failed_period) for s in lineups.effective(built, e).collect()} == {("unrepaired", None)}
+    assert {s.method for s in lineups.effective(built.where("lineup_valid_flag = 1"), e).collect()} == {"exact"}
+
+
+def overtime(spark, home4, home5, issue5, *events, flag4=0):
+    """Effective stints of a game with a valid and a last stint in period 4, and a broken overtime."""
+    away = [21, 22, 23, 24, 25]
+    stint = lambda i, period, s, e, home, flag, issue: ("g", period, i, s, e, s, e, "PT05M00.00S", "PT00M00.00S", H, A, home, away, flag, issue)
+    rows = [stint(1, 4, 400, 450, [11, 12, 13, 14, 15], 1, None), stint(2, 4, 450, 500, home4, flag4, "x" if not flag4 else None), stint(3, 5, 500, 600, home5, 0, issue5)]
+    e = spark.createDataFrame([("g", 5, o, o, clock, team, person, way, way is not None) for o, clock, team, person, way in (*events, (599, "PT00M00.00S", None, None, None))], "gameId string, period long, orderNumber long, actionNumber long, clock string, teamId long, personId long, subType string, isSubstitution boolean")
+    return lineups.effective(spark.createDataFrame(rows, lineups.STINTS), e).orderBy("period", "stint_id").collect()
+
+
+OPEN = "PT05M00.00S"
+
+
+def test_overtime_repairs(spark):
+    five = [11, 12, 13, 14, 15]
+    last = lambda got: (got[-1].method, got[-1].failed_period, got[-1].home_personIds, got[-1].lineup_valid_flag, got[-1].opening_applied)
+    stale = overtime(spark, five, [12, 13, 14, 15, 16], lineups.NOT_ON_COURT)
+    assert last(stale) == ("stale_sub_out", 5, [12, 13, 14, 15, 16], 1, False) and len(stale) == 3 and stale[1].lineup_valid_flag == 0
+    # one of the seed fills the place that the drift left open
+    drift = overtime(spark, [12, 13, 14, 16], None, lineups.NO_CARRY, (500, OPEN, A, 21, "out"), (501, OPEN, A, 26, "in"))
+    fives = lambda got: (got[-1].method, got[-1].home_personIds, got[-1].away_personIds)
+    assert fives(drift) == ("end_q4_reconciled", [11, 12, 13, 14, 16], [22, 23, 24, 25, 26])
+    whole = overtime(spark, five, None, lineups.NO_CARRY, (500, OPEN, A, 21, "out"), (501, OPEN, A, 26, "in"))
+    assert fives(whole) == ("ot_carry_forward", five, [22, 23, 24, 25, 26])  # nothing drifted
+    drift = overtime(spark, [12, 13, 14, 16], [12, 13, 14, 16], lineups.NOT_FIVE, (500, OPEN, A, 21, "out"), (501, OPEN, A, 26, "in"), (502, OPEN, H, 16, "out"), (503, OPEN, H, 17, "in"))
+    assert fives(drift) == ("end_q4_reconciled", [11, 12, 13, 14, 17], [22, 23, 24, 25, 26]) and drift[-1].start_orderNumber == 500 and drift[-1].end_orderNumber == 600
+    two = overtime(spark, [12, 13, 14], [12, 13, 14], lineups.NOT_FIVE, (500, OPEN, H, 14, "out"), (501, OPEN, H, 17, "in"))
+    assert last(two) == ("ot_carry_forward", 5, [11, 12, 13, 15, 17], 1, True)  # two places are too many to reconcile
+    late = overtime(spark, five, None, lineups.NO_CARRY, (500, "PT04M10.00S", H, 14, "out"), (501, "PT04M10.00S", H, 17, "in"))
+    assert last(late) == ("ot_carry_forward", 5, five, 1, False)
+    bad = overtime(spark, five, None, lineups.NO_CARRY, (500, OPEN, H, 99, "out"), (501, OPEN, H, 17, "in"))
+    assert (bad[-1].method, bad[-1].failed_period, bad[-1].lineup_valid_flag) == ("unrepaired", 5, 0)
+    later = overtime(spark, [12, 13, 14, 15, 16], None, lineups.NO_CARRY, flag4=1)
+    assert last(later) == ("ot_carry_forward", 5, [12, 13, 14, 15, 16], 1, False)
 
 
 def test_stamping(spark, enriched):
