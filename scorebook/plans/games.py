@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scorebook.operators import attribution, lineups, sequence
 from scorebook.operators.relational import percentiles
+from scorebook.plans import game_sql
 from scorebook.plans.demo import tables
 from scorebook.sources.stored import stored
 
@@ -98,7 +99,7 @@ def event_flags(t, spark, d):
     return e.select("gameId", "orderNumber", "isMadeShot", "isMissedShot", "isRebound", "isTurnover", "prevOrderNumber", "nextOrderNumber")
 
 
-@query()
+@query(game_sql.ENRICHED)
 def enriched_events(t, spark, d):
     """All event enrichments."""
     return sequence.enriched(raw_events(t)).select("gameId", "period", "orderNumber", "resolvedOffenseTeamId", "offenseHomeAway", "isPossessionEndingEvent", "countAsPossession", "possessionBoundaryReason", "isRealRebound", "isSecondChanceEvent", "foulsToGiveDefense", "isPenaltyEvent", "scoreMarginBefore", "scoreMarginAfter")
@@ -114,25 +115,25 @@ def shot_locations(t, spark, d):
     return sequence.shot_locations(sequence.event_flags(raw_events(t))).select("gameId", "orderNumber", "shotZone", "shotRange", "locationReason")
 
 
-@query()
+@query(game_sql.LINEUP_STINTS)
 def lineup_stints(t, spark, d):
     return game_tables(t)[2].drop("home_personIds", "away_personIds")
 
 
-@query()
+@query(game_sql.POSSESSION_ROWS)
 def possessions(t, spark, d):
     """Possessions with their lineups."""
     return game_tables(t)[3]
 
 
-@query()
+@query(game_sql.STARTER_CHECK)
 def starter_check(t, spark, d):
     events, _, s, _ = game_tables(t)
     played = events.where("personId is not null").select("gameId", "period", "teamId", "personId").distinct()
     return lineups.starter_check(events, s, played).select("gameId", "period", "teamId", "status")
 
 
-@query()
+@query(game_sql.PLAYER_POSSESSIONS)
 def player_possessions(t, spark, d):
     """Possessions and points on court by the best method of each game."""
     events, b, s, p = game_tables(t)
@@ -145,7 +146,7 @@ def player_possessions(t, spark, d):
     return attribution.finalized(attribution.waterfall(parts, played, ["gameId", "personId"]))
 
 
-@query()
+@query(game_sql.TEAM_POSSESSIONS)
 def team_possessions(t, spark, d):
     """Teams' possessions and points by the best method of each game."""
     events, b, _, p = game_tables(t)
@@ -153,14 +154,14 @@ def team_possessions(t, spark, d):
     return attribution.waterfall(parts, b, ["gameId", "teamId"])
 
 
-@query()
+@query(game_sql.TEAM_DEFENSIVE_SHOTS)
 def team_defensive_shots(t, spark, d):
     """Opponents' two-point attempts by the best method of each game."""
     events, b, _, _ = game_tables(t)
     return attribution.waterfall(attribution.team_defensive_shots(events, b, team_box(events)), b, ["gameId", "teamId"])
 
 
-@query()
+@query(game_sql.ON_COURT_CONTEXTS)
 def on_court_contexts(t, spark, d):
     """Defensive-shot, assist and rebound contexts of players, each by the best method of each game.
 
@@ -176,9 +177,9 @@ def on_court_contexts(t, spark, d):
     return parts[0].join(parts[1], keys, "full_outer").join(parts[2], keys, "full_outer")
 
 
-@query()
+@query(game_sql.SEASON_PERCENTILES)
 def season_percentiles(t, spark, d):
     """Percentiles of players' possessions over all games."""
     rows = stored(QUERIES["player_possessions"](spark, d))
-    season = rows.groupBy("personId").agg(F.sum("total_possessions").alias("possessions"), F.sum("points_for").alias("points"), F.count(F.lit(1)).alias("games")).withColumn("season", F.lit("all"))
+    season = rows.groupBy("personId").agg(F.round(F.sum("total_possessions"), 6).alias("possessions"), F.round(F.sum("points_for"), 6).alias("points"), F.count(F.lit(1)).alias("games")).withColumn("season", F.lit("all"))
     return percentiles(season, ["season"], [("possessions", "possessions_percentile", False, None), ("points", "points_percentile", False, F.col("games") > 1)], ["personId"])
