@@ -34,7 +34,7 @@ HASHES = BANDS * ROWS
 #: Signature values compared at once; posterior probability under which a candidate is dropped.
 BATCH, MISS = 16, 1e-6
 #: Members that one leader is compared with; cached word hashes; sets of the two sides of a block pair.
-FAN, CACHE, OUTSIDERS, INSIDERS = 64, 200_000, 512, 1024
+FAN, CACHE, OUTSIDERS, INSIDERS = 64, 50_000, 512, 1024
 #: Similarity bound in percent: links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 
