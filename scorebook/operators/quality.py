@@ -145,6 +145,13 @@ def schema_rows(spark, name: str, schema: T.StructType, run: str) -> DataFrame:
     return spark.createDataFrame(rows, "artifact_id string, run_id string, column_name string, data_type string, nullable boolean")
 
 
+def column_facts(df: DataFrame, name: str, run: str) -> DataFrame:
+    """`schema_rows` with what the data say: rows and nulls of each column, in one scan."""
+    nulls = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f.name).isNull()).alias(f"n{i}") for i, f in enumerate(df.schema.fields)])
+    items = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.lit(f.nullable).alias("nullable"), F.col(f"n{i}").alias("nulls")) for i, f in enumerate(df.schema.fields)])
+    return nulls.select(F.lit(name).alias("artifact_id"), F.lit(run).alias("run_id"), "rows", F.explode(items).alias("x")).select("artifact_id", "run_id", "rows", "x.*")
+
+
 def schema_drift(now: DataFrame, before: DataFrame) -> DataFrame:
     """added, removed, type_changed, nullable_changed, unchanged or no_history per (artifact, column)."""
     key = ["artifact_id", "column_name"]

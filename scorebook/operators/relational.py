@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorebook.sources.stored import stored
+
 
 def filled(columns: Sequence[str]) -> Column:
     """How many of the columns aren't null: the quality score of a row."""
@@ -55,11 +57,49 @@ def as_of(facts: DataFrame, versions: DataFrame, fact_id: str, dim_id: str, even
 
     Fallbacks: the covering version that starts last (one without a start counts as last of all), else the latest that
     starts before, else the earliest that starts later, else the current one, else the last of all. `row_id` identifies
-    a fact row. Candidates of a fact are ranked by one max per row, so no candidate list is gathered.
+    a fact row.
+
+    Where an entity's versions follow one another, the last to start is the answer, and one window finds it; windows are
+    cut by month, so a busy entity spreads over tasks. Facts without a time take their entity's one default. Only facts
+    of entities whose versions overlap are compared with all of them.
     """
     v = versions.select(F.col(dim_id).alias("_id"), F.col("valid_from_utc").alias("_from"), F.col("valid_to_utc").alias("_to"), F.col("is_current").alias("_now"), F.col(key).alias("_key"))
+    follow = F.lead("_from").over(Window.partitionBy("_id").orderBy("_from", "_key"))
+    overlaps = F.col("_from").isNull() | (follow.isNotNull() & (F.col("_to").isNull() | (F.col("_to") >= follow) | (F.col("_from") >= follow)))
+    odd = v.withColumn("_odd", overlaps).where("_odd").select(F.col("_id").alias("_odd_id")).distinct()
+    marked = facts.join(odd, F.col(fact_id) == F.col("_odd_id"), "left")
+    timed = F.col(event_time).isNotNull()
+    one, default = marked.where(timed & F.col("_odd_id").isNull()).drop("_odd_id"), marked.where(~timed).drop("_odd_id")
+    many = marked.where(timed & F.col("_odd_id").isNotNull()).drop("_odd_id")
+    start, no_start = F.unix_micros(F.col("_from").cast("timestamp")), F.col("_from").isNull().cast("int")
+    current = (F.coalesce(F.col("_now"), F.lit(0)) == 1).cast("int")
+    usual = v.groupBy("_id").agg(F.max_by("_key", F.struct(current, no_start, F.coalesce(start, F.lit(0)), "_key")).alias(out))
+    default = default.join(usual, F.col(fact_id) == F.col("_id"), "left").drop("_id")
+    return _last_started(one, v, fact_id, event_time, out).unionByName(default).unionByName(_best_version(many, v, fact_id, event_time, out, row_id))
+
+
+def _last_started(facts: DataFrame, v: DataFrame, fact_id: str, event_time: str, out: str) -> DataFrame:
+    """For timed facts of entities whose versions follow one another: the last to start until then, else the first."""
+    at = lambda c: F.col(c).cast("timestamp")
+    row = F.struct(*facts.columns)
+    f = facts.select(F.col(fact_id).alias("_id"), at(event_time).alias("_t"), F.lit(1).alias("_fact"), F.lit(None).cast(v.schema["_key"].dataType).alias("_key"), row.alias("_row"))
+    starts = v.select("_id", at("_from").alias("_t"), F.lit(0).alias("_fact"), "_key", F.lit(None).cast(f.schema["_row"].dataType).alias("_row"))
+    both = f.unionByName(starts).withColumn("_month", F.date_trunc("month", "_t"))
+    in_month = Window.partitionBy("_id", "_month").orderBy("_t", "_fact", "_key").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_here", F.last("_key", ignorenulls=True).over(in_month)).where("_fact = 1").select("_id", "_month", "_row", "_here")
+    # one row per entity and month that either has
+    months = both.groupBy("_id", "_month").agg(F.max_by("_key", F.when(F.col("_fact") == 0, F.struct("_t", "_key"))).alias("_last"), F.min_by("_key", F.when(F.col("_fact") == 0, F.struct("_t", "_key"))).alias("_first"))
+    by_month = Window.partitionBy("_id").orderBy("_month")
+    before, first = F.last("_last", ignorenulls=True).over(by_month.rowsBetween(Window.unboundedPreceding, -1)), F.first("_first", ignorenulls=True).over(by_month.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    months = months.select("_id", "_month", F.coalesce(before, first).alias("_before"))
+    joined = found.join(months, ["_id", "_month"], "left")
+    return joined.select("_row.*", F.coalesce("_here", "_before").alias(out))
+
+
+def _best_version(facts: DataFrame, v: DataFrame, fact_id: str, event_time: str, out: str, row_id: Sequence[str]) -> DataFrame:
+    """For timed facts: every version of the entity is ranked, with one max per row, so no candidate list is gathered."""
     t = F.col(event_time)
-    covers = t.isNotNull() & (F.col("_from").isNull() | (F.col("_from") <= t)) & (F.col("_to").isNull() | (t <= F.col("_to")))
+    covers = (F.col("_from").isNull() | (F.col("_from") <= t)) & (F.col("_to").isNull() | (t <= F.col("_to")))
     level = F.when(covers, 5).when(F.col("_from") <= t, 4).when(F.col("_from") > t, 3).when(F.col("_now") == 1, 2).otherwise(1)
     start, no_start = F.unix_micros(F.col("_from").cast("timestamp")), F.col("_from").isNull().cast("int")
     earliest = level == 3
@@ -172,11 +212,10 @@ def percentiles(df: DataFrame, groups: Sequence[str], specs: Sequence[tuple[str,
 def surrogate_keys(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Dense numbers from 1 in sorted order, nulls last, numbered range by range instead of in one task.
 
-    The range-partitioned rows are kept (memory and disk), since both the counts and the numbers need the same ranges;
-    a lost part is made again with the same boundaries.
+    The ranges are stored once in the shared folder, since the counts and the numbers need the same ones.
     """
     by = [F.col(c).asc_nulls_last() for c in order]
-    ranged = df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()).persist()
+    ranged = stored(df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()))
     ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_p").orderBy(*by)

@@ -541,16 +541,19 @@ def table_diff(t, spark, d):
 
 
 @query("""
-SELECT 'orders' AS artifact_id, column_name, old_type, new_type, drift, (SELECT count(*) FROM orders) AS table_rows FROM (VALUES
- ('o_orderkey', 'int', 'bigint', 'type_changed'), ('o_custkey', 'bigint', 'bigint', 'unchanged'), ('o_orderstatus', 'string', NULL, 'removed'), ('o_totalprice', 'double', 'double', 'unchanged'),
- ('o_orderdate', 'timestamp_ntz', 'timestamp_ntz', 'unchanged'), ('o_orderpriority', 'string', 'string', 'unchanged'), ('o_date', NULL, 'date', 'added')) AS x (column_name, old_type, new_type, drift)
+WITH n AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0) AS cut, count(*) FILTER (o_custkey % 5 = 0) AS lost, count(*) FILTER (o_custkey % 5 = 0 AND o_orderkey % 3 > 0) AS lost_now FROM orders)
+SELECT 'orders' AS artifact_id, c AS column_name, a AS old_type, b AS new_type, drift, CASE WHEN a IS NOT NULL THEN n END AS old_rows, CASE WHEN b IS NOT NULL THEN n - cut END AS new_rows, CASE WHEN a IS NOT NULL THEN CASE c WHEN 'o_totalprice' THEN lost ELSE 0 END END AS old_nulls, CASE WHEN b IS NOT NULL THEN CASE c WHEN 'o_orderpriority' THEN lost_now ELSE 0 END END AS new_nulls FROM n, (VALUES
+ ('o_orderkey', 'int', 'bigint', 'type_changed'), ('o_custkey', 'bigint', 'bigint', 'unchanged'), ('o_orderstatus', 'string', NULL, 'removed'), ('o_totalprice', 'double', 'double', 'unchanged'), ('o_orderpriority', 'string', 'string', 'unchanged'), ('o_date', NULL, 'date', 'added')) AS x (c, a, b, drift)
 """)
 def schema_drift(t, spark, d):
-    """Columns of the order table against an earlier version of its schema."""
-    before = t["orders"].drop("o_date").withColumn("o_orderkey", F.col("o_orderkey").cast("int"))
-    rows = lambda df, run: quality.schema_rows(spark, "orders", df.schema, run)
-    out = quality.schema_drift(rows(t["orders"].drop("o_orderstatus"), "2"), rows(before, "1"))
-    return out.crossJoin(t["orders"].agg(F.count(F.lit(1)).alias("table_rows")))
+    """Two stored versions of a table: columns added, removed or of another type, and the rows and nulls of each."""
+    o, lost = t["orders"].drop("o_orderdate"), F.col("o_custkey") % 5 == 0
+    old = stored(o.drop("o_date").withColumns({"o_orderkey": F.col("o_orderkey").cast("int"), "o_totalprice": F.when(~lost, F.col("o_totalprice"))}))
+    new = stored(o.where("o_orderkey % 3 > 0").drop("o_orderstatus").withColumn("o_orderpriority", F.when(~lost, F.col("o_orderpriority"))))
+    was, now = quality.column_facts(old, "orders", "1"), quality.column_facts(new, "orders", "2")
+    seen = lambda df, p: df.select("artifact_id", "column_name", F.col("rows").alias(f"{p}_rows"), F.col("nulls").alias(f"{p}_nulls"))
+    keys = ["artifact_id", "column_name"]
+    return quality.schema_drift(now, was).join(seen(was, "old"), keys, "left").join(seen(now, "new"), keys, "left")
 
 
 @query()

@@ -60,6 +60,41 @@ def test_as_of_fallbacks(spark):
     assert {x.fact: x.key for x in got} == {1: 10, 2: 11, 3: 10, 4: 11, 5: 20, 6: 30, 7: None}
 
 
+def test_as_of_against_plain_ranking(spark):
+    """Entities with versions that follow one another, with gaps and overlaps, over several months."""
+    import random
+
+    rng, versions, facts = random.Random(3), [], []
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(n)
+    for who in range(40):
+        at, overlap = rng.randrange(40), who % 5 == 0
+        for n in range(rng.randrange(5)):
+            end = at + rng.randrange(1, 60)
+            versions.append((who, day(at), None if rng.random() < 0.1 and overlap else day(end), int(rng.random() < 0.3), who * 10 + n))
+            at = end - rng.randrange(20) if overlap else end + rng.randrange(1, 20)
+    for i in range(600):
+        facts.append((i, rng.randrange(42), None if rng.random() < 0.05 else day(rng.randrange(250)), "x"))
+    facts.append((600, None, day(3), "x"))
+    v = spark.createDataFrame(versions, "id long, valid_from_utc timestamp, valid_to_utc timestamp, is_current int, sk long")
+    f = spark.createDataFrame(facts, "fact long, pid long, t timestamp, note string")
+
+    def plain(who, t):
+        own = [x for x in versions if x[0] == who]
+        if not own:
+            return None
+        if t is None:
+            return max(own, key=lambda x: (x[3] == 1, x[1], x[4]))[4]
+        covering = [x for x in own if x[1] <= t and (x[2] is None or t <= x[2])]
+        if covering:
+            return max(covering, key=lambda x: (x[1], x[3] != 1, x[4]))[4]
+        before = [x for x in own if x[1] <= t]
+        return max(before, key=lambda x: (x[1], x[4]))[4] if before else min(own, key=lambda x: (x[1], x[4]))[4]
+
+    got = r.as_of(f, v, "pid", "id", "t", "sk", "key", ["fact"])
+    assert got.columns == [*f.columns, "key"]
+    assert {x.fact: x.key for x in got.collect()} == {i: plain(who, t) for i, who, t, _ in facts}
+
+
 def test_percentiles_ties_and_direction(spark):
     df = spark.createDataFrame([(i, "s", v, n) for i, (v, n) in enumerate([(1.0, 9), (2.0, 9), (2.0, 9), (4.0, 9), (9.0, 1), (None, 9)])] + [(9, "t", 3.0, 9)], "id int, season string, v double, n int")
     got = r.percentiles(df, ["season"], [("v", "up", False, F.col("n") > 5), ("v", "down", True, F.col("n") > 5)], ["id"]).collect()
