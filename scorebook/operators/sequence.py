@@ -238,7 +238,7 @@ def fouls_to_give(df: DataFrame, c: Cols = Cols()) -> DataFrame:
 
     home, away = left("homeTeamId"), left("awayTeamId")
     side = lambda x: F.when(F.col(x) == F.col("homeTeamId"), home).when(F.col(x) == F.col("awayTeamId"), away)
-    df = df.withColumns({"foulsToGiveOffense": side("resolvedOffenseTeamId"), "foulsToGiveDefense": side("resolvedDefenseTeamId")}).drop("_capped")
+    df = df.withColumns({"foulsToGiveOffense": side("resolvedOffenseTeamId"), "foulsToGiveDefense": side("resolvedDefenseTeamId"), "homeFoulsToGive": home, "awayFoulsToGive": away}).drop("_capped")
     # the foul that led to the bonus was not itself in the penalty
     spent = F.col("foulsToGiveDefense") == 0
     before_foul = F.coalesce(F.lag("foulsToGiveDefense").over(w) == 0, F.lit(False))

@@ -130,3 +130,23 @@ WITH x AS (SELECT "personId", sum(total_possessions) AS possessions, sum(points_
 r AS (SELECT *, count(*) OVER (ORDER BY round(possessions, 6)) AS a, count(*) OVER () AS n, count(CASE WHEN games > 1 THEN 1 END) OVER (ORDER BY CASE WHEN games > 1 THEN round(points, 6) END NULLS LAST) AS b, count(CASE WHEN games > 1 THEN 1 END) OVER () AS m FROM x)
 SELECT "personId", 'all' AS season, round(possessions, 6) AS possessions, round(points, 6) AS points, games, CAST(round_even(100.0 * (a - 1) / (n - 1), 0) AS INTEGER) AS possessions_percentile, CASE WHEN games > 1 THEN CAST(round_even(100.0 * (b - 1) / (m - 1), 0) AS INTEGER) END AS points_percentile FROM r
 """
+
+EVENT_CONTEXT = f"""
+WITH {EVENTS}, {STINTS},
+x AS (SELECT e.*, coalesce(e.p > bp OR e.p = bp AND e.o >= bo, false) AS lost FROM e LEFT JOIN broken b ON e.g = b.g),
+f AS (SELECT *, [greatest(CASE WHEN capped THEN least(greatest(4 - es[i], 0), 1) ELSE greatest(4 - es[i], 0) END - ls[i], 0) FOR i IN [1, 2]] AS give FROM (SELECT *, [count(*) FILTER (foul AND NOT capped AND team = 100) OVER w, count(*) FILTER (foul AND NOT capped AND team = 200) OVER w] AS es, [count(*) FILTER (foul AND capped AND team = 100) OVER w, count(*) FILTER (foul AND capped AND team = 200) OVER w] AS ls FROM x WINDOW w AS (PARTITION BY g, p ORDER BY o)))
+SELECT g AS game_id, o AS event_num, CAST(100 AS BIGINT) AS home_team_id, CAST(200 AS BIGINT) AS away_team_id, CASE WHEN NOT lost THEN '100-101-102-103-104' END AS home_lineup_id, CASE WHEN NOT lost THEN '200-201-202-203-204' END AS away_lineup_id, CASE WHEN NOT lost THEN 5 END AS home_players, CAST(give[1] AS BIGINT) AS home_fouls_to_give, CAST(give[2] AS BIGINT) AS away_fouls_to_give, NOT lost AND k = 1 AS has_starters FROM f
+"""
+
+CONTEXT_ISSUES = f"WITH {EVENTS}, {STINTS} SELECT issue, count(*) AS n FROM (SELECT CASE WHEN coalesce(e.p > bp OR e.p = bp AND e.o >= bo, false) THEN 'lineup_id_mismatch' END AS issue FROM e LEFT JOIN broken b ON e.g = b.g) WHERE issue IS NOT NULL GROUP BY issue"
+
+GAME_STATE = f"""
+WITH {EVENTS}, t AS (SELECT DISTINCT g, [100, 200] AS teams FROM e)
+SELECT e.g AS "gameId", o AS "orderNumber", CAST(CASE WHEN dreb THEN coalesce(lag(off) OVER (PARTITION BY e.g ORDER BY p, o), off) ELSE off END AS BIGINT) AS "offenseOfRecord", CAST(sum(pts) OVER (PARTITION BY e.g, team ORDER BY p, o) AS BIGINT) AS "teamScore", CAST(count(*) FILTER (foul) OVER (PARTITION BY e.g, person ORDER BY p, o) AS BIGINT) AS "personFouls", array_to_string(teams, ',') AS "orderedTeamIds" FROM e JOIN t ON e.g = t.g
+"""
+
+BOX_CONTEXT = f"""
+WITH {EVENTS}
+SELECT g AS "gameId", o AS "orderNumber", CASE team WHEN 100 THEN 'h' ELSE 'v' END AS location, CASE team WHEN 100 THEN 'Hall' ELSE 'Vale' END AS "playerteamCity", CASE team WHEN 100 THEN 'Visitors' ELSE 'Homers' END AS "opponentteamName", CASE WHEN person % 100 < 7 THEN 'P ' || CASE WHEN person = 203 THEN 103 ELSE person END END AS "playerFullName",
+  CAST(NULL AS VARCHAR) AS "stealFullName", CASE WHEN sub AND person % 100 < 7 AND person % 100 <> 3 THEN person END AS "subsInPersonId" FROM e
+"""

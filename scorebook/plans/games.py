@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorebook.operators import attribution, lineups, sequence
+from scorebook.operators import attribution, context, lineups, sequence
 from scorebook.operators.relational import percentiles
 from scorebook.plans import game_sql
 from scorebook.plans.demo import tables
@@ -115,6 +115,41 @@ def shot_locations(t, spark, d):
     return sequence.shot_locations(sequence.event_flags(raw_events(t))).select("gameId", "orderNumber", "shotZone", "shotRange", "locationReason")
 
 
+@query(game_sql.BOX_CONTEXT)
+def box_context(t, spark, d):
+    """Events with sides and names of the box score; two players share a name, one of each team has none."""
+    b = box(t)
+    n = F.col("personId") % 100
+    players = b.select("gameId", "personId", F.when(n < 7, F.concat(F.lit("P "), F.when(F.col("personId") == 203, 103).otherwise(F.col("personId")).cast("string"))).otherwise(" ").alias("name"))
+    home = F.col("team_side") == "home"
+    teams = b.select("gameId", "team_side", "teamId", F.when(home, "Hall").otherwise("Vale").alias("teamCity"), F.when(home, "Homers").otherwise("Visitors").alias("teamName")).distinct()
+    events = raw_events(t).withColumn("description", F.when(F.col("actionType") == "substitution", F.concat(F.lit("SUB: X replaced by p "), F.col("personId").cast("string"))))
+    out = context.box_context(events, teams, players)
+    return out.select("gameId", "orderNumber", "location", "playerteamCity", "opponentteamName", "playerFullName", "stealFullName", "subsInPersonId")
+
+
+@query(game_sql.GAME_STATE)
+def game_state(t, spark, d):
+    """Teams in order of appearance, offence of record, running scores and fouls."""
+    out = context.game_state(sequence.enriched(raw_events(t)))
+    return out.select("gameId", "orderNumber", "offenseOfRecord", F.col("teamScore").cast("long").alias("teamScore"), "personFouls", F.array_join("orderedTeamIds", ",").alias("orderedTeamIds"))
+
+
+@query(game_sql.EVENT_CONTEXT)
+def event_context(t, spark, d):
+    """Players on court, lineup ids and fouls to give at every event."""
+    events, _, s, _ = game_tables(t)
+    out = context.event_context(events, s)
+    return out.select("game_id", "event_num", "home_team_id", "away_team_id", "home_lineup_id", "away_lineup_id", F.when(F.col("home_current_player_ids").isNotNull(), F.size("home_current_player_ids")).alias("home_players"), "home_fouls_to_give", "away_fouls_to_give", F.col("away_period_starter_ids").isNotNull().alias("has_starters"))
+
+
+@query(game_sql.CONTEXT_ISSUES)
+def context_issues(t, spark, d):
+    """Events whose context can't be right."""
+    events, _, s, _ = game_tables(t)
+    return context.context_issues(context.event_context(events, s)).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(game_sql.LINEUP_STINTS)
 def lineup_stints(t, spark, d):
     return game_tables(t)[2].drop("home_personIds", "away_personIds")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scorebook.operators import attribution, lineups, sequence
+from scorebook.operators import attribution, context, lineups, sequence
 
 KIND = (
     "gameId string, period long, orderNumber long, actionNumber long, actionType string, subType string, descriptor string, qualifiers array<string>, clock string, shotResult string, isFieldGoal long, teamId long, personId long, "
@@ -242,3 +242,15 @@ def test_context_waterfalls(spark, enriched):
     assert [(r.method, r.opponent_two_point_attempts) for r in (shots(enriched)[A], shots(lost)[A])] == [("exact", 2.0), ("event_estimated", 2.0)]
     nobody = lost.withColumn("resolvedOffenseTeamId", F.lit(None).cast("long"))
     assert [(r.method, r.opponent_two_point_attempts) for r in (shots(nobody)[H], shots(nobody)[A])] == [("boxscore_estimated", 60.0), ("boxscore_estimated", 50.0)]
+
+
+def test_box_context_and_issues(spark, rows):
+    teams = spark.createDataFrame([("g", "home", 1, "LA ", "Reds"), ("g", "away", 2, "NY", "Blues"), ("h", "home", 1, "LA", "Reds")], "gameId string, team_side string, teamId long, teamCity string, teamName string")
+    players = spark.createDataFrame([("g", 11, "Al Po"), ("g", 12, "Bo"), ("g", 21, "Bo"), ("g", 22, " ")], "gameId string, personId long, name string")
+    e = spark.createDataFrame([("g", 1, 1, 11, 22, "SUB: X replaced by al po"), ("g", 2, 2, 22, 12, "replaced by Bo"), ("h", 3, 1, 11, None, None), ("g", 4, None, None, None, "x")], "gameId string, orderNumber long, teamId long, personId long, stealPersonId long, description string")
+    got = {r.orderNumber: r for r in context.box_context(e, teams, players, {"playerFullName": ("personId", None), "stealFullName": ("stealPersonId", "description")}).collect()}
+    assert (got[1].location, got[1].playerteamCity, got[1].opponentteamName, got[1].playerFullName, got[1].stealFullName, got[1].subsInPersonId) == ("h", "LA", "Blues", "Al Po", "SUB: X replaced by al po", 11)
+    assert (got[2].playerFullName, got[2].stealFullName, got[2].subsInPersonId) == (None, "Bo", None)  # two players share the name
+    assert (got[3].location, got[3].opponentteamName, got[4].location) == ("h", None, None) and len(got) == 4
+    ctx = spark.createDataFrame([("g", 1, 1, 2, [2, 1], [3], "1-2", "3"), ("g", 1, 1, 2, [1], [3], "1", "3"), ("g", 2, 1, 1, [1], [3], "1", "4"), ("g", 3, 1, 2, None, [3], None, "3")], "game_id string, event_num long, home_team_id long, away_team_id long, home_current_player_ids array<long>, away_current_player_ids array<long>, home_lineup_id string, away_lineup_id string")
+    assert rows(context.context_issues(ctx)) == [("g", 1, "duplicate_event"), ("g", 2, "lineup_id_mismatch"), ("g", 2, "unusable_sides"), ("g", 3, "lineup_id_mismatch")]
