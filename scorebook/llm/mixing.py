@@ -5,10 +5,10 @@ Each source's rows are cut into blocks. A source with weight w of the active tot
 blocks fills one slot after the other, so at every slot each source has had its share to within less than one block.
 When a source runs out, the others go on in a new phase with the weights that are left. No row is dropped or repeated.
 
-Weights are exact: integers as they are, others to 2 ** -40 of their sum. Any number of sources will do: those that fill
-no more than one block are scheduled together, with the sum of their weights (none of them can be off by a block). The
-schedule has one entry per block and is worked out block by block; blocks grow with the input, so there are at most
-about MOST_BLOCKS. All work on rows is SQL.
+Weights are exact: integers as they are, others to 2 ** -40 of their sum. Any number of sources will do: beyond
+MOST_BLOCKS of them, those that fill no more than one block are scheduled together, with the sum of their weights (none
+of them can be off by a block). The schedule has one entry per block and is worked out block by block; blocks grow with
+the input, so there are at most about twice MOST_BLOCKS. All work on rows is SQL.
 
 Null source: a source of its own, whose weight has the key None. Sources without a weight get 1; a weight that isn't
 positive raises ValueError. Rows with equal ids: each row has its own place, ordered by `tie`; ties beyond that are in
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from scorebook.llm.common import free_name, table, written
 
-#: Least rows of a block; most blocks of the whole mix (beside one partly filled for each source).
+#: Least rows of a block; most blocks of the whole mix (beside one partly filled for each source) and most sources that
+#: are all scheduled on their own.
 BLOCK_ROWS, MOST_BLOCKS = 64, 1 << 17
 #: Parts that weights are expressed in unless they are integers.
 PARTS = 1 << 40
@@ -110,14 +111,15 @@ def mix(
         *[col(c).alias(o) for c, o in zip(docs.columns, own, strict=True)], col(source_col).cast("string").alias("source"), col(id_col).alias("id"),
         F.xxhash64(col(id_col), F.lit(5)).alias("key"), (F.lit(0) if tie is None else tie).alias("tie"),
     )
-    # one row per source, weighed; the large ones, of which there are fewer than blocks, get numbers of their own
+    # one row per source, weighed; those scheduled on their own, of which there are no more than blocks, get numbers
     sizes = written(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
-    n_rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_rows, n_sources = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     block_rows = max(block_rows, -(-n_rows // MOST_BLOCKS))
+    alone = F.lit(n_sources <= MOST_BLOCKS) | (F.col("n") > block_rows)
     sizes = sizes.withColumn("w", target(weights, temperature, F.col("source"), F.col("n")))
-    large = written(sizes.where(F.col("n") > block_rows).withColumn("sid", F.row_number().over(Window.orderBy("source"))))
+    large = written(sizes.where(alone).withColumn("sid", F.row_number().over(Window.orderBy("source"))))
     streams = {r.sid: (r.n, r.w) for r in large.select("sid", "n", "w").toLocalIterator()}
-    small = sizes.where(F.col("n") <= block_rows).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    small = sizes.where(~alone).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
     if small.n:
         streams[0] = small.n, small.w
     sids = sorted(streams)

@@ -195,8 +195,9 @@ def test_schedules_meet_windows():
     check_schedule([30] * 9 + [300], mixing.whole_weights([x**0.5 for x in [30] * 9 + [300]]))
 
 
-def test_mixing_of_many_sources(spark):
-    """Over 300 sources, most of them smaller than a block, a hot one with a third of all rows, and fractional weights."""
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """More sources than blocks, most of them smaller than one, a hot one with a third of all rows, fractional weights."""
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 1000)
     names = ["hot"] * 2000 + [f"mid{i % 330}" for i in range(3300)] + [f"tiny{i}" for i in range(700)]
     df = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
     got = mixing.mix(df, block_rows=8).collect()
@@ -213,6 +214,14 @@ def test_mixing_of_many_sources(spark):
         assert abs(hot - (k + 1) * shares["hot"] / sum(shares.values())) < 1
 
 
+def test_mixing_of_sources_under_a_block(spark):
+    """Few small sources are scheduled each on its own: weights decide which comes first."""
+    df = spark.createDataFrame([(i, f"s{i % 300}") for i in range(900)], "doc_id long, source string")
+    for first in ("s7", "s123"):
+        got = mixing.mix(df, {first: 1000}).collect()
+        assert len({(r.source, r.mix_slot) for r in got}) == 300 and {r.source for r in got if r.mix_slot == 0} == {first}
+
+
 def test_mixing_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, source string")
     assert mixing.mix(empty).count() == 0
