@@ -141,7 +141,7 @@ def prune(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def exact(pairs: DataFrame, texts: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     """(a, b) of the stored pairs whose shingle sets reach the bound, decided on the words themselves."""
     involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(texts.join(written(involved), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+    texts = written(texts.join(involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -212,10 +212,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def stars(links: DataFrame, large: bool) -> DataFrame:
-        """links (u, v): re-hang each node's neighbours (large: the larger ones) on its smallest neighbour."""
-        links = written(links)
+        """Stored links (u, v): re-hang each node's neighbours (large: the larger ones) on its smallest neighbour."""
         least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        joined = join_unique(links, written(least), "u")
+        joined = join_unique(links, least, "u")
         if large:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -227,7 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        links = stars(both, large=True)
+        links = written(stars(both, large=True))
         # every link now points to a smaller id
         links = written(stars(links, large=False))
         after = state(links)
@@ -268,14 +267,14 @@ def across_components(members: DataFrame, labels: DataFrame, texts: DataFrame, k
     placed = written(members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
     per_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     spans = per_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    spans = written(spans.where("roots > 1").select("key", "main"))
+    spans = spans.where("roots > 1").select("key", "main")
     cluster = written(join_unique(placed, spans, "key", "inner").select("main", "id", "root").distinct())
     sizes = cluster.groupBy("main").agg(F.sum((F.col("root") != F.col("main")).cast("long")).alias("outside"), F.count(F.lit(1)).alias("inside"))
     blocks = lambda n, most: F.ceil(F.col(n) / most)
     sizes = sizes.select("main", blocks("outside", OUTSIDERS).alias("n_out"), blocks("inside", INSIDERS).alias("n_in"))
-    involved = written(cluster.select("id").distinct())
+    involved = cluster.select("id").distinct()
     sets = written(set_sketch(texts.join(involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), k))
-    rows = join_unique(cluster, written(sizes), "main", "inner").join(sets, "id")
+    rows = join_unique(cluster, sizes, "main", "inner").join(sets, "id")
     block, other = lambda n: F.pmod(F.xxhash64("id"), F.col(n)), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     keep = ["main", "id", "root", "shingles", "sig"]
     outside = rows.where("root != main").select(*keep, F.lit(True).alias("out"), block("n_out").alias("i"), F.explode(other("n_in")).alias("j"))
