@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 HOT_SHARE = 1 / 2000
 #: Rows handed to Python objects at once, and the output bytes after which a batch is sent on.
 ROWS_AT_ONCE, BATCH_BYTES = 500, 8 << 20
+#: Narrow rows that a file of a table of known size has at least.
+ROWS_PER_FILE = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +54,13 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Materialise `df` once as Parquet in the shared folder and read it back, which cuts its lineage."""
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialise `df` once as Parquet in the shared folder and read it back, which cuts its lineage.
+
+    `rows`: how many narrow rows it has at most, if known; few of them go to few files.
+    """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, rows // ROWS_PER_FILE))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

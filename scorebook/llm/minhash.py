@@ -222,13 +222,13 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("u != v").distinct()
 
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-    links = written(edges.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct())
+    links = written(edges.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), edges.count())
     before = state(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        links = written(stars(both, large=True))
+        links = written(stars(both, large=True), 2 * before[0])
         # every link now points to a smaller id
-        links = written(stars(links, large=False))
+        links = written(stars(links, large=False), 4 * before[0])
         after = state(links)
         if after == before:
             break
