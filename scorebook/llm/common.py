@@ -128,6 +128,28 @@ def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "left", h
     return head.unionByName(left.where(~is_hot).join(right, on, how))
 
 
+#: Bits of a bitmap for each key that it marks, least and most bits in all; a row has 2 ** ROW_SHIFT of them.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS, ROW_SHIFT = 16, 1 << 15, 1 << 27, 15
+
+
+def bitmap(keys: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
+    """(part, marks), bits: a bitmap of about `n` 64-bit hashes, in rows of 4 KB; 16 MB in all at most, however many keys."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * max(n, 1) - 1).bit_length()))
+    at = F.col(key).bitwiseAND(F.lit(bits - 1))
+    rows = keys.select(F.shiftright(at, ROW_SHIFT).alias("part"), (at % (1 << ROW_SHIFT)).alias("at"))
+    return written(rows.groupBy("part").agg(F.bitmap_construct_agg("at").alias("marks"))), bits
+
+
+def may_have(df: DataFrame, key: str, marks: DataFrame, bits: int) -> DataFrame:
+    """The rows of `df` whose `key` may be one of the bitmap's: all that are, and a few others."""
+    at = F.col(key).bitwiseAND(F.lit(bits - 1))
+    part, row = free_name(df.columns, "part"), free_name(df.columns, "marks")
+    byte, bit = F.shiftright(at % (1 << ROW_SHIFT), 3).cast("int"), (at % 8).cast("int")
+    held = df.withColumn(part, F.shiftright(at, ROW_SHIFT)).join(F.broadcast(marks.toDF(part, row)), part)
+    value = F.conv(F.hex(F.substring(row, byte + 1, F.lit(1))), 16, 10).cast("int")
+    return held.where(value.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit)) > 0).select(*[held[c] for c in df.columns])
+
+
 def least_hot(rows: int) -> int:
     """The rows from which a key of a table with so many rows is hot."""
     return max(100, int(rows * HOT_SHARE))
