@@ -3,13 +3,13 @@
 Texts are lower-cased (A-Z) and cut into pieces at `.,;:!?` and line ends, pieces into words at spaces and tabs. A phrase
 has two to four words of one piece; all counts are per language and include overlaps. A task's texts are mined in shards
 of bounded bytes. In a shard, a phrase has to reach its share of the support: the least count times the shard's part of
-the language's bytes. Shares add up to one, so a phrase with the least count reaches its share in some shard. The union of
-the shards' frequent phrases is counted again everywhere, exactly, by the phrases themselves.
+the language's bytes, rounded up. Shares add up to the support, so a phrase that has it reaches its share in some shard.
+Shards send hashes and counts of what reaches the share; a phrase stays in the union if that and the most that all others
+may have of it unsaid can make up the support. The union is counted again everywhere, exactly, by the phrases themselves.
 
-Mining goes by orders, which keeps it small when shards are many and shares are less than two: words are counted first, then
+Mining goes by orders, which keeps it small when shards are many and shares are one: words are counted first, then
 pairs of frequent words are mined and counted, then phrases of three and four words whose pairs are all frequent. Tasks
-learn what is frequent from bitmaps of a bounded size; what those let through by mistake is counted exactly and falls
-out. Where every shard's share is one or less, mining has counted everything and no second count is needed.
+learn the union from bitmaps of a bounded size; what those let through by mistake is counted exactly and falls out.
 
 A phrase is scored at each cut into a first part and a rest: floor(2000000 a / (l + r)) for its count a and the counts of
 the parts; the least score holds, ties go to the shortest first part. A phrase that lies within a longer frequent one
@@ -94,15 +94,15 @@ def marks_of(hashes: DataFrame) -> bytes:
     return bytes(out)
 
 
-def counted(ids: np.ndarray, hashes: np.ndarray, orders: range, marks: dict[int, Marks], least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(order, words, hashes, counts) of the phrases of the wanted orders with at least `least` occurrences in a shard.
+def counted(ids: np.ndarray, hashes: np.ndarray, orders: range, mined: range, marks: dict[int, Marks], needed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(order, words, hashes, counts) of a shard's phrases: all of `orders`, and those of `mined` that occur `needed` times.
 
     ids: numbered words with 0 between pieces. An order is built on places at which the shorter phrases here and one
     further on are still alive; `marks` of an order must allow a phrase. Phrases are told apart by their word numbers.
     """
     at = np.flatnonzero(ids)
     rank, h, names = ids[at].astype(np.uint64), hashes[ids[at]], np.arange(len(hashes), dtype=np.uint32)[:, None]
-    for order in range(1, orders.stop):
+    for order in range(1, max(orders.stop, mined.stop)):
         if order > 1:
             alive = np.zeros(len(ids) + 1, dtype=bool)
             alive[at] = True
@@ -117,22 +117,28 @@ def counted(ids: np.ndarray, hashes: np.ndarray, orders: range, marks: dict[int,
             continue
         codes, first, inverse, counts = np.unique(rank, return_index=True, return_inverse=True, return_counts=True)
         names = names[codes] if order == 1 else np.hstack([names[codes >> np.uint64(32)], (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None]])
-        enough = counts >= least
         if order in orders:
+            yield order, names, h[first], counts
+        elif order in mined:
+            enough = counts >= needed
             yield order, names[enough], h[first][enough], counts[enough]
             ok = enough[inverse]
             at, h, inverse = at[ok], h[ok], inverse[ok]
         rank = inverse.astype(np.uint64)
 
 
-def mine(texts: DataFrame, orders: range, totals: dict[str, int], marks: dict[int, bytes], share: bool, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(lang, phrase, h, n, whole): phrases of texts (lang, text) counted shard by shard.
+NONE = range(0)
 
-    `share`: only those that reach the shard's share of `least`; whole tells whether that share let everything through.
+
+def shards(texts: DataFrame, totals: dict[str, int], marks: dict[int, bytes], orders: range = NONE, mined: range = NONE, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(lang, phrase, h, n) of texts (lang, text), shard by shard.
+
+    Phrases of `orders` with all their occurrences. For `mined` orders, hashes h of those that reach the shard's share of
+    `least`, with what they have beyond the most that a phrase can have without reaching it; a row without h has that.
     totals: each language's bytes. marks: bitmaps by order.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(marks)  # three bitmaps of 16 MB at most
-    schema = "lang string, phrase string, h long, n long, whole boolean"
+    sent = texts.sparkSession.sparkContext.broadcast(marks)  # a few bitmaps of 16 MB at most
+    columns = ["lang", "phrase", "h", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = {order: Marks(raw) for order, raw in sent.value.items()}
@@ -143,14 +149,20 @@ def mine(texts: DataFrame, orders: range, totals: dict[str, int], marks: dict[in
             of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
             for lang in list(held):
                 own, parts = held.pop(lang)
-                needed = least * own / totals[lang] if share else 1
+                needed = max(1, -(-least * own // totals[lang]))
                 hashes = of_word ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), seed=1))
-                for _, phrases, h, n in counted(np.concatenate(parts), hashes, orders, tests, needed):
+                batch = lambda text, h, n: pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), text, h, pa.array(n, pa.int64())], columns)  # noqa: B023, E731
+                if len(mined):
+                    yield batch(pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), [needed - 1])
+                for order, phrases, h, n in counted(np.concatenate(parts), hashes, orders, mined, tests, needed):
                     for cut in range(0, len(n), PHRASES_AT_ONCE):
                         some = slice(cut, cut + PHRASES_AT_ONCE)
-                        text = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in phrases[some].T], b" ").cast(pa.string())
-                        k = len(text)
-                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, k), text, pa.array(h[some].view(np.int64)), pa.array(n[some]), pa.repeat(needed <= 1, k)], ["lang", "phrase", "h", "n", "whole"])
+                        key = pa.array(h[some].view(np.int64))
+                        if order in orders:
+                            text = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in phrases[some].T], b" ").cast(pa.string())
+                            yield batch(text, key, n[some])
+                        else:
+                            yield batch(pa.nulls(len(key), pa.string()), key, n[some] - (needed - 1))
             words.clear()
             words[b"."] = 0
 
@@ -166,7 +178,7 @@ def mine(texts: DataFrame, orders: range, totals: dict[str, int], marks: dict[in
                     size = 0
         yield from shard()
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, "lang string, phrase string, h long, n long")
 
 
 def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -176,23 +188,25 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     total = sum(totals.values())
     context = docs.sparkSession.sparkContext
     texts = texts.where("text != ''").coalesce(max(1, -(-total // shard_bytes), min(context.defaultParallelism, total // LEAST_BYTES)))
-
-    def summed(df: DataFrame) -> DataFrame:
-        return df.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
-
-    def passes(orders: range, marks: dict[int, bytes]) -> DataFrame:
-        """Mine at the shares, then count the union, unless mining let everything through."""
-        mined = written(mine(texts, orders, totals, marks, True, least, shard_bytes))
-        if not mined.where("not whole").isEmpty():
-            wanted = marks_of(mined.select("h").distinct())
-            mined = mine(texts, orders, totals, {**marks, **dict.fromkeys(orders, wanted)}, False, least, shard_bytes)
-        return written(summed(mined).where(F.col("n") >= least))
-
-    words = written(summed(mine(texts, range(1, 2), totals, {}, False, least, shard_bytes)))
-    single = words.where(F.col("n") >= least)
-    marks = {1: marks_of(single.select("h"))}
-    pairs = passes(range(2, 3), marks)
-    longer = passes(range(3, LONGEST + 1), {**marks, 2: marks_of(pairs.select("h"))})
+    of = lambda marks, **more: shards(texts, totals, marks, least=least, shard_bytes=shard_bytes, **more)
+    enough = F.col("n") >= least
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
+
+    def union(rows: DataFrame) -> bytes:
+        """The bitmap of what may be frequent: what shards have found, and what they may have of it without telling."""
+        found = written(rows.where("phrase is null").groupBy("lang", "h").agg(F.sum("n").alias("n")))
+        slack = found.where("h is null").select("lang", F.col("n").alias("slack"))  # one row a language
+        return marks_of(found.where("h is not null").join(F.broadcast(slack), "lang").where(F.col("n") + F.col("slack") >= least).select("h"))
+
+    words = written(summed(of({}, orders=range(1, 2))))
+    single = words.where(enough)
+    pairs_of = {2: union(of({1: marks_of(single.select("h"))}, mined=range(2, 3)))}
+    both = written(of(pairs_of, orders=range(2, 3), mined=range(3, LONGEST + 1)))
+    pairs = written(summed(both).where(enough))
+    longer_of = union(both)
+    longer = summed(of(pairs_of | dict.fromkeys(range(3, LONGEST + 1), longer_of), orders=range(3, LONGEST + 1))).where(enough)
     return single.unionByName(pairs).unionByName(longer).select("lang", "phrase", "n"), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 

@@ -9,6 +9,9 @@ import pytest
 
 import __spark_entry__
 from scorebook.llm import secrets
+from test_phrases import brute as phrase_rows
+from test_prefix_trie import COLUMNS as TRIE
+from test_prefix_trie import brute as trie_rows
 from test_text_ops import naive_base
 
 FOLDER = "/root/testdata/sf0.001"
@@ -23,6 +26,9 @@ CONTRACT = {
     "op8_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op9_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
     "op10_langid": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op11_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op12_phrases": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op13_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
 }
 
 
@@ -138,3 +144,22 @@ def test_op10(got, docs):
         assert (r.lang_pred == "und") == (not any(x.isalpha() for x in docs[r.doc_id].text or "")) and r.lang_pred in langs | {"und"} and 0 <= r.score <= 1
     held = [r for r in rows if r.held_out and docs[r.doc_id].lang and r.lang_pred != "und"]
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.95 * len(held)
+
+
+def test_op11(got, docs):
+    groups = defaultdict(list)
+    for i, d in docs.items():
+        groups[raw(d).lower()].append(i)
+    want = {(i, max(g), len(g), i == max(g), hashlib.sha256(t).hexdigest()) for t, g in groups.items() for i in g}
+    rows = got("op11_exact_dedup")
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows} == want and len(rows) == len(docs)
+
+
+def test_op12(got, docs):
+    want = phrase_rows([(i, d.text, d.lang) for i, d in docs.items()], 30)
+    assert sorted((r.lang, r.rank, r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got("op12_phrases")) == want
+
+
+def test_op13(got, spark):
+    want = trie_rows([(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()])
+    assert sorted((tuple(r[c] for c in TRIE) for r in got("op13_prefix_trie")), key=str) == want

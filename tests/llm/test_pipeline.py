@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_stages_name_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["identify_language", "drop_near_duplicates", "drop_benchmark_leaks", "mix_sources", "shard"]
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 def test_run_against_brute_force(spark):
