@@ -1,14 +1,11 @@
 """Lineups (stints), possessions and their repairs.
 
-Stints follow an order-dependent rule per game and are built with a grouped map; a game is bounded (hundreds of events),
-so the groups are small and games run in parallel. All else is windows and joins.
+Stints follow an order-dependent rule per game: a fold over the game's substitution moments, with both fives as its state.
+All else is windows and joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,103 +35,128 @@ def game_sides(box: DataFrame) -> DataFrame:
     return box.where("teamId is not null").groupBy("gameId").agg(side("home").alias("homeTeamId"), side("away").alias("awayTeamId"))
 
 
-def substituted(home: set, away: set, events: list[dict], sides: tuple) -> tuple[set, set, str | None]:
-    """Both fives after the substitutions of one moment, and the first rule that they break."""
-    five = {sides[0]: set(home), sides[1]: set(away)}
-    for e in events:
-        if not e["isSubstitution"]:
-            continue
-        team, person, way = e["teamId"], e["personId"], (e["subType"] or "").strip().lower()
-        if team not in five or person is None or way not in ("in", "out") or way == "in" and person in five[team]:
-            return five[sides[0]], five[sides[1]], NOT_FIVE
-        if way == "out" and person not in five[team]:
-            return five[sides[0]], five[sides[1]], NOT_ON_COURT
-        five[team] = five[team] | {person} if way == "in" else five[team] - {person}
-    ok = all(len(x) == FIVE for x in five.values())
-    return five[sides[0]], five[sides[1]], None if ok else NOT_FIVE
-
-
-def _clusters(events: list[dict]) -> Iterator[tuple[dict, list[dict]]]:
-    """(first event, events) of each moment that has a substitution: from it to the last neighbour with its clock."""
-    i = 0
-    while i < len(events):
-        j = i + 1
-        if events[i]["isSubstitution"]:
-            while j < len(events) and events[j]["clock"] == events[i]["clock"]:
-                j += 1
-            yield events[i], events[i:j]
-        i = j
-
-
-def _stints(events: list[dict], start: dict) -> Iterator[dict]:
-    """Stints of one game's sorted events; `start`: home and away team and starters."""
-    sides, number, stable = (start["homeTeamId"], start["awayTeamId"]), 0, None
-    if None in sides or sides[0] == sides[1]:
-        return
-    mark = lambda e: (e["orderNumber"], e["actionNumber"], e["clock"])
-
-    def stint(period: int, a: tuple, b: tuple, five: tuple | None, issue: str | None = None) -> dict:
-        nonlocal number
-        number += 1
-        home, away = (sorted(five[0]), sorted(five[1])) if five else (None, None)
-        return dict(zip([f.split()[0] for f in STINTS.split(", ")], (events[0]["gameId"], period, number, a[0], b[0], a[1], b[1], a[2], b[2], *sides, home, away, int(issue is None), issue), strict=True))
-
-    for period in sorted({e["period"] for e in events if e["period"] is not None}):
-        own = [e for e in events if e["period"] == period]
-        orders = [e["orderNumber"] for e in own if e["orderNumber"] is not None]
-        first, last = mark(own[0]), (max(orders) + 1 if orders else None, own[-1]["actionNumber"], own[-1]["clock"])
-        if period == 1:
-            five = (set(start["homeStarters"]), set(start["awayStarters"])) if start["homeStarters"] and start["awayStarters"] else None
-        else:
-            five = stable
-        stable = None
-        if five is None:
-            yield stint(period, first, last, None, NO_STARTERS if period == 1 else NO_CARRY)
-            continue
-        clusters, opened, broken = list(_clusters(own)), first, False
-        if period > 1 and clusters and clusters[0][0] is own[0] and own[0]["clock"] in OPENING_CLOCKS:
-            home, away, issue = substituted(*five, clusters.pop(0)[1], sides)
-            if issue:
-                yield stint(period, first, last, None, BAD_OPENING)
-                continue
-            five = (home, away)
-        for head, members in clusters:
-            if opened != mark(head):
-                yield stint(period, opened, mark(head), five)
-            opened = mark(head)
-            home, away, issue = substituted(*five, members, sides)
-            if issue:
-                yield stint(period, opened, last, None, issue)
-                broken = True
-                break
-            five = (home, away)
-        if not broken:
-            yield stint(period, opened, last, five)
-            stable = five
+def let(value: Column, body) -> Column:
+    """`body` of a value that it uses more than once, so that the value is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fives(home: Column, away: Column, issue: Column) -> Column:
+    return F.struct(home.alias("home"), away.alias("away"), issue.cast("string").alias("issue"))
+
+
+def walked(home: Column, away: Column, subs: Column, home_team: Column, away_team: Column) -> Column:
+    """Who is on court after some substitutions in order, and the first rule that they break: struct(home, away, issue).
+
+    subs: array of (team, person, way). Nobody comes in who is on court or leaves who isn't.
+    """
+    state = _fives
+
+    def step(s: Column, e: Column) -> Column:
+        known = e["team"].eqNullSafe(home_team) | e["team"].eqNullSafe(away_team)
+        at_home = e["team"].eqNullSafe(home_team)
+        there = F.array_contains(F.when(at_home, s["home"]).otherwise(s["away"]), e["person"])
+        comes = e["way"] == "in"
+        issue = F.when(~known | e["person"].isNull() | ~F.coalesce(e["way"].isin("in", "out"), F.lit(False)) | (comes & there), NOT_FIVE).when(~comes & ~there, NOT_ON_COURT)
+        moved = lambda five: F.when(comes, F.array_append(five, e["person"])).otherwise(F.array_remove(five, e["person"]))
+        next_ = state(F.when(at_home, moved(s["home"])).otherwise(s["home"]), F.when(at_home, s["away"]).otherwise(moved(s["away"])), F.lit(None))
+        return F.when(s["issue"].isNotNull(), s).when(issue.isNotNull(), state(s["home"], s["away"], issue)).otherwise(next_)
+
+    return F.aggregate(subs, state(home, away, F.lit(None)), step)
+
+
+def after(home: Column, away: Column, subs: Column, home_team: Column, away_team: Column) -> Column:
+    """As `walked`; in the end each side must have five."""
+    full = lambda s: (F.size(s["home"]) == FIVE) & (F.size(s["away"]) == FIVE)
+    return let(walked(home, away, subs, home_team, away_team), lambda s: _fives(s["home"], s["away"], F.when(s["issue"].isNotNull(), s["issue"]).when(~full(s), NOT_FIVE)))
+
+
+def moments(events: DataFrame) -> DataFrame:
+    """(gameId, period, first, last, opens, clusters): each period's first and last mark and its substitution clusters.
+
+    A cluster is what follows a substitution up to the last neighbour with its clock. A mark is (order, action, clock).
+    `opens`: the first cluster is the period's first event and has an opening clock.
+    """
+    columns = ["orderNumber", "actionNumber", "clock", "teamId", "personId", "subType", "isSubstitution"]
+    e = events.where("period is not null").select("gameId", "period", *columns)
+    w = Window.partitionBy("gameId", "period").orderBy(*columns)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.struct(F.col("orderNumber").alias("o"), F.col("actionNumber").alias("a"), F.col("clock").alias("c"))
+    e = e.withColumns({"_n": F.row_number().over(w), "_new": (~F.col("clock").eqNullSafe(F.lag("clock").over(w)) | (F.row_number().over(w) == 1)).cast("int"), "mark": mark})
+    e = e.withColumn("_run", F.sum("_new").over(upto))
+    way = F.lower(F.trim(F.coalesce("subType", F.lit(""))))
+    sub = F.when(F.col("isSubstitution"), F.struct(F.col("_n").alias("n"), F.struct(F.col("teamId").alias("team"), F.col("personId").alias("person"), way.alias("way")).alias("e")))
+    runs = e.groupBy("gameId", "period", "_run").agg(
+        F.min(F.struct("_n", "mark")).alias("f"), F.max(F.struct("_n", "mark")).alias("l"), F.max("orderNumber").alias("top"),
+        F.min(F.when(F.col("isSubstitution"), F.struct("_n", "mark"))).alias("head"), F.sort_array(F.collect_list(sub)).alias("subs"),
+    )
+    cluster = F.when(F.col("head").isNotNull(), F.struct(F.col("head._n").alias("n"), F.col("head.mark").alias("head"), F.transform("subs", lambda x: x["e"]).alias("subs")))
+    out = runs.groupBy("gameId", "period").agg(F.min("f").alias("f"), F.max("l").alias("l"), F.max("top").alias("top"), F.sort_array(F.collect_list(cluster)).alias("clusters"))
+    first_cluster = F.get("clusters", F.lit(0))
+    return out.select(
+        "gameId", "period", F.col("f.mark").alias("first"), F.struct((F.col("top") + 1).alias("o"), F.col("l.mark.a").alias("a"), F.col("l.mark.c").alias("c")).alias("last"),
+        F.coalesce((F.col("period") > 1) & (first_cluster["n"] == 1) & F.col("f.mark.c").isin(*OPENING_CLOCKS), F.lit(False)).alias("opens"), "clusters",
+    )
 
 
 def stints(events: DataFrame, box: DataFrame) -> DataFrame:
-    """On-court stints of every game from substitution events and the box score's starters."""
+    """On-court stints of every game from substitution events and the box score's starters.
+
+    One fold over a game's periods, and within each over its substitution clusters, with both fives as the state.
+    """
     s = starters(box)
-    sides = game_sides(box)
     home = s.select("gameId", F.col("teamId").alias("homeTeamId"), F.col("starters").alias("homeStarters"))
     away = s.select("gameId", F.col("teamId").alias("awayTeamId"), F.col("starters").alias("awayStarters"))
-    start = sides.join(home, ["gameId", "homeTeamId"], "left").join(away, ["gameId", "awayTeamId"], "left")
-    columns = ["gameId", "period", "orderNumber", "actionNumber", "clock", "teamId", "personId", "subType", "isSubstitution"]
-    rows = events.select(*columns).groupBy("gameId").agg(F.sort_array(F.collect_list(F.struct("period", "orderNumber", "actionNumber", "clock", "teamId", "personId", "subType", "isSubstitution"))).alias("events"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                for k in ("homeTeamId", "awayTeamId"):
-                    r[k] = None if pd.isna(r[k]) else int(r[k])
-                for k in ("homeStarters", "awayStarters"):
-                    r[k] = None if r[k] is None else [int(x) for x in r[k]]
-                out += _stints([dict(e) | {"gameId": r["gameId"]} for e in r["events"]], r)
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in STINTS.split(", ")])
-
-    return rows.join(start, "gameId").select("gameId", "events", "homeTeamId", "awayTeamId", "homeStarters", "awayStarters").mapInPandas(run, STINTS)
+    start = game_sides(box).where("homeTeamId <> awayTeamId").join(home, ["gameId", "homeTeamId"], "left").join(away, ["gameId", "awayTeamId"], "left")
+    periods = moments(events).groupBy("gameId").agg(F.sort_array(F.collect_list(F.struct("period", "first", "last", "opens", "clusters"))).alias("periods"))
+    teams = (F.col("homeTeamId"), F.col("awayTeamId"))
+    mark = "struct<o:bigint,a:bigint,c:string>"
+    row = f"struct<period:bigint,s:{mark},e:{mark},home:array<bigint>,away:array<bigint>,issue:string>"
+    people = "array<bigint>"
+    none = F.lit(None)
+
+    def stint(p: Column, s: Column, e: Column, home: Column, away: Column, issue: Column) -> Column:
+        return F.struct(p["period"].alias("period"), s.alias("s"), e.alias("e"), home.alias("home"), away.alias("away"), issue.alias("issue")).cast(row)
+
+    def state(home: Column, away: Column, opened: Column, out: Column) -> Column:
+        """Fives (null: unknown), where the open stint began (null: the period is over for lineups), stints so far."""
+        return F.struct(home.cast(people).alias("home"), away.cast(people).alias("away"), opened.cast(mark).alias("opened"), out.cast(f"array<{row}>").alias("out"))
+
+    def add(s: Column, *rows: Column) -> Column:
+        return F.concat(s["out"], F.array(*rows))
+
+    def at_cluster(p: Column):
+        def step(s: Column, c: Column) -> Column:
+            def moved(n: Column) -> Column:
+                grown = F.when(s["opened"] != c["head"], add(s, stint(p, s["opened"], c["head"], s["home"], s["away"], none))).otherwise(s["out"])
+                broken = F.concat(grown, F.array(stint(p, c["head"], p["last"], none, none, n["issue"])))
+                return F.when(n["issue"].isNotNull(), state(none, none, none, broken)).otherwise(state(n["home"], n["away"], c["head"], grown))
+
+            return F.when(s["opened"].isNull(), s).otherwise(let(after(s["home"], s["away"], c["subs"], *teams), moved))
+
+        return step
+
+    def at_period(s: Column, p: Column) -> Column:
+        one = p["period"] == 1
+        begun = F.struct(F.when(one, F.col("homeStarters")).otherwise(s["home"]).cast(people).alias("home"), F.when(one, F.col("awayStarters")).otherwise(s["away"]).cast(people).alias("away"))
+
+        def opened(f: Column) -> Column:
+            lost = lambda issue: state(none, none, none, add(s, stint(p, p["first"], p["last"], none, none, issue)))
+            apply = lambda n: F.when(n["issue"].isNotNull(), lost(F.lit(BAD_OPENING))).otherwise(state(n["home"], n["away"], p["first"], s["out"]))
+            opening = F.when(p["opens"], F.get(p["clusters"], F.lit(0))["subs"]).otherwise(F.filter(F.get(p["clusters"], F.lit(0))["subs"], lambda x: F.lit(False)))
+            known = let(after(f["home"], f["away"], F.coalesce(opening, F.array().cast("array<struct<team:bigint,person:bigint,way:string>>")), *teams), apply)
+            return F.when(f["home"].isNull() | f["away"].isNull(), lost(F.when(one, NO_STARTERS).otherwise(NO_CARRY))).otherwise(known)
+
+        rest = F.when(p["opens"], F.slice(p["clusters"], F.lit(2), F.size(p["clusters"]))).otherwise(p["clusters"])
+        close = lambda x: F.when(x["opened"].isNull(), state(none, none, none, x["out"])).otherwise(state(x["home"], x["away"], none, add(x, stint(p, x["opened"], p["last"], x["home"], x["away"], none))))
+        return F.aggregate(rest, let(begun, opened), at_cluster(p), close)
+
+    folded = F.aggregate("periods", state(none, none, none, F.array()), at_period, lambda s: s["out"])
+    rows = periods.join(start, "gameId").select("gameId", *teams, F.posexplode(folded).alias("n", "x"))
+    return rows.select(
+        "gameId", F.col("x.period").alias("period"), (F.col("n") + 1).cast("long").alias("stint_id"), F.col("x.s.o").alias("start_orderNumber"), F.col("x.e.o").alias("end_orderNumber"), F.col("x.s.a").alias("start_actionNumber"), F.col("x.e.a").alias("end_actionNumber"),
+        F.col("x.s.c").alias("start_clock"), F.col("x.e.c").alias("end_clock"), F.col("homeTeamId").alias("home_teamId"), F.col("awayTeamId").alias("away_teamId"), F.array_sort("x.home").alias("home_personIds"), F.array_sort("x.away").alias("away_personIds"),
+        F.col("x.issue").isNull().cast("long").alias("lineup_valid_flag"), F.col("x.issue").alias("lineup_issue"),
+    )
 
 
 def starter_check(events: DataFrame, lineups: DataFrame, period_players: DataFrame) -> DataFrame:
@@ -267,110 +289,76 @@ def stamped(rows: DataFrame, lineups: DataFrame, c: Cols = Cols()) -> DataFrame:
     return out.select(*rows.columns, side("home").alias("homeLineupId"), side("away").alias("awayLineupId"), (F.size(issues) == 0).cast("int").alias("lineupValidFlag"), F.when(F.size(issues) > 0, F.array_join(issues, " | ")).alias("lineupIssue"))
 
 
-def _whole(stint: dict) -> bool:
-    return all(len(stint[k] or []) == FIVE for k in ("home_personIds", "away_personIds"))
-
-
-def _closing(stints: list[dict]) -> dict | None:
-    """The last of the stints by order."""
-    return max(stints, key=lambda s: (s["end_orderNumber"] or -1, s["stint_id"] or -1), default=None)
-
-
-def _reconciled(seed: list[int], drift: list[int], events: list[dict]) -> list[int] | None:
-    """A side's five: what drifted through the last period, after the opening substitutions; one may come from the seed."""
-    now = list(drift)
-    for e in events:
-        person, way = e["personId"], (e["subType"] or "").strip()
-        if person is None or way not in ("in", "out") or (person in now) != (way == "out"):
-            return None
-        now = [x for x in now if x != person] if way == "out" else [*now, person]
-    if not FIVE - 1 <= len(now) <= FIVE:
-        return None
-    now += [x for x in seed if x not in now][: FIVE - len(now)]
-    return sorted(now) if len(set(now)) == FIVE else None
-
-
-def _end_drift(prior: list[dict], first: dict, events: list[dict]) -> tuple[list[int], list[int]] | None:
-    """Both fives of an overtime whose first stint lacks the same sides as the last stint of the period before."""
-    seed, last = _closing([s for s in prior if s["lineup_valid_flag"] == 1 and _whole(s)]), _closing(prior)
-    opening = [e for e in events if e["isSubstitution"] and e["clock"] == OVERTIME_CLOCK]
-    short = lambda s: tuple(len(s[k] or []) < FIVE for k in ("home_personIds", "away_personIds"))
-    if seed is None or _whole(first) or not any(short(last)) or short(last) != short(first) or not opening:
-        return None
-    fives = [
-        _reconciled(seed[f"{side}_personIds"], last[f"{side}_personIds"] or [], [e for e in opening if e["teamId"] == seed[f"{side}_teamId"]]) for side in ("home", "away")
-    ]
-    return None if None in fives else (fives[0], fives[1])
-
-
-def _carried(prior: list[dict], events: list[dict]) -> tuple[list[int], list[int], bool] | None:
-    """The last valid fives of the period before, after the substitutions that open the overtime, and if there were any."""
-    seed = _closing([s for s in prior if s["lineup_valid_flag"] == 1 and _whole(s)])
-    if seed is None:
-        return None
-    home, away, cluster = seed["home_personIds"], seed["away_personIds"], []
-    for e in events:
-        if e["isSubstitution"] and (not cluster or e["clock"] == cluster[0]["clock"]):
-            cluster.append(e)
-        elif cluster:
-            break
-    if not cluster or cluster[0]["clock"] != OVERTIME_CLOCK:
-        return home, away, False
-    new_home, new_away, issue = substituted(set(home), set(away), cluster, (seed["home_teamId"], seed["away_teamId"]))
-    return None if issue else (sorted(new_home), sorted(new_away), True)
-
-
-def _repair(stints: list[dict], events: list[dict], period: int) -> tuple[list[dict], str, bool] | None:
-    """(stints, method, whether opening substitutions were applied) of a game whose overtime `period` has no valid start."""
-    own = sorted((s for s in stints if s["period"] == period), key=lambda s: (s["start_orderNumber"] or 10**12, s["stint_id"] or 10**12))
-    if all(_whole(s) and s["lineup_issue"] in (None, "", NOT_ON_COURT) for s in own):
-        return [s | {"lineup_valid_flag": 1, "lineup_issue": None} if s["period"] == period else s for s in stints], "stale_sub_out", False
-    prior = [s for s in stints if s["period"] == period - 1]
-    if not events or not prior:
-        return None
-    if fives := _end_drift(prior, own[0], events):
-        home, away, method, opened = *fives, "end_q4_reconciled", True
-    elif carried := _carried(prior, events):
-        home, away, opened = carried
-        method = "ot_carry_forward"
-    else:
-        return None
-    a, b = events[0], events[-1]
-    whole = own[0] | {
-        "stint_id": own[0]["stint_id"], "start_orderNumber": a["orderNumber"], "end_orderNumber": (b["orderNumber"] or 0) + 1, "start_actionNumber": a["actionNumber"], "end_actionNumber": b["actionNumber"], "start_clock": a["clock"], "end_clock": b["clock"],
-        "home_personIds": home, "away_personIds": away, "lineup_valid_flag": 1, "lineup_issue": None,
-    }
-    return [s for s in stints if s["period"] != period] + [whole], method, opened
+def whole(home: str = "home_personIds", away: str = "away_personIds") -> Column:
+    """Both sides have five."""
+    return F.coalesce((F.size(home) == FIVE) & (F.size(away) == FIVE), F.lit(False))
 
 
 def effective(lineups: DataFrame, events: DataFrame) -> DataFrame:
     """Stints after the repair of the first overtime without a valid start, with method, failed_period, opening_applied.
 
     The first that works counts: clear the flags of stints that are whole but for a substitute leaving who isn't on
-    court; reconcile the fives with what drifted through the end of the period before and the opening substitutions; carry
-    the last valid fives of that period forward through the opening substitutions. Games with nothing to repair are
-    exact if all their stints are valid, else unrepaired. Only games to repair are gathered, one game to a row.
+    court; take the fives that the period before ended with, as far as they are known, through the opening substitutions,
+    and fill one open place from its last valid five; take that five itself through the opening substitutions. Games with
+    nothing to repair are exact if all their stints are valid, else unrepaired. Only games to repair are looked at again.
     """
+    names = [f.split()[0] for f in STINTS.split(", ")]
+    place = F.struct(F.col("start_orderNumber").isNull(), "start_orderNumber", F.col("stint_id").isNull(), "stint_id")  # nulls last
     first = lineups.groupBy("gameId", "period").agg(F.min_by("lineup_valid_flag", F.struct("start_orderNumber", "stint_id")).alias("flag"))
     failed = first.groupBy("gameId").agg(F.min(F.when((F.col("period") > 4) & (F.col("flag") == 0), F.col("period"))).alias("failed_period"))
     ok = F.bool_and(F.col("lineup_valid_flag") == 1).over(Window.partitionBy("gameId"))
     rows = lineups.join(failed, "gameId")
     plain = rows.where("failed_period is null").withColumns({"method": F.when(ok, "exact").otherwise("unrepaired"), "opening_applied": F.lit(False)})
-    names = [f.split()[0] for f in STINTS.split(", ")]
-    one = rows.where("failed_period is not null").groupBy("gameId", "failed_period").agg(F.collect_list(F.struct(*names)).alias("stints"))
-    columns = ["orderNumber", "actionNumber", "clock", "teamId", "personId", "subType", "isSubstitution"]
-    own = events.join(failed.where("failed_period is not null"), "gameId").where("period = failed_period").groupBy("gameId").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("events"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lists = lambda s: s | {k: None if s[k] is None else [int(x) for x in s[k]] for k in ("home_personIds", "away_personIds")}
-        for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                stints = [lists(dict(s)) for s in r["stints"]]
-                period = int(r["failed_period"])
-                done = _repair(stints, [dict(e) for e in r["events"]] if r["events"] is not None else [], period) or (stints, "unrepaired", False)
-                out += [s | {"failed_period": period, "method": done[1], "opening_applied": done[2]} for s in done[0]]
-            yield pd.DataFrame(out, columns=[*names, "failed_period", "method", "opening_applied"])
-
-    fixed = one.join(own, "gameId", "left").select("gameId", "failed_period", "stints", "events").mapInPandas(run, f"{STINTS}, failed_period long, method string, opening_applied boolean")
-    return plain.select(fixed.columns).unionByName(fixed)
+    bad = rows.where("failed_period is not null")
+    own, before = F.col("period") == F.col("failed_period"), F.col("period") == F.col("failed_period") - 1
+    end = F.struct(F.coalesce("end_orderNumber", F.lit(-1)), F.coalesce("stint_id", F.lit(-1)))
+    fives = F.struct(F.col("home_personIds").alias("home"), F.col("away_personIds").alias("away"), F.col("home_teamId").alias("home_team"), F.col("away_teamId").alias("away_team"))
+    stale = whole() & (F.coalesce("lineup_issue", F.lit("")).isin("", NOT_ON_COURT))
+    games = bad.groupBy("gameId", "failed_period").agg(
+        F.bool_and(F.when(own, stale)).alias("stale"), F.min_by(F.struct(*names), F.when(own, place)).alias("own"),
+        F.max_by(fives, F.when(before & (F.col("lineup_valid_flag") == 1) & whole(), end)).alias("seed"), F.max_by(fives, F.when(before, end)).alias("last"),
+    )
+    # the overtime's first and last mark, its substitutions at the opening clock, and those that its first ones make up
+    mine = events.join(bad.select("gameId", "failed_period").distinct(), "gameId").where("period = failed_period")
+    order = ["orderNumber", "actionNumber", "clock", "teamId", "personId", "subType", "isSubstitution"]
+    w = Window.partitionBy("gameId").orderBy(*order)
+    sub = F.struct(F.col("teamId").alias("team"), F.col("personId").alias("person"), F.lower(F.trim(F.coalesce("subType", F.lit("")))).alias("way"))
+    mine = mine.withColumns({"_n": F.row_number().over(w), "_sub": F.col("isSubstitution"), "_head": F.first(F.when(F.col("isSubstitution"), F.col("clock")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    breaks = F.col("_head").isNotNull() & ~(F.col("_sub") & F.col("clock").eqNullSafe(F.col("_head")))
+    mine = mine.withColumn("_lead", F.col("_sub") & (F.sum(breaks.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 0) & (F.col("_head") == OVERTIME_CLOCK))
+    listed = lambda test: F.transform(F.sort_array(F.collect_list(F.when(test, F.struct("_n", sub.alias("e"))))), lambda x: x["e"])
+    mark = F.struct(F.col("orderNumber").alias("o"), F.col("actionNumber").alias("a"), F.col("clock").alias("c"))
+    openings = mine.groupBy("gameId").agg(F.min_by(mark, "_n").alias("a"), F.max_by(mark, "_n").alias("z"), listed(F.col("_sub") & (F.col("clock") == OVERTIME_CLOCK)).alias("opening"), listed(F.col("_lead")).alias("lead"))
+    games = games.join(openings, "gameId", "left")
+    nobody = F.array().cast("array<bigint>")
+    side = lambda x, s: F.coalesce(F.col(f"{x}.{s}"), nobody)
+    short = lambda x: F.array(*[F.size(side(x, s)) < FIVE for s in ("home", "away")])
+    own_short = F.array(*[F.coalesce(F.size(f"own.{s}_personIds"), F.lit(0)) < FIVE for s in ("home", "away")])
+
+    def drifted(s: str) -> Column:
+        """A side's five by what it drifted to: null if a substitution contradicts it or more than one place is open."""
+        team = F.col(f"seed.{s}_team")
+        at = walked(side("last", s), nobody, F.filter("opening", lambda e: e["team"] == team), team, F.lit(None).cast("long"))
+        fill = lambda now: F.concat(now, F.slice(F.array_except(F.col(f"seed.{s}"), now), F.lit(1), F.greatest(F.lit(FIVE) - F.size(now), F.lit(0))))
+        return let(at, lambda n: F.when(n["issue"].isNull() & F.size(n["home"]).between(FIVE - 1, FIVE), F.array_sort(F.array_distinct(fill(n["home"])))))
+
+    five = lambda c: F.size(c) == FIVE
+    may_drift = F.col("seed").isNotNull() & F.array_contains(short("last"), True) & (short("last") == own_short) & (F.size("opening") > 0)
+    games = games.withColumns({"_dh": F.when(may_drift, drifted("home")), "_da": F.when(may_drift, drifted("away"))})
+    carried = after(F.col("seed.home"), F.col("seed.away"), F.coalesce("lead", F.array().cast("array<struct<team:bigint,person:bigint,way:string>>")), F.col("seed.home_team"), F.col("seed.away_team"))
+    games = games.withColumn("_c", F.when(F.col("seed").isNotNull(), carried))
+    drift_ok = F.coalesce(five("_dh") & five("_da"), F.lit(False))
+    method = F.when(F.coalesce("stale", F.lit(False)), "stale_sub_out").when(F.col("a").isNull() | F.col("last").isNull(), "unrepaired").when(drift_ok, "end_q4_reconciled").when(F.col("_c").isNotNull() & F.col("_c.issue").isNull(), "ot_carry_forward").otherwise("unrepaired")
+    games = games.withColumn("method", method).withColumn("opening_applied", F.when(F.col("method") == "end_q4_reconciled", F.lit(True)).otherwise((F.col("method") == "ot_carry_forward") & (F.size("lead") > 0)))
+    rebuilt = F.col("method").isin("end_q4_reconciled", "ot_carry_forward")
+    drift = F.col("method") == "end_q4_reconciled"
+    new = {
+        "start_orderNumber": F.col("a.o"), "end_orderNumber": F.coalesce("z.o", F.lit(0)) + 1, "start_actionNumber": F.col("a.a"), "end_actionNumber": F.col("z.a"), "start_clock": F.col("a.c"), "end_clock": F.col("z.c"),
+        "home_personIds": F.when(drift, F.col("_dh")).otherwise(F.array_sort("_c.home")), "away_personIds": F.when(drift, F.col("_da")).otherwise(F.array_sort("_c.away")), "lineup_valid_flag": F.lit(1).cast("long"), "lineup_issue": F.lit(None).cast("string"),
+    }
+    made = games.where(rebuilt).select(*[new.get(c, F.col(f"own.{c}") if c != "gameId" else F.col(c)).alias(c) for c in names], "failed_period", "method", "opening_applied")
+    kept = bad.join(games.select("gameId", "method", "opening_applied"), "gameId").where(~(rebuilt & (F.col("period") == F.col("failed_period"))))
+    cleared = (F.col("method") == "stale_sub_out") & (F.col("period") == F.col("failed_period"))
+    kept = kept.withColumns({"lineup_valid_flag": F.when(cleared, 1).otherwise(F.col("lineup_valid_flag")).cast("long"), "lineup_issue": F.when(~cleared, F.col("lineup_issue"))})
+    columns = [*names, "failed_period", "method", "opening_applied"]
+    return plain.select(columns).unionByName(kept.select(columns)).unionByName(made.select(columns))
