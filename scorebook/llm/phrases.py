@@ -36,8 +36,8 @@ from scorebook.llm.common import BITS_PER_KEY, LEAST_BITS, MOST_BITS, ROW_SHIFT,
 #: Least count of a phrase, most words in it, rows a language, percent of its count with which a longer one covers it.
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 SCALE = 2_000_000
-#: Bytes of text of a shard, and those for which it is worth having one more task.
-SHARD_BYTES, LEAST_BYTES = 32 << 20, 2 << 20
+#: Bytes of text of a shard, those of a task's shards, and those for which it is worth having one more task.
+SHARD_BYTES, TASK_BYTES, LEAST_BYTES = 4 << 20, 32 << 20, 2 << 20
 #: Phrases sent on at once.
 PHRASES_AT_ONCE = 50_000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -187,7 +187,7 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     totals = dict(map(tuple, texts.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long"))).collect()))  # one row a language
     total = sum(totals.values())
     context = docs.sparkSession.sparkContext
-    texts = texts.where("text != ''").coalesce(max(1, -(-total // shard_bytes), min(context.defaultParallelism, total // LEAST_BYTES)))
+    texts = texts.where("text != ''").coalesce(max(1, -(-total // TASK_BYTES), min(context.defaultParallelism, total // LEAST_BYTES)))
     of = lambda marks, **more: shards(texts, totals, marks, least=least, shard_bytes=shard_bytes, **more)
     enough = F.col("n") >= least
 
