@@ -126,7 +126,7 @@ def waterfall(parts: Sequence[DataFrame], everyone: DataFrame, keys: Sequence[st
     return out.select(*keys, F.coalesce("method", F.lit("missing")).alias("method"), *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
 
 
-def team_possessions(rows: DataFrame) -> DataFrame:
+def team_possessions(rows: DataFrame, method: str = "exact") -> DataFrame:
     """(gameId, teamId, method, values) of teams from counted possessions with known sides."""
     counted = rows.where("countsAsPossession")
     whole = counted.groupBy("gameId").agg(F.bool_and(F.col("offenseTeamId").isNotNull() & F.col("defenseTeamId").isNotNull()).alias("ok")).where("ok")
@@ -137,7 +137,7 @@ def team_possessions(rows: DataFrame) -> DataFrame:
     off = F.col("s.off")
     return x.groupBy("gameId", F.col("s.t").alias("teamId")).agg(
         F.sum(off).alias("offensive_possessions"), F.sum(1 - off).alias("defensive_possessions"), F.sum(off * F.col("pts")).alias("points_for"), F.sum((1 - off) * F.col("pts")).alias("points_against")
-    ).select("gameId", "teamId", F.lit("exact").alias("method"), "offensive_possessions", "defensive_possessions", "points_for", "points_against")
+    ).select("gameId", "teamId", F.lit(method).alias("method"), "offensive_possessions", "defensive_possessions", "points_for", "points_against")
 
 
 def team_points(rows: DataFrame, whole: DataFrame, played: DataFrame, counts: Column, method: str) -> DataFrame:
@@ -275,7 +275,8 @@ def by_minutes(played: DataFrame, teams: DataFrame, values: dict[str, Column], m
 
 
 def finalized(rows: DataFrame, keys: Sequence[str] = ("gameId", "personId")) -> DataFrame:
-    """Totals, method flags and season fields for the context tables."""
+    """Totals, method flags, possessions by method and season fields for the context tables."""
     flags = {f"{m}_game_flag": (F.col("method") == m).cast("int") for m in (*METHODS, "missing")}
     total = F.col("offensive_possessions") + F.col("defensive_possessions")
-    return rows.withColumns(flags | {"total_possessions": total, "row_in_game": F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys))})
+    counts = {f"{m}_possessions_count": F.when(F.col("method") == m, total).otherwise(0.0) for m in METHODS}
+    return rows.withColumns(flags | counts | {"total_possessions": total, "row_in_game": F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys))})

@@ -83,6 +83,27 @@ def class_flags(df: DataFrame, c: Cols = Cols()) -> DataFrame:
     })
 
 
+def free_throw_trips(df: DataFrame, c: Cols = Cols()) -> DataFrame:
+    """(game, period, tripNumber, team, person, clock, kind, throws, expected, made, first, last, interrupted, complete).
+
+    A trip is the free throws of one kind (plain, flagrant, technical) that one player takes within one moment of the
+    clock, whatever comes between them; a number that doesn't grow starts the next trip. Interrupted: another event came
+    between two of its throws. Complete: as many throws as its last one says.
+    """
+    kind = F.when(F.col("isTechnicalFt"), "technical").when(F.col("isFlagrantFt"), "flagrant").otherwise("plain")
+    throws = df.withColumn("_place", F.row_number().over(c.by_period)).where("isFreeThrow").withColumn("_kind", kind)
+    moment = Window.partitionBy(c.game, c.period, c.team, c.person, c.clock, "_kind").orderBy(c.order)
+    again = F.coalesce(F.col("freeThrowNumber") <= F.lag("freeThrowNumber").over(moment), F.lit(False))
+    throws = throws.withColumn("_trip", F.sum(again.cast("int")).over(moment.rowsBetween(Window.unboundedPreceding, 0)))
+    made = F.lower(F.trim(F.col(c.result))) == "made"
+    one = throws.groupBy(c.game, c.period, c.team, c.person, c.clock, "_kind", "_trip").agg(
+        F.count(F.lit(1)).alias("throws"), F.max("freeThrowOf").cast("int").alias("expected"), F.sum(F.coalesce(made, F.lit(False)).cast("int")).alias("made"), F.min(c.order).alias("first"), F.max(c.order).alias("last"),
+        (F.max("_place") - F.min("_place") + 1 > F.count(F.lit(1))).alias("interrupted"),
+    )
+    number = F.row_number().over(Window.partitionBy(c.game, c.period).orderBy("first"))
+    return one.select(c.game, c.period, number.alias("tripNumber"), c.team, c.person, c.clock, F.col("_kind").alias("kind"), "throws", "expected", "made", "first", "last", "interrupted", F.coalesce(F.col("throws") == F.col("expected"), F.lit(True)).alias("complete"))
+
+
 def neighbours(df: DataFrame, c: Cols = Cols()) -> DataFrame:
     """Numbers of the previous and next event of the period, and seconds since the previous one (0 at least)."""
     w = c.by_period

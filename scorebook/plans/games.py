@@ -1,13 +1,17 @@
 """Registered queries of event sequences, lineups and attribution over games made from the event table.
 
-A user's month is a game of four periods; purchases and clicks are shots, views rebounds, errors turnovers, sign-ups fouls
-or substitutions. Two teams of eight take turns every three events. The rules are those of real games; the rows follow
-the event table.
+A user's month is a game of up to four periods and an overtime; purchases and clicks are shots, views rebounds, errors
+turnovers, sign-ups fouls or substitutions. Two teams of eight take turns every three events. A substitution is a pair
+(out, in) on one clock: a team's n-th takes its n-th player off and brings the (n + 5)-th, counted round the eight, so
+fives turn. Some fouls bring two free throws, some of those with a timeout in between; some turnovers a timeout. In every
+tenth game the last event of period 4 is a substitution that can't be, in every other tenth the game's second one is; in
+every fourth, substitutions also come within possessions. The rules are those of real games; the rows follow the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,30 +38,47 @@ def query(sql: str | None = None):
 
 
 def raw_events(t: dict[str, DataFrame]) -> DataFrame:
-    e = t["events"].select(F.lpad(F.col("user_id").cast("string"), 10, "0").alias("gameId"), (F.floor((F.dayofmonth("ts") - 1) / 8) + 1).cast("long").alias("period"), F.col("event_id").alias("orderNumber"), "event_type", "value")
-    k = F.row_number().over(Window.partitionBy("gameId", "period").orderBy("orderNumber"))
-    e = e.withColumn("k", k)
-    left = F.greatest(F.lit(720.0) - F.floor(F.col("k") / 2) * 17.5, F.lit(0.0))
-    possession = F.lit(HOME) + F.floor(F.col("k") / 3).cast("long") % 2 * (AWAY - HOME)
-    other = F.lit(HOME + AWAY) - possession
-    kind = F.col("event_type")
-    swap = (kind == "signup") & (F.col("k") % 2 == 0)
-    team = F.when(F.col("orderNumber") % 5 == 0, other).otherwise(possession).cast("long")
-    goal = kind.isin("click", "purchase")
-    w = Window.partitionBy("gameId").orderBy("period", "orderNumber").rowsBetween(Window.unboundedPreceding, 0)
-    made = goal & (F.col("value") > 9)
-    points = F.when(made, F.when(kind == "purchase", 3).otherwise(2)).otherwise(0)
-    e = e.withColumns({"possession": possession, "teamId": team, "points": points})
-    total = lambda side: F.sum(F.when(F.col("teamId") == side, F.col("points")).otherwise(0)).over(w)
-    kinds = F.when(kind == "click", "2pt").when(kind == "purchase", "3pt").when(kind == "view", "rebound").when(kind == "error", "turnover").when(swap, "substitution").otherwise("foul")
+    period = (F.floor((F.dayofmonth("ts") - 1) / 7) + 1).cast("long")
+    e = t["events"].select(F.lpad(F.col("user_id").cast("string"), 10, "0").alias("gameId"), F.col("user_id").alias("u"), period.alias("period"), F.col("event_id").alias("e"), F.col("event_type").alias("kind"), "value")
+    w = Window.partitionBy("gameId", "period").orderBy("e")
+    e = e.withColumns({"k": F.row_number().over(w), "last": F.lead("e").over(w).isNull()})
+    possession = (F.lit(HOME) + F.floor(F.col("k") / 3) % 2 * (AWAY - HOME)).cast("long")
+    forced = (F.col("u") % 10 == 0) & (F.col("period") == 4) & F.col("last") & (F.col("k") % 6 != 1)  # else it would share a clock with the one before
+    swap = (F.col("kind") == "signup") & ((F.col("k") % 6 == 0) | (F.col("k") == 1) | ((F.col("u") % 4 == 1) & (F.col("k") % 6 == 4)))
+    e = e.withColumns({"possession": possession, "forced": forced, "swap": swap | forced})
+    e = e.withColumn("teamId", F.when(F.col("e") % 5 == 0, F.lit(HOME + AWAY) - F.col("possession")).otherwise(F.col("possession")).cast("long"))
+    game = Window.partitionBy("gameId").orderBy("period", "e").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("gameId", "teamId").orderBy("period", "e").rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda over: F.coalesce(F.sum(F.col("swap").cast("int")).over(over), F.lit(0))
+    e = e.withColumns({"bad": F.col("swap") & (F.col("forced") | ((F.col("u") % 10 == 5) & (count(game) == 2))), "j": count(own)})
+    absent, doubled = F.col("bad") & (F.col("u") % 20 < 10), F.col("bad") & (F.col("u") % 20 >= 10)
+    nth = lambda n: F.col("teamId") + (F.col("j") + n) % 8
+    leaves, comes = nth(F.when(absent, 6).otherwise(0)), nth(F.when(doubled, 1).otherwise(5))
+    is_ = lambda *kinds: ~F.col("swap") & F.col("kind").isin(*kinds)
+    foul, turnover = is_("signup"), is_("error")
+    parts = (
+        F.when(F.col("swap"), F.array(F.lit("out"), F.lit("in"))).when(foul & (F.col("e") % 6 == 0), F.array(*[F.lit(x) for x in ("", "1 of 2", "timeout", "2 of 2")]))
+        .when(foul & (F.col("e") % 3 == 0), F.array(F.lit(""), F.lit("1 of 2"), F.lit("2 of 2"))).when(turnover & (F.col("e") % 4 == 0), F.array(F.lit(""), F.lit("timeout"))).otherwise(F.array(F.lit("")))
+    )
+    e = e.select("*", leaves.alias("leaves"), comes.alias("comes"), F.posexplode(parts).alias("s", "part"))
+    plain, throw = F.col("part") == "", F.col("part").endswith(" of 2")
+    goal, three = is_("click", "purchase"), F.col("kind") == "purchase"
+    hit = F.when(throw, (F.floor("value") + F.col("s")) % 2 == 0).otherwise(goal & (F.col("value") > 9))
+    points = F.when(hit & throw, 1).when(hit & three, 3).when(hit, 2).otherwise(0)
+    left = F.greatest(F.when(F.col("period") <= 4, 720.0).otherwise(300.0) - F.floor(F.col("k") / 2) * 17.5, F.lit(0.0))
+    kinds = F.when(F.col("swap"), "substitution").when(throw, "freethrow").when(F.col("part") == "timeout", "timeout").when(F.col("kind") == "click", "2pt").when(F.col("kind") == "purchase", "3pt").when(F.col("kind") == "view", "rebound").when(F.col("kind") == "error", "turnover").otherwise("foul")
+    sub_type = F.when(~plain, F.when(F.col("part") != "timeout", F.col("part"))).when(F.col("kind") == "view", F.when(F.col("teamId") == F.col("possession"), "offensive").otherwise("defensive")).when(F.col("kind") == "error", "badpass").otherwise("personal")
+    team = F.when(throw, F.col("possession")).otherwise(F.col("teamId"))
+    person = F.when(F.col("part") == "out", F.col("leaves")).when(F.col("part") == "in", F.col("comes")).when(F.col("part") == "timeout", None).otherwise(team + F.col("e") % 8)
+    e = e.withColumns({"orderNumber": F.col("e") * 4 + F.col("s"), "type": kinds, "subType": sub_type, "hit": hit, "points": points, "clock": F.format_string("PT%02dM%05.2fS", F.floor(left / 60), left - F.floor(left / 60) * 60), "person": person.cast("long"), "goal": goal & plain, "throw": throw, "teamId": team})
+    score = Window.partitionBy("gameId").orderBy("period", "orderNumber").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda side: F.sum(F.when(F.col("teamId") == side, F.col("points")).otherwise(0)).over(score)
+    before = F.lag(F.when(F.col("goal"), F.col("orderNumber"))).over(Window.partitionBy("gameId", "period").orderBy("orderNumber"))
     return e.select(
-        "gameId", "period", "orderNumber", F.col("orderNumber").alias("actionNumber"), kinds.alias("actionType"),
-        F.when(kind == "view", F.when(F.col("teamId") == F.col("possession"), "offensive").otherwise("defensive")).when(kind == "error", "badpass").when(swap, F.when(F.col("orderNumber") % 2 == 0, "out").otherwise("in")).otherwise("personal").alias("subType"),
-        F.lit(None).cast("string").alias("descriptor"), F.array().cast("array<string>").alias("qualifiers"), F.format_string("PT%02dM%05.2fS", F.floor(left / 60), left - F.floor(left / 60) * 60).alias("clock"),
-        F.when(made, "Made").when(goal, "Missed").alias("shotResult"), goal.cast("long").alias("isFieldGoal"), "teamId", (F.col("teamId") + F.col("orderNumber") % 8).alias("personId"), "possession",
-        F.when((kind == "error") & (F.col("orderNumber") % 2 == 0), F.col("orderNumber") % 8).alias("stealPersonId"), F.lag(F.when(goal, F.col("orderNumber"))).over(Window.partitionBy("gameId", "period").orderBy("orderNumber")).alias("shotActionNumber"),
-        F.when(goal, F.when(kind == "purchase", 3).otherwise(2)).cast("long").alias("shotValue"), F.lit(None).cast("long").alias("blockPersonId"), total(HOME).alias("scoreHome"), total(AWAY).alias("scoreAway"),
-        F.lit(HOME).cast("long").alias("homeTeamId"), F.lit(AWAY).cast("long").alias("awayTeamId"), (F.col("value") * 10 - 100).alias("xLegacy"), (F.col("orderNumber") % 280).cast("double").alias("yLegacy"), F.lit(None).cast("double").alias("shotDistance"),
+        "gameId", "period", "orderNumber", F.col("orderNumber").alias("actionNumber"), F.col("type").alias("actionType"), "subType", F.lit(None).cast("string").alias("descriptor"), F.array().cast("array<string>").alias("qualifiers"), "clock",
+        F.when(F.col("goal") | F.col("throw"), F.when(F.col("hit"), "Made").otherwise("Missed")).alias("shotResult"), F.col("goal").cast("long").alias("isFieldGoal"), "teamId", F.col("person").alias("personId"), "possession",
+        F.when((F.col("type") == "turnover") & (F.col("e") % 2 == 0), F.col("e") % 8).alias("stealPersonId"), before.alias("shotActionNumber"), F.when(F.col("goal"), F.when(three, 3).otherwise(2)).cast("long").alias("shotValue"), F.lit(None).cast("long").alias("blockPersonId"),
+        total(HOME).alias("scoreHome"), total(AWAY).alias("scoreAway"), F.lit(HOME).cast("long").alias("homeTeamId"), F.lit(AWAY).cast("long").alias("awayTeamId"), (F.col("value") * 10 - 100).alias("xLegacy"), (F.col("e") % 280).cast("double").alias("yLegacy"), F.lit(None).cast("double").alias("shotDistance"),
     )
 
 
@@ -70,12 +91,36 @@ def box(t: dict[str, DataFrame]) -> DataFrame:
     return people.withColumns({"starter": (n < 5).cast("long"), "seconds": (F.lit(2880) - n * 200).cast("long")})
 
 
-def game_tables(t) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(enriched events, box score, stints, possessions), each layer stored once."""
-    events = stored(sequence.enriched(raw_events(t)))
-    b = box(t)
-    s = stored(lineups.effective(stored(lineups.stints(events, b)), events))
-    return events, b, s, stored(lineups.stamped(lineups.possessions(events), s))
+@dataclass(frozen=True)
+class Game:
+    """Layers of all games, each stored once."""
+
+    events: DataFrame
+    box: DataFrame
+    stints: DataFrame  # as read
+    effective: DataFrame  # after repairs
+
+    @property
+    def repaired(self) -> DataFrame:
+        """Games with a repaired overtime."""
+        return self.effective.where(~F.col("method").isin("exact", "unrepaired")).select("gameId").distinct()
+
+    def possessions(self) -> DataFrame:
+        return lineups.possessions(self.events)
+
+
+LAYERS: dict[tuple[str, str], Game] = {}
+
+
+def game(t, spark: SparkSession, d: str) -> Game:
+    """The layers of the games of a folder, worked out once in an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in LAYERS:
+        events = stored(sequence.enriched(raw_events(t)))
+        b = box(t)
+        s = stored(lineups.stints(events, b))
+        LAYERS[key] = Game(events, b, s, stored(lineups.effective(s, events)))
+    return LAYERS[key]
 
 
 def team_box(events: DataFrame) -> DataFrame:
@@ -83,20 +128,36 @@ def team_box(events: DataFrame) -> DataFrame:
     n = lambda x: F.sum(F.coalesce(x, F.lit(False)).cast("int"))
     three = F.col("shotValue") == 3
     return events.where("teamId is not null").groupBy("gameId", "teamId").agg(
-        F.sum("isFieldGoal").alias("fga"), F.lit(0).alias("fta"), n(F.col("isOreb")).alias("oreb"), n(F.col("isTurnover")).alias("tov"),
+        F.sum("isFieldGoal").alias("fga"), n(F.col("isFreeThrow")).alias("fta"), n(F.col("isOreb")).alias("oreb"), n(F.col("isTurnover")).alias("tov"),
         F.max(F.when(F.col("teamId") == F.col("homeTeamId"), F.col("scoreHome")).otherwise(F.col("scoreAway"))).alias("points"),
         n((F.col("isFieldGoal") == 1) & three).alias("fg3a"), n(F.col("isMadeShot")).alias("fgm"), n(F.col("isMadeShot") & three).alias("fg3m"), n(F.col("isRebound") & F.col("isRealRebound")).alias("reb"),
     ).withColumn("seconds", F.lit(14400))
 
 
-@query("""
-SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS "gameId", event_id AS "orderNumber", event_type IN ('click', 'purchase') AND value > 9 AS "isMadeShot", event_type IN ('click', 'purchase') AND value <= 9 AS "isMissedShot", event_type = 'view' AS "isRebound", event_type = 'error' AS "isTurnover",
-  lag(event_id) OVER w AS "prevOrderNumber", lead(event_id) OVER w AS "nextOrderNumber"
-FROM (SELECT *, (day(ts) - 1) // 8 + 1 AS period FROM events) WINDOW w AS (PARTITION BY user_id, period ORDER BY event_id)
-""")
+def player_box(g: Game) -> DataFrame:
+    """Players' box score with sums of their events."""
+    n = lambda x: F.sum(F.col(x).cast("int"))
+    own = g.events.groupBy("gameId", "personId").agg(F.sum("isFieldGoal").alias("fga"), n("isFreeThrow").alias("fta"), n("isTurnover").alias("tov"), n("isMadeShot").alias("fgm"))
+    return g.box.join(own, ["gameId", "personId"], "left")
+
+
+@query(game_sql.EVENT_FLAGS)
 def event_flags(t, spark, d):
     e = sequence.neighbours(sequence.event_flags(raw_events(t)))
-    return e.select("gameId", "orderNumber", "isMadeShot", "isMissedShot", "isRebound", "isTurnover", "prevOrderNumber", "nextOrderNumber")
+    return e.select("gameId", "orderNumber", "isMadeShot", "isMissedShot", "isRebound", "isTurnover", "isFreeThrow", "isTimeout", "isSubstitution", "prevOrderNumber", "nextOrderNumber")
+
+
+@query(game_sql.EVENT_CLASSES)
+def event_classes(t, spark, d):
+    """Turnover, foul and free-throw classes, and the places of free throws in their trips."""
+    e = sequence.class_flags(sequence.event_flags(raw_events(t)))
+    return e.select("gameId", "orderNumber", "isOreb", "isDreb", "countsTowardsPenalty", "isBadPassTurnover", F.col("freeThrowNumber").cast("int").alias("freeThrowNumber"), F.col("freeThrowOf").cast("int").alias("freeThrowOf"), "isEndFreeThrow")
+
+
+@query(game_sql.FREE_THROW_TRIPS)
+def free_throw_trips(t, spark, d):
+    """Trips to the line, put together across what comes between their throws."""
+    return sequence.free_throw_trips(sequence.class_flags(sequence.event_flags(raw_events(t))))
 
 
 @query(game_sql.ENRICHED)
@@ -105,12 +166,7 @@ def enriched_events(t, spark, d):
     return sequence.enriched(raw_events(t)).select("gameId", "period", "orderNumber", "resolvedOffenseTeamId", "offenseHomeAway", "isPossessionEndingEvent", "countAsPossession", "possessionBoundaryReason", "isRealRebound", "isSecondChanceEvent", "foulsToGiveDefense", "isPenaltyEvent", "scoreMarginBefore", "scoreMarginAfter")
 
 
-@query("""
-WITH e AS (SELECT *, (value * 10 - 100) / 10 AS x, (event_id % 280) / 10 AS y FROM events WHERE event_type IN ('click', 'purchase'))
-SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS "gameId", event_id AS "orderNumber", CASE WHEN x IS NULL THEN NULL WHEN sqrt(x * x + y * y) <= 4.3 THEN 'Restricted Area' WHEN abs(x) <= 8 AND y <= 13.75 THEN 'In The Paint (Non-RA)' WHEN event_type <> 'purchase' THEN 'Mid-Range'
-  WHEN abs(x) >= 22 AND y <= 9 THEN CASE WHEN x < 0 THEN 'Left Corner 3' ELSE 'Right Corner 3' END ELSE 'Above the Break 3' END AS "shotZone", CAST(NULL AS VARCHAR) AS "shotRange", CASE WHEN x IS NULL THEN 'missing_legacy_coordinates' ELSE 'derived' END AS "locationReason"
-FROM e
-""")
+@query(game_sql.SHOT_LOCATIONS)
 def shot_locations(t, spark, d):
     return sequence.shot_locations(sequence.event_flags(raw_events(t))).select("gameId", "orderNumber", "shotZone", "shotRange", "locationReason")
 
@@ -138,76 +194,103 @@ def game_state(t, spark, d):
 @query(game_sql.EVENT_CONTEXT)
 def event_context(t, spark, d):
     """Players on court, lineup ids and fouls to give at every event."""
-    events, _, s, _ = game_tables(t)
-    out = context.event_context(events, s)
-    return out.select("game_id", "event_num", "home_team_id", "away_team_id", "home_lineup_id", "away_lineup_id", F.when(F.col("home_current_player_ids").isNotNull(), F.size("home_current_player_ids")).alias("home_players"), "home_fouls_to_give", "away_fouls_to_give", F.col("away_period_starter_ids").isNotNull().alias("has_starters"))
+    g = game(t, spark, d)
+    out = context.event_context(g.events, g.effective)
+    return out.select("game_id", "event_num", "home_team_id", "away_team_id", "home_lineup_id", "away_lineup_id", F.when(F.col("home_current_player_ids").isNotNull(), F.size("home_current_player_ids")).alias("home_players"), "home_fouls_to_give", "away_fouls_to_give", F.array_join("away_period_starter_ids", "-").alias("away_starters"))
 
 
 @query(game_sql.CONTEXT_ISSUES)
 def context_issues(t, spark, d):
     """Events whose context can't be right."""
-    events, _, s, _ = game_tables(t)
-    return context.context_issues(context.event_context(events, s)).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+    g = game(t, spark, d)
+    return context.context_issues(context.event_context(g.events, g.effective)).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_ids(s: DataFrame) -> DataFrame:
+    return s.withColumns({"home_lineup": F.array_join("home_personIds", "-"), "away_lineup": F.array_join("away_personIds", "-")}).drop("home_personIds", "away_personIds")
 
 
 @query(game_sql.LINEUP_STINTS)
 def lineup_stints(t, spark, d):
-    return game_tables(t)[2].drop("home_personIds", "away_personIds")
+    """Stints as read, with both fives."""
+    return with_ids(game(t, spark, d).stints)
+
+
+@query(game_sql.EFFECTIVE_STINTS)
+def effective_stints(t, spark, d):
+    """Stints after repairs, with method, failed period and whether opening substitutions were applied."""
+    return with_ids(game(t, spark, d).effective)
 
 
 @query(game_sql.POSSESSION_ROWS)
 def possessions(t, spark, d):
-    """Possessions with their lineups."""
-    return game_tables(t)[3]
+    """Possessions with their lineups as read."""
+    g = game(t, spark, d)
+    return lineups.stamped(g.possessions(), g.stints)
+
+
+@query(game_sql.POSSESSION_REPAIRED)
+def possessions_repaired(t, spark, d):
+    """Lineups of the possessions of repaired games."""
+    g = game(t, spark, d)
+    rows = lineups.stamped(g.possessions(), g.effective).join(g.repaired, "gameId", "left_semi")
+    return rows.select("gameId", "possessionNumber", "period", "homeLineupId", "awayLineupId", "lineupValidFlag", "lineupIssue")
 
 
 @query(game_sql.STARTER_CHECK)
 def starter_check(t, spark, d):
-    events, _, s, _ = game_tables(t)
-    played = events.where("personId is not null").select("gameId", "period", "teamId", "personId").distinct()
-    return lineups.starter_check(events, s, played).select("gameId", "period", "teamId", "status")
+    g = game(t, spark, d)
+    played = g.events.where("personId is not null").select("gameId", "period", "teamId", "personId").distinct()
+    return lineups.starter_check(g.events, g.effective, played).select("gameId", "period", "teamId", "status")
 
 
 @query(game_sql.PLAYER_POSSESSIONS)
 def player_possessions(t, spark, d):
-    """Possessions and points on court by the best method of each game."""
-    events, b, s, p = game_tables(t)
-    used = attribution.used_players(p, events)
-    totals = events.groupBy("gameId", "personId").agg(F.sum(F.col("isFieldGoal")).alias("fga"), F.lit(0).alias("fta"), F.sum(F.col("isTurnover").cast("int")).alias("tov"))
-    played = b.join(totals, ["gameId", "personId"], "left")
-    teams = events.groupBy("gameId", "teamId").agg(F.sum("isFieldGoal").alias("fga"), F.lit(0).alias("fta"), F.sum(F.col("isOreb").cast("int")).alias("oreb"), F.sum(F.col("isTurnover").cast("int")).alias("tov"), F.max(F.when(F.col("teamId") == F.col("homeTeamId"), F.col("scoreHome")).otherwise(F.col("scoreAway"))).alias("points")).withColumn("seconds", F.lit(14400))
-    played = stored(played)
-    parts = [attribution.from_possessions(p, played, "exact", used), attribution.from_events(events, s, played), attribution.from_boxscore(played, teams)]
+    """Possessions and points on court by the best method of each game: exact, repaired, from events, by minutes."""
+    g = game(t, spark, d)
+    rows, played = stored(g.possessions()), stored(player_box(g))
+    read, repaired = stored(lineups.stamped(rows, g.stints)), stored(lineups.stamped(rows.join(g.repaired, "gameId", "left_semi"), g.effective))
+    parts = [
+        attribution.from_possessions(read, played, "exact", attribution.used_players(read, g.events)), attribution.from_possessions(repaired, played, "ot_fallback", attribution.used_players(repaired, g.events)),
+        attribution.from_events(g.events, g.effective, played), attribution.from_boxscore(played, team_box(g.events)),
+    ]
     return attribution.finalized(attribution.waterfall(parts, played, ["gameId", "personId"]))
 
 
 @query(game_sql.TEAM_POSSESSIONS)
 def team_possessions(t, spark, d):
-    """Teams' possessions and points by the best method of each game."""
-    events, b, _, p = game_tables(t)
-    parts = [attribution.team_possessions(p), attribution.team_possessions_from_events(events, b), attribution.team_possessions_from_boxscore(team_box(events))]
-    return attribution.waterfall(parts, b, ["gameId", "teamId"])
+    """Teams' possessions and points by the best method of each game; repaired games aren't exact."""
+    g = game(t, spark, d)
+    rows = stored(g.possessions())
+    parts = [
+        attribution.team_possessions(rows.join(g.repaired, "gameId", "left_anti")), attribution.team_possessions(rows.join(g.repaired, "gameId", "left_semi"), "ot_fallback"),
+        attribution.team_possessions_from_events(g.events, g.box), attribution.team_possessions_from_boxscore(team_box(g.events)),
+    ]
+    return attribution.waterfall(parts, g.box, ["gameId", "teamId"])
 
 
 @query(game_sql.TEAM_DEFENSIVE_SHOTS)
 def team_defensive_shots(t, spark, d):
     """Opponents' two-point attempts by the best method of each game."""
-    events, b, _, _ = game_tables(t)
-    return attribution.waterfall(attribution.team_defensive_shots(events, b, team_box(events)), b, ["gameId", "teamId"])
+    g = game(t, spark, d)
+    return attribution.waterfall(attribution.team_defensive_shots(g.events, g.box, team_box(g.events)), g.box, ["gameId", "teamId"])
 
 
 @query(game_sql.ON_COURT_CONTEXTS)
 def on_court_contexts(t, spark, d):
     """Defensive-shot, assist and rebound contexts of players, each by the best method of each game.
 
-    The tables have no fives of their own for each event, so the event-estimated method has no input here.
+    Exact by stints as read; event-estimated by the fives of the event context, which knows repaired overtimes.
     """
-    events, b, s, _ = game_tables(t)
+    g = game(t, spark, d)
     c = attribution.contexts()
-    made = events.groupBy("gameId", "personId").agg(F.sum(F.col("isMadeShot").cast("int")).alias("fgm"))
-    estimates = attribution.contexts_from_boxscore(b.join(made, ["gameId", "personId"], "left"), team_box(events))
+    at = context.event_context(g.events, g.effective)
+    at = stored(at.select(F.col("game_id").alias("gameId"), F.col("event_num").alias("actionNumber"), "home_team_id", "away_team_id", F.col("home_current_player_ids").alias("home_personIds"), F.col("away_current_player_ids").alias("away_personIds")).withColumnsRenamed({"home_team_id": "home_teamId", "away_team_id": "away_teamId"}))
+    estimates = attribution.contexts_from_boxscore(stored(player_box(g)), team_box(g.events))
     keys = ["gameId", "personId"]
-    best = lambda k: attribution.waterfall([attribution.per_player(events, s, b, c[k], "exact"), estimates[k]], b, keys)
+    exact = lambda k: attribution.per_player(g.events, g.stints, g.box, c[k], "exact")
+    seen = lambda k: attribution.per_player(g.events, g.stints, g.box, c[k], "event_estimated", context=at)
+    best = lambda k: attribution.waterfall([exact(k), seen(k), estimates[k]], g.box, keys)
     parts = [stored(best(k).withColumnRenamed("method", f"{k}_method")) for k in ("defensive_shot", "assist", "rebound")]
     return parts[0].join(parts[1], keys, "full_outer").join(parts[2], keys, "full_outer")
 
