@@ -71,7 +71,7 @@ def used_players(rows: DataFrame, events: DataFrame, c: Cols = Cols()) -> DataFr
 def on_court(events: DataFrame, lineups: DataFrame, c: Cols = Cols()) -> DataFrame:
     """Events with the stint they fall into (start order <= order < end order)."""
     s = lineups.select(c.game, "period", "start_orderNumber", "end_orderNumber", "home_personIds", "away_personIds", F.col("home_teamId").alias("stint_home"), F.col("away_teamId").alias("stint_away"), "lineup_valid_flag")
-    return containing(events, s, [c.game, c.period], c.order, "start_orderNumber", "end_orderNumber")
+    return containing(events, s, [c.game, c.period], c.order, "start_orderNumber", "end_orderNumber", small_groups=True)
 
 
 def from_events(events: DataFrame, lineups: DataFrame, played: DataFrame, c: Cols = Cols()) -> DataFrame:

@@ -273,7 +273,7 @@ def stamped(rows: DataFrame, lineups: DataFrame, c: Cols = Cols()) -> DataFrame:
         c.game, "period", F.col("start_orderNumber").alias("_s"), F.col("end_orderNumber").alias("_e"), F.col("stint_id").alias("_i"), F.col("start_clock").alias("_c"),
         lineup_id(F.col("home_personIds")).alias("_home"), lineup_id(F.col("away_personIds")).alias("_away"), F.col("lineup_valid_flag").alias("_v"), F.col("lineup_issue").alias("_q"),
     )
-    met = overlapping(rows.select(c.game, "possessionNumber", "period", "startOrderNumber", "endOrderNumber", "startClock"), s, [c.game, "period"], "startOrderNumber", "endOrderNumber", "_s", "_e", "inner")
+    met = overlapping(rows.select(c.game, "possessionNumber", "period", "startOrderNumber", "endOrderNumber", "startClock"), s, [c.game, "period"], "startOrderNumber", "endOrderNumber", "_s", "_e", "inner", small_groups=True)
     last = F.struct(F.coalesce("_s", F.lit(0)), F.coalesce("_e", F.lit(0)), F.coalesce("_i", F.lit(0)))
     at_start = F.coalesce(F.col("_c") == F.col("startClock"), F.lit(False))
     found = met.groupBy(c.game, "possessionNumber").agg(

@@ -60,8 +60,8 @@ def as_of(facts: DataFrame, versions: DataFrame, fact_id: str, dim_id: str, even
     a fact row.
 
     Where an entity's versions follow one another, the last to start is the answer, and one window finds it; windows are
-    cut by month, so a busy entity spreads over tasks. Facts without a time take their entity's one default. Only facts
-    of entities whose versions overlap are compared with all of them.
+    cut by month, so a busy entity spreads over tasks. Facts without a time take their entity's one default. Where
+    versions overlap, facts first meet those that cover them, bin by bin (`containing`); the rest go by the last start.
     """
     v = versions.select(F.col(dim_id).alias("_id"), F.col("valid_from_utc").alias("_from"), F.col("valid_to_utc").alias("_to"), F.col("is_current").alias("_now"), F.col(key).alias("_key"))
     follow = F.lead("_from").over(Window.partitionBy("_id").orderBy("_from", "_key"))
@@ -97,36 +97,76 @@ def _last_started(facts: DataFrame, v: DataFrame, fact_id: str, event_time: str,
 
 
 def _best_version(facts: DataFrame, v: DataFrame, fact_id: str, event_time: str, out: str, row_id: Sequence[str]) -> DataFrame:
-    """For timed facts: every version of the entity is ranked, with one max per row, so no candidate list is gathered."""
-    t = F.col(event_time)
-    covers = (F.col("_from").isNull() | (F.col("_from") <= t)) & (F.col("_to").isNull() | (t <= F.col("_to")))
-    level = F.when(covers, 5).when(F.col("_from") <= t, 4).when(F.col("_from") > t, 3).when(F.col("_now") == 1, 2).otherwise(1)
-    start, no_start = F.unix_micros(F.col("_from").cast("timestamp")), F.col("_from").isNull().cast("int")
-    earliest = level == 3
-    order = F.struct(
-        level,
-        F.when(earliest, 0).otherwise(no_start),
-        F.when(earliest, -start).otherwise(F.coalesce(start, F.lit(0))),
-        F.when(level == 5, (F.coalesce(F.col("_now"), F.lit(0)) != 1).cast("int")).otherwise(0),
-        F.when(earliest, -F.col("_key")).otherwise(F.col("_key")),
-    )
-    candidates = facts.select(*row_id, fact_id, event_time).join(v, F.col(fact_id) == F.col("_id"))
-    chosen = candidates.groupBy(*row_id).agg(F.max_by("_key", order).alias(out))
-    return facts.join(chosen, list(row_id), "left")
-
-
-def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str, end: str, right_start: str, right_end: str, how: str = "left") -> DataFrame:
-    """Rows of `right` in the same group whose range meets [start, end]: right_end > start and right_start <= end."""
-    r = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(right_end) > F.col(start), F.col(right_start) <= F.col(end)]
-    return left.join(r, on, how).drop(*[f"_{k}" for k in keys])
+    """For timed facts of entities with any versions: the best that covers them, else by starts, else the usual one."""
+    seconds = lambda c: F.unix_micros(c.cast("timestamp"))
+    t = facts.select(*row_id, F.col(fact_id).alias("_id"), seconds(F.col(event_time)).alias("_at")).where("_at is not null")
+    span = t.agg(F.min("_at"), F.max("_at")).first()
+    first, last = (span[0] or 0, span[1] or 0)
+    # open ends reach as far as the facts do; an end belongs to its version
+    ranges = v.withColumns({"_s": F.greatest(F.coalesce(seconds(F.col("_from")), F.lit(first)), F.lit(first)), "_e": F.least(F.coalesce(seconds(F.col("_to")), F.lit(last)), F.lit(last)) + 1}).where("_s < _e")
+    met = containing(t, ranges, ["_id"], "_at", "_s", "_e", "inner")
+    start = F.struct(F.col("_from").isNull(), F.coalesce(seconds(F.col("_from")), F.lit(0)), F.coalesce(F.col("_now"), F.lit(0)) != 1, "_key")
+    covered = met.groupBy(*row_id).agg(F.max_by("_key", start).alias("_best"))
+    joined = facts.join(covered, list(row_id), "left")
+    rest = _last_started(joined.where("_best is null").drop("_best"), v.where("_from is not null"), fact_id, event_time, out)
+    usual = v.groupBy("_id").agg(F.max_by("_key", F.struct((F.coalesce(F.col("_now"), F.lit(0)) == 1).cast("int"), "_key")).alias("_usual"))
+    rest = rest.join(usual, F.col(fact_id) == F.col("_id"), "left").withColumn(out, F.coalesce(out, "_usual")).drop("_id", "_usual")
+    return joined.where("_best is not null").withColumnRenamed("_best", out).unionByName(rest)
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    """A column as a number; times in microseconds."""
+    kind = df.schema[column].dataType.typeName()
+    return F.unix_micros(F.col(column).cast("timestamp")).cast("double") if kind in ("date", "timestamp", "timestamp_ntz") else F.col(column).cast("double")
+
+
+def _average_length(df: DataFrame, start: str, end: str) -> float:
+    return df.agg(F.avg(F.abs(_number(df, end) - _number(df, start)))).first()[0] or 0.0
+
+
+def _bin(x: Column, width: float) -> Column:
+    return F.floor(x / F.lit(width)).cast("long")
+
+
+def _in_bins(df: DataFrame, start: str, end: str, width: float) -> DataFrame:
+    """Each range once in every bin that it meets: about twice as many rows, as bins are as wide as the average range."""
+    return df.withColumn("_bin", F.explode(F.sequence(_bin(_number(df, start), width), _bin(_number(df, end), width))))
 
 
-def containing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, start: str, end: str, how: str = "left") -> DataFrame:
-    """Ranges of the same group with start <= at < end."""
+def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str, end: str, right_start: str, right_end: str, how: str = "left", small_groups: bool = False) -> DataFrame:
+    """Rows of `right` in the same group whose range meets [start, end]: right_end > start and right_start <= end.
+
+    Both sides are cut into bins as wide as the average range, so a group with many ranges spreads over tasks; a pair
+    counts in the first bin that both meet. `small_groups`: groups are known to be small and are compared as they are.
+    Null keys form a group; ranges with a null end meet nothing.
+    """
+    r = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(right_end) > F.col(start), F.col(right_start) <= F.col(end)]
+    gone = [f"_{k}" for k in keys]
+    if small_groups:
+        return left.join(r, on, how).drop(*gone)
+    width = max(_average_length(left, start, end), _average_length(r, right_start, right_end), 1e-6)
+    a, b = _in_bins(left, start, end, width), _in_bins(r, right_start, right_end, width).withColumnRenamed("_bin", "_right_bin")
+    first = F.greatest(_bin(_number(left, start), width), _bin(_number(r, right_start), width))
+    met = a.join(b, [*on, F.col("_bin") == F.col("_right_bin"), F.col("_bin") == first]).drop(*gone, "_bin", "_right_bin")
+    if how == "inner":
+        return met
+    have = met.select(*[F.col(c).alias(f"_{c}") for c in left.columns]).distinct()
+    alone = left.join(have, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in left.columns], "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True)
+
+
+def containing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, start: str, end: str, how: str = "left", small_groups: bool = False) -> DataFrame:
+    """Ranges of the same group with start <= at < end; bins and `small_groups` as in `overlapping`."""
     r = ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in ranges.columns if c not in keys])
     on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(at) >= F.col(start), F.col(at) < F.col(end)]
-    return points.join(r, on, how).drop(*[f"_{k}" for k in keys])
+    gone = [f"_{k}" for k in keys]
+    if small_groups:
+        return points.join(r, on, how).drop(*gone)
+    width = max(_average_length(r, start, end), 1e-6)
+    binned = _in_bins(r, start, end, width).withColumnRenamed("_bin", "_range_bin")
+    p = points.withColumn("_bin", _bin(_number(points, at), width))
+    return p.join(binned, [*on, F.col("_bin") == F.col("_range_bin")], how).drop(*gone, "_bin", "_range_bin")
 
 
 def merge_columns(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -192,20 +232,45 @@ def category_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     return df.groupBy(*keys).agg(*[F.sum(F.when(n >= k, 1).otherwise(0)).alias(name) for k, name in ((2, "double_doubles"), (3, "triple_doubles"), (4, "quadruple_doubles"))])
 
 
+#: A value with at least this share of the ranked rows is hot; so there are at most 1 / share of them.
+HOT_VALUE = 1 / 2000
+
+
+def ranked_values(rows: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """(groups, value, n, upto, total): for each distinct value its rows, those up to it and those of its group.
+
+    Rows are summed by value first, so a tie is one row. Values are range-partitioned; a place is the sum within its
+    range plus what the group has in the ranges before, so a group of any size is ranked by all tasks.
+    """
+    by = [*groups, value]
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    ranged = stored(sums.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()))
+    ahead = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a group and range
+    spans = ranged.groupBy(*groups, "_p").agg(F.sum("n").alias("_n"))
+    spans = spans.withColumns({"_before": F.coalesce(F.sum("_n").over(ahead), F.lit(0)), "total": F.sum("_n").over(Window.partitionBy(*groups))}).drop("_n")
+    upto = F.sum("n").over(Window.partitionBy(*groups, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_upto", upto).join(spans, [*groups, "_p"]).select(*by, "n", (F.col("_before") + F.col("_upto")).alias("upto"), "total")
+
+
 def percentiles(df: DataFrame, groups: Sequence[str], specs: Sequence[tuple[str, str, bool, Column | None]], row_id: Sequence[str]) -> DataFrame:
     """Add a percentile 0 to 100 for each spec (source, output, lower is better, eligible).
 
     Ties take the highest rank; one eligible row alone gets 100; ineligible and null rows get null. All metrics are
-    stacked and ranked by one window. `row_id` identifies a row within its group; groups aren't null.
+    stacked and ranked by `ranked_values`; rows get their value's percentile by a join, hot values by a broadcast of at
+    most 1 / HOT_VALUE rows. `row_id` identifies a row within its group; groups aren't null.
     """
     value = lambda s, lower: F.when(F.lit(True), F.col(s).cast("double") * (-1 if lower else 1))
     stacked = [F.struct(F.lit(out).alias("m"), F.when(ok if ok is not None else F.lit(True), value(s, lower)).alias("v")) for s, out, lower, ok in specs]
-    long = df.select(*row_id, *groups, F.explode(F.array(*stacked)).alias("x")).select(*row_id, *groups, "x.m", "x.v").where("v is not null")
+    long = df.select(*row_id, *groups, F.explode(F.array(*stacked)).alias("x")).select(*row_id, *groups, "x.m", (F.col("x.v") + F.lit(0.0)).alias("v")).where("v is not null")
     by = [*groups, "m"]
-    up_to = Window.partitionBy(*by).orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    p = F.when(n == 1, 100).otherwise(F.bround(100.0 * (F.count(F.lit(1)).over(up_to) - 1) / (n - 1)).cast("int"))
-    wide = long.withColumn("p", p).groupBy(*row_id, *groups).agg(*[F.max(F.when(F.col("m") == out, F.col("p"))).alias(out) for _, out, _, _ in specs])
+    n = F.col("total")
+    places = stored(ranked_values(long, by, "v").withColumn("p", F.when(n == 1, 100).otherwise(F.bround(100.0 * (F.col("upto") - 1) / (n - 1)).cast("int"))))
+    least = max(100, int((places.agg(F.sum("n")).first()[0] or 0) * HOT_VALUE))
+    hot = F.broadcast(places.where(F.col("n") >= least).select(*by, "v", F.col("p").alias("_hot")))
+    marked = long.join(hot, [*by, "v"], "left")
+    cold = marked.where("_hot is null").drop("_hot").join(places.where(F.col("n") < least).select(*by, "v", "p"), [*by, "v"])
+    placed = marked.where("_hot is not null").withColumnRenamed("_hot", "p").unionByName(cold)
+    wide = placed.groupBy(*row_id, *groups).agg(*[F.max(F.when(F.col("m") == out, F.col("p"))).alias(out) for _, out, _, _ in specs])
     return df.join(wide, [*row_id, *groups], "left")
 
 
