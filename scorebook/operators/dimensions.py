@@ -43,6 +43,56 @@ def versions(events: DataFrame, entity: str, tracked: Sequence[str], time: str,
     return out.withColumnRenamed("_v", "version").drop("_opened")
 
 
+BIO = ("first_name", "family_name", "birth_date", "school", "country", "height_inches", "weight_lbs", "draft_year", "draft_round", "draft_number")
+TRACKED = ("player_name", "first_name", "family_name", "display_name", "primary_position", "latest_team_id", "latest_nba_team_id")
+
+
+def player_bios(bios: DataFrame, links: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
+    """(person_id, BIO): each person's most filled bio; a missing birth date comes from the linked profile.
+
+    links: external_id, person_id, confidence; profiles: external_id, birth_date. Of several linked profiles with a birth
+    date the most confident counts (no confidence is least; ties: the lowest id). A person without a bio who has such a
+    profile gets a row with the birth date alone.
+    """
+    best = best_row(bios.where("person_id > 0").select("person_id", *BIO), ["person_id"], ties=[F.col(c).asc_nulls_last() for c in BIO])
+    if links is None or profiles is None:
+        return best
+    dated = profiles.where("external_id is not null and birth_date is not null").groupBy("external_id").agg(F.max("birth_date").alias("_born"))
+    known = links.where("person_id > 0 and external_id is not null").join(dated, "external_id")
+    order = Window.partitionBy("person_id").orderBy(F.col("confidence").desc_nulls_last(), "external_id")
+    late = known.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select("person_id", "_born")
+    out = best.join(late, "person_id", "full_outer")
+    return out.withColumn("birth_date", F.coalesce("birth_date", "_born")).select("person_id", *BIO)
+
+
+def player_events(players: DataFrame, games: DataFrame, bios: DataFrame, teams: DataFrame) -> DataFrame:
+    """One event per person and game, the most filled: names, position, team and time of what tracks a player.
+
+    players: person_id, game_id, player_name, first_name, family_name, primary_position, team_id; games: game_id,
+    game_time_utc; teams: team_id of the league's current teams. Names that a row lacks come from the bio.
+    """
+    names = bios.select("person_id", F.col("first_name").alias("_first"), F.col("family_name").alias("_family"))
+    rows = players.where("person_id > 0 and game_id is not null").join(games.select("game_id", "game_time_utc"), "game_id", "left").join(names, "person_id", "left")
+    rows = rows.join(teams.select(F.col("team_id").alias("_league")).distinct(), F.col("team_id") == F.col("_league"), "left")
+    first, family = F.coalesce(null_if_empty(F.col("first_name")), "_first"), F.coalesce(null_if_empty(F.col("family_name")), "_family")
+    rows = rows.select("person_id", "game_id", "game_time_utc", F.to_date("game_time_utc").alias("game_date"), null_if_empty(F.col("player_name")).alias("player_name"), first.alias("first_name"), family.alias("family_name"), null_if_empty(F.col("primary_position")).alias("primary_position"), F.when(F.col("team_id") > 0, F.col("team_id")).alias("latest_team_id"), F.col("_league").alias("latest_nba_team_id"))
+    full = F.concat_ws(" ", "first_name", "family_name")
+    rows = rows.withColumn("display_name", F.when(full != "", full).otherwise(F.col("player_name")))
+    return best_row(rows, ["person_id", "game_id"], ties=[F.col(c).asc_nulls_last() for c in rows.columns])
+
+
+def player_versions(players: DataFrame, games: DataFrame, bios: DataFrame, teams: DataFrame, links: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
+    """Type-2 versions of players from box scores and bios; what doesn't depend on a game is filled over all of them.
+
+    Position and teams carry forward through games that don't name them. A birth date that arrives late, from a bio or
+    from a linked profile, goes back to every version of its person.
+    """
+    people = player_bios(bios, links, profiles)
+    events = player_events(players, games, people, teams)
+    out = versions(events, "person_id", TRACKED, "game_time_utc", carry=("primary_position", "latest_team_id", "latest_nba_team_id"), order=["game_time_utc", "game_id"], day="game_date", source="box_score")
+    return out.join(people.drop("first_name", "family_name"), "person_id", "left")
+
+
 def date_dimension(sources: Sequence[Column | tuple[DataFrame, str]], weeks: DataFrame | None = None) -> DataFrame:
     """Distinct dates of (table, column) sources with calendar attributes; `weeks` (day, ...) is joined if given."""
     days = None
