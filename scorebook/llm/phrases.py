@@ -133,8 +133,9 @@ NONE = range(0)
 def shards(texts: DataFrame, totals: dict[str, int], marks: dict[int, bytes], orders: range = NONE, mined: range = NONE, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(lang, phrase, h, n) of texts (lang, text), shard by shard.
 
-    Phrases of `orders` with all their occurrences. For `mined` orders, hashes h of those that reach the shard's share of
-    `least`, with what they have beyond the most that a phrase can have without reaching it; a row without h has that.
+    Phrases of `orders` with all their occurrences. For `mined` orders, hashes h alone (they tell languages apart too) of
+    what reaches the shard's share of `least`, with what it has beyond the most that a phrase can have without reaching
+    it; a row with a language alone has that.
     totals: each language's bytes. marks: bitmaps by order.
     """
     sent = texts.sparkSession.sparkContext.broadcast(marks)  # a few bitmaps of 16 MB at most
@@ -151,18 +152,19 @@ def shards(texts: DataFrame, totals: dict[str, int], marks: dict[int, bytes], or
                 own, parts = held.pop(lang)
                 needed = max(1, -(-least * own // totals[lang]))
                 hashes = of_word ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), seed=1))
-                batch = lambda text, h, n: pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), text, h, pa.array(n, pa.int64())], columns)  # noqa: B023, E731
+                batch = lambda lang, text, h, n: pa.RecordBatch.from_arrays([lang, text, h, pa.array(n, pa.int64())], columns)
                 if len(mined):
-                    yield batch(pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), [needed - 1])
+                    yield batch(pa.array([lang]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), [needed - 1])
                 for order, phrases, h, n in counted(np.concatenate(parts), hashes, orders, mined, tests, needed):
                     for cut in range(0, len(n), PHRASES_AT_ONCE):
                         some = slice(cut, cut + PHRASES_AT_ONCE)
                         key = pa.array(h[some].view(np.int64))
                         if order in orders:
                             text = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in phrases[some].T], b" ").cast(pa.string())
-                            yield batch(text, key, n[some])
+                            yield batch(pa.repeat(lang, len(key)), text, key, n[some])
                         else:
-                            yield batch(pa.nulls(len(key), pa.string()), key, n[some] - (needed - 1))
+                            none = pa.nulls(len(key), pa.string())
+                            yield batch(none, none, key, n[some] - (needed - 1))
             words.clear()
             words[b"."] = 0
 
@@ -197,8 +199,8 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     def union(rows: DataFrame) -> bytes:
         """The bitmap of what may be frequent: what shards have found, and what they may have of it without telling."""
         found = written(rows.where("phrase is null").groupBy("lang", "h").agg(F.sum("n").alias("n")))
-        slack = found.where("h is null").select("lang", F.col("n").alias("slack"))  # one row a language
-        return marks_of(found.where("h is not null").join(F.broadcast(slack), "lang").where(F.col("n") + F.col("slack") >= least).select("h"))
+        unsaid = found.where("h is null").agg(F.max("n")).first()[0] or 0  # of the language in which it is most
+        return marks_of(found.where(F.col("h").isNotNull() & (F.col("n") >= least - unsaid)).select("h"))
 
     words = written(summed(of({}, orders=range(1, 2))))
     single = words.where(enough)
