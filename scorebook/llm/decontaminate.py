@@ -4,8 +4,9 @@ Texts and items are normalised to lower-case words with single spaces. An item o
 k = floor(ERROR_RATE * m) edits; cut into k + 1 pieces, an occurrence within k edits holds one piece unchanged. One
 automaton finds all pieces in a text, and each hit's neighbourhood is verified with Myers' bit-parallel distance.
 
-Items of under SHORT_CHARS characters once normalised have no error budget and match as whole words only: an edit or a
-part of a word would make another word of them.
+One rule holds for items of all lengths: a match may not begin or end inside a word. A word goes on where two letters or
+digits of a script that puts spaces between words stand side by side; Chinese, Japanese, Thai and the like may be matched
+from any place. So a short item needs whole words around it, and what is glued to a long one costs edits.
 
 The items are a query set: they go to the tasks in blocks of at most BLOCK_CHARS characters (one, for usual benchmarks),
 and each block is compared with all documents. Each Python worker makes a block's automaton once and holds one at a time.
@@ -26,10 +27,12 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import keep_rows, map_rows, table, written
+from scorebook.llm.common import free_name, keep_rows, map_rows, table, written
 
-#: Edits allowed per character; normalised length below which items match as whole words; characters of items broadcast at once.
-ERROR_RATE, SHORT_CHARS, BLOCK_CHARS = 0.08, 24, 8 << 20
+#: Edits allowed per character; characters of items broadcast at once.
+ERROR_RATE, BLOCK_CHARS = 0.08, 8 << 20
+#: First and last characters of scripts without spaces between words: Thai to Tibetan, Burmese, Khmer, kana, ideographs.
+UNSPACED = (("\u0e00", "\u0fff"), ("\u1000", "\u109f"), ("\u1780", "\u17ff"), ("\u3040", "\u30ff"), ("\u3400", "\u9fff"), ("\uf900", "\ufaff"), ("\U00020000", "\U0003ffff"))
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -54,22 +57,25 @@ def bit_masks(text: str) -> dict[str, int]:
     return masks
 
 
+def spaced(ch: str) -> bool:
+    """A letter or digit of a script that puts spaces between words."""
+    return ch != " " and (ch < "\u0e00" or not any(a <= ch <= b for a, b in UNSPACED))
+
+
+def is_edge(text: str, at: int) -> bool:
+    """Whether a match may begin or end at this place of a normalised text."""
+    return at in (0, len(text)) or not (spaced(text[at - 1]) and spaced(text[at]))
+
+
 class Pattern:
     """An item with the bit masks of Myers' algorithm."""
 
     def __init__(self, item_id: int, text: str, rate: float):
-        self.short = len(text) < SHORT_CHARS
-        self.item_id, self.text, self.budget = item_id, text, 0 if self.short else int(rate * len(text))
-        self.masks = bit_masks(text)
-
-    def start(self, window: str, end: int, distance: int) -> int:
-        """Where the nearest substring that ends at `end` with that distance starts: the same search from right to left."""
-        back = Pattern.__new__(Pattern)
-        back.text, back.masks = self.text[::-1], bit_masks(self.text[::-1])
-        return end - back.best(window[max(0, end - len(self.text) - distance) : end][::-1], anchored=True)[1]
+        self.item_id, self.text, self.budget = item_id, text, int(rate * len(text))
+        self.masks, self.back = bit_masks(text), None
 
-    def best(self, window: str, anchored: bool = False) -> tuple[int, int]:
-        """(least edit distance of the whole item to a substring of `window`, where that ends; the first if tied).
+    def scores(self, window: str, anchored: bool = False) -> list[int]:
+        """For each place of `window`, the least edits between the item and a substring that ends there.
 
         Column by column: vp and vn hold where the distance rises and falls down the column. `anchored`: the substring
         starts where the window does.
@@ -77,9 +83,9 @@ class Pattern:
         m, top = len(self.text), int(anchored)
         every, last = (1 << m) - 1, 1 << m - 1
         vp, vn, score = every, 0, m
-        best, end = m, 0
+        out = [m]
         get = self.masks.get
-        for j, ch in enumerate(window, 1):
+        for ch in window:
             eq = get(ch, 0)
             xv = eq | vn
             xh = ((eq & vp) + vp ^ vp) | eq
@@ -93,19 +99,37 @@ class Pattern:
             hn = hn << 1 & every
             vp = hn | ~(xv | hp) & every
             vn = hp & xv
-            if score < best:
-                best, end = score, j
-        return best, end
+            out.append(score)
+        return out
+
+    def nearest(self, text: str, start: int, stop: int) -> tuple[int, int] | None:
+        """(distance, place) of the nearest match within the budget between two places of `text`, the first if tied.
+
+        Ends come from a search from left to right, the starts of each from one from right to left.
+        """
+        best, most = None, self.budget
+        ends = sorted((d, e) for e, d in enumerate(self.scores(text[start:stop])) if d <= most and is_edge(text, start + e))
+        for d, e in ends:
+            if best is not None and d > best[0]:
+                break
+            if self.back is None:
+                self.back = Pattern(self.item_id, self.text[::-1], 0)
+            reach = text[max(start, start + e - len(self.text) - most) : start + e][::-1]
+            for n, x in enumerate(self.back.scores(reach, anchored=True)):
+                at = start + e - n
+                if x <= most and (best is None or (x, at) < best) and is_edge(text, at):
+                    best = x, at
+        return best
 
 
 class Matcher:
-    """All patterns of one block and the automaton of their pieces; short items are one piece with the spaces around it."""
+    """All patterns of one block and the automaton of their pieces."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
         self.patterns = [Pattern(i, t, rate) for i, t in ((i, normalise(t)) for i, t in items) if t]
         places: dict[str, list[tuple[int, int]]] = {}
         for n, p in enumerate(self.patterns):
-            for offset, piece in [(-1, f" {p.text} ")] if p.short else pieces(p.text, p.budget):
+            for offset, piece in pieces(p.text, p.budget):
                 places.setdefault(piece, []).append((n, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, at in places.items():
@@ -120,7 +144,7 @@ class Matcher:
         """
         if not self.patterns:
             return []
-        t = f" {normalise(text)} "
+        t = normalise(text)
         found: dict[int, list[int]] = {}
         seen: dict[int, tuple[int, int]] = {}  # pattern -> its last verified window
         for end, (size, places) in self.automaton.iter(t):
@@ -128,21 +152,16 @@ class Matcher:
                 p = self.patterns[n]
                 start = max(0, end + 1 - size - offset - p.budget)
                 stop = min(len(t), end + 1 - size - offset + len(p.text) + p.budget)
-                if p.short:
-                    distance, at = 0, start
-                else:
-                    if n in seen and seen[n][0] <= start and stop <= seen[n][1]:
-                        continue  # hits of one place share their window
-                    seen[n] = start, stop
-                    window = t[start:stop]
-                    distance, last = p.best(window)
-                    if distance > p.budget:
-                        continue
-                    at = start + p.start(window, last, distance)
-                got = found.setdefault(n, [distance, at, 0])
-                got[:2] = min(got[:2], [distance, at])
+                if n in seen and seen[n][0] <= start and stop <= seen[n][1]:
+                    continue  # hits of one place share their window
+                seen[n] = start, stop
+                match = p.nearest(t, start, stop)
+                if match is None:
+                    continue
+                got = found.setdefault(n, [*match, 0])
+                got[:2] = min(got[:2], [*match])
                 got[2] += 1
-        return [(self.patterns[n].item_id, d, max(s - 1, 0), hits) for n, (d, s, hits) in sorted(found.items())]
+        return [(self.patterns[n].item_id, d, s, hits) for n, (d, s, hits) in sorted(found.items())]
 
 
 _held: dict[str, Matcher] = {}
@@ -171,6 +190,8 @@ def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", mo
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """(doc id, item_id, distance, start, n_hits): every item that occurs in a document within its error budget.
 
+    If the documents' id has one of the other names, that one gets an underscore.
+
     `start` is where the nearest match (the first, if tied) starts in the normalised text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -187,7 +208,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         part = map_rows(docs.select(id_col, text_col), run, f"id {kind}, item_id {item_kind}, distance int, start int, n_hits int")
         out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("id", id_col)
+    names = [id_col]
+    for name in ("item_id", "distance", "start", "n_hits"):
+        names.append(free_name(names, name))
+    return out.toDF(*names)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
