@@ -41,11 +41,21 @@ def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int,
     """(source, block, slot, release, deadline) of all blocks in slot order, earliest deadline first.
 
     Shares add up to one, so a released block is always there. Within a phase, sources that haven't had a block yet wait
-    in the order of their first deadlines, so a phase costs no more than the blocks that it serves.
+    in the order of their first deadlines; those that have run out are skipped by links that get shorter each time they
+    are followed. So a phase costs no more than the blocks that it serves.
     """
     left, done = list(blocks), [0] * len(blocks)
     order = sorted((s for s in range(len(blocks)) if left[s]), key=lambda s: (-weights[s], s))
     total, active, start = sum(weights[s] for s in order), len(order), 0
+    place, link = {s: n for n, s in enumerate(order)}, list(range(len(order) + 1))
+
+    def alive(n: int) -> int:
+        """The first place from n on whose source has blocks left."""
+        while link[n] != n:
+            link[n] = link[link[n]]
+            n = link[n]
+        return n
+
     while active:
         window = lambda s, j: (start + j * total // weights[s], start - (-(j + 1) * total // weights[s]))  # noqa: B023, E731
         had: dict[int, int] = {}
@@ -56,8 +66,7 @@ def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int,
             while waiting and waiting[0][0] <= slot:
                 s = heapq.heappop(waiting)[1]
                 heapq.heappush(ready, (window(s, had[s])[1], s))
-            while new < len(order) and not left[order[new]]:
-                new += 1
+            new = alive(new)
             if new < len(order) and (not ready or (window(order[new], 0)[1], order[new]) < ready[0]):
                 s = order[new]
                 new += 1
@@ -74,8 +83,7 @@ def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int,
                 break
             heapq.heappush(waiting, (window(s, j + 1)[0], s))
         start, total, active = slot, total - weights[s], active - 1
-        if 2 * active < len(order):
-            order = [s for s in order if left[s]]
+        link[place[s]] = place[s] + 1
 
 
 def whole_weights(weights: list[float], parts: int = PARTS) -> list[int]:
@@ -126,6 +134,7 @@ def mix(
     plan = schedule([-(-streams[s][0] // block_rows) for s in sids], whole_weights([streams[s][1] for s in sids]))
     entries = F.from_json(F.lit(json.dumps([[sids[s], *entry] for s, *entry in plan])), "array<array<bigint>>")
     slots = spark.range(1).select(F.explode(entries).alias("e")).select(*[F.col("e")[i].alias(c) for i, c in enumerate(("sid", "block", "slot", "release", "deadline"))])
+    slots = written(slots)  # the plans that use it read a small table
     # numbering within a source: exact offsets of hash buckets, whose number grows with the source, plus places in them
     per_bucket = max(LEAST_BUCKET, n_rows // MOST_BUCKETS)
     named = F.broadcast(large.select(F.col("source").alias("name"), "sid", F.col("n").alias("of")))

@@ -260,3 +260,17 @@ def test_shards_of_few_rows(spark):
     got = sharding.shard_by_bytes(df).collect()
     assert len(got) == 3 and len({(r.shard, r.slot) for r in got}) == 3
     assert sharding.shard_by_bytes(df.limit(0)).count() == 0
+
+
+def test_many_sources_take_linear_time():
+    """131,072 sources that run out one after the other, each scheduled on its own, in a few seconds, none off by a block."""
+    import time
+
+    start, n = time.time(), 1 << 17
+    blocks, weights = [1 + i % 3 for i in range(n)], [1 + i % 7 for i in range(n)]
+    plan = list(mixing.schedule(blocks, weights))
+    assert time.time() - start < 20 and [slot for _, _, slot, _, _ in plan] == list(range(sum(blocks)))
+    assert Counter(s for s, *_ in plan) == Counter({s: b for s, b in enumerate(blocks)})
+    assert all(release <= slot < deadline for _, _, slot, release, deadline in plan)
+    equal = list(mixing.schedule([2] * 3000, [1] * 3000))
+    assert [s for s, *_ in equal[:3000]] == list(range(3000)) and all(release <= slot < deadline for _, _, slot, release, deadline in equal)
