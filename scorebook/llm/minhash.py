@@ -35,6 +35,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 16, 1e-6
 #: Members that one leader is compared with; cached word hashes; sets of the two sides of a block pair.
 FAN, CACHE, OUTSIDERS, INSIDERS = 64, 50_000, 512, 1024
+#: Bytes of the sets of a block pair's side.
+BLOCK_BYTES = 16 << 20
 #: Similarity bound in percent: links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 
@@ -264,17 +266,19 @@ def across_components(members: DataFrame, labels: DataFrame, texts: DataFrame, k
     meet insiders in blocks of sets; a block pair is compared in place, and only one link for each outsider and other
     component leaves it. So no pair of a group becomes a row, and the work spreads over as many tasks as block pairs.
     """
-    placed = written(members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    placed = written(members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
     per_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     spans = per_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
     spans = spans.where("roots > 1").select("key", "main")
-    cluster = written(join_unique(placed, spans, "key", "inner").select("main", "id", "root").distinct())
-    sizes = cluster.groupBy("main").agg(F.sum((F.col("root") != F.col("main")).cast("long")).alias("outside"), F.count(F.lit(1)).alias("inside"))
-    blocks = lambda n, most: F.ceil(F.col(n) / most)
-    sizes = sizes.select("main", blocks("outside", OUTSIDERS).alias("n_out"), blocks("inside", INSIDERS).alias("n_in"))
+    cluster = written(join_unique(placed, spans, "key", "inner").select("main", "id", "n", "root").distinct())
+    out = F.col("root") != F.col("main")
+    sizes = cluster.groupBy("main").agg(F.sum(out.cast("long")).alias("outside"), F.count(F.lit(1)).alias("inside"), F.sum(F.when(out, F.col("n"))).alias("out_n"), F.sum("n").alias("in_n"))
+    # blocks hold so many sets at most, and so many bytes on average; a set has 8 bytes a shingle
+    blocks = lambda n, most, shingles: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(shingles) * 8 / BLOCK_BYTES))
+    sizes = sizes.select("main", blocks("outside", OUTSIDERS, "out_n").alias("n_out"), blocks("inside", INSIDERS, "in_n").alias("n_in"))
     involved = cluster.select("id").distinct()
     sets = written(set_sketch(texts.join(involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), k))
-    rows = join_unique(cluster, sizes, "main", "inner").join(sets, "id")
+    rows = join_unique(cluster.drop("n"), sizes, "main", "inner").join(sets, "id")
     block, other = lambda n: F.pmod(F.xxhash64("id"), F.col(n)), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     keep = ["main", "id", "root", "shingles", "sig"]
     outside = rows.where("root != main").select(*keep, F.lit(True).alias("out"), block("n_out").alias("i"), F.explode(other("n_in")).alias("j"))
@@ -299,7 +303,7 @@ def across_components(members: DataFrame, labels: DataFrame, texts: DataFrame, k
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(cluster.schema)
+    schema = to_arrow_schema(cluster.select("id").schema)
     kind = cluster.schema["id"].dataType.simpleString()
     return written(outside.unionByName(inside).groupBy("main", "i", "j").applyInArrow(links, f"a {kind}, b {kind}").distinct())
 
