@@ -221,13 +221,18 @@ def ranked_season(metrics) -> dict[str, str]:
 def percentile_sql(row_id: str, specs: list[tuple[str, str]], season: dict[str, str]) -> str:
     v = lambda m, ok: f"CASE WHEN {ok} THEN {'-' if m in ranking.LESS_IS_BETTER else ''}{m} END"
     counts = ", ".join(f"count({v(m, ok)}) OVER (w ORDER BY {v(m, ok)} NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r{i}, count({v(m, ok)}) OVER w AS n{i}, {ok} AS ok{i}" for i, (m, ok) in enumerate(specs))
-    out = ", ".join(f"CAST(CASE WHEN ok{i} THEN CASE WHEN n{i} = 1 THEN 100 ELSE round_even(100.0 * (r{i} - 1) / (n{i} - 1), 0) END END AS INTEGER) AS {m}_percentile" for i, (m, _) in enumerate(specs))
-    return f"SELECT {row_id}, season_year, raw_season_type_code, {out} FROM (SELECT *, {counts} FROM (SELECT o_custkey AS {row_id}, CAST(o_custkey % 3 AS VARCHAR) AS season_year, '2' AS raw_season_type_code, {selected(season)} FROM orders GROUP BY o_custkey) WINDOW w AS (PARTITION BY season_year, raw_season_type_code))"
+    kind = row_id.split("_")[0].replace("person", "player")
+    out = ", ".join(f"CAST(CASE WHEN ok{i} THEN CASE WHEN n{i} = 1 THEN 100 ELSE round_even(100.0 * (r{i} - 1) / (n{i} - 1), 0) END END AS BIGINT) AS {m}_percentile" for i, (m, _) in enumerate(specs))
+    label = "CAST(2020 + o_custkey % 3 AS VARCHAR) || '-2' || (1 + o_custkey % 3)"
+    key = f"row_number() OVER (ORDER BY {row_id}, season_year[1:4], raw_season_type_code) AS {kind}_season_percentiles_sk, {row_id} * 10 AS current_{kind}_sk, CAST(season_year[1:4] AS BIGINT) AS season_start_year, 'Regular Season' AS season_type, 'orders' AS record_source"
+    return f"SELECT {row_id}, season_year, raw_season_type_code, {key}, {out} FROM (SELECT *, {counts} FROM (SELECT o_custkey AS {row_id}, {label} AS season_year, '2' AS raw_season_type_code, {selected(season)} FROM orders GROUP BY o_custkey) WINDOW w AS (PARTITION BY season_year, raw_season_type_code))"
 
 
 def ranked_rows(t, row_id: str, season: dict[str, str]) -> DataFrame:
     rows = t["orders"].groupBy(F.col("o_custkey").alias(row_id)).agg(*[F.expr(x).alias(c) for c, x in season.items()])
-    return rows.withColumns({"season_year": (F.col(row_id) % 3).cast("string"), "raw_season_type_code": F.lit("2")})
+    kind = "player" if row_id == "person_id" else "team"
+    start = F.lit(2020) + F.col(row_id) % 3
+    return rows.withColumns({"season_year": F.concat(start.cast("string"), F.lit("-2"), (start - 2019).cast("string")), "raw_season_type_code": F.lit("2"), f"current_{kind}_sk": F.col(row_id) * 10, "season_type": F.lit("Regular Season")})
 
 
 _OK = {"games": "games_played >= 5", "minutes": "games_played >= 5 AND seconds_played_total >= 6000", "field_goals": "games_played >= 5 AND field_goals_attempted_total >= 25", "threes": "games_played >= 5 AND three_pointers_attempted_total >= 10", "free_throws": "games_played >= 5 AND free_throws_attempted_total >= 10", "scoring": "games_played >= 5 AND field_goals_attempted_total + 0.44 * free_throws_attempted_total >= 25"}
@@ -237,13 +242,13 @@ _PLAYER = [(m, _OK[kind]) for kind, metrics in ranking.PLAYER_METRICS.items() fo
 @query(percentile_sql("person_id", _PLAYER, ranked_season([m for m, _ in _PLAYER])))
 def player_season_percentiles(t, spark, d):
     """All 27 metrics with their eligibility minimums."""
-    return ranking.player_season_percentiles(ranked_rows(t, "person_id", ranked_season([m for m, _ in _PLAYER])))
+    return ranking.player_season_percentiles(ranked_rows(t, "person_id", ranked_season([m for m, _ in _PLAYER])), source="orders")
 
 
 @query(percentile_sql("team_id", [(m, "games_played > 0") for m in ranking.TEAM_METRICS], ranked_season(ranking.TEAM_METRICS)))
 def team_season_percentiles(t, spark, d):
     """All 26 metrics."""
-    return ranking.team_season_percentiles(ranked_rows(t, "team_id", ranked_season(ranking.TEAM_METRICS)))
+    return ranking.team_season_percentiles(ranked_rows(t, "team_id", ranked_season(ranking.TEAM_METRICS)), source="orders")
 
 
 # ---------------------------------------------------------------- entities and facts
