@@ -194,19 +194,20 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     enough = F.col("n") >= least
 
     def summed(rows: DataFrame) -> DataFrame:
-        return rows.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
+        """Each phrase or hash once, summed by tasks before the shuffle and stored; a phrase always has one hash."""
+        return written(rows.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n")))
 
-    def union(rows: DataFrame) -> bytes:
+    def union(found: DataFrame) -> bytes:
         """The bitmap of what may be frequent: what shards have found, and what they may have of it without telling."""
-        found = written(rows.where("phrase is null").groupBy("lang", "h").agg(F.sum("n").alias("n")))
-        unsaid = found.where("h is null").agg(F.max("n")).first()[0] or 0  # of the language in which it is most
-        return marks_of(found.where(F.col("h").isNotNull() & (F.col("n") >= least - unsaid)).select("h"))
+        mined = found.where("phrase is null")
+        unsaid = mined.where("h is null").agg(F.max("n")).first()[0] or 0  # of the language in which it is most
+        return marks_of(mined.where(F.col("h").isNotNull() & (F.col("n") >= least - unsaid)).select("h"))
 
-    words = written(summed(of({}, orders=range(1, 2))))
+    words = summed(of({}, orders=range(1, 2)))
     single = words.where(enough)
-    pairs_of = {2: union(of({1: marks_of(single.select("h"))}, mined=range(2, 3)))}
-    both = written(of(pairs_of, orders=range(2, 3), mined=range(3, LONGEST + 1)))
-    pairs = written(summed(both).where(enough))
+    pairs_of = {2: union(summed(of({1: marks_of(single.select("h"))}, mined=range(2, 3))))}
+    both = summed(of(pairs_of, orders=range(2, 3), mined=range(3, LONGEST + 1)))
+    pairs = both.where(F.col("phrase").isNotNull() & enough)
     longer_of = union(both)
     longer = summed(of(pairs_of | dict.fromkeys(range(3, LONGEST + 1), longer_of), orders=range(3, LONGEST + 1))).where(enough)
     return single.unionByName(pairs).unionByName(longer).select("lang", "phrase", "n"), words.groupBy("lang").agg(F.sum("n").alias("n"))
