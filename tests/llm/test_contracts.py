@@ -2,13 +2,15 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 
 import __spark_entry__
-from scorebook.llm import secrets
+from scorebook.llm import decontaminate, mixing, secrets
+from test_decontaminate import near as nearest
 from test_phrases import brute as phrase_rows
 from test_prefix_trie import COLUMNS as TRIE
 from test_prefix_trie import brute as trie_rows
@@ -90,14 +92,67 @@ def test_op2(got, docs):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows.values()} == {(i, len(sets[i]), find(i), find(i) == i) for i in docs} and len(rows) == len(docs)
 
 
-def test_op3_and_op4(got, docs):
-    assert {r.doc_id for r in got("op3_decontaminate")} <= set(docs)
-    assert {r.doc_id for r in got("op4_pii")} == set(docs)
+def test_op3(got, docs, spark):
+    """Items in documents, by the plain table of edits at the edges of words."""
+    items = [(r.item_id, decontaminate.normalise(r.text)) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    rows = {(r.doc_id, r.item_id): (r.distance, r.start) for r in got("op3_decontaminate")}
+    texts = {i: decontaminate.normalise(d.text) for i, d in docs.items()}
+    exact = {(i, k) for i, t in texts.items() for k, x in items if x and any(decontaminate.is_edge(t, m.start()) and decontaminate.is_edge(t, m.end()) for m in re.finditer(re.escape(x), t))}
+    assert exact <= set(rows) and all(rows[p][0] == 0 for p in exact)
+    of = dict(items)
+    for (i, k), (distance, start) in rows.items():
+        part = texts[i][max(0, start - 5) : start + 2 * len(of[k])]
+        assert (i, k) in exact or 0 < distance <= int(decontaminate.ERROR_RATE * len(of[k])) and nearest(of[k], part) <= distance
+    # what shares a quarter of an item's words without being a match is worked out with the table
+    for i, t in texts.items():
+        for k, x in items:
+            words = set(x.split())
+            if (i, k) not in rows and x and 4 * len(words & set(t.split())) >= 3 * len(words) and len(t) < 4000:
+                assert nearest(x, t) > int(decontaminate.ERROR_RATE * len(x)), (i, k)
+
+
+def test_op4(got, docs):
+    """Texts change only where something private stood, equal values alike everywhere, and stay valid in form."""
+    rows = {r.doc_id: r.text for r in got("op4_pii")}
+    assert set(rows) == set(docs)
+    mail, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])")
+    seen, changed = {}, 0
+    for i, d in docs.items():
+        before, after = d.text, rows[i]
+        if before is None:
+            assert after is None
+            continue
+        if before == after:
+            continue
+        changed += 1
+        a, b = mail.findall(before), mail.findall(after)
+        assert len(a) == len(b) and len(ip.findall(before)) == len(ip.findall(after))
+        for x, y in zip(a, b, strict=True):
+            assert x != y and seen.setdefault(x.lower(), y.lower()) == y.lower()
+        strip = lambda t: re.sub(r"[0-9]+", "0", mail.sub("@", t))
+        assert strip(before) == strip(after)
+    assert changed
 
 
 def test_op5(got, docs):
+    """Every source's blocks come in its windows, so that it is never a block off; places are gapless within blocks."""
     rows = got("op5_mixing")
     assert {r.doc_id for r in rows} == set(docs) and len({r.mix_position for r in rows}) == len(docs) == len(rows)
+    assert {r.doc_id: r.source for r in rows} == {i: d.source for i, d in docs.items()}
+    blocks, sizes = {}, Counter()
+    for r in rows:
+        assert blocks.setdefault((r.source, r.mix_block), (r.mix_slot, r.mix_release, r.mix_deadline)) == (r.mix_slot, r.mix_release, r.mix_deadline)
+        assert r.mix_release <= r.mix_slot < r.mix_deadline and r.mix_position // mixing.BLOCK_ROWS == r.mix_slot
+        sizes[r.source, r.mix_block] += 1
+    assert sorted(s for s, _, _ in blocks.values()) == list(range(len(blocks)))
+    last = {}
+    for source, block in blocks:
+        last[source] = max(block, last.get(source, -1))
+    assert all(n == mixing.BLOCK_ROWS for (source, block), n in sizes.items() if block < last[source])
+    names = sorted(last, key=lambda s: (s is not None, s))
+    weights = mixing.whole_weights([sum(d.source == s for d in docs.values()) ** 0.5 for s in names])
+    plan = {(names[s], b): (slot, release, deadline) for s, b, slot, release, deadline in mixing.schedule([last[s] + 1 for s in names], weights)}
+    assert plan == blocks
 
 
 def test_op6(got, docs):

@@ -89,3 +89,55 @@ def test_run_changes_with_the_weights(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {source: 40})
     other = rows()
     assert plain != other and [r[:4] for r in plain] == [r[:4] for r in other]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def run_on(spark, tmp_path, rows, items, schema=SCHEMA):
+    """The pipeline over tables of its own."""
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+
+def prose(n):
+    """Different sentences with letters, none a near copy of another."""
+    return [(i, " ".join(f"{w}{(i * 7 + k) % 1000}" for k, w in enumerate("the quick brown fox jumps over lazy dogs and runs far away from home".split())), "en", f"s{i % 3}", 1) for i in range(n)]
+
+
+def test_empty_documents(spark, tmp_path):
+    assert run_on(spark, tmp_path, [], [(1, "an item")]) == []
+
+
+def test_empty_benchmark_drops_nothing(spark, tmp_path):
+    rows = prose(40)
+    got = run_on(spark, tmp_path, rows, [])
+    assert sorted(r.doc_id for r in got) == list(range(40))
+
+
+def test_nulls_repeats_and_long_texts(spark, tmp_path):
+    """Null ids, texts, languages and sources; repeated rows; a very long text; texts without letters."""
+    rows = prose(30)
+    words = "the quick brown fox jumps over lazy dogs and runs far away from home".split()
+    long = " ".join(f"{words[i % 14]}{i}" for i in range(60_000))
+    rows += [(100, None, "en", "s1", 0), (101, "", None, None, 0), (102, "12345 !!", None, "s1", 0), (103, long, None, None, 9), (104, rows[3][1].upper(), "en", None, 2)]
+    rows += [(105, "a document that says its piece twice over and over again", None, "s2", 3)] * 2 + [(None, "a document of nobody in particular but with words", None, "s0", 3)]
+    rows += [(106, "before it: " + "the exact benchmark question that must not be here at all" + " after", "en", "s0", 3)]
+    got = run_on(spark, tmp_path, rows, [(1, "the exact benchmark question that must not be here at all"), (2, None), (3, "")])
+    ids = sorted((r.doc_id for r in got), key=lambda i: (i is None, i))
+    assert ids == [*range(30), 103, 105, 105, None]
+    assert {r.size for r in got if r.doc_id == 103} == {len(long) + 1}
+    by_shard = defaultdict(list)
+    for r in got:
+        by_shard[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+
+
+def test_columns_whose_names_clash(spark, tmp_path):
+    """Columns named like those that the stages add."""
+    rows = [(*r, 7, "x", 1, 2) for r in prose(25)]
+    got = run_on(spark, tmp_path, rows, [(1, "an item that is nowhere")], SCHEMA + ", mix_position long, _id string, n_shingles int, size int")
+    assert sorted(r.doc_id for r in got) == list(range(25))
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "mix_position", "_id", "n_shingles", "size"]
