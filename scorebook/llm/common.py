@@ -140,14 +140,21 @@ def bitmap(keys: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
     return written(rows.groupBy("part").agg(F.bitmap_construct_agg("at").alias("marks"))), bits
 
 
-def may_have(df: DataFrame, key: str, marks: DataFrame, bits: int) -> DataFrame:
-    """The rows of `df` whose `key` may be one of the bitmap's: all that are, and a few others."""
+def marked(df: DataFrame, key: str, marks: DataFrame, bits: int, name: str) -> DataFrame:
+    """`df` with a flag `name`: whether its `key` may be one of the bitmap's; true for all that are, and for a few others."""
     at = F.col(key).bitwiseAND(F.lit(bits - 1))
     part, row = free_name(df.columns, "part"), free_name(df.columns, "marks")
     byte, bit = F.shiftright(at % (1 << ROW_SHIFT), 3).cast("int"), (at % 8).cast("int")
-    held = df.withColumn(part, F.shiftright(at, ROW_SHIFT)).join(F.broadcast(marks.toDF(part, row)), part)
+    held = df.withColumn(part, F.shiftright(at, ROW_SHIFT)).join(F.broadcast(marks.toDF(part, row)), part, "left")
     value = F.conv(F.hex(F.substring(row, byte + 1, F.lit(1))), 16, 10).cast("int")
-    return held.where(value.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit)) > 0).select(*[held[c] for c in df.columns])
+    flag = F.coalesce(value.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit)) > 0, F.lit(False))
+    return held.select(*[held[c] for c in df.columns], flag.alias(name))
+
+
+def may_have(df: DataFrame, key: str, marks: DataFrame, bits: int) -> DataFrame:
+    """The rows of `df` whose `key` may be one of the bitmap's."""
+    name = free_name(df.columns, "may_have")
+    return marked(df, key, marks, bits, name).where(name).drop(name)
 
 
 def least_hot(rows: int) -> int:

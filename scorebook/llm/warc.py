@@ -5,7 +5,8 @@ WARC/1.1 files in which repeated payloads are revisit records with fresh headers
 by Content-Length; `resolve_read` joins revisits back to the responses that they name.
 
 Digests are resolved on headers (id, URL, digest, length) alone. Records then take their response from that result:
-payloads too small to be revisits don't move, common digests meet theirs by broadcast, and only the others are shuffled.
+payloads too small to be revisits and those whose digest doesn't repeat are written where they are read (a bitmap of a
+bounded size tells them), common digests meet theirs by broadcast, and only the others are shuffled.
 
 Null html: an empty payload. Null page id: an empty id in the record's urn, read back as null. Ids of any type are
 written as text and cast back. Null or odd URLs: line breaks become spaces. Repeated rows (same page id, same payload):
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import join_unique, least_hot, map_rows, shared_dir, table, written
+from scorebook.llm.common import bitmap, join_unique, least_hot, map_rows, marked, shared_dir, table, written
 
 #: Payloads below this many bytes are always written in full.
 LEAST_BYTES = 1000
@@ -93,8 +94,11 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     groups = written(resolve_revisits(headers))
     largest, n = headers.agg(F.coalesce(F.max("payload_bytes"), F.lit(0)), F.count(F.lit(1))).first()
     hot = groups.where(F.col("n") >= least_hot(n)).select("payload_digest")
-    small = records.where(F.col("payload_bytes") < LEAST_BYTES).withColumns({"original": F.lit(None).cast(records.schema["page_id"].dataType), "original_url": F.lit(None).cast("string")})
-    typed = small.unionByName(join_unique(records.where(F.col("payload_bytes") >= LEAST_BYTES), groups.drop("n"), "payload_digest", hot=hot))
+    marks, bits = bitmap(groups.select(F.xxhash64("payload_digest").alias("key")), "key", groups.count())
+    repeats = marked(records.withColumn("key", F.xxhash64("payload_digest")), "key", marks, bits, "repeats").drop("key")
+    repeats = repeats.withColumn("repeats", F.col("repeats") & (F.col("payload_bytes") >= LEAST_BYTES))
+    alone = repeats.where(~F.col("repeats")).withColumns({"original": F.lit(None).cast(records.schema["page_id"].dataType), "original_url": F.lit(None).cast("string")})
+    typed = alone.unionByName(join_unique(repeats.where("repeats"), groups.drop("n"), "payload_digest", hot=hot)).drop("repeats")
     typed = typed.withColumn("refers_to", F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original")))
     typed = typed.withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
     above = -1
