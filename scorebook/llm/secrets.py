@@ -2,8 +2,11 @@
 
 For each candidate string (a run of key-like characters) and each character class, a window slides over the longest
 runs of that class; character counts and the entropy's sum are updated by the character that enters and the one that
-leaves. Windows at or above the class's threshold are merged to spans. Spans whose text is on the allow-list (ids,
-digests in lock files, URLs, file paths, plain words) are suppressed, as are those inside a pattern match.
+leaves. Windows at or above the class's threshold are merged to spans. Candidates on the allow-list are suppressed: UUIDs,
+digests in lock files, alphabets, the host and path of a URL (what follows its `?` or `#` is looked at), file paths,
+dotted names, and plain words, which may be joined (camel case is split at its capitals). So are spans inside a pattern
+match. A random key may look like one of those by chance: of keys drawn from letters and digits, 2.6 % of 20 characters,
+0.6 % of 24 and 0.1 % of 32 are lost; of base32 keys of 32 characters 0.01 %.
 
 Null text is an empty text; both give no spans. Ties and repeated rows are scanned independently of each other. Very
 long texts are scanned whole; the windows keep constant state.
@@ -30,20 +33,26 @@ KINDS = ("assign", "access", "hex")
 #: Character class: (name, its characters, window, bits per character from which a window is suspicious).
 CLASSES = (
     ("entropy_hex", re.compile(r"[0-9a-fA-F]{24,}"), 24, 3.0),
+    ("entropy_base32", re.compile(r"[A-Z2-7]{24,}|[a-z2-7]{24,}"), 24, 3.4),
     ("entropy_alnum", re.compile(r"[A-Za-z0-9]{20,}"), 20, 3.7),
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.1),
 )
+#: What a run must hold besides to be of a class: long words have no digits.
+HOLDS = {"entropy_base32": re.compile("[2-7]")}
 #: Candidate strings: key-like runs, with or without digits.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
-#: A word: letters of one case, or capitalised, of natural length. Other mixed case is left to its entropy.
-WORD = r"(?:[A-Z]?[a-z]{1,27}|[A-Z]{1,28})"
+#: A word: letters of one case, or capitalised, of natural length; or such words joined in camel case, of three letters at
+#: least but for the common ones of two and for abbreviations before a capital. Other mixed case is left to its entropy.
+_PART = r"(?:[A-Z][a-z]{2,20}|(?:As|At|By|Db|Go|Id|If|In|Io|Is|It|My|No|Of|On|Or|To|Up)(?![a-z])|[A-Z]{2,4}(?=[A-Z][a-z]|[^A-Za-z]|\Z))"
+WORD = rf"(?>[a-z]{{2,20}}{_PART}{{1,8}}|{_PART}{{2,9}}|[A-Z]?[a-z]{{1,27}}|[A-Z]{{1,28}})"  # the longest form first, without going back
+#: What stands before a candidate that is the host and path of a URL.
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}:\Z")
 #: What looks random but is no secret.
 ALLOWED = (
     re.compile(r"[0-9.]+"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r"(?:sha1|sha256|sha384|sha512|md5)-[A-Za-z0-9+/=]+"),
-    re.compile(r"(?:/[A-Za-z_.-]{2,})+(?:/[A-Za-z0-9_.-]+)*"),
-    re.compile(rf"{WORD}(?:[-_./+=]+{WORD})*[-_./]?[0-9]{{0,4}}"),
+    re.compile(rf"/*+{WORD}(?:[-_./+=]++(?:{WORD}|[0-9]{{1,4}}))*+[-_./]?[0-9]{{0,4}}/?"),
     re.compile(r"0123456789(?:abcdef|ABCDEF|[A-Za-z]*)"),
 )
 
@@ -94,11 +103,11 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     for candidate in CANDIDATE.finditer(text):
         word = candidate[0]
-        if allowed(word.strip(".-_/=+")):
+        if allowed(word.strip(".-_=+")) or word.startswith("//") and SCHEME.search(text, max(0, candidate.start() - 17), candidate.start()):
             continue
         for name, pattern, width, threshold in CLASSES:
             for run in pattern.finditer(word):
-                if allowed(run[0]):
+                if name in HOLDS and not HOLDS[name].search(run[0]) or allowed(run[0]):
                     continue
                 for s, e in windows(run[0], width, threshold):
                     at = candidate.start() + run.start()
