@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorebook.llm.common import join_unique, least_hot, map_rows, table, written
+from scorebook.llm.common import bitmap, join_unique, least_hot, map_rows, may_have, table, written
 
 #: A pair at the similarity bound 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 24, 4
@@ -140,10 +140,17 @@ def prune(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text): one text of each of the ids. A bitmap of the ids keeps the other texts from being shuffled."""
+    ids = written(ids.distinct())
+    marks, bits = bitmap(ids.select(F.xxhash64("id").alias("key")), "key", ids.count())
+    few = may_have(texts.select("id", "text", F.xxhash64("id").alias("key")), "key", marks, bits).drop("key")
+    return few.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def exact(pairs: DataFrame, texts: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     """(a, b) of the stored pairs whose shingle sets reach the bound, decided on the words themselves."""
-    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(texts.join(involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+    texts = written(texts_of(texts, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -276,8 +283,7 @@ def across_components(members: DataFrame, labels: DataFrame, texts: DataFrame, k
     # blocks hold so many sets at most, and so many bytes on average; a set has 8 bytes a shingle
     blocks = lambda n, most, shingles: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(shingles) * 8 / BLOCK_BYTES))
     sizes = sizes.select("main", blocks("outside", OUTSIDERS, "out_n").alias("n_out"), blocks("inside", INSIDERS, "in_n").alias("n_in"))
-    involved = cluster.select("id").distinct()
-    sets = written(set_sketch(texts.join(involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), k))
+    sets = written(set_sketch(texts_of(texts, cluster.select("id")), k))
     rows = join_unique(cluster.drop("n"), sizes, "main", "inner").join(sets, "id")
     block, other = lambda n: F.pmod(F.xxhash64("id"), F.col(n)), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     keep = ["main", "id", "root", "shingles", "sig"]
