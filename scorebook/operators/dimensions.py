@@ -75,7 +75,7 @@ def player_events(players: DataFrame, games: DataFrame, bios: DataFrame, teams:
     rows = players.where("person_id > 0 and game_id is not null").join(games.select("game_id", "game_time_utc"), "game_id", "left").join(names, "person_id", "left")
     rows = rows.join(teams.select(F.col("team_id").alias("_league")).distinct(), F.col("team_id") == F.col("_league"), "left")
     first, family = F.coalesce(null_if_empty(F.col("first_name")), "_first"), F.coalesce(null_if_empty(F.col("family_name")), "_family")
-    rows = rows.select("person_id", "game_id", "game_time_utc", F.to_date("game_time_utc").alias("game_date"), null_if_empty(F.col("player_name")).alias("player_name"), first.alias("first_name"), family.alias("family_name"), null_if_empty(F.col("primary_position")).alias("primary_position"), F.when(F.col("team_id") > 0, F.col("team_id")).alias("latest_team_id"), F.col("_league").alias("latest_nba_team_id"))
+    rows = rows.select("person_id", "game_id", "game_time_utc", F.to_date("game_time_utc").alias("game_date"), null_if_empty(F.col("player_name")).alias("player_name"), first.alias("first_name"), family.alias("family_name"), null_if_empty(F.col("primary_position")).alias("primary_position"), F.when(F.col("team_id") > 0, F.col("team_id")).cast("long").alias("latest_team_id"), F.col("_league").cast("long").alias("latest_nba_team_id"))
     full = F.concat_ws(" ", "first_name", "family_name")
     rows = rows.withColumn("display_name", F.when(full != "", full).otherwise(F.col("player_name")))
     return best_row(rows, ["person_id", "game_id"], ties=[F.col(c).asc_nulls_last() for c in rows.columns])

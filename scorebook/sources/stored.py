@@ -8,15 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def new_folder(spark: SparkSession, prefix: str = "layer") -> str:
-    """A new folder path that driver and executors share; the cluster names the root in spark.checkpoint.dir."""
+def layers_root(spark: SparkSession, prefix: str = "layer") -> str:
+    """This application's folder for layers in the one that driver and executors share, which the cluster names in spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.gettempdir() + "/checkpoints")
         root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{prefix}-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{prefix}-{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, prefix: str = "layer") -> str:
+    """A new folder path within `layers_root`."""
+    return f"{layers_root(spark, prefix)}/{uuid.uuid4().hex}"
+
+
+def clear_layers(spark: SparkSession, prefix: str = "layer") -> None:
+    """Delete all layers of this application; results that build on them and aren't saved yet are lost with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(layers_root(spark, prefix))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -129,3 +129,16 @@ def test_player_versions_with_late_and_conflicting_dates(spark):
     assert {(x.person_id, x.birth_date, x.school) for x in got} == {(1, born(1982), "S"), (2, born(1984), None)}
     people = {x.person_id: x.birth_date for x in dimensions.player_bios(bios, links, profiles).collect()}
     assert people == {1: born(1982), 2: born(1984), 3: born(1990)}
+
+
+def test_layers_are_cleared(spark):
+    from scorebook.plans.games import LAYERS
+    from scorebook.sources.stored import clear_layers, stored
+
+    kept = stored(spark.range(3))
+    assert kept.count() == 3
+    (path,) = {f.rsplit("/", 1)[0] for f in kept.inputFiles()}
+    clear_layers(spark)
+    LAYERS.clear()  # they build on what has gone
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
