@@ -101,30 +101,45 @@ def counted(ids: np.ndarray, hashes: np.ndarray, orders: range, mined: range, ma
     further on are still alive; `marks` of an order must allow a phrase. Phrases are told apart by their word numbers.
     """
     at = np.flatnonzero(ids)
-    rank, h, names = ids[at].astype(np.uint64), hashes[ids[at]], np.arange(len(hashes), dtype=np.uint32)[:, None]
-    for order in range(1, max(orders.stop, mined.stop)):
+    # of each place: its phrase's rank and, as long as marks will ask for it, its hash; of each rank: its words and hash
+    rank, h, names, of_rank = ids[at].astype(np.uint64), hashes[ids[at]], np.arange(len(hashes), dtype=np.uint32)[:, None], hashes
+    longest, word = max(orders.stop, mined.stop) - 1, np.uint64(0xFFFFFFFF)
+    for order in range(1, longest + 1):
         if order > 1:
             alive = np.zeros(len(ids) + 1, dtype=bool)
             alive[at] = True
             keep = alive[at + 1]
-            at, rank, h = at[keep], rank[keep], h[keep]
+            at, rank = at[keep], rank[keep]
             last = ids[at + order - 1]
-            h, rank = mixed(h, hashes[last]), (rank << np.uint64(32)) | last
+            rank = (rank << np.uint64(32)) | last
+            if any(n >= order for n in marks):
+                h = mixed(h[keep], hashes[last])
         if order in marks:
             ok = marks[order].test(h)
             at, rank, h = at[ok], rank[ok], h[ok]
         if order == 1 and order not in orders:
             continue
-        codes, first, inverse, counts = np.unique(rank, return_index=True, return_inverse=True, return_counts=True)
-        names = names[codes] if order == 1 else np.hstack([names[codes >> np.uint64(32)], (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None]])
+        if order < longest:
+            codes, inverse, counts = np.unique(rank, return_inverse=True, return_counts=True)
+        else:
+            codes, counts = np.unique(rank, return_counts=True)
+        if order == 1:
+            names, of_rank = names[codes], of_rank[codes]
+        else:
+            first, end = codes >> np.uint64(32), (codes & word).astype(np.uint32)
+            names, of_rank = np.hstack([names[first], end[:, None]]), mixed(of_rank[first], hashes[end])
         if order in orders:
-            yield order, names, h[first], counts
+            yield order, names, of_rank, counts
         elif order in mined:
             enough = counts >= needed
-            yield order, names[enough], h[first][enough], counts[enough]
-            ok = enough[inverse]
-            at, h, inverse = at[ok], h[ok], inverse[ok]
-        rank = inverse.astype(np.uint64)
+            yield order, names[enough], of_rank[enough], counts[enough]
+        if order < longest:
+            if order in mined:
+                ok = enough[inverse]
+                at, inverse = at[ok], inverse[ok]
+                if any(n > order for n in marks):
+                    h = h[ok]
+            rank = inverse.astype(np.uint64)
 
 
 NONE = range(0)
