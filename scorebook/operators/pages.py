@@ -89,7 +89,9 @@ def labelled(markup: Column, tag: str = "p", mark: str = "strong") -> Column:
     marks = lambda h: F.filter(F.split(h, rf"(?i)(?=<{mark}[\s>])"), lambda p: p.rlike(lead))
     name = lambda p: visible(F.regexp_extract(p, lead, 1))
     follows = lambda p: F.ltrim(F.regexp_replace(p, lead, "")).startswith(":")
-    raw = lambda h: F.transform(F.filter(marks(h), lambda p: name(p).endswith(":") | (follows(p) & (name(p) != ""))), lambda p: F.rtrim(F.regexp_replace(name(p), ":+$", "")))
+    seen = lambda h: F.transform(marks(h), lambda p: F.struct(name(p).alias("name"), follows(p).alias("follows")))
+    is_label = lambda m: m["name"].endswith(":") | (m["follows"] & (m["name"] != ""))
+    raw = lambda h: F.transform(F.filter(seen(h), is_label), lambda m: F.rtrim(F.regexp_replace(m["name"], ":+$", "")))
     own = F.transform(elements(markup, tag), lambda h: F.struct(h.alias("html"), visible(h).alias("text"), raw(h).alias("raw")))
     rest = lambda b: F.ltrim(F.substring(b["text"], F.length(F.get(b["raw"], F.lit(0))) + 1, F.length(b["text"])))
     begins = lambda b: F.startswith(b["text"], F.get(b["raw"], F.lit(0))) & rest(b).startswith(":")
