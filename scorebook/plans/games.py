@@ -112,10 +112,16 @@ class Game:
 LAYERS: dict[tuple[str, str], Game] = {}
 
 
+def still_there(spark: SparkSession, df: DataFrame) -> bool:
+    """Whether the first file of a stored layer exists."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path((df.inputFiles() or ["/"])[0])
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def game(t, spark: SparkSession, d: str) -> Game:
-    """The layers of the games of a folder, worked out once in an application."""
+    """The layers of the games of a folder, worked out once in an application, or again once they have been deleted."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in LAYERS:
+    if key not in LAYERS or not (still_there(spark, LAYERS[key].events) and still_there(spark, LAYERS[key].effective)):
         events = stored(sequence.enriched(raw_events(t)))
         b = box(t)
         s = stored(lineups.stints(events, b))
