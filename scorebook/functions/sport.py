@@ -14,8 +14,17 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL engines on doubles do: the product with 10^digits to the next whole number, halves up.
+
+    Spark's own round takes the shortest decimal form for the exact value, so near ties it differs from them both ways.
+    """
+    scale = float(10**digits)
+    return F.round(x.cast("double") * scale) / scale
+
+
 def percent(a: Column, b: Column, digits: int = 1) -> Column:
-    return F.round(100 * ratio(a, b), digits)
+    return rounded(100 * ratio(a, b), digits)
 
 
 def half_even_ratio(a: Column, b: Column, digits: int) -> Column:
@@ -62,7 +71,7 @@ def usage(used, possessions, fga, fta, tov, minutes, team_fga, team_fta, team_to
     """Share of possessions used: counted if plausible (0 to 100 %), else from the box score."""
     counted = percent(used, possessions)
     plays = (fga + FT_WEIGHT * fta + tov) * (team_minutes / 5)
-    proxy = F.round(100 * ratio(plays, minutes * (team_fga + FT_WEIGHT * team_fta + team_tov)), 1)
+    proxy = rounded(100 * ratio(plays, minutes * (team_fga + FT_WEIGHT * team_fta + team_tov)), 1)
     return F.coalesce(F.when(counted.between(0, 100), counted), proxy)
 
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorebook.functions.sport import effective_fg, impact_terms, percent, rating, ratio, true_shooting, usage
+from scorebook.functions.sport import effective_fg, impact_terms, percent, rating, ratio, rounded, true_shooting, usage
 from scorebook.functions.text import null_if_empty, position_group
 from scorebook.operators.dimensions import current_profile, with_age
 from scorebook.operators.relational import best_row, opponents
@@ -178,7 +178,7 @@ def player_game(facts: DataFrame, possessions: DataFrame, opportunities: DataFra
     c = F.col
     rates = {
         "two_pointers_made": c("field_goals_made") - c("three_pointers_made"), "two_pointers_attempted": c("field_goals_attempted") - c("three_pointers_attempted"),
-        "offensive_rating": F.round(rating(c("points_for"), c("offensive_possessions")), 1), "defensive_rating": F.round(rating(c("points_against"), c("defensive_possessions")), 1),
+        "offensive_rating": rounded(rating(c("points_for"), c("offensive_possessions")), 1), "defensive_rating": rounded(rating(c("points_against"), c("defensive_possessions")), 1),
         "assist_percentage": percent(c("assists"), c("teammate_field_goals_made")),
         "usage_percentage": usage(c("used_offensive_possessions"), c("offensive_possessions"), c("field_goals_attempted"), c("free_throws_attempted"), c("turnovers"), c("minutes_played"), c("team_field_goals_attempted"), c("team_free_throws_attempted"), c("team_turnovers"), c("team_minutes")),
         "offensive_rebound_percentage": percent(c("offensive_rebounds"), c("offensive_rebound_opportunities")), "defensive_rebound_percentage": percent(c("defensive_rebounds"), c("defensive_rebound_opportunities")),
@@ -208,10 +208,18 @@ def _season_sums(games: DataFrame, keys: Sequence[str], counts: Sequence[str]) -
     return games.dropna(subset=list(keys)), sums
 
 
-def _weighted(part: str, rate: str) -> Column:
-    """A season rate as the counts' sum over the sum of the opportunities that the game rates imply."""
-    whole = F.when(F.col(rate) > 0, 100 * F.col(part) / F.col(rate))
-    return percent(F.sum(F.when(whole.isNotNull(), F.col(part))), F.sum(whole))
+#: Rates of a season that the games' rates are weighed to, with their counts.
+IMPLIED = {"assist_percentage": "assists", "offensive_rebound_percentage": "offensive_rebounds", "defensive_rebound_percentage": "defensive_rebounds", "rebound_percentage": "total_rebounds", "block_percentage": "blocks"}
+
+
+def _implied(part: str, rate: str) -> Column:
+    """The opportunities that a game's rate implies."""
+    return F.when(F.col(rate) > 0, 100 * F.col(part) / F.col(rate))
+
+
+def _in_order(games: str, c: str) -> Column:
+    """The sum of a field of collected games in their order, so that a double's last digit doesn't depend on tasks."""
+    return F.aggregate(games, F.lit(None).cast("double"), lambda total, g: F.coalesce(total + g[c], total, g[c]))
 
 
 def player_season_team(games: DataFrame, keys: Sequence[str] = KEYS["player_season_team"]) -> DataFrame:
@@ -221,13 +229,16 @@ def player_season_team(games: DataFrame, keys: Sequence[str] = KEYS["player_seas
     weigh = lambda r, p: ratio(F.sum(F.col(r) * F.col(p)), F.sum(F.when(F.col(r).isNotNull(), F.col(p))))
     out = rows.groupBy(*keys).agg(
         F.sum(played.cast("long")).alias("games_played"), F.sum(F.coalesce(F.col("is_starter"), F.lit(False)).cast("long")).alias("games_started"), *[c.alias(n) for n, c in sums.items()],
-        F.round(weigh("offensive_rating", "offensive_possessions"), 1).alias("offensive_rating"), F.round(weigh("defensive_rating", "defensive_possessions"), 1).alias("defensive_rating"),
-        F.round(weigh("usage_percentage", "offensive_possessions"), 1).alias("usage_percentage"),
-        *[_weighted(p, r).alias(r) for p, r in (("assists", "assist_percentage"), ("offensive_rebounds", "offensive_rebound_percentage"), ("defensive_rebounds", "defensive_rebound_percentage"), ("total_rebounds", "rebound_percentage"), ("blocks", "block_percentage"))],
+        rounded(weigh("offensive_rating", "offensive_possessions"), 1).alias("offensive_rating"), rounded(weigh("defensive_rating", "defensive_possessions"), 1).alias("defensive_rating"),
+        rounded(weigh("usage_percentage", "offensive_possessions"), 1).alias("usage_percentage"),
+        *[F.sum(F.when(_implied(p, r).isNotNull(), F.col(p))).alias(f"_{r}") for r, p in IMPLIED.items()],
+        F.array_sort(F.collect_list(F.struct(F.length("game_id").alias("_digits"), "game_id", *[_implied(p, r).alias(r) for r, p in IMPLIED.items()]))).alias("_games"),
     )
+    # a rate is the counts' sum over the sum of the opportunities that the game rates imply
+    out = out.withColumns({r: percent(F.col(f"_{r}"), _in_order("_games", r)) for r in IMPLIED})
     poss = (F.col("offensive_possessions_total") + F.col("defensive_possessions_total")) / 2
-    out = out.withColumns({"pace": F.round(ratio(48 * poss, F.col("minutes_total")), 1), "net_rating": F.round(F.col("offensive_rating") - F.col("defensive_rating"), 1)})
-    return conformed(out, "player_season_team") if "team_id" in keys else out
+    out = out.withColumns({"pace": rounded(ratio(48 * poss, F.col("minutes_total")), 1), "net_rating": rounded(F.col("offensive_rating") - F.col("defensive_rating"), 1)})
+    return conformed(out, "player_season_team") if "team_id" in keys else out.drop("_games")
 
 
 def player_season(games: DataFrame, players: DataFrame) -> DataFrame:
@@ -253,7 +264,7 @@ def team_season_sums(games: DataFrame) -> DataFrame:
     both = F.col("offensive_possessions_total") + F.col("defensive_possessions_total")
     poss = F.when(both > 0, both / 2)
     off, de = rating(F.col("points_total"), poss), rating(F.col("opponent_points_total"), poss)
-    return out.withColumns({"pace": F.round(ratio(240 * poss, F.col("minutes_total")), 1), "offensive_rating": F.round(off, 1), "defensive_rating": F.round(de, 1), "net_rating": F.round(off - de, 1)})
+    return out.withColumns({"pace": rounded(ratio(240 * poss, F.col("minutes_total")), 1), "offensive_rating": rounded(off, 1), "defensive_rating": rounded(de, 1), "net_rating": rounded(off - de, 1)})
 
 
 def team_season(games: DataFrame, shots: DataFrame | None = None) -> DataFrame:
@@ -268,9 +279,9 @@ def team_season(games: DataFrame, shots: DataFrame | None = None) -> DataFrame:
         out = out.join(tried, keys, "left")
     t = lambda c: F.col(f"{c}_total")
     share = lambda own, other: percent(t(own), t(own) + t(f"opponent_{other}"))
-    some = lambda c: F.when(t(c) > 0, F.round(t(c), 1))
+    some = lambda c: F.when(t(c) > 0, rounded(t(c), 1))
     return conformed(out.withColumns({
-        "minutes": F.when(t("minutes") > 0, F.round(t("minutes") / 5).cast("long")), "minutes_per_game": F.round(ratio(t("minutes") / 5, F.col("games_played")), 1),
+        "minutes": F.when(t("minutes") > 0, F.round(t("minutes") / 5).cast("long")), "minutes_per_game": rounded(ratio(t("minutes") / 5, F.col("games_played")), 1),
         "offensive_possessions": some("offensive_possessions"), "defensive_possessions": some("defensive_possessions"),
         "offensive_rebound_percentage": share("offensive_rebounds", "defensive_rebounds"), "defensive_rebound_percentage": share("defensive_rebounds", "offensive_rebounds"), "rebound_percentage": share("rebounds", "rebounds"),
         "block_percentage": percent(t("blocks"), F.col("_tried")) if shots is not None else F.lit(None).cast("double"),
@@ -288,14 +299,14 @@ def advanced_player_season(season: DataFrame, team_context: DataFrame, percentil
     fga, fta, ast, tov = t("field_goals_attempted"), t("free_throws_attempted"), t("assists"), t("turnovers")
     share = ratio(t("minutes"), F.col("team_minutes_total") / 5)
     plays = fga + 0.44 * fta + ast + tov
-    reb = lambda own, a, b: F.round(100 * ratio(t(own), share * (F.col(a) + F.col(b))), 1)
+    reb = lambda own, a, b: rounded(100 * ratio(t(own), share * (F.col(a) + F.col(b))), 1)
     pie = impact_terms(t("points"), t("field_goals_made"), t("free_throws_made"), fga, fta, t("defensive_rebounds"), t("offensive_rebounds"), ast, t("steals"), t("blocks"), t("personal_fouls_committed"), tov)
     out = j.withColumns({
-        "effective_field_goal_percentage": F.round(100 * effective_fg(t("field_goals_made"), t("three_pointers_made"), fga), 1), "true_shooting_percentage": F.round(100 * true_shooting(t("points"), fga, fta), 1),
-        "assist_percentage": F.round(100 * ratio(ast, share * F.col("team_field_goals_made_total") - t("field_goals_made")), 1),
-        "assist_turnover_ratio": F.round(ratio(ast, tov), 2), "assist_ratio": F.round(100 * ratio(ast, plays), 1), "turnover_ratio": F.round(100 * ratio(tov, plays), 1),
+        "effective_field_goal_percentage": rounded(100 * effective_fg(t("field_goals_made"), t("three_pointers_made"), fga), 1), "true_shooting_percentage": rounded(100 * true_shooting(t("points"), fga, fta), 1),
+        "assist_percentage": rounded(100 * ratio(ast, share * F.col("team_field_goals_made_total") - t("field_goals_made")), 1),
+        "assist_turnover_ratio": rounded(ratio(ast, tov), 2), "assist_ratio": rounded(100 * ratio(ast, plays), 1), "turnover_ratio": rounded(100 * ratio(tov, plays), 1),
         "offensive_rebound_percentage": reb("offensive_rebounds", "team_offensive_rebounds_total", "opponent_defensive_rebounds_total"), "defensive_rebound_percentage": reb("defensive_rebounds", "team_defensive_rebounds_total", "opponent_offensive_rebounds_total"),
-        "three_point_attempt_rate": F.round(ratio(t("three_pointers_attempted"), fga), 3), "free_throw_attempt_rate": F.round(ratio(fta, fga), 3), "pie": ratio(pie, F.col("impact_total")),
+        "three_point_attempt_rate": rounded(ratio(t("three_pointers_attempted"), fga), 3), "free_throw_attempt_rate": rounded(ratio(fta, fga), 3), "pie": ratio(pie, F.col("impact_total")),
     })
     return out.join(percentiles, list(keys), "left") if percentiles is not None else out
 
@@ -307,9 +318,9 @@ def advanced_team_season(season: DataFrame, percentiles: DataFrame | None = None
     for p, o in (("", "opponent_"), ("opponent_", "")):
         fga, fta = t(f"{p}field_goals_attempted"), t(f"{p}free_throws_attempted")
         add |= {
-            f"{p}effective_field_goal_percentage": F.round(100 * effective_fg(t(f"{p}field_goals_made"), t(f"{p}three_pointers_made"), fga), 1), f"{p}true_shooting_percentage": F.round(100 * true_shooting(t(f"{p}points"), fga, fta), 1),
+            f"{p}effective_field_goal_percentage": rounded(100 * effective_fg(t(f"{p}field_goals_made"), t(f"{p}three_pointers_made"), fga), 1), f"{p}true_shooting_percentage": rounded(100 * true_shooting(t(f"{p}points"), fga, fta), 1),
             f"{p}offensive_rebound_percentage": percent(t(f"{p}offensive_rebounds"), t(f"{p}offensive_rebounds") + t(f"{o}defensive_rebounds")), f"{p}assist_percentage": percent(t(f"{p}assists"), t(f"{p}field_goals_made")),
-            f"{p}three_point_attempt_rate": F.round(ratio(t(f"{p}three_pointers_attempted"), fga), 3),
+            f"{p}three_point_attempt_rate": rounded(ratio(t(f"{p}three_pointers_attempted"), fga), 3),
         }
     out = season.withColumns(add)
     return out.join(percentiles, list(keys), "left") if percentiles is not None else out

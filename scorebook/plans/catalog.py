@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorebook.functions.sport import rounded
+
 #: Longest link path between a fact and a linked object.
 MOST_HOPS = 2
 AGGREGATIONS = ("sum", "avg", "identity", "count_win", "count_loss", "count_true", "ratio")
@@ -55,7 +57,7 @@ class MetricDef:
             case "sum":
                 return F.sum(x)
             case "avg":
-                return F.round(F.avg(x), 1)
+                return rounded(F.avg(x), 1)
             case "identity":
                 return F.max(x)
             case "count_win":
@@ -115,9 +117,14 @@ def season_metrics(schema: T.StructType, skip: frozenset[str] = frozenset()) ->
     return {f.name: MetricDef(f.name, "identity", f.name) for f in schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in skip}
 
 
+def _rounded(x: str, digits: int) -> str:
+    """`sport.rounded` as a SQL expression."""
+    return f"round(({x}) * {10**digits}D) / {10**digits}D"
+
+
 def _ratio(name: str, top: str, bottom: str, scale: str = "", digits: int | None = None, lower: bool = False) -> MetricDef:
     body = f"try_divide({scale}({top}), cast({bottom} as double))"
-    return MetricDef(name, "ratio", f"round({body}, {digits})" if digits is not None else body, lower)
+    return MetricDef(name, "ratio", _rounded(body, digits) if digits is not None else body, lower)
 
 
 def _shooting(prefix: str = "") -> dict[str, MetricDef]:
@@ -144,9 +151,9 @@ def player_game_metrics() -> dict[str, MetricDef]:
         MetricDef("games_started", "count_true", "is_starter"),
         _ratio("assist_turnover_ratio", "sum(assists)", "sum(turnovers)", "", 2),
         MetricDef("total_possessions", "ratio", "sum((offensive_possessions + defensive_possessions) / 2)"),
-        MetricDef("average_possessions", "ratio", "round(avg((offensive_possessions + defensive_possessions) / 2), 1)"),
+        MetricDef("average_possessions", "ratio", _rounded("avg((offensive_possessions + defensive_possessions) / 2)", 1)),
         _ratio("pace", "48 * sum((offensive_possessions + defensive_possessions) / 2)", "(sum(seconds_played) / 60)", "", 1),
-        MetricDef("net_rating", "ratio", "round(try_divide(100 * sum(points_for), cast(sum(offensive_possessions) as double)) - try_divide(100 * sum(points_against), cast(sum(defensive_possessions) as double)), 1)"),
+        MetricDef("net_rating", "ratio", _rounded("try_divide(100 * sum(points_for), cast(sum(offensive_possessions) as double)) - try_divide(100 * sum(points_against), cast(sum(defensive_possessions) as double))", 1)),
         _ratio("steal_percentage", "sum(steals)", "sum(defensive_possessions)", "100 * ", 1),
     ]
     return {m.name: m for m in own} | _shooting()
@@ -160,11 +167,11 @@ def team_game_metrics() -> dict[str, MetricDef]:
         MetricDef("wins", "count_win", "win_loss_result"),
         MetricDef("losses", "count_loss", "win_loss_result", True),
         MetricDef("average_point_differential", "avg", "points - opponent_points"),
-        MetricDef("average_possessions", "ratio", "round(avg((offensive_possessions + defensive_possessions) / 2), 1)"),
+        MetricDef("average_possessions", "ratio", _rounded("avg((offensive_possessions + defensive_possessions) / 2)", 1)),
         _ratio("pace", "240 * sum((offensive_possessions + defensive_possessions) / 2)", "(sum(seconds_played) / 60)", "", 1),
         rate("offensive_rating", "points", "offensive_possessions"),
         rate("defensive_rating", "opponent_points", "defensive_possessions", True),
-        MetricDef("net_rating", "ratio", "round(try_divide(100 * sum(points), cast(sum(offensive_possessions) as double)) - try_divide(100 * sum(opponent_points), cast(sum(defensive_possessions) as double)), 1)"),
+        MetricDef("net_rating", "ratio", _rounded("try_divide(100 * sum(points), cast(sum(offensive_possessions) as double)) - try_divide(100 * sum(opponent_points), cast(sum(defensive_possessions) as double))", 1)),
         _ratio("assist_percentage", "sum(assists)", "sum(field_goals_made)", "100 * ", 1),
         _ratio("assist_turnover_ratio", "sum(assists)", "sum(turnovers)", "", 2),
         rebound("offensive_rebound_percentage", "offensive_rebounds", "opponent_defensive_rebounds"),
@@ -184,7 +191,7 @@ def season_derived_metrics(team: bool = False) -> dict[str, MetricDef]:
     games = "(wins + losses)" if team else "games_played"
     tied = lambda a, b: f"case when {b} > 0 then case when (coalesce({a}, 0) * 10) % {b} * 2 = {b} then bround(cast(coalesce({a}, 0) as decimal(20,0)) / {b}, 1) else round(cast(coalesce({a}, 0) as double) / {b}, 1) end end"
     out = {f"{c}_per_game": MetricDef(f"{c}_per_game", "identity", tied(f"{c}_total", games)) for c in COUNTING}
-    share = lambda top, bottom: f"round(100 * try_divide({top}, cast({bottom} as double)), 1)"
+    share = lambda top, bottom: _rounded(f"100 * try_divide({top}, cast({bottom} as double))", 1)
     pairs = {
         "field_goal_percentage": ("field_goals_made_total", "field_goals_attempted_total"),
         "three_point_percentage": ("three_pointers_made_total", "three_pointers_attempted_total"),

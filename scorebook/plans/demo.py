@@ -35,7 +35,7 @@ CATALOG = Catalog(
         "wins": MetricDef("wins", "count_win", "o_result"),
         "losses": MetricDef("losses", "count_loss", "o_result", lower_is_better=True),
         "urgent": MetricDef("urgent", "count_true", "o_orderpriority = '1-URGENT'"),
-        "win_share": MetricDef("win_share", "ratio", "round(100 * try_divide(sum(case when o_orderstatus = 'F' then 1 else 0 end), cast(count(1) as double)), 1)"),
+        "win_share": MetricDef("win_share", "ratio", "round(100 * try_divide(sum(case when o_orderstatus = 'F' then 1 else 0 end), cast(count(1) as double)) * 10D) / 10D"),
         "year_total": MetricDef("year_total", "identity", "price_total"),
         "year_average": MetricDef("year_average", "identity", "price_total / games_played"),
     },

@@ -1,6 +1,8 @@
 """The clean tables and advanced views."""
 
 import datetime
+import functools
+import operator
 
 from pyspark.sql import functions as F
 
@@ -60,3 +62,24 @@ def test_objects(spark):
     assert [(r.arena_name, r.arena_city) for r in s.arena(arenas).collect()] == [("Hall", "X")]
     g = spark.createDataFrame([("g", "2023-24", DAY, 1, 2), ("h", "2023-24", None, 1, 2)], "game_id string, season_year string, game_date date, home_team_id long, away_team_id long")
     assert [r.game_id for r in s.game(g).collect()] == ["g"]
+
+
+def test_season_rates_near_ties(spark):
+    """100 * 3 / (100 / 3 + 200 / 34) is 7.65 exactly; opportunities add up in the order of the games, whatever the tasks."""
+    parts = [("9", 2, 34.0), ("10", 1, 3.0)], [("300", 6, 20.0), ("40", 3, 34.0), ("5", 3, 17.0)], [("5", 6, 20.0), ("40", 3, 34.0), ("300", 3, 17.0)]
+    rows = [(g, p, 1, "2023-24", "x", a, r) for p, games in enumerate(parts) for g, a, r in games]
+    df = s.conformed(spark.createDataFrame(rows, "game_id string, person_id long, team_id long, season_year string, season_type string, assists long, assist_percentage double"), "player_game")
+    for n in (1, 5):
+        got = {r.person_id: r.assist_percentage for r in s.player_season_team(df.repartition(n, "game_id")).collect()}
+        in_order = [100 * (3 / (100 * 2 / 34.0 + 100 * 1 / 3.0)), *[100 * (12 / functools.reduce(operator.add, [100 * a / r for _, a, r in sorted(p, key=lambda x: int(x[0]))])) for p in parts[1:]]]
+        assert got == {i: float(int(x * 10 + 0.5)) / 10 for i, x in enumerate(in_order)} and got[0] == 7.7
+
+
+def test_rounding_is_that_of_doubles(spark):
+    """23 / 40 is a little less than 0.575 and 7.6499999999999995 * 10 is 76.5."""
+    from scorebook.functions.sport import rounded
+    from scorebook.plans.catalog import player_game_metrics
+
+    assert spark.range(1).select(rounded(F.lit(7.6499999999999995), 1), rounded(F.lit(23) / F.lit(40), 2), rounded(F.lit(-0.25), 1)).first()[:] == (7.7, 0.57, -0.3)
+    row = spark.range(1).select(F.lit(23).alias("assists"), F.lit(40).alias("turnovers"))
+    assert row.agg(player_game_metrics()["assist_turnover_ratio"].column()).first()[0] == 0.57
