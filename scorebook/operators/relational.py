@@ -6,10 +6,12 @@ keys, so their groups are as large as those keys' groups.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorebook.sources.stored import stored
 
@@ -57,11 +59,12 @@ def as_of(facts: DataFrame, versions: DataFrame, fact_id: str, dim_id: str, even
 
     Fallbacks: the covering version that starts last (one without a start counts as last of all), else the latest that
     starts before, else the earliest that starts later, else the current one, else the last of all. `row_id` identifies
-    a fact row.
+    a fact row; no step needs it now.
 
     Where an entity's versions follow one another, the last to start is the answer, and one window finds it; windows are
     cut by month, so a busy entity spreads over tasks. Facts without a time take their entity's one default. Where
-    versions overlap, facts first meet those that cover them, bin by bin (`containing`); the rest go by the last start.
+    versions overlap, one pass through each cell of time finds the last that covers (`_best_version`); the rest go by
+    the last start.
     """
     v = versions.select(F.col(dim_id).alias("_id"), F.col("valid_from_utc").alias("_from"), F.col("valid_to_utc").alias("_to"), F.col("is_current").alias("_now"), F.col(key).alias("_key"))
     follow = F.lead("_from").over(Window.partitionBy("_id").orderBy("_from", "_key"))
@@ -75,7 +78,7 @@ def as_of(facts: DataFrame, versions: DataFrame, fact_id: str, dim_id: str, even
     current = (F.coalesce(F.col("_now"), F.lit(0)) == 1).cast("int")
     usual = v.groupBy("_id").agg(F.max_by("_key", F.struct(current, no_start, F.coalesce(start, F.lit(0)), "_key")).alias(out))
     default = default.join(usual, F.col(fact_id) == F.col("_id"), "left").drop("_id")
-    return _last_started(one, v, fact_id, event_time, out).unionByName(default).unionByName(_best_version(many, v, fact_id, event_time, out, row_id))
+    return _last_started(one, v, fact_id, event_time, out).unionByName(default).unionByName(_best_version(many, v, fact_id, event_time, out))
 
 
 def _last_started(facts: DataFrame, v: DataFrame, fact_id: str, event_time: str, out: str) -> DataFrame:
@@ -96,18 +99,69 @@ def _last_started(facts: DataFrame, v: DataFrame, fact_id: str, event_time: str,
     return joined.select("_row.*", F.coalesce("_here", "_before").alias(out))
 
 
-def _best_version(facts: DataFrame, v: DataFrame, fact_id: str, event_time: str, out: str, row_id: Sequence[str]) -> DataFrame:
-    """For timed facts of entities with any versions: the best that covers them, else by starts, else the usual one."""
-    seconds = lambda c: F.unix_micros(c.cast("timestamp"))
-    t = facts.select(*row_id, F.col(fact_id).alias("_id"), seconds(F.col(event_time)).alias("_at")).where("_at is not null")
-    span = t.agg(F.min("_at"), F.max("_at")).first()
-    first, last = (span[0] or 0, span[1] or 0)
-    # open ends reach as far as the facts do; an end belongs to its version
-    ranges = v.withColumns({"_s": F.greatest(F.coalesce(seconds(F.col("_from")), F.lit(first)), F.lit(first)), "_e": F.least(F.coalesce(seconds(F.col("_to")), F.lit(last)), F.lit(last)) + 1}).where("_s < _e")
-    met = containing(t, ranges, ["_id"], "_at", "_s", "_e", "inner")
-    start = F.struct(F.col("_from").isNull(), F.coalesce(seconds(F.col("_from")), F.lit(0)), F.coalesce(F.col("_now"), F.lit(0)) != 1, "_key")
-    covered = met.groupBy(*row_id).agg(F.max_by("_key", start).alias("_best"))
-    joined = facts.join(covered, list(row_id), "left")
+#: Width in microseconds of the cells of time that `_best_version` works through one by one.
+CELL = 30 * 86_400_000_000.0
+
+
+def _covering(ordered: DataFrame, out: T.StructType) -> DataFrame:
+    """Of each time the last version that covers it, by one pass over a cell's versions and times in order.
+
+    A version hides those before it that end no later, so the ends of those in sight fall towards the last, and what has
+    ended can be taken off there. Versions without a start come before all others and win against them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, endless, begun = None, [], []
+        for batch in batches:
+            found = []
+            for i, c, t, fact, _, key, end in zip(*(x.to_pylist() for x in batch.columns)):
+                if (i, c) != cell:
+                    cell, endless, begun = (i, c), [], []
+                if fact:
+                    for seen in (endless, begun):
+                        while seen and seen[-1][0] < t:
+                            seen.pop()
+                    best = endless or begun
+                    if best:
+                        found.append((i, t, best[-1][1]))
+                else:
+                    seen = endless if t is None else begun
+                    while seen and seen[-1][0] <= end:
+                        seen.pop()
+                    seen.append((end, key))
+            kinds = [batch.schema.field(n).type for n in (0, 2, 5)]
+            columns = zip(*found) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["_id", "_t", "_best"])
+
+    return ordered.mapInArrow(run, out)
+
+
+def _best_version(facts: DataFrame, v: DataFrame, fact_id: str, event_time: str, out: str) -> DataFrame:
+    """For timed facts of entities with any versions: the best that covers them, else by starts, else the usual one.
+
+    Time is cut into cells. Of the versions that cover a whole cell only the best matters, which is a sum over them; the
+    others start or end in it, so each meets two cells, and `_covering` passes through them and the cell's times.
+    """
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    at = micros(F.col(event_time))
+    times = facts.select(F.col(fact_id).alias("_id"), at.alias("_t")).dropna().distinct().withColumn("_cell", _bin(F.col("_t"), CELL))
+    span = times.agg(F.min("_cell"), F.max("_cell")).first()
+    first, last = (span[0] or 0) - 1, (span[1] or 0) + 1  # cells without facts stand for all before and after
+    start, end, forever = micros(F.col("_from")), micros(F.col("_to")), F.lit(2**63 - 1)
+    late = (F.coalesce(F.col("_now"), F.lit(0)) != 1).alias("_late")
+    cell = lambda x, else_: F.least(F.greatest(F.coalesce(_bin(x, CELL), F.lit(else_)), F.lit(first)), F.lit(last))
+    ranges = v.where(F.col("_from").isNull() | F.col("_to").isNull() | (start <= end))
+    ranges = ranges.select("_id", start.alias("_t"), late, "_key", F.coalesce(end, forever).alias("_end"), cell(start, first).alias("_a"), cell(end, last).alias("_b"))
+    edges = ranges.withColumn("_cell", F.explode(F.array_distinct(F.array("_a", "_b")))).drop("_a", "_b")
+    rank = F.struct(F.col("_t").isNull().alias("none"), F.col("_t"), F.col("_late"), F.col("_key"))
+    best = ranges.where("_b - _a > 1").groupBy("_id", "_a", "_b").agg(F.max(rank).alias("_r")).withColumn("_cell", F.explode(F.sequence(F.col("_a") + 1, F.col("_b") - 1)))
+    whole = best.groupBy("_id", "_cell").agg(F.max("_r").alias("_r")).select("_id", "_cell", "_r._t", "_r._late", "_r._key", forever.alias("_end"))
+    both = edges.unionByName(whole).withColumn("_fact", F.lit(False)).unionByName(times.withColumn("_fact", F.lit(True)), allowMissingColumns=True)
+    order = ["_id", "_cell", "_t", "_fact", "_late", "_key"]
+    ordered = both.select(*order, "_end").repartition("_id", "_cell").sortWithinPartitions(*order)
+    kinds = [T.StructField(n, ordered.schema[c].dataType) for n, c in (("_id", "_id"), ("_t", "_t"), ("_best", "_key"))]
+    covered = _covering(ordered, T.StructType(kinds))
+    joined = facts.join(covered, (F.col(fact_id) == F.col("_id")) & (at == F.col("_t")), "left").drop("_id", "_t")
     rest = _last_started(joined.where("_best is null").drop("_best"), v.where("_from is not null"), fact_id, event_time, out)
     usual = v.groupBy("_id").agg(F.max_by("_key", F.struct((F.coalesce(F.col("_now"), F.lit(0)) == 1).cast("int"), "_key")).alias("_usual"))
     rest = rest.join(usual, F.col(fact_id) == F.col("_id"), "left").withColumn(out, F.coalesce(out, "_usual")).drop("_id", "_usual")

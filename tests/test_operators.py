@@ -280,3 +280,32 @@ def test_awards_and_replaced_people(spark, rows):
     roster = spark.createDataFrame([(1, "Jo Smith", 5), (1, "Al Po", 6), (1, "al po", 7), (2, "Jo Smith", 8)], "team_id int, name string, person_id int")
     events = spark.createDataFrame([(1, "SUB: A replaced by jo smith"), (1, "SUB: B replaced by Al Po"), (1, "no"), (2, None)], "team_id int, description string")
     assert rows(replaced_people(events, roster, ["team_id"]), "replaced_name", "replaced_id") == [("Al Po", None), ("jo smith", 5), (None, None), (None, None)]
+
+
+def test_as_of_needs_no_pairs(spark, monkeypatch):
+    """Overlapping versions, some endless, over many cells of time: one pass finds what comparing all pairs finds."""
+    import random
+
+    from scorebook.operators import relational
+
+    def no_pairs(*a, **k):
+        raise AssertionError("facts must not meet all versions that cover them")
+
+    monkeypatch.setattr(relational, "containing", no_pairs)
+    pick, day = random.Random(7), lambda n: datetime.datetime(2020, 1, 1) + datetime.timedelta(n)
+    some = lambda p, x: x if pick.random() < p else None
+    starts = [(k % 3, k, pick.randrange(-200, 900), pick.choice((0, 3, 40, 400))) for k in range(150)]
+    versions = [(i, k, some(0.95, day(a)), some(0.9, day(a + n)), pick.randrange(2)) for i, k, a, n in starts]
+    facts = [(f, f % 4, day(pick.randrange(-300, 1000))) for f in range(300)]
+    v = spark.createDataFrame(versions, "id long, k long, valid_from_utc timestamp, valid_to_utc timestamp, is_current int")
+    got = relational.as_of(spark.createDataFrame(facts, "f long, who int, at timestamp"), v, "who", "id", "at", "k", "key", ["f"])
+
+    def plain(i, t):
+        own = [x for x in versions if x[0] == i]
+        covers = [x for x in own if (x[2] is None or x[2] <= t) and (x[3] is None or t <= x[3])]
+        if covers:
+            return max(covers, key=lambda x: (x[2] is None, x[2] or t, x[4] != 1, x[1]))[1]
+        began, later = [x for x in own if x[2] and x[2] <= t], [x for x in own if x[2] and x[2] > t]
+        return max(began, key=lambda x: (x[2], x[1]))[1] if began else min(later, key=lambda x: (x[2], x[1]))[1] if later else None
+
+    assert {r.f: r.key for r in got.collect()} == {f: plain(i, t) for f, i, t in facts}
