@@ -9,7 +9,7 @@ up to the last stage, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorebook.llm import decontaminate, langid, minhash, mixing, sharding
@@ -45,11 +45,25 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.orderBy(mixed.columns[-1]).select(docs.columns)  # the position is the last of the added columns
 
 
+def in_file_order(docs: DataFrame, place: str) -> DataFrame:
+    """Stored rows with their place in the files, from 0: the rows of the files before, and the row's own number."""
+    meta = docs.metadataColumn("_metadata")
+    part = F.regexp_extract(meta["file_name"], r"^part-(\d+)", 1).cast("long")
+    rows = docs.select("*", part.alias("_part"), meta["file_name"].alias("_file"), meta["row_index"].alias("_row"))
+    ahead = Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = rows.groupBy("_part", "_file").agg(F.count(F.lit(1)).alias("_n"))
+    files = files.select("_file", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(files), "_file").withColumn(place, F.col("_before") + F.col("_row")).drop("_part", "_file", "_row", "_before")
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document that is left; slots follow the mix, worked out again from ids and sources."""
-    rows = written(sharding.sized(docs, "doc_id", "text", "source"))
-    mixed = written(mixing.mix(rows, WEIGHTS, id_col="_id", tie=F.col("_key")).drop("source"))
-    return sharding.placed_rows(mixed, order_col="mix_position")
+    """Shard and slot of every document that is left; slots follow the rows' order in the files of the stage before.
+
+    Rows that don't come from files have no order; they are mixed and stored first.
+    """
+    stored = docs if docs.inputFiles() else written(mix_sources(spark, docs, sf_dir))
+    sized = sharding.sized(stored.select("doc_id", "text"))
+    return sharding.placed_rows(written(in_file_order(sized, "mix_position")), order_col="mix_position")
 
 
 STAGES = [

@@ -91,6 +91,19 @@ def test_run_changes_with_the_weights(spark, monkeypatch):
     assert plain != other and [r[:4] for r in plain] == [r[:4] for r in other]
 
 
+def test_slots_follow_the_stage_before(spark, monkeypatch):
+    """Another order of the mixing stage's rows gives other slots, and they follow it."""
+    run = lambda: {r.doc_id: (r.shard, r.slot) for r in corpus_pipeline.run(spark, FOLDER).collect()}
+    plain = run()
+    for order, stage in ((1, lambda spark, docs, d: docs.orderBy("doc_id")), (-1, lambda spark, docs, d: docs.orderBy(docs.doc_id.desc()))):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, stage if n == "mix_sources" else f) for n, f in corpus_pipeline.STAGES])
+        got = run()
+        by_shard = defaultdict(list)
+        for i, (shard, _) in sorted(got.items(), key=lambda x: x[1]):
+            by_shard[shard].append(i * order)
+        assert got != plain and all(ids == sorted(ids) for ids in by_shard.values())
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
