@@ -309,3 +309,24 @@ def test_as_of_needs_no_pairs(spark, monkeypatch):
         return max(began, key=lambda x: (x[2], x[1]))[1] if began else min(later, key=lambda x: (x[2], x[1]))[1] if later else None
 
     assert {r.f: r.key for r in got.collect()} == {f: plain(i, t) for f, i, t in facts}
+
+
+def test_html_files_without_the_writers_empty_one(spark, tmp_path):
+    """A file of one row group in several splits: the first has no rows, and Spark still writes a file for it."""
+    import hashlib
+    import os
+
+    import __spark_entry__
+
+    for name in os.listdir("/root/testdata/sf0.001"):
+        if name != "pages.parquet":
+            os.symlink(f"/root/testdata/sf0.001/{name}", tmp_path / name)
+    pages = [(i, "".join(hashlib.md5(f"{i} {k}".encode()).hexdigest() for k in range(200)) + end) for i, end in enumerate(("", " ", "\n\t", " "))]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6kb")
+    try:
+        got = __spark_entry__.queries()["source_html"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.digest, r.n) for r in got} == {(hashlib.md5(x.rstrip(" \t\n\f\r").encode()).hexdigest(), 1) for _, x in pages}
