@@ -45,13 +45,21 @@ def prefer(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 
 def opponents(df: DataFrame, game: str, team: str, side: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """Each team's opponent in a game with opponent_ columns: the other side first, then the lowest team id."""
+    """Each team's opponent in a game with opponent_ columns: the other side first, then the lowest team id.
+
+    Every row sees the list of its game's rows and takes one of them, so rows are shuffled by game once and no pairs are
+    made; rows that are partitioned by game already stay where they are. The list is held in memory.
+    """
     columns = list(dict.fromkeys([team, *([side] if side else []), *carry]))
-    other = df.select(F.col(game).alias("_g"), *[F.col(c).alias(f"opponent_{c}") for c in columns])
-    pairs = df.join(other, (F.col(game) == F.col("_g")) & (F.col(team) != F.col(f"opponent_{team}"))).drop("_g")
-    across = F.when(F.col(side) != F.col(f"opponent_{side}"), 0).otherwise(1) if side else F.lit(0)
-    order = Window.partitionBy(game, team).orderBy(across, f"opponent_{team}")
-    return pairs.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    across = lambda x: F.when(F.col(side) != x[side], 0).otherwise(1) if side else F.lit(0)
+    rank = lambda x: F.struct(across(x).alias("a"), x[team].alias("t"))
+    first = lambda best, x: F.when((x[team] != F.col(team)) & (best.isNull() | (rank(x) < rank(best))), x).otherwise(best)
+    listed = df.where(F.col(game).isNotNull()).withColumn("_all", F.collect_list(F.struct(*columns)).over(Window.partitionBy(game)))
+    none = F.lit(None).cast(listed.schema["_all"].dataType.elementType)
+    found = listed.withColumn("_other", F.aggregate("_all", none, first)).drop("_all").where("_other is not null")
+    pairs = found.withColumns({f"opponent_{c}": F.col(f"_other.{c}") for c in columns}).withColumn("_across", across(F.col("_other"))).drop("_other")
+    order = Window.partitionBy(game, team).orderBy("_across", f"opponent_{team}")
+    return pairs.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_across")
 
 
 def as_of(facts: DataFrame, versions: DataFrame, fact_id: str, dim_id: str, event_time: str, key: str, out: str, row_id: Sequence[str]) -> DataFrame:

@@ -613,7 +613,9 @@ TEAM_STATS = {
 def team_facts(t) -> DataFrame:
     """Team games as the clean tables take them: an order's suppliers, with sums of their lines."""
     stats = [F.expr(x).cast("long").alias(c) for c, x in TEAM_STATS.items()]
-    per = t["lineitem"].groupBy(F.col("l_orderkey").cast("string").alias("game_id"), F.col("l_suppkey").alias("team_id")).agg(*stats, F.year(F.min("l_date")).cast("string").alias("season_year"))
+    # lines are narrower than sums of them, and all that follows is by game
+    lines = t["lineitem"].select(F.col("l_orderkey").cast("string").alias("game_id"), F.col("l_suppkey").alias("team_id"), "l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_date").repartition("game_id")
+    per = lines.groupBy("game_id", "team_id").agg(*stats, F.year(F.min("l_date")).cast("string").alias("season_year"))
     home = F.when(F.col("team_id") % 2 == 0, "home").otherwise("away")
     out = per.withColumns({"season_type": F.lit("Regular Season"), "team_home_or_away": home, "minutes_played": F.lit(240.0)})
     sides = r.opponents(out, "game_id", "team_id", "team_home_or_away", ["points"])

@@ -330,3 +330,15 @@ def test_html_files_without_the_writers_empty_one(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert {(r.digest, r.n) for r in got} == {(hashlib.md5(x.rstrip(" \t\n\f\r").encode()).hexdigest(), 1) for _, x in pages}
+
+
+def test_opponents_shuffle_rows_once_and_make_no_pairs(spark, rows):
+    sides = spark.createDataFrame(
+        [("g", 1, "home", 10), ("g", 2, "away", 20), ("g", 3, "away", 30), ("g", 4, "home", 40), ("g", None, "away", 5), ("alone", 1, "home", 1), (None, 1, "home", 1), (None, 2, "away", 2), ("n", 7, None, 70), ("n", 6, "home", 60), ("n", 5, None, 50)],
+        "game string, team long, side string, points long",
+    )
+    out = r.opponents(sides, "game", "team", "side", ["points"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert rows(out, "game", "team", "opponent_team", "opponent_points") == [("g", 1, 2, 20), ("g", 2, 1, 10), ("g", 3, 1, 10), ("g", 4, 2, 20), ("n", 5, 6, 60), ("n", 6, 5, 50), ("n", 7, 5, 50)]
+    assert out.columns == ["game", "team", "side", "points", "opponent_team", "opponent_side", "opponent_points"]
