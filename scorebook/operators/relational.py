@@ -51,13 +51,13 @@ def opponents(df: DataFrame, game: str, team: str, side: str | None = None, carr
     made; rows that are partitioned by game already stay where they are. The list is held in memory.
     """
     columns = list(dict.fromkeys([team, *([side] if side else []), *carry]))
-    across = lambda x: F.when(F.col(side) != x[side], 0).otherwise(1) if side else F.lit(0)
-    rank = lambda x: F.struct(across(x).alias("a"), x[team].alias("t"))
-    first = lambda best, x: F.when((x[team] != F.col(team)) & (best.isNull() | (rank(x) < rank(best))), x).otherwise(best)
-    listed = df.where(F.col(game).isNotNull()).withColumn("_all", F.collect_list(F.struct(*columns)).over(Window.partitionBy(game)))
-    none = F.lit(None).cast(listed.schema["_all"].dataType.elementType)
-    found = listed.withColumn("_other", F.aggregate("_all", none, first)).drop("_all").where("_other is not null")
-    pairs = found.withColumns({f"opponent_{c}": F.col(f"_other.{c}") for c in columns}).withColumn("_across", across(F.col("_other"))).drop("_other")
+    other = lambda x: x[team] != F.col(team)
+    across = lambda x: F.coalesce(F.col(side) != x[side], F.lit(False)) if side else F.lit(False)
+    by_team = Window.partitionBy(game).orderBy(team).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = df.where(F.col(game).isNotNull()).withColumn("_all", F.collect_list(F.struct(*columns)).over(by_team))
+    first = lambda test: F.get(F.filter("_all", test), F.lit(0))
+    found = listed.withColumn("_other", F.coalesce(first(lambda x: other(x) & across(x)), first(other)) if side else first(other)).drop("_all").where("_other is not null")
+    pairs = found.withColumns({f"opponent_{c}": F.col(f"_other.{c}") for c in columns}).withColumn("_across", ~across(F.col("_other"))).drop("_other")
     order = Window.partitionBy(game, team).orderBy("_across", f"opponent_{team}")
     return pairs.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_across")
 
