@@ -35,7 +35,7 @@ def duration_seconds(c: Column) -> Column:
     """Seconds of an ISO duration such as PT12M34.5S; null if it isn't one."""
     text = null_if_empty(c)
     pattern = r"^PT(?=\d)(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?$"
-    part = lambda i: F.coalesce(F.regexp_extract(text, pattern, i).try_cast("double"), F.lit(0.0))
+    part = lambda i: F.coalesce(null_if_empty(F.regexp_extract(text, pattern, i)).try_cast("double"), F.lit(0.0))
     return F.when(text.rlike(pattern), part(1) * 3600 + part(2) * 60 + part(3))
 
 

@@ -58,7 +58,8 @@ def used_players(rows: DataFrame, events: DataFrame, c: Cols = Cols()) -> DataFr
 
     Turnovers, made shots and free throws go to their player; a defensive rebound goes to the shooter of the missed shot.
     """
-    linked = linked_row(events, [c.game], c.shot_action, c.action, [c.team, c.person], "shot_")
+    own = ["isTurnover", "isMadeShot", "isFreeThrow", "isRebound", "isDreb"]
+    linked = linked_row(events.select(c.game, c.action, c.shot_action, c.team, c.person, *own), [c.game], c.shot_action, c.action, [c.team, c.person], "shot_")
     own = F.col("isTurnover") | F.col("isMadeShot") | F.col("isFreeThrow")
     team = F.when(own, F.col(c.team)).when(F.col("isRebound") & F.col("isDreb"), F.col(f"shot_{c.team}"))
     person = F.when(own, F.col(c.person)).when(F.col("isRebound") & F.col("isDreb"), F.col(f"shot_{c.person}"))

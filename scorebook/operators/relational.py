@@ -7,6 +7,7 @@ keys, so their groups are as large as those keys' groups.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -242,11 +243,20 @@ def merge_columns(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFram
 
 
 def linked_row(df: DataFrame, keys: Sequence[str], link: str, number: str, columns: Sequence[str], prefix: str = "linked_") -> DataFrame:
-    """Add columns of the row of the same group whose `number` is this row's `link`; the last if several have it."""
-    target = df.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(number).alias("_n"), F.struct(*columns).alias("_row")).where("_n is not null")
-    target = target.groupBy(*[f"_{k}" for k in keys], "_n").agg(F.max("_row").alias("_row"))
-    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(link) == F.col("_n")]
-    return df.join(target, on, "left").select(*df.columns, *[F.col(f"_row.{c}").alias(prefix + c) for c in columns])
+    """Add columns of the row of the same group whose `number` is this row's `link`; the last if several have it.
+
+    A row stands once where it looks, under its link, and once where it is found, under its number, so one window by the
+    group finds the links; rows that are dealt by the group stay where they are.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    found, row = F.struct(*columns), F.struct(*rest)
+    known = [F.col(c).isNotNull() for c in (*keys, number)]
+    looks = F.struct(F.col(link).alias("n"), row.alias("row"), F.when(F.lit(False), found).alias("found"))
+    stands = F.struct(F.col(number).alias("n"), F.when(F.lit(False), row).alias("row"), F.when(F.lit(True), found).alias("found"))
+    both = df.select(*keys, F.explode(F.when(reduce(Column.__and__, known), F.array(looks, stands)).otherwise(F.array(looks))).alias("_x"))
+    best = F.max("_x.found").over(Window.partitionBy(*keys, "_x.n"))
+    out = both.withColumn("_found", best).where("_x.row is not null")
+    return out.select(*[F.col(c) if c in keys else F.col(f"_x.row.{c}") for c in df.columns], *[F.col(f"_found.{c}").alias(prefix + c) for c in columns])
 
 
 def missing_keys(source: DataFrame, target: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -6,6 +6,7 @@ hundred events. Column names are fields of `Cols`, so any event table can be use
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -183,15 +184,17 @@ def possession_ends(df: DataFrame, c: Cols = Cols()) -> DataFrame:
     team = F.col("resolvedOffenseTeamId")
     start_near = F.col("isPeriodStart") | F.coalesce(F.lead("isPeriodStart").over(w), F.lit(False))
     changes = F.coalesce((team > 0) & (nxt > 0) & (team != nxt), F.lit(False))
-    df = df.withColumns({"isPossessionEndingEvent": last | (~start_near & changes), "_changes": changes, "_last": last})
+    df = df.withColumns({"isPossessionEndingEvent": last | (~start_near & changes), "_changes": changes, "_last": last, "_place": F.row_number().over(w)})
     end = F.col("isPossessionEndingEvent")
     seconds = F.col("secondsRemainingInPeriod")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns({
         "_before": F.last(F.when(end, F.struct(seconds.alias("s"))), ignorenulls=True).over(before)["s"],
         "_n": F.coalesce(F.sum(end.cast("int")).over(before), F.lit(0)),
+        "_scored": F.max(F.when(F.col("isFreeThrow") | F.col("isMadeShot"), F.col("_place"))).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_ended": F.max(F.when(end, F.col("_place"))).over(before),
     })
-    scored = F.max((F.col("isFreeThrow") | F.col("isMadeShot")).cast("int")).over(Window.partitionBy(c.game, c.period, "_n").orderBy(c.order).rowsBetween(Window.unboundedPreceding, 0)) == 1
+    scored = F.coalesce(F.col("_scored") > F.coalesce("_ended", F.lit(0)), F.lit(False))
     late = F.col("_before").isNull() | (F.col("_before") > LAST_SECONDS) | scored
     reason = (
         F.when(~end, None).when(F.col("isMadeShot"), "made_shot").when(F.col("isTurnover"), "turnover")
@@ -199,7 +202,7 @@ def possession_ends(df: DataFrame, c: Cols = Cols()) -> DataFrame:
         .when(F.col("isJumpBall") & F.col("_changes"), "jump_ball_change").when(F.col("_last"), "period_end").otherwise("offense_change")
     )
     counts = end & F.coalesce((seconds > LAST_SECONDS), F.lit(False)) | (end & late)
-    return df.withColumns({"countAsPossession": counts, "possessionBoundaryReason": reason, "_possession": F.col("_n")}).drop("_changes", "_last", "_before", "_n")
+    return df.withColumns({"countAsPossession": counts, "possessionBoundaryReason": reason, "_possession": F.col("_n")}).drop("_changes", "_last", "_before", "_n", "_scored", "_ended")
 
 
 def rebounds(df: DataFrame, c: Cols = Cols()) -> DataFrame:
@@ -212,8 +215,8 @@ def rebounds(df: DataFrame, c: Cols = Cols()) -> DataFrame:
     dead = has_qualifier(F.col(c.qualifiers), "deadball") if c.qualifiers in df.columns else F.lit(False)
     placeholder = F.col("isRebound") & (dead | F.coalesce(F.col("_shot_isFlagrantFt"), F.lit(False)))
     stops = (t == "turnover") & (sub == "shotclock") | (t == "violation") & (sub == "kickedball")
-    same_clock = Window.partitionBy(c.game, c.period, "secondsRemainingInPeriod")
-    stopped = F.max(F.coalesce(stops, F.lit(False)).cast("int")).over(same_clock) == 1
+    clock = F.struct("secondsRemainingInPeriod")
+    stopped = F.array_contains(F.collect_set(F.when(stops, clock)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), clock)
     nobody = F.coalesce(F.col(c.person), F.lit(0)) == 0
     following = w.rowsBetween(1, Window.unboundedFollowing)
     next_end = F.first(F.when(F.coalesce(t != "instantreplay", F.lit(True)), F.struct(F.col("isPeriodEnd").alias("e"))), ignorenulls=True).over(following)["e"]
@@ -233,8 +236,9 @@ def second_chances(df: DataFrame, c: Cols = Cols()) -> DataFrame:
     w = c.by_period
     oreb = F.col("isOreb") & F.col("isRealRebound")
     just = F.coalesce(F.lag(oreb).over(w), F.lit(False))
-    since = F.coalesce(ever_before(oreb, Window.partitionBy(c.game, c.period, "_possession").orderBy(c.order)), F.lit(False))
-    return df.withColumn("isSecondChanceEvent", just | since)
+    last_before = lambda test: F.max(F.when(test, F.col("_place"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    since = F.coalesce(last_before(oreb) > F.coalesce(last_before(F.col("isPossessionEndingEvent")), F.lit(0)), F.lit(False))
+    return df.withColumn("isSecondChanceEvent", just | since).drop("_place")
 
 
 def fouls_to_give(df: DataFrame, c: Cols = Cols()) -> DataFrame:
@@ -267,10 +271,36 @@ def fouls_to_give(df: DataFrame, c: Cols = Cols()) -> DataFrame:
     return df.withColumn("isPenaltyEvent", F.coalesce(spent & (~own | before_foul), F.lit(False)))
 
 
+def packed(df: DataFrame, needed: Sequence[str], name: str, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`df` after `steps` that need some of its columns; the others travel as one value `name`.
+
+    A window copies its rows twice, and the JVM doesn't compile the copying of a row with many columns.
+    """
+    kept = [c for c in dict.fromkeys(needed) if c in df.columns]
+    df = df.select(*kept, F.struct(*[c for c in df.columns if c not in kept]).alias(name))
+    for step in steps:
+        df = step(df)
+    return df
+
+
 def enriched(df: DataFrame, c: Cols = Cols(), overrides: DataFrame | None = None) -> DataFrame:
-    """All of the above for raw events with homeTeamId and awayTeamId."""
-    df = score_margins(offense(starting_team(neighbours(class_flags(event_flags(df, c), c), c), c, overrides), c), c)
-    return fouls_to_give(second_chances(rebounds(possession_ends(df, c), c), c), c)
+    """All of the above for raw events with homeTeamId and awayTeamId.
+
+    Rebounds come first, as their links need an order of their own; all else goes by period and order.
+    """
+    at, sides = [c.game, c.period, c.order], ["homeTeamId", "awayTeamId"]
+    rebound = ["isRebound", "isFreeThrow", "isFlagrantFt", "isEndFreeThrow", "isPeriodEnd", "secondsRemainingInPeriod"]
+    ends = ["isRebound", "isFreeThrow", "isMadeShot", "isTurnover", "isJumpBall", "isPeriodStart", "secondsRemainingInPeriod"]
+    later = [*ends, "isOreb", "isRealRebound", "countsTowardsPenalty"]
+    df = class_flags(event_flags(df, c), c)
+    columns = df.columns
+    df = packed(df, [*at, c.action, c.shot_action, c.type, c.sub_type, c.qualifiers, c.team, c.person, *rebound], "_a", lambda x: rebounds(x, c))
+    first = [x for x in df.columns if x != "_a"]
+    df = df.select(*first, *[F.col(f"_a.{x}") for x in columns if x not in first])
+    df = packed(df, [*at, c.action, c.team, c.possession, *sides, "scoreHome", "scoreAway", "isMissedShot", "isTechnicalFt", "isDreb", *later], "_b", lambda x: neighbours(x, c), lambda x: starting_team(x, c, overrides), lambda x: offense(x, c), lambda x: score_margins(x, c))
+    df = packed(df, [*at, c.team, *sides, "resolvedOffenseTeamId", "resolvedDefenseTeamId", *later], "_c", lambda x: possession_ends(x, c), lambda x: second_chances(x, c), lambda x: fouls_to_give(x, c))
+    inner = [x for x in df.schema["_c"].dataType.names if x != "_b"]
+    return df.select(*[x for x in df.columns if x != "_c"], *[F.col(f"_c.{x}") for x in inner], "_c._b.*")
 
 
 def recredited(df: DataFrame, c: Cols = Cols()) -> DataFrame:

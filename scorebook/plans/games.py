@@ -20,7 +20,7 @@ from scorebook.operators import attribution, context, lineups, sequence
 from scorebook.operators.relational import percentiles
 from scorebook.plans import game_sql
 from scorebook.plans.demo import tables
-from scorebook.sources.stored import stored
+from scorebook.sources.stored import dealt, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,8 +38,10 @@ def query(sql: str | None = None):
 
 
 def raw_events(t: dict[str, DataFrame]) -> DataFrame:
+    """The events of all games, dealt by game once; all windows stay within a game."""
     period = (F.floor((F.dayofmonth("ts") - 1) / 7) + 1).cast("long")
     e = t["events"].select(F.lpad(F.col("user_id").cast("string"), 10, "0").alias("gameId"), F.col("user_id").alias("u"), period.alias("period"), F.col("event_id").alias("e"), F.col("event_type").alias("kind"), "value")
+    e = dealt(e, "gameId")
     w = Window.partitionBy("gameId", "period").orderBy("e")
     e = e.withColumns({"k": F.row_number().over(w), "last": F.lead("e").over(w).isNull()})
     possession = (F.lit(HOME) + F.floor(F.col("k") / 3) % 2 * (AWAY - HOME)).cast("long")
@@ -48,9 +50,9 @@ def raw_events(t: dict[str, DataFrame]) -> DataFrame:
     e = e.withColumns({"possession": possession, "forced": forced, "swap": swap | forced})
     e = e.withColumn("teamId", F.when(F.col("e") % 5 == 0, F.lit(HOME + AWAY) - F.col("possession")).otherwise(F.col("possession")).cast("long"))
     game = Window.partitionBy("gameId").orderBy("period", "e").rowsBetween(Window.unboundedPreceding, 0)
-    own = Window.partitionBy("gameId", "teamId").orderBy("period", "e").rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda over: F.coalesce(F.sum(F.col("swap").cast("int")).over(over), F.lit(0))
-    e = e.withColumns({"bad": F.col("swap") & (F.col("forced") | ((F.col("u") % 10 == 5) & (count(game) == 2))), "j": count(own)})
+    count = lambda test, over: F.coalesce(F.sum(test.cast("int")).over(over), F.lit(0))
+    own = lambda team: count(F.col("swap") & (F.col("teamId") == team), game.rowsBetween(Window.unboundedPreceding, -1))
+    e = e.withColumns({"bad": F.col("swap") & (F.col("forced") | ((F.col("u") % 10 == 5) & (count(F.col("swap"), game) == 2))), "j": F.when(F.col("teamId") == HOME, own(HOME)).otherwise(own(AWAY))})
     absent, doubled = F.col("bad") & (F.col("u") % 20 < 10), F.col("bad") & (F.col("u") % 20 >= 10)
     nth = lambda n: F.col("teamId") + (F.col("j") + n) % 8
     leaves, comes = nth(F.when(absent, 6).otherwise(0)), nth(F.when(doubled, 1).otherwise(5))
@@ -106,7 +108,7 @@ class Game:
         return self.effective.where(~F.col("method").isin("exact", "unrepaired")).select("gameId").distinct()
 
     def possessions(self) -> DataFrame:
-        return lineups.possessions(self.events)
+        return lineups.possessions(dealt(self.events, "gameId"))
 
 
 LAYERS: dict[tuple[str, str], Game] = {}
@@ -124,7 +126,7 @@ def game(t, spark: SparkSession, d: str) -> Game:
     if key not in LAYERS or not (still_there(spark, LAYERS[key].events) and still_there(spark, LAYERS[key].effective)):
         events = stored(sequence.enriched(raw_events(t)))
         b = box(t)
-        s = stored(lineups.stints(events, b))
+        s = stored(lineups.stints(dealt(events, "gameId"), b))
         LAYERS[key] = Game(events, b, s, stored(lineups.effective(s, events)))
     return LAYERS[key]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -39,3 +40,15 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a part of `dealt`: a task sorts its part several times, in wider forms, and holds up to two of them at once.
+PART_ROWS = 20_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df`, a scan whose rows cost little to count, dealt by keys to parts of about PART_ROWS rows.
+
+    Parts grow in number with the input, not in size; left to itself, Spark merges shuffled rows by their packed bytes.
+    """
+    return df.repartition(max(1, math.ceil(df.count() / PART_ROWS)), *keys)
