@@ -70,9 +70,8 @@ def attribute(markup: Column, name: str) -> Column:
 
 def section(page: Column, start: str, ends: Sequence[str]) -> Column:
     """The page from the first `start` (text, any case) up to the nearest of `ends` (regular expressions); null without it."""
-    at = F.instr(F.lower(page), F.lit(start.lower()))
-    rest = F.substring(page, at, F.length(page))
-    return F.when(at > 0, F.regexp_replace(rest, rf"(?is)(?:{'|'.join(ends)}).*\z", ""))
+    rest = F.nullif(F.regexp_extract(page, rf"(?is)\Q{start}\E.*\z", 0), F.lit(""))
+    return F.regexp_replace(rest, rf"(?is)(?:{'|'.join(ends)}).*\z", "")
 
 
 def label_name(text: Column) -> Column:
@@ -100,13 +99,29 @@ def labelled(markup: Column, tag: str = "p", mark: str = "strong") -> Column:
     return F.transform(F.filter(own, lambda b: b["text"] != ""), lambda b: F.struct(b["html"], b["text"], labels(b).alias("labels"), value(b).alias("value")))
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df` with columns worked out once a row, where they stand.
+
+    They come from a generator. Spark pushes filters through plain columns and works these out again in the filter, even
+    before an exchange that deals the rows; it pushes none through a generator.
+    """
+    made = df.select("*", F.explode(F.array(F.struct(*[x.alias(n) for n, x in columns.items()]))).alias("_once"))
+    return made.select(*[c for c in df.columns if c not in columns], *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def picked(blocks: Column, field: Field) -> Column:
-    """What a field's rule finds in the blocks."""
+    """The block that a field's rule is about."""
     if field.label is not None:
-        own = F.filter(blocks, lambda b: F.get(b["labels"], F.lit(0)).eqNullSafe(F.lit(field.label)))
-        return field.parse(F.try_element_at(own, F.lit(-1)))
-    own = F.filter(blocks, lambda b: (F.size(b["labels"]) == 0) & F.coalesce(field.when(b), F.lit(False)))
-    return field.parse(F.try_element_at(own, F.lit(1)))
+        return F.try_element_at(F.filter(blocks, lambda b: F.get(b["labels"], F.lit(0)).eqNullSafe(F.lit(field.label))), F.lit(-1))
+    return F.try_element_at(F.filter(blocks, lambda b: (F.size(b["labels"]) == 0) & F.coalesce(field.when(b), F.lit(False))), F.lit(1))
+
+
+def parsed(rows: DataFrame, blocks: str, fields: Sequence[Field]) -> DataFrame:
+    """What the fields' rules find in the blocks; fields that are about the same block share it."""
+    own = {(f.label, f.when): f for f in fields}
+    name = {k: f"_b{i}" for i, k in enumerate(own)}
+    found = once(rows, {name[k]: picked(F.col(blocks), f) for k, f in own.items()})
+    return found.select(*[c for c in rows.columns if c != blocks], *[f.parse(F.col(name[f.label, f.when])).alias(f.name) for f in fields])
 
 
 # ---------------------------------------------------------------- parsers of fields
@@ -197,7 +212,7 @@ PROFILE = (
 def _with_meta(pages: DataFrame, html_col: str) -> DataFrame:
     """Pages with `_meta`, the part that has a person's details, and `reject_reason` where it is missing."""
     meta = section(F.col(html_col), META, META_ENDS)
-    return pages.withColumn("_meta", meta).withColumn("reject_reason", F.when(F.col(html_col).isNull(), NO_PAGE).when(F.col("_meta").isNull(), NO_META))
+    return once(pages, {"_meta": meta}).withColumn("reject_reason", F.when(F.col(html_col).isNull(), NO_PAGE).when(F.col("_meta").isNull(), NO_META))
 
 
 def _page_name(meta: Column) -> Column:
@@ -216,7 +231,7 @@ def profiles(pages: DataFrame, key: str = "page_id", html_col: str = "html", url
         key, *carry, _page_url(F.col(html_col), F.lit(None).cast("string") if url is None else url).alias("profile_url"), _page_name(F.col("_meta")).alias("page_name"),
         attribute(F.regexp_extract("_meta", r"(?is)<img[^>]+>", 0), "src").alias("headshot_url"), labelled(F.col("_meta")).alias("_blocks"),
     )
-    typed = rows.select(*[c for c in rows.columns if c != "_blocks"], *[picked(F.col("_blocks"), f).alias(f.name) for f in PROFILE])
+    typed = parsed(rows, "_blocks", PROFILE)
     typed = typed.withColumns({"formal_name": F.coalesce("formal_name", "page_name"), "hall_of_fame_flag": F.coalesce("hall_of_fame_flag", F.lit(0))})
     return typed, parts.where("reject_reason is not null").select(key, "reject_reason")
 
@@ -237,7 +252,7 @@ def awards(pages: DataFrame, key: str = "page_id", html_col: str = "html") -> tu
     rows = rows.withColumn("_id", F.regexp_extract("_section", '(?i)\\A<div id="leaderboard_([^"]+)"', 1))
     spans = F.filter(F.split("_section", "(?i)(?=<span>)"), lambda p: p.rlike(r"(?is)\A<span>.*?</span>"))
     rows = rows.select(key, "page_name", "_id", "_s", F.posexplode(F.transform(spans, lambda p: F.regexp_extract(p, r"(?is)\A<span>(.*?)</span>", 1))).alias("_n", "_span"))
-    rows = rows.withColumns({"label": visible(F.col("_span")), "url": null_if_empty(F.regexp_extract("_span", r"""(?i)href=['"]([^'"]+)['"]""", 1))}).where("label <> ''")
+    rows = once(rows, {"label": visible(F.col("_span")), "url": null_if_empty(F.regexp_extract("_span", r"""(?i)href=['"]([^'"]+)['"]""", 1))}).where("label <> ''")
     got = lambda column, pattern, group=1: null_if_empty(F.regexp_extract(column, pattern, group))
     choose = lambda names, value: F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), value)
     family = choose(NOTABLE, F.lower(F.regexp_extract("url", r"(?i)/awards/([a-z0-9_]+)\.html", 1)))
@@ -250,7 +265,7 @@ def awards(pages: DataFrame, key: str = "page_id", html_col: str = "html") -> tu
         .when(F.col("_id") == "allstar", record(F.when(F.col("label").rlike(star), "all_star"), got("label", star, 2), season_label(got("label", star).try_cast("int") - 1), F.lit(None), "all_star"))
         .otherwise(record(choose(ALL_LEAGUE, F.regexp_extract("label", team, 2)), got("url", r"(?i)/(?:leagues|allstar)/([A-Z]+)_(\d{4})\.html"), got("label", team), got("label", team, 3).try_cast("int"), "all_league"))
     )
-    typed = rows.select(key, "page_name", "_s", "_n", "label", "url", kind.alias("_k")).select(key, "page_name", "_s", "_n", "_k.*", "label", "url").where("award_family is not null and season_label is not null")
+    typed = once(rows, {"_k": kind}).select(key, "page_name", "_s", "_n", "_k.*", "label", "url").where("award_family is not null and season_label is not null")
     same = [key, "award_family", "season_label", "team_tier", "url"]
     first = typed.groupBy(*same).agg(F.min(F.struct("_s", "_n", "page_name", "league_code", "label", "source_section")).alias("_f"))
     out = first.select(key, "_f.page_name", "award_family", "_f.league_code", "season_label", "team_tier", "_f.label", "url", "_f.source_section")

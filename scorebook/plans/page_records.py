@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from scorebook.operators import pages
 from scorebook.plans.demo import tables
+from scorebook.sources.stored import dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Pages of a part: a page takes about a millisecond, and a million of the rows that pages are made from can be one row group, thus one task.
+PART_PAGES = 2_000
+
 
 def query(sql: str | None = None):
     def add(f):
@@ -46,7 +50,7 @@ def profile_pages(t: dict[str, DataFrame]) -> DataFrame:
         only(k % 10 == 0, page("<p><strong>Hall of Fame:</strong> Inducted as Player in ", 1990 + k % 30, " (Full List)</p>")), only(k % 13 == 0, page("<p><strong>Recruiting Rank:</strong> ", 1990 + k % 30, " (", k % 99, ")")),
     )
     html = page("<html><head><link rel=\"canonical\" href=\"https://x.example/p/", k, "?a=1&amp;b=2\"></head><body><p><strong>Born:</strong> outside</p>", F.when(k % 11 == 0, "<div>").otherwise('<DIV id="meta">'), inner, "</div>\n</div><!-- div#meta --><p><strong>Team:</strong> outside</p></body></html>")
-    return t["customer"].select(k.alias("page_id"), F.when(k % 97 != 0, html).alias("html"))
+    return dealt(t["customer"], "c_custkey", rows=PART_PAGES).select(k.alias("page_id"), F.when(k % 97 != 0, html).alias("html"))
 
 
 @query("""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from scorebook.operators.relational import linked_row
 from scorebook.operators.sequence import enriched
 from scorebook.plans.demo import tables
+from scorebook.plans import page_records
 from scorebook.plans.games import raw_events
 from scorebook.sources import stored
 
@@ -31,3 +32,15 @@ def test_linked_row_nulls_and_doubles(spark):
     df = spark.createDataFrame(rows, "k string, n int, link int, v int")
     got = {r.v: r.linked_v for r in linked_row(df, ["k"], "link", "n", ["v"]).collect()}
     assert got == {10: None, 20: 10, 30: None, 40: 30, 50: None, 60: None, 70: None}
+
+
+def before_exchange(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString().rsplit("Exchange hashpartitioning", 1)[1]
+
+
+def test_profile_pages_are_dealt_before_they_are_read(spark, monkeypatch):
+    monkeypatch.setattr(page_records, "PART_PAGES", 50)
+    t = tables(spark, SF)
+    assert page_records.profile_pages(t).rdd.getNumPartitions() == -(-t["customer"].count() // 50) > 1
+    for df in (page_records.profile_records(t, spark, SF), page_records.profile_rejects(t, spark, SF)):
+        assert "meta" not in before_exchange(df)
