@@ -83,7 +83,7 @@ def award_pages(t: dict[str, DataFrame]) -> DataFrame:
         "other": page("<span>", y, " NBA</span>"),
     }
     body = page(*[x for name, html in span.items() for x in (f'<div id="leaderboard_{name}"><h4>x</h4>', F.array_join(F.array_sort(F.collect_list(html)), "\n"), "</div>")])
-    mine = t["orders"].groupBy("o_custkey").agg(body.alias("body"))
+    mine = dealt(t["orders"], "o_custkey").groupBy("o_custkey").agg(body.alias("body"))
     return mine.select(F.col("o_custkey").alias("page_id"), page('<div id="meta"><h1><span>Customer ', F.col("o_custkey"), '</span></h1><div id="leaderboard_wrapper">', F.col("body")).alias("html"))
 
 

@@ -44,3 +44,10 @@ def test_profile_pages_are_dealt_before_they_are_read(spark, monkeypatch):
     assert page_records.profile_pages(t).rdd.getNumPartitions() == -(-t["customer"].count() // 50) > 1
     for df in (page_records.profile_records(t, spark, SF), page_records.profile_rejects(t, spark, SF)):
         assert "meta" not in before_exchange(df)
+
+
+def test_award_pages_grow_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(stored, "PART_ROWS", 100)
+    t = tables(spark, SF)
+    assert page_records.award_pages(t).rdd.getNumPartitions() == -(-t["orders"].count() // 100) > 2
+    assert exchanges(page_records.award_records(t, spark, SF)) == 1
