@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorebook.sources.stored import stored
+from scorebook.sources.stored import parts, stored
 
 
 def filled(columns: Sequence[str]) -> Column:
@@ -232,6 +232,30 @@ def containing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: st
     return p.join(binned, [*on, F.col("_bin") == F.col("_range_bin")], how).drop(*gone, "_bin", "_range_bin")
 
 
+def nearby(points: DataFrame, others: DataFrame, keys: Sequence[str], at: str, before: int, after: int, value: str, row_id: Sequence[str]) -> DataFrame:
+    """(row_id, n, least): how many `others` of the same group have a time in (at - before, at + after] microseconds of a point, and their least `value`.
+
+    Both have `keys` and the time `at`. No pair is made: time is cut into blocks as long as that span, so a point's span
+    is the end of one block and the beginning of the next, and running sums from both ends of a block give both parts. A
+    task holds the rows of a block. Null keys form a group; points without a time meet nothing.
+    """
+    span = before + after
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    block = F.col("_t") - F.pmod("_t", F.lit(span))
+    probe = lambda t, tail: F.struct(t.alias("_t"), F.lit(tail).alias("_tail"))
+    ends = points.select(*keys, *row_id, F.explode(F.array(probe(micros - before, True), probe(micros + after, False))).alias("x")).select(*keys, *row_id, "x.*", F.lit(True).alias("_probe"))
+    seen = others.select(*keys, micros.alias("_t"), F.col(value).alias("_v"), F.lit(False).alias("_probe")).where("_t is not null")
+    both = seen.unionByName(ends, allowMissingColumns=True).withColumn("_block", block)
+    both = both.repartition(parts(others) + 2 * parts(points), *keys, "_block")
+    # at one time the others come before the probes, so a tail leaves them out and a head has them
+    order = [("_t", "_probe"), (F.col("_t").desc(), F.col("_probe").desc())]
+    head, tail = (Window.partitionBy(*keys, "_block").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0) for by in order)
+    one = F.when(~F.col("_probe"), 1)
+    side = lambda f, x: F.when(F.col("_tail"), f(x).over(tail)).otherwise(f(x).over(head))
+    found = both.withColumns({"_n": side(F.count, one), "_least": side(F.min, F.col("_v"))}).where("_probe")
+    return found.groupBy(*row_id).agg(F.sum("_n").alias("n"), F.min("_least").alias("least"))
+
+
 def merge_columns(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Full outer merge; each column is the first non-null one of the sources in order."""
     columns = list(dict.fromkeys(c for df in sources for c in df.columns if c not in keys))

@@ -46,9 +46,14 @@ def stored(df: DataFrame) -> DataFrame:
 PART_ROWS = 20_000
 
 
+def parts(df: DataFrame, rows: int | None = None) -> int:
+    """How many parts of about `rows` (PART_ROWS) rows `df` makes, a scan whose rows cost little to count."""
+    return max(1, math.ceil(df.count() / (rows or PART_ROWS)))
+
+
 def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     """`df`, a scan whose rows cost little to count, dealt by keys to parts of about `rows` (PART_ROWS) rows.
 
     Parts grow in number with the input, not in size; left to itself, Spark merges shuffled rows by their packed bytes.
     """
-    return df.repartition(max(1, math.ceil(df.count() / (rows or PART_ROWS))), *keys)
+    return df.repartition(parts(df, rows), *keys)

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from scorebook.operators.relational import linked_row
+from scorebook.operators.relational import linked_row, nearby
 from scorebook.operators.sequence import enriched
 from scorebook.plans.demo import tables
-from scorebook.plans import page_records
+from scorebook.plans import page_records, runs
 from scorebook.plans.games import raw_events
 from scorebook.sources import stored
 
@@ -51,3 +51,16 @@ def test_award_pages_grow_in_parts(spark, monkeypatch):
     t = tables(spark, SF)
     assert page_records.award_pages(t).rdd.getNumPartitions() == -(-t["orders"].count() // 100) > 2
     assert exchanges(page_records.award_records(t, spark, SF)) == 1
+
+
+def test_nearby_counts_without_pairs(spark):
+    points = [(k, i, t) for i, (k, t) in enumerate([("a", 0), ("a", 7), ("a", 20), ("a", 20), ("a", -13), ("b", 20), (None, 5), ("a", None), ("c", 1)])]
+    others = [(k, i, t) for i, (k, t) in enumerate([("a", -2), ("a", 5), ("a", 4), ("a", 10), ("a", 10), ("a", 25), ("b", 18), (None, 5), ("a", None), ("a", -13), ("a", -15)])]
+    make = lambda rows, v: spark.createDataFrame(rows, f"k string, {v} long, t long").withColumn("t", F.timestamp_micros("t"))
+    df = nearby(make(points, "p"), make(others, "o"), ["k"], "t", 2, 5, "o", ["p"])
+    want = {}
+    for k, i, t in points:
+        met = [o for q, o, u in others if q == k and None not in (t, u) and t - 2 < u <= t + 5]
+        want[i] = (len(met), min(met, default=None))
+    assert {r.p: (r.n, r.least) for r in df.collect()} == want
+    assert "Join" not in runs.range_overlap_hot(tables(spark, SF), spark, SF)._jdf.queryExecution().executedPlan().toString()
