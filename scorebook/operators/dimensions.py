@@ -11,6 +11,7 @@ from scorebook.functions.dates import calendar, completed_years
 from scorebook.functions.sport import half_even_ratio, percent, ratio
 from scorebook.functions.text import null_if_empty
 from scorebook.operators.relational import as_of, best_row, opponents, primary_team
+from scorebook.sources.stored import parts
 
 
 def versions(events: DataFrame, entity: str, tracked: Sequence[str], time: str, *, carry: Sequence[str] = (), order: Sequence[str] = (), day: str | None = None, source: str | None = None) -> DataFrame:
@@ -69,10 +70,13 @@ def player_events(players: DataFrame, games: DataFrame, bios: DataFrame, teams:
     """One event per person and game, the most filled: names, position, team and time of what tracks a player.
 
     players: person_id, game_id, player_name, first_name, family_name, primary_position, team_id; games: game_id,
-    game_time_utc; teams: team_id of the league's current teams. Names that a row lacks come from the bio.
+    game_time_utc; teams: team_id of the league's current teams. Names that a row lacks come from the bio. Rows are dealt
+    by game, then by person, into parts that grow in number.
     """
     names = bios.select("person_id", F.col("first_name").alias("_first"), F.col("family_name").alias("_family"))
-    rows = players.where("person_id > 0 and game_id is not null").join(games.select("game_id", "game_time_utc"), "game_id", "left").join(names, "person_id", "left")
+    rows = players.where("person_id > 0 and game_id is not null")
+    n = parts(rows)
+    rows = rows.repartition(n, "game_id").join(games.select("game_id", "game_time_utc"), "game_id", "left").repartition(n, "person_id").join(names, "person_id", "left")
     rows = rows.join(teams.select(F.col("team_id").alias("_league")).distinct(), F.col("team_id") == F.col("_league"), "left")
     first, family = F.coalesce(null_if_empty(F.col("first_name")), "_first"), F.coalesce(null_if_empty(F.col("family_name")), "_family")
     rows = rows.select("person_id", "game_id", "game_time_utc", F.to_date("game_time_utc").alias("game_date"), null_if_empty(F.col("player_name")).alias("player_name"), first.alias("first_name"), family.alias("family_name"), null_if_empty(F.col("primary_position")).alias("primary_position"), F.when(F.col("team_id") > 0, F.col("team_id")).cast("long").alias("latest_team_id"), F.col("_league").cast("long").alias("latest_nba_team_id"))

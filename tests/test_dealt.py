@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scorebook.operators.dimensions import player_bios, player_events
 from scorebook.operators.relational import linked_row, nearby
 from scorebook.operators.sequence import enriched
 from scorebook.plans.demo import tables
@@ -64,3 +65,10 @@ def test_nearby_counts_without_pairs(spark):
         want[i] = (len(met), min(met, default=None))
     assert {r.p: (r.n, r.least) for r in df.collect()} == want
     assert "Join" not in runs.range_overlap_hot(tables(spark, SF), spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_player_events_grow_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(stored, "PART_ROWS", 100)
+    rows, games, bios, teams, links, profiles = runs.player_sources(tables(spark, SF))
+    n = rows.where("person_id > 0").count()
+    assert player_events(rows, games, player_bios(bios, links, profiles), teams).rdd.getNumPartitions() == -(-n // 100) > 2
