@@ -283,6 +283,11 @@ def packed(df: DataFrame, needed: Sequence[str], name: str, *steps: Callable[[Da
     return df
 
 
+def with_offense(df: DataFrame, c: Cols = Cols(), overrides: DataFrame | None = None) -> DataFrame:
+    """Flags, classes, offence and defence of raw events as `enriched` has them, without its other windows."""
+    return offense(starting_team(class_flags(event_flags(df, c), c), c, overrides), c)
+
+
 def enriched(df: DataFrame, c: Cols = Cols(), overrides: DataFrame | None = None) -> DataFrame:
     """All of the above for raw events with homeTeamId and awayTeamId.
 

@@ -120,26 +120,33 @@ def still_there(spark: SparkSession, df: DataFrame) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def known(spark: SparkSession, d: str) -> Game | None:
+    """The layers of the games of a folder if this application has them and they haven't been deleted."""
+    g = LAYERS.get((spark.sparkContext.applicationId, d))
+    return g if g and still_there(spark, g.events) and still_there(spark, g.effective) else None
+
+
 def game(t, spark: SparkSession, d: str) -> Game:
     """The layers of the games of a folder, worked out once in an application, or again once they have been deleted."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in LAYERS or not (still_there(spark, LAYERS[key].events) and still_there(spark, LAYERS[key].effective)):
+    if (g := known(spark, d)) is None:
         events = stored(sequence.enriched(raw_events(t)))
         b = box(t)
         s = stored(lineups.stints(dealt(events, "gameId"), b))
-        LAYERS[key] = Game(events, b, s, stored(lineups.effective(s, events)))
-    return LAYERS[key]
+        g = LAYERS[(spark.sparkContext.applicationId, d)] = Game(events, b, s, stored(lineups.effective(s, events)))
+    return g
 
 
-def team_box(events: DataFrame) -> DataFrame:
-    """Teams' box score as sums of their events."""
+def team_box(events: DataFrame, *names: str) -> DataFrame:
+    """Teams' box score as sums of their events; with names, these sums alone."""
     n = lambda x: F.sum(F.coalesce(x, F.lit(False)).cast("int"))
-    three = F.col("shotValue") == 3
-    return events.where("teamId is not null").groupBy("gameId", "teamId").agg(
-        F.sum("isFieldGoal").alias("fga"), n(F.col("isFreeThrow")).alias("fta"), n(F.col("isOreb")).alias("oreb"), n(F.col("isTurnover")).alias("tov"),
-        F.max(F.when(F.col("teamId") == F.col("homeTeamId"), F.col("scoreHome")).otherwise(F.col("scoreAway"))).alias("points"),
-        n((F.col("isFieldGoal") == 1) & three).alias("fg3a"), n(F.col("isMadeShot")).alias("fgm"), n(F.col("isMadeShot") & three).alias("fg3m"), n(F.col("isRebound") & F.col("isRealRebound")).alias("reb"),
-    ).withColumn("seconds", F.lit(14400))
+    c = F.col
+    three = c("shotValue") == 3
+    sums = {
+        "fga": F.sum("isFieldGoal"), "fta": n(c("isFreeThrow")), "oreb": n(c("isOreb")), "tov": n(c("isTurnover")),
+        "points": F.max(F.when(c("teamId") == c("homeTeamId"), c("scoreHome")).otherwise(c("scoreAway"))),
+        "fg3a": n((c("isFieldGoal") == 1) & three), "fgm": n(c("isMadeShot")), "fg3m": n(c("isMadeShot") & three), "reb": n(c("isRebound") & c("isRealRebound")),
+    }
+    return events.where("teamId is not null").groupBy("gameId", "teamId").agg(*[sums[x].alias(x) for x in names or sums]).withColumn("seconds", F.lit(14400))
 
 
 def player_box(g: Game) -> DataFrame:
@@ -279,9 +286,17 @@ def team_possessions(t, spark, d):
 
 @query(game_sql.TEAM_DEFENSIVE_SHOTS)
 def team_defensive_shots(t, spark, d):
-    """Opponents' two-point attempts by the best method of each game."""
-    g = game(t, spark, d)
-    return attribution.waterfall(attribution.team_defensive_shots(g.events, g.box, team_box(g.events)), g.box, ["gameId", "teamId"])
+    """Opponents' two-point attempts by the best method of each game.
+
+    Shots and their offence are all it needs, so without the layers it stores these and builds no lineups.
+    """
+    g = known(spark, d)
+    if g is None:
+        shots = ["gameId", "teamId", "homeTeamId", "awayTeamId", "resolvedOffenseTeamId", "resolvedDefenseTeamId", "isMadeShot", "isMissedShot", "isFieldGoal", "shotValue"]
+        events, people = stored(sequence.with_offense(raw_events(t)).select(*shots)), box(t)
+    else:
+        events, people = g.events, g.box
+    return attribution.waterfall(attribution.team_defensive_shots(events, people, team_box(events, "fga", "fg3a")), people, ["gameId", "teamId"])
 
 
 @query(game_sql.ON_COURT_CONTEXTS)

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from scorebook.operators.dimensions import player_bios, player_events
 from scorebook.operators.relational import linked_row, nearby
-from scorebook.operators.sequence import enriched
+from scorebook.operators.sequence import enriched, with_offense
 from scorebook.plans.demo import tables
-from scorebook.plans import page_records, runs
+from scorebook.plans import games, page_records, runs
 from scorebook.plans.games import raw_events
 from scorebook.sources import stored
 
@@ -72,3 +72,15 @@ def test_player_events_grow_in_parts(spark, monkeypatch):
     rows, games, bios, teams, links, profiles = runs.player_sources(tables(spark, SF))
     n = rows.where("person_id > 0").count()
     assert player_events(rows, games, player_bios(bios, links, profiles), teams).rdd.getNumPartitions() == -(-n // 100) > 2
+
+
+def test_defensive_shots_build_no_lineups(spark, monkeypatch):
+    monkeypatch.setattr(games, "LAYERS", {})
+    columns = ["gameId", "orderNumber", "resolvedOffenseTeamId", "resolvedDefenseTeamId", "isMadeShot", "isMissedShot"]
+    raw = raw_events(tables(spark, SF))
+    assert with_offense(raw).select(columns).exceptAll(enriched(raw).select(columns)).count() == 0
+    alone = games.team_defensive_shots(tables(spark, SF), spark, SF)
+    assert games.LAYERS == {}
+    got = sorted(map(tuple, alone.collect()))
+    games.game(tables(spark, SF), spark, SF)
+    assert got == sorted(map(tuple, games.team_defensive_shots(tables(spark, SF), spark, SF).collect())) != []
