@@ -83,3 +83,10 @@ def test_rounding_is_that_of_doubles(spark):
     assert spark.range(1).select(rounded(F.lit(7.6499999999999995), 1), rounded(F.lit(23) / F.lit(40), 2), rounded(F.lit(-0.25), 1)).first()[:] == (7.7, 0.57, -0.3)
     row = spark.range(1).select(F.lit(23).alias("assists"), F.lit(40).alias("turnovers"))
     assert row.agg(player_game_metrics()["assist_turnover_ratio"].column()).first()[0] == 0.57
+
+
+def test_team_metrics_round_doubles_as_sql_does(spark):
+    from scorebook.plans.catalog import team_game_metrics
+
+    row = spark.createDataFrame([(23, 40)], "assists long, turnovers long")
+    assert row.agg(team_game_metrics()["assist_turnover_ratio"].column()).first()[0] == 0.57
